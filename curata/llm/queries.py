@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import exact_dedup, language_id, packing
+from curata.llm import exact_dedup, jaccard_join, language_id, packing
 from curata.llm.tables import read, tokenizer_path
 
 
@@ -18,6 +18,10 @@ def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_sets(read(spark, sf_dir, "documents"))
+
+
 def op9_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
