@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import exact_dedup, language_id, packing
+from curata.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
 from curata.llm.scratch import Scratch
 from curata.llm.tables import read, tokenizer_path
 
@@ -23,12 +23,22 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; documents left without words go."""
+    return substring_dedup.cut_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their ids."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("language", language), ("exact_dedup", copies), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("language", language), ("exact_dedup", copies), ("jaccard_join", near_copies), ("substring_dedup", passages), ("packing", pack)]
 
 #: SQL can't express the first stage's automata or the last one's tokenizer; tests/llm checks the stages by brute force.
 ORACLE_SQL = None

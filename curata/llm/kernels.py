@@ -116,7 +116,7 @@ class Words:
         short = np.flatnonzero((words > 0) & (words < width))
         for i in short.tolist():
             own = h[first[i] : first[i + 1]]
-            acc[first[i]] = (own * _STEP[: len(own)]).sum(dtype=U64) + _SHORT[len(own)]
+            acc[first[i]] = (own * _STEP[: len(own)]).sum(dtype=U64) ^ _SHORT[len(own)]
         at = np.zeros(len(words) + 1, np.int64)
         np.cumsum(count, out=at[1:])
         keep = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import exact_dedup, jaccard_join, language_id, packing
+from curata.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
 from curata.llm.tables import read, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op6_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_sets(read(spark, sf_dir, "documents"))
 
 
+def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
