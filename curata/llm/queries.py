@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curata.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
+from curata.llm import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, substring_dedup, url_templates
 from curata.llm.tables import read, tokenizer_path
 
 
+#: Fixed values of the op5 contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op2_sparse_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
@@ -18,6 +28,12 @@ def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page's label is that of the document with its id: good if of quality and not toxic
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_templates.judge(read(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_sets(read(spark, sf_dir, "documents"))
 
@@ -30,5 +46,9 @@ def op9_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
