@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, substring_dedup, url_templates
+from curata.llm import chat, exact_dedup, fingerprint, jaccard_join, language_id, packing, piece_sampling, quality, substring_dedup, url_templates
 from curata.llm.tables import read, tokenizer_path
 
 
@@ -15,6 +15,10 @@ from curata.llm.tables import read, tokenizer_path
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(read(spark, sf_dir, "conversations"))
+
+
 def op2_sparse_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -42,6 +46,10 @@ def op7_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), seed=7, alpha=1.0, digest=True)
+
+
 def op9_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
