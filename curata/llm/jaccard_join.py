@@ -173,19 +173,32 @@ def _scan(batches):
         yield _rows(names, [np.array([x]) for x in held[:5]])
 
 
+def _bounded(t: int):
+    """Pairs whose count vectors allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+            if len(a):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+                good = enough(overlap_bound(x, y), na, nb, t)
+                yield _rows(["a", "b"], [a[good], b[good]])
+
+    return run
+
+
 def _verify(t: int):
+    """Pairs whose sets have the similarity."""
+
     def run(batches):
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            va, vb, sa, sb = (batch.column(i) for i in range(4, 8))
+            sa, sb = batch.column(4), batch.column(5)
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
-                x, y = np.frombuffer(va[i].as_buffer(), np.uint16), np.frombuffer(vb[i].as_buffer(), np.uint16)
-                if enough(overlap_bound(x, y), na[i], nb[i], t):
-                    p, q = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    good[i] = enough(np.count_nonzero(both[1:] == both[:-1]), na[i], nb[i], t)
+                both = np.concatenate([np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)])
+                both.sort()
+                good[i] = enough(np.count_nonzero(both[1:] == both[:-1]), na[i], nb[i], t)
             yield _rows(["a", "b"], [a[good], b[good]])
 
     return run
@@ -241,21 +254,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for a, b, data, offs in blocks(batch, "text"):
                 s = Sets(data, offs, width)
-                row, value = s.prefix(t, np.zeros(0, np.uint64))
-                count = np.bincount(row, minlength=b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(signed(value)))
-                yield _rows(["doc_id", "n", "sid", "chk", "prefix"], [batch.column(0)[a:b], s.size, signed(s.sid), signed(s.check), lists])
+                yield _rows(["doc_id", "n", "sid", "chk"], [batch.column(0)[a:b], s.size, signed(s.sid), signed(s.check)])
+
+    def leading(batches):
+        for batch in batches:
+            for _, _, data, offs in blocks(batch, "text"):
+                yield _rows(["key"], [signed(Sets(data, offs, width).prefix(t, np.zeros(0, np.uint64))[1])])
 
-    sets = work.table(slim.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, chk bigint, prefix array<bigint>"), "sets")
+    sets = work.table(slim.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, chk bigint"), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
-    # Two sets with one 64-bit digest: so rare that the list is empty below 10**9 sets. They would be told apart by the
+    # Two sets with one 64-bit digest: so rare that none is expected below 10**9 sets. They would be told apart by the
     # second digest, so the run stops rather than merge them.
     clash = real.groupBy("sid").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x != y").limit(1).count()
     if clash:
         raise ValueError("two shingle sets share a 64-bit digest; change the seed of _SID")
-    often = real.select(F.explode("prefix").alias("key")).groupBy("key").count().filter(F.col("count") >= COMMON)
+    often = slim.filter("doc_id is not null").mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
     top = often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy()
     common = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
+    del often
+    work.release()
 
     def post(batches):
         for batch in batches:
@@ -270,33 +287,50 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     posted = slim.mapInArrow(post, "key bigint, sid bigint, n bigint").repartition("key").sortWithinPartitions("key", "sid")
     shared = work.table(posted.mapInArrow(_scan, "key bigint, sid bigint, n bigint, hub bigint, hub_n bigint"), "shared")
-    reps = real.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    involved = work.table(shared.select("sid").distinct().join(reps, "sid"), "involved")
-    near = spark.sparkContext.broadcast(bloom(involved, "rep", involved.count()))
-
-    def vectors(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            maybe = near.value.has(ids.fill_null(0).to_numpy())
-            own = batch.filter(pa.array(maybe & ~np.asarray(ids.is_null())))
-            for a, b, data, offs in blocks(own, "text"):
-                s = Sets(data, offs, width)
-                lists = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((s.first * 8).astype(np.int32).tobytes()), pa.py_buffer(s.value.tobytes())])
-                yield _rows(["rep", "sid", "n", "vec", "members"], [own.column(0)[a:b], signed(s.sid), s.size, _fixed(s.counts()), lists])
-
-    made = slim.mapInArrow(vectors, "rep bigint, sid bigint, n bigint, vec binary, members binary")
-    points = work.table(made.join(involved, ["rep", "sid"], "left_semi").dropDuplicates(["sid"]).drop("rep"), "points")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = points.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"), F.col("members").alias("sa"))
-        two = points.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"), F.col("members").alias("sb"))
-        rows = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "va", "vb", "sa", "sb")
-        return rows.mapInArrow(_verify(t), "a bigint, b bigint")
+    del posted
+    work.release()
+    reps = work.table(real.groupBy("sid").agg(F.min("doc_id").alias("rep")), "reps")
+
+    def described(sids: DataFrame, name: str, members: bool) -> DataFrame:
+        """One row for each of the given sids: sid, n and the count vector, or the members themselves."""
+        wanted = work.table(sids.join(reps, "sid"), f"{name}_of")
+        near = spark.sparkContext.broadcast(bloom(wanted, "rep", wanted.count()))
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(0)
+                own = batch.filter(pa.array(near.value.has(ids.fill_null(0).to_numpy()) & np.asarray(ids.is_valid())))
+                for a, b, data, offs in blocks(own, "text"):
+                    s = Sets(data, offs, width)
+                    what = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((s.first * 8).astype(np.int32).tobytes()), pa.py_buffer(s.value.tobytes())]) if members else _fixed(s.counts())
+                    yield _rows(["rep", "sid", "n", name], [own.column(0)[a:b], signed(s.sid), s.size, what])
+
+        made = slim.mapInArrow(run, f"rep bigint, sid bigint, n bigint, {name} binary")
+        return work.table(made.join(wanted, ["rep", "sid"], "left_semi").dropDuplicates(["rep", "sid"]).drop("rep"), name)
+
+    points = described(shared.select("sid").distinct(), "vec", False)
+
+    def sided(rows: DataFrame, sid: str, col: str) -> DataFrame:
+        return rows.select(F.col("sid").alias(sid), F.col("n").alias(f"n{sid}"), F.col(col).alias(f"{col}{sid}"))
+
+    def joined(pairs: DataFrame, rows: DataFrame, col: str) -> DataFrame:
+        both = pairs.join(sided(rows, "a", col), "a").join(sided(rows, "b", col), "b")
+        return both.select("a", "b", "na", "nb", f"{col}a", f"{col}b")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets are similar; only sets of pairs whose bound allows it are read again and moved."""
+        close = work.table(joined(pairs, points, "vec").mapInArrow(_bounded(t), "a bigint, b bigint"), f"{name}_close")
+        sids = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        found = joined(close, described(sids, f"{name}_members", True), f"{name}_members").mapInArrow(_verify(t), "a bigint, b bigint")
+        found = work.table(found, name)
+        work.drop(f"{name}_members")
+        work.release()
+        return found
 
     # One hub for each set: of its buckets' first sets, the one it shares most buckets with.
     sized = shared.filter((F.col("sid") != F.col("hub")) & (100 * F.col("n") >= t * F.col("hub_n")) & (100 * F.col("hub_n") >= t * F.col("n")))
     votes = sized.groupBy("sid", "hub").count().groupBy("sid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    linked = work.table(verified(votes.select(F.col("hub").alias("a"), F.col("sid").alias("b"))), "linked")
+    linked = verified(votes.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "linked")
     part = work.table(connected_components(linked), "part")
     labelled = shared.select("key", "sid", "n").join(part.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("comp"))
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", F.ceil(F.col("m") / TREE_POINTS).cast("int").alias("parts"))
@@ -306,9 +340,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "comp", "vec")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(t), "a bigint, b bigint")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = work.table(verified(pairs), "more")
-    joined = connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    roots = reps.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("root"))
+    more = verified(pairs, "more")
+    whole = connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    roots = reps.join(whole.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     class_of = roots.join(least, "root").select("sid", "component_id")
     out = sets.select("doc_id", "n", "sid").join(class_of, "sid", "left")
