@@ -1,15 +1,402 @@
-"""Registered queries of the engine and the DuckDB SQL that checks them."""
+"""Registered queries of the engine and the DuckDB SQL that checks them.
+
+The tables hold no images, so rows stand in for files: documents for contents, sources for folders, embeddings for
+perceptual hashes, events for results and orders for requests.
+"""
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from curata.functions import images, text
+from curata.operators import classify, dedup, sessions, similarity, throughput
+from curata.sources import config, connectors
+from curata.streaming import throughput as streams
+
+#: Distance of the similarity queries, and the mean up to which a cluster counts as copies; the vectors have no nearer ones.
+NEAR, COPIES = 0.30, 0.28
+PHRASES = ["EN", "looks like Spanish.", "en-US", "brazilian portuguese", "Korean", "zz", "Unknown", "could be french", "Klingon", "english or german", "  ", "Japanese (kanji)"]
+ANSWERS = [
+    '```json\n{"detectedTags": [" Bear ", "bear", "CAT"], "hasText": true, "textLanguageGuess": "Korean", "emoji": "x", "keyword": "happy greeting"}\n```',
+    '{"detectedTags": [], "hasText": true, "textLanguageGuess": "en", "emoji": "x", "keyword": "k"}',
+    '{"detectedTags": ["dog"], "hasText": true, "textLanguageGuess": "", "emoji": "y", "keyword": "run"}',
+    '{"detectedTags": ["dog", "tree"], "hasText": "true", "textLanguageGuess": "Unknown script", "emoji": "y", "keyword": "run"}',
+    '{"detectedTags": ["cat", null], "hasText": false, "textLanguageGuess": null, "emoji": "z", "keyword": "sit"}',
+    '{"detectedTags": "cat", "hasText": false, "textLanguageGuess": null, "emoji": "z", "keyword": "sit"}',
+    '{"detectedTags": ["cat"], "hasText": true, "textLanguageGuess": "fr"}',
+    "   ",
+    "Here you are: nothing",
+    '{"hasText": true}',
+]
+COMPOUNDS = [("Engaged", ["Click", "View"]), ("Shopper", ["Click", "Purchase", "View"])]
+BASE = ["View", "Click", "Purchase", "Signup"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the folder of their source."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.format_string("/data/%s/%08d.png", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("hash"), F.length("text").cast("bigint").alias("size"))
+
+
+FILES = "files AS (SELECT printf('/data/%s/%08d.png', source, doc_id) AS path, sha256(text) AS hash, CAST(length(text) AS BIGINT) AS size, source FROM documents)"
+
+
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", images.content_hash(F.col("text")).alias("hash"))
+    marked = dedup.first_by_hash(docs, "hash", "doc_id")
+    return marked.select("doc_id", "hash", F.col("first").alias("first_doc_id"), (F.col("doc_id") == F.col("first")).alias("is_unique"))
+
+
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_counts(files(spark, sf_dir))
+
+
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.hash_groups(files(spark, sf_dir)).select("hash", F.array_join("paths", ",").alias("paths"), "folder")
+
+
+def duplicate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_moves(dedup.unique_and_duplicates(files(spark, sf_dir))[1])
+
+
+def consolidation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = files(spark, sf_dir)
+    return dedup.consolidation_plan(have, "/data", have.select("path"))
+
+
+def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select(F.format_string("%08d", "p_partkey").alias("src"), F.concat(F.lit("/out/"), "p_brand", F.lit(".png")).alias("dst"))
+    held = parts.select(F.explode(F.array(F.concat(F.lit("/out/"), "p_brand", F.lit(".png")), F.concat(F.lit("/out/"), "p_brand", F.lit("_2.png")))).alias("path")).distinct()
+    return dedup.free_names(rows, held)
+
+
+def clean_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    return docs.select("doc_id", text.clean_language(F.col("lang")).alias("code"), text.language_for_filename(phrase).alias("phrase_code"))
+
+
+def sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("name"))
+
+
+def target_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES) + 1).cast("int"))
+    emoji = F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("e"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.target_name(phrase, emoji, F.col("p_name"), F.concat("p_brand", F.lit(".png"))).alias("name"))
+
+
+def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("event_id") % len(ANSWERS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", classify.parse_answer(raw).alias("a")).filter("a is not null")
+    return rows.select("event_id", F.array_join("a.tags", ",").alias("tags"), F.col("a.hasText").alias("has_text"), F.col("a.textLanguageGuess").alias("language"), F.col("a.emoji").alias("emoji"), F.col("a.keyword").alias("keyword"))
+
+
+def _categories(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = [(i, n, [], i, f"about {n}") for i, n in enumerate(BASE)] + [(9 + i, n, m, 0, n) for i, (n, m) in enumerate(COMPOUNDS)]
+    return config.resolve(spark.createDataFrame(rows, config.ROW))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").groupBy((F.col("user_id") * 10 + F.col("event_id") % 10).alias("image_path")).agg(F.collect_set(F.lower("event_type")).alias("tags"))
+    return classify.match_categories(users, *_categories(spark))
+
+
+def category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).select(F.col("image_path").alias("group_id"), F.array_join("categories", ",").alias("categories"))
+
+
+def fan_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fan_out_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _matched(spark, sf_dir).select(F.format_string("/in/set%d/%d.png", F.col("image_path") % 7, "image_path").alias("image_path"), "categories", F.lit("Korean").alias("textLanguageGuess"), F.lit(None).cast("string").alias("emoji"), F.lit("happy greeting").alias("keyword"))
+    held = rows.filter(F.array_contains("categories", "Engaged")).select(F.concat(F.lit("/out/Engaged/ko_null_happy_greeting_"), text.file_name(F.col("image_path"))).alias("path"))
+    return classify.fan_out_plan(rows, "/out", held)
+
+
+def error_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.format_string("/in/%s/%d.png", "event_type", "event_id").alias("image_path"), F.when(F.col("event_type") == "error", "error").otherwise("classified").alias("status"))
+    return classify.error_plan(rows)
+
+
+def config_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    members = nations.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("m"))
+    regions = table(spark, sf_dir, "region").join(members, F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = nations.select("n_nationkey", "n_name", F.array().cast("array<string>"), F.lit(0), F.lit("nation")).union(regions.select(F.col("r_regionkey") + 100, "r_name", "m", F.lit(0), F.lit("region")))
+    rows = rows.toDF("pos", "name", "compoundCategory", "priority", "description")
+    return config.compound_categories(rows).select("name", F.array_join("members", ",").alias("members"), F.size("missing").cast("bigint").alias("missing"))
+
+
+def user_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a config's rows: read on the driver, as the config file itself is
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").limit(1000).collect()
+    return spark.createDataFrame([(classify.build_prompt([(r.r_name, f"region {r.r_regionkey}") for r in rows]),)], "prompt string")
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as files with the signs of their 64 numbers as perceptual hash."""
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+    return table(spark, sf_dir, "embeddings").select(F.format_string("/vec/%07d.png", "vec_id").alias("path"), bits.alias("phash"), (F.col("label") * 10 + F.col("vec_id") % 7).cast("bigint").alias("size"))
+
+
+def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_pairs(hashes(spark, sf_dir), NEAR).select("p1", "p2", F.col("bits").cast("bigint").alias("bits"), "score")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.clusters(hashes(spark, sf_dir), NEAR)
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).select("cluster_id", "avg_score", F.array_join("paths", ",").alias("paths"))
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return similarity.prune_full_matches(_clusters(spark, sf_dir), hashes(spark, sf_dir), similarity.ClusterConfig(dry_run=False, exact_copy_threshold=COPIES))
+
+
+def cluster_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir)[1]
+
+
+def cluster_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = similarity.rank_clusters(_pruned(spark, sf_dir)[0])
+    return ranked.select(F.col("rank").cast("bigint").alias("rank"), "group_id", "cluster_id", "avg_score", F.col("n").cast("bigint").alias("n"))
+
+
+def group_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = hashes(spark, sf_dir).select("path")
+    return similarity.group_rename_plan(similarity.rank_clusters(_pruned(spark, sf_dir)[0]), held)
+
+
+def name_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    shapes = F.array(F.concat(F.lit("00001_"), "p_brand", F.format_string("_%d@2x.png", F.col("p_partkey") + 10000)), F.concat(F.lit("00002_"), "p_brand", F.lit(".png")), F.concat("p_brand", F.lit("__x.png")), F.concat("p_brand", F.format_string("_%d.png", F.col("p_partkey") + 10000)))
+    rows = parts.select("p_partkey", F.posexplode(shapes).alias("shape", "name"))
+    return rows.select("p_partkey", "shape", text.group_file_name(F.lit("00007"), F.col("name")).alias("grouped"), text.pack_file_name(F.col("name")).alias("packed"), text.delete_me_name(F.col("name")).alias("marked"))
+
+
+def throughput_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throughput.rates(table(spark, sf_dir, "events")).select("event_id", "n5", "n60", "per_minute_5", "per_minute_60", "per_hour")
+
+
+def result_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throughput.counters(table(spark, sf_dir, "events"), F.col("event_type") == "error")
+
+
+def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 101).alias("queue"), (F.col("o_custkey") % 9 / F.lit(4.0)).alias("per_minute"))
+    return throughput.with_eta(rows).select("o_orderkey", "eta_seconds", "eta")
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("doc_id") % 400 * 1000
+    estimate = text.token_estimate(F.col("text"))
+    encoded = text.base64_length(size)
+    return table(spark, sf_dir, "documents").select("doc_id", estimate.alias("tokens"), encoded.alias("encoded"), text.context_size(estimate, encoded).alias("context"))
+
+
+def encoded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.plain_base64(F.repeat("c_name", 8).cast("binary")).alias("encoded"), F.sha2("c_name", 256).alias("digest"))
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return files(spark, sf_dir).select("path", text.file_name(path).alias("name"), text.parent_name(path).alias("folder"), text.sibling(path, "_processed").alias("processed"))
+
+
+def log_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", text.log_stamp(ts, True).alias("file_stamp"), text.log_stamp(ts).alias("line_stamp"))
+
+
+@dataclass
+class CountedFailures:
+    """Order 7k ends in an error; any other order fails as often as its number modulo 6 says, before it succeeds."""
+
+    def process(self, request: dict) -> tuple[str, str | None]:
+        key = int(request["image_path"])
+        if key % 7 == 0:
+            return connectors.ERROR, None
+        if request["attempt"] < key % 6:
+            return connectors.RETRY, None
+        return connectors.OK, '{"detectedTags": ["order"], "hasText": false, "keyword": "k"}'
+
+
+def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"))
+    requests = classify.image_requests(orders, "prompt", "s")
+    out = classify.run_requests(requests, CountedFailures())
+    return out.select(F.col("image_path").cast("bigint").alias("o_orderkey"), "status", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("session_id", F.col("o_custkey").cast("string"))
+    status = F.when(F.col("o_orderkey") % 5 == 0, "error").when(F.col("o_orderkey") % 11 == 0, "exhausted").otherwise("classified")
+    results = orders.filter(F.col("o_orderkey") % 13 != 0).select("session_id", status.alias("status"))
+    return sessions.session_summary(orders.select("session_id"), results)
+
+
+def streaming_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = streams.sliding_counts(stream)
+    return streams.run_to_memory(counts, f"sliding_{uuid.uuid4().hex}").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+def _square_png(values: list[float], cgbi: bool) -> bytes:
+    """An 8 by 8 picture of 64 numbers, in the standard or the premultiplied BGR dialect."""
+    level = [min(255, max(0, int(128 + 400 * v))) for v in values]
+    rows = b"".join(b"\0" + bytes(b for x in range(8) for b in (level[8 * y + x] // 2, level[8 * y + x], level[8 * y + x] // 3, 255)) for y in range(8))
+    head = struct.pack(">IIBBBBB", 8, 8, 8, 6, 0, 0, 0)
+    if not cgbi:
+        return images.png([(b"IHDR", head), (b"IDAT", zlib.compress(rows)), (b"IEND", b"")])
+    raw = zlib.compressobj(wbits=-15)
+    return images.png([(b"CgBI", b"\x50\x00\x20\x02"), (b"IHDR", head), (b"IDAT", raw.compress(rows) + raw.flush()), (b"IEND", b"")])
+
+
+@F.pandas_udf(T.BinaryType())
+def _pictures(key: pd.Series, vectors: pd.Series) -> pd.Series:
+    return pd.Series([_square_png(list(v), k % 2 == 0) for k, v in zip(key, vectors, strict=True)])
+
+
+def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pictures, half of them broken: found, repaired, decoded and hashed."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _pictures("vec_id", "embedding").alias("content"))
+    found = rows.withColumn("broken", images.is_cgbi(F.col("content"))).withColumn("fixed", images.fixed_png("content"))
+    good = F.when(F.col("broken"), F.col("fixed.content")).otherwise(F.col("content"))
+    return found.select("vec_id", "broken", F.col("fixed.error").isNull().alias("repaired"), images.phash(good).alias("phash"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        f.__name__: f
+        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair)
+    }
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(_quoted(v) for v in values) + "]"
+
+
+def _clean_sql(x: str) -> str:
+    unsure = " OR ".join(f"contains(t, {_quoted(w)})" for w in text.UNCERTAIN)
+    exact = " ".join(f"WHEN t = {_quoted(n)} THEN {_quoted(c)}" for n, c in text.LANGUAGES.items())
+    within = " ".join(f"WHEN contains(t, {_quoted(n)}) THEN {_quoted(c)}" for n, c in text.LANGUAGES.items())
+    return f"(SELECT CASE WHEN t = '' THEN 'int' WHEN {unsure} THEN 'int' {exact} WHEN regexp_full_match(t, '[a-z]{{2}}') THEN t {within} ELSE 'int' END FROM (SELECT lower(trim(coalesce({x}, ''))) AS t))"
+
+
+def _safe_sql(x: str) -> str:
+    inner = f"regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '[^a-zA-Z0-9._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '_{{2,}}', '_', 'g')"
+    return f"CASE WHEN {inner} = '' THEN 'unknown' ELSE {inner} END"
+
+
+PAIRS = f"""
+v AS (SELECT printf('/vec/%07d.png', vec_id) AS path, list_transform(embedding, lambda x: x > 0) AS s, CAST(label * 10 + vec_id % 7 AS BIGINT) AS size FROM embeddings),
+pairs AS (SELECT p1, p2, bits, bits / 64.0::DOUBLE AS score FROM (SELECT a.path AS p1, b.path AS p2, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END)) AS BIGINT) AS bits FROM v a JOIN v b ON a.path < b.path) WHERE bits / 64.0 <= {NEAR})"""
+
+GROUPED = f"""{PAIRS},
+sides AS (SELECT p1 AS x, p2 AS y FROM pairs UNION SELECT p2, p1 FROM pairs),
+reach AS (SELECT path AS node, path AS root FROM v UNION SELECT s.y, r.root FROM reach r JOIN sides s ON s.x = r.node),
+label AS (SELECT node, min(root) AS cluster_id FROM reach GROUP BY node),
+means AS (SELECT cluster_id, CAST(sum(bits) AS DOUBLE) / (64 * count(*)) AS mean FROM pairs JOIN label ON node = p1 GROUP BY cluster_id),
+c AS (SELECT l.cluster_id, coalesce(any_value(mean), 0.999) AS avg_score, list_sort(list(node)) AS paths FROM label l LEFT JOIN means USING (cluster_id) GROUP BY l.cluster_id),
+full_ AS (SELECT cluster_id, min(struct_pack(size := v.size, path := v.path)).path AS keep FROM c JOIN v ON list_contains(c.paths, v.path) WHERE avg_score <= {COPIES} AND len(paths) > 1 GROUP BY cluster_id),
+pruned AS (SELECT c.cluster_id, CASE WHEN keep IS NULL THEN avg_score ELSE 0.999 END AS avg_score, avg_score AS orig_avg, CASE WHEN keep IS NULL THEN paths ELSE [keep] END AS paths FROM c LEFT JOIN full_ USING (cluster_id)),
+ranked AS (SELECT row_number() OVER (ORDER BY len(paths) DESC, orig_avg, cluster_id) - 1 AS rank, cluster_id, avg_score, paths FROM pruned)"""
+
+
+def _group_name_sql(group: str, name: str) -> str:
+    shape = "'^[0-9]{5}_(.*)_([0-9]{5,8})@2x.png$'"
+    return f"replace(CASE WHEN regexp_matches({name}, {shape}) THEN {group} || '_' || printf('%08d', TRY_CAST(regexp_extract({name}, {shape}, 2) AS BIGINT)) || '_' || regexp_extract({name}, {shape}, 1) || '.png' WHEN regexp_matches({name}, '^[0-9]{{5}}_') THEN {group} || '_' || substr({name}, 7) ELSE {group} || '_' || {name} END, '__', '_')"
+
+
+def _pack_name_sql(name: str) -> str:
+    shape = "'^(.*)_([0-9]{5,8})(@2x)?.png$'"
+    bare = f"CASE WHEN regexp_matches({name}, '^[0-9]{{5}}_') THEN substr({name}, 7) ELSE {name} END"
+    return f"CASE WHEN regexp_matches({bare}, {shape}) THEN printf('%08d', TRY_CAST(regexp_extract({bare}, {shape}, 2) AS BIGINT)) || '_' || regexp_extract({bare}, {shape}, 1) || '.png' ELSE {bare} END"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    phrase = lambda key: f"{_list(PHRASES)}[{key} % {len(PHRASES)} + 1]"
+    base, whole = _list(BASE), " ".join(f"WHEN found = {_list(sorted(m))} THEN list_sort(list_append(found, {_quoted(n)}))" for n, m in COMPOUNDS)
+    matched = f"""
+e AS (SELECT user_id * 10 + event_id % 10 AS g, list(DISTINCT lower(event_type)) AS tags FROM events GROUP BY 1),
+f AS (SELECT g, list_sort(list_filter({base}, lambda b: list_contains(tags, lower(b)))) AS found FROM e),
+m AS (SELECT g, CASE WHEN len(found) = 0 THEN ['other'] {whole} ELSE found END AS categories FROM f)"""
+    utf16 = "CAST(length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT)"
+    fence = "trim(regexp_replace(regexp_replace(raw, '```json\\s*', '', 'g'), '```\\s*', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13))"
+    return {
+        "exact_dedup": "SELECT doc_id, hash, first_doc_id, doc_id = first_doc_id AS is_unique FROM (SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id FROM documents)",
+        "dedup_counts": "SELECT count(*) AS total, count(DISTINCT sha256(text)) AS \"unique\", count(*) - count(DISTINCT sha256(text)) AS duplicates FROM documents",
+        "dup_groups": f"WITH {FILES} SELECT hash, string_agg(path, ',' ORDER BY path) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1",
+        "duplicate_moves": f"WITH {FILES}, f AS (SELECT *, min(path) OVER (PARTITION BY hash) AS first FROM files) SELECT 'move' AS action, path AS src, '/data/' || source || '_duplicates/' || split_part(first, '/', 4) || '_' || split_part(path, '/', 4) AS dst, 'duplicate' AS reason FROM f WHERE path > first",
+        "consolidation_plan": f"""WITH {FILES}, g AS (SELECT hash, list_sort(list(path)) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1),
+t AS (SELECT paths[1] AS src, '/data/' || folder || '/' || split_part(paths[1], '/', 4) AS dst FROM g),
+k AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 + (CASE WHEN dst IN (SELECT path FROM files) THEN 1 ELSE 0 END) AS n FROM t)
+SELECT 'copy' AS action, src, CASE WHEN n = 0 THEN dst ELSE replace(dst, '.png', '_' || n || '.png') END AS dst, 'consolidate' AS reason FROM k
+UNION ALL SELECT 'delete', unnest(paths), NULL, 'consolidated' FROM g""",
+        "free_names": "SELECT printf('%08d', p_partkey) AS src, '/out/' || p_brand || '_' || (CASE WHEN k = 0 THEN 1 ELSE k + 2 END) || '.png' AS dst FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)",
+        "clean_language": f"SELECT doc_id, {_clean_sql('lang')} AS code, {_clean_sql(phrase('doc_id'))} AS phrase_code FROM documents",
+        "sanitize_name": f"SELECT page_id, {_safe_sql('url')} AS name FROM pages",
+        "target_name": f"SELECT p_partkey, {_clean_sql(phrase('p_partkey'))} || '_' || (CASE WHEN p_size % 3 = 0 THEN 'null' ELSE 'e' END) || '_' || ({_safe_sql('p_name')}) || '_' || p_brand || '.png' AS name FROM part",
+        "parse_answers": f"""WITH r AS (SELECT event_id, {_list(ANSWERS)}[event_id % {len(ANSWERS)} + 1] AS raw FROM events),
+j AS (SELECT event_id, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN x::JSON END AS j FROM (SELECT event_id, {fence} AS x FROM r)),
+t AS (SELECT event_id, j, CASE WHEN json_type(j, '$.detectedTags') = 'ARRAY' THEN json_extract_string(j, '$.detectedTags[*]') END AS tags, json_extract_string(j, '$.textLanguageGuess') AS language FROM j WHERE j IS NOT NULL),
+n AS (SELECT event_id, j, language, list_transform(tags, lambda x: lower(trim(x))) AS low FROM t WHERE len(tags) > 0 AND len(list_filter(json_extract(j, '$.detectedTags[*]'), lambda x: json_type(x) = 'NULL')) = 0)
+SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(low) + 1), lambda i: list_position(low, low[i]) = i), lambda i: low[i]), ',') AS tags,
+coalesce(lower(json_extract_string(j, '$.hasText')) = 'true', false) AND coalesce(trim(language), '') <> '' AND NOT contains(lower(coalesce(language, '')), 'unknown') AS has_text,
+language, json_extract_string(j, '$.emoji') AS emoji, json_extract_string(j, '$.keyword') AS keyword FROM n""",
+        "category_match": f"WITH {matched} SELECT g AS group_id, array_to_string(categories, ',') AS categories FROM m",
+        "fan_out_counts": f"WITH {matched} SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM m) GROUP BY category",
+        "fan_out_plan": f"""WITH {matched}, p AS (SELECT printf('/in/set%d/%d.png', g % 7, g) AS src, 'ko_null_happy_greeting_' || g || '.png' AS name, g % 7 AS d, g, categories FROM m)
+SELECT 'copy' AS action, src, '/out/' || c || '/' || name AS dst, 'category' AS reason FROM (SELECT src, name, unnest(categories) AS c FROM p) WHERE c <> 'Engaged'
+UNION ALL SELECT 'move', src, '/in/set' || d || '_processed/' || g || '.png', 'processed' FROM p""",
+        "error_moves": "SELECT 'move' AS action, '/in/error/' || event_id || '.png' AS src, '/in/error_error/' || event_id || '.png' AS dst, 'error' AS reason FROM events WHERE event_type = 'error'",
+        "config_compounds": "SELECT r_name AS name, string_agg(n_name, ',' ORDER BY n_name) AS members, CAST(0 AS BIGINT) AS missing FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name",
+        "user_prompt": f"SELECT {_quoted(classify.build_prompt([]))} || string_agg('Tag: ' || r_name || chr(10) || 'Description: region ' || r_regionkey || chr(10) || chr(10), '' ORDER BY r_regionkey) AS prompt FROM region",
+        "hash_pairs": f"WITH {PAIRS} SELECT p1, p2, bits, score FROM pairs",
+        "clusters": f"WITH RECURSIVE {GROUPED} SELECT cluster_id, avg_score, array_to_string(paths, ',') AS paths FROM c",
+        "cluster_prune": f"WITH RECURSIVE {GROUPED} SELECT 'delete' AS action, src, CAST(NULL AS VARCHAR) AS dst, 'copy of ' || keep AS reason FROM (SELECT keep, unnest(paths) AS src FROM c JOIN full_ USING (cluster_id)) WHERE src <> keep",
+        "cluster_rank": f"WITH RECURSIVE {GROUPED} SELECT rank, printf('%05d', rank) AS group_id, cluster_id, avg_score, CAST(len(paths) AS BIGINT) AS n FROM ranked",
+        "group_renames": f"WITH RECURSIVE {GROUPED}, f AS (SELECT printf('%05d', rank) AS group_id, unnest(paths) AS path FROM ranked) SELECT group_id, path, '/vec/' || {_group_name_sql('group_id', 'split_part(path, chr(47), 3)')} AS new_path, false AS collides FROM f",
+        "name_shapes": f"""WITH s AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS shape, unnest(['00001_' || p_brand || '_' || (p_partkey + 10000) || '@2x.png', '00002_' || p_brand || '.png', p_brand || '__x.png', p_brand || '_' || (p_partkey + 10000) || '.png']) AS name FROM part)
+SELECT p_partkey, shape, {_group_name_sql("'00007'", 'name')} AS grouped, {_pack_name_sql('name')} AS packed, regexp_replace(name, '\\.png$', '') || '_DELETE-ME.png' AS marked FROM s""",
+        "throughput_rates": """WITH r AS (SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS n5, count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n60 FROM events)
+SELECT event_id, n5, n60, n5 / 5.0::DOUBLE AS per_minute_5, n60 / 60.0::DOUBLE AS per_minute_60, n60 AS per_hour FROM r""",
+        "result_counters": "SELECT count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS errors FROM events",
+        "eta": """WITH q AS (SELECT o_orderkey, o_orderkey % 101 AS queue, (o_custkey % 9) / 4.0::DOUBLE AS r FROM orders),
+s AS (SELECT o_orderkey, CASE WHEN queue = 0 THEN 0 WHEN r <= 0.01 THEN NULL ELSE CAST(trunc(queue / r * 60) AS BIGINT) END AS s FROM q)
+SELECT o_orderkey, s AS eta_seconds, CASE WHEN s IS NULL THEN 'unknown' WHEN s = 0 THEN 'done' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS eta FROM s""",
+        "token_estimates": f"""WITH t AS (SELECT doc_id, CAST(floor({utf16} / 4.0::DOUBLE * 1.2::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS tokens, CAST(4 * ceil(doc_id % 400 * 1000 / 3.0::DOUBLE) AS BIGINT) AS encoded FROM documents)
+SELECT doc_id, tokens, encoded, greatest(4000, least(65536, CAST(floor(tokens + encoded / 4.0::DOUBLE * 1.3::DOUBLE + 0.5::DOUBLE) AS BIGINT))) AS context FROM t""",
+        "encoded_names": "SELECT c_custkey, base64(encode(repeat(c_name, 8))) AS encoded, sha256(c_name) AS digest FROM customer",
+        "path_parts": f"WITH {FILES} SELECT path, split_part(path, '/', 4) AS name, source AS folder, '/data/' || source || '_processed' AS processed FROM files",
+        "log_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') AS file_stamp, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS line_stamp FROM events",
+        "retry_rounds": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 6 > 3 THEN 'exhausted' ELSE 'classified' END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE least(o_orderkey % 6 + 1, 4) END AS attempts FROM orders",
+        "session_summary": """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey AS k FROM orders)
+SELECT session_id, count(*) AS requests, count(*) FILTER (k % 13 <> 0) AS results, count(*) FILTER (k % 13 <> 0 AND k % 5 <> 0 AND k % 11 <> 0) AS classified, count(*) FILTER (k % 13 <> 0 AND k % 5 = 0) AS errors, count(*) FILTER (k % 13 <> 0 AND k % 5 <> 0 AND k % 11 = 0) AS exhausted,
+CASE WHEN count(*) FILTER (k % 13 = 0) = 0 THEN 'COMPLETED' ELSE 'CLASSIFYING' END AS state FROM r GROUP BY session_id""",
+        "streaming_throughput": "SELECT strftime(time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1",
+    }
