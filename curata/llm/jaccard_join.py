@@ -27,7 +27,7 @@ from curata.operators.components import connected_components
 GROUPS = 64
 #: Documents from which a shingle counts as common, and how many common shingles are sent to the tasks at most (8 bytes
 #: each). Both only change the order of shingles, and any order gives the same result.
-COMMON, MAX_COMMON = 50, 1 << 20
+COMMON, MAX_COMMON = 8, 1 << 20
 #: Points of one R-tree. A larger bucket is searched as pairs of blocks, each pair a task's group of its own.
 TREE_POINTS, LEAF = 1024, 16
 
@@ -63,6 +63,13 @@ class Sets:
         chosen = nth < keep[row]
         return row[chosen], value[chosen]
 
+    def once(self, ids: pa.Array) -> np.ndarray:
+        """The first row of each distinct set among the rows with an id: equal sets of a block are posted once."""
+        valid = np.flatnonzero(np.asarray(ids.is_valid()))
+        out = np.zeros(len(self.sid), bool)
+        out[valid[np.unique(self.sid[valid], return_index=True)[1]]] = True
+        return out
+
     def counts(self) -> np.ndarray:
         """Group counts of each row; uint16 at most, larger counts saturate and then bound as unlimited."""
         row = np.repeat(np.arange(len(self.size)), self.size)
@@ -205,13 +212,45 @@ def _verify(t: int):
 
 
 def _search(t: int):
-    """Rows (key, i, j, sid, n, comp, vec) sorted by key, i, j: pairs of each group's R-tree search."""
-
-    def group(rows):
-        sid, n, comp = rows["sid"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["comp"].to_numpy()
-        vec = np.stack([np.frombuffer(v, np.uint16) for v in rows["vec"].to_pylist()])
-        p, q = RTree(vec, n, comp).search(t)
-        return sid[p], sid[q]
+    """Rows (key, i, j, sid, n, comp, vec) sorted by key, i, j: pairs of sets of each group that its R-tree search finds."""
+
+    def leaves(first: np.ndarray, size: np.ndarray, sid, n, comp, vec) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of a leaf's size at most are single leaves: their points are compared together, a distance apart at a time."""
+        left, right = [], []
+        for gap in range(1, LEAF):
+            own = size > gap
+            if not own.any():
+                break
+            count = size[own] - gap
+            p = np.repeat(first[own] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            q = p + gap
+            ok = (comp[p] != comp[q]) & (100 * n[p] >= t * n[q]) & (100 * n[q] >= t * n[p])
+            left.append(p[ok])
+            right.append(q[ok])
+        if not left:
+            return sid[:0], sid[:0]
+        p, q = np.concatenate(left), np.concatenate(right)
+        a, b = np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
+        once = np.unique(mix(a.view(np.uint64)) + b.view(np.uint64), return_index=True)[1]  # a pair meets in many groups
+        p, q, a, b = p[once], q[once], a[once], b[once]
+        good = [np.zeros(0, bool)]
+        for s in range(0, len(p), 4096):
+            i, j = p[s : s + 4096], q[s : s + 4096]
+            good.append(enough(overlap_bound(vec[i], vec[j]), n[i], n[j], t))
+        ok = np.concatenate(good)
+        return a[ok], b[ok]
+
+    def groups(table: pa.Table, edges: np.ndarray):
+        sid, n, comp = (table[c].to_numpy() for c in ("sid", "n", "comp"))
+        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+        first, size = edges[:-1], np.diff(edges)
+        small = size <= LEAF
+        found = [leaves(first[small], size[small], sid, n, comp, vec)]
+        for a, m in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
+            own = slice(a, a + m)
+            p, q = RTree(vec[own], n[own], comp[own]).search(t)
+            found.append((sid[own][p], sid[own][q]))
+        return _rows(["a", "b"], [np.concatenate([f[k] for f in found]) for k in (0, 1)])
 
     def run(batches):
         held = None
@@ -222,21 +261,16 @@ def _search(t: int):
             if not len(keys[0]):
                 continue
             cut = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1
-            edges = [0, *cut.tolist()]
-            found = [group(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            held = table.slice(edges[-1])
-            if found:
-                yield _rows(["a", "b"], [np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])])
+            edges = np.r_[0, cut]
+            held = table.slice(int(edges[-1]))
+            if len(cut):
+                yield groups(table.slice(0, int(edges[-1])), edges)
         if held is not None and len(held):
-            yield _rows(["a", "b"], list(group(held)))
+            yield groups(held, np.array([0, len(held)]))
 
     return run
 
 
-def _schema(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
-
-
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 80, width: int = 5) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -258,8 +292,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def leading(batches):
         for batch in batches:
-            for _, _, data, offs in blocks(batch, "text"):
-                yield _rows(["key"], [signed(Sets(data, offs, width).prefix(t, np.zeros(0, np.uint64))[1])])
+            for a, b, data, offs in blocks(batch, "text"):
+                s = Sets(data, offs, width)
+                row, value = s.prefix(t, np.zeros(0, np.uint64))
+                yield _rows(["key"], [signed(value[s.once(batch.column(0)[a:b])[row]])])
 
     sets = work.table(slim.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, chk bigint"), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
@@ -268,7 +304,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clash = real.groupBy("sid").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x != y").limit(1).count()
     if clash:
         raise ValueError("two shingle sets share a 64-bit digest; change the seed of _SID")
-    often = slim.filter("doc_id is not null").mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
+    often = slim.mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
     top = often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy()
     common = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
     del often
@@ -279,9 +315,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for a, b, data, offs in blocks(batch, "text"):
                 s = Sets(data, offs, width)
                 row, value = s.prefix(t, common.value)
-                once = np.zeros(b - a, bool)
-                once[np.unique(s.sid, return_index=True)[1]] = True  # equal sets of a block are posted once
-                keep = once[row] & ~np.asarray(batch.column(0)[a:b].is_null())[row]
+                keep = s.once(batch.column(0)[a:b])[row]
                 row, value = row[keep], value[keep]
                 yield _rows(["key", "sid", "n"], [signed(value), signed(s.sid)[row], s.size[row]])
 
