@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curata.functions.images import content_hash, fixed_png, is_cgbi, phash
 from curata.operators import classify, dedup, similarity
+from curata.operators.sessions import SessionStore
 from curata.plans.scratch import Scratch
 from curata.sources.config import Config, resolve
 from curata.sources.connectors import Connector
@@ -68,3 +69,23 @@ def classify_images(spark: SparkSession, config: Config, unique: DataFrame, conn
     held = existing if existing is not None else spark.createDataFrame([], "path string")
     plan = classify.fan_out_plan(named, config.output_directory or config.work_directory, held, remove_original)
     return results, plan.unionByName(classify.error_plan(results))
+
+
+def run_session(spark: SparkSession, config: Config, connector: Connector, store: SessionStore, session_id: str, hidden: bool = False) -> DataFrame:
+    """A whole session: discovery, requests and results, with the session's state; returns the planned actions.
+
+    A failure sets FAILED and is raised again. The session is COMPLETED once every request has a result.
+    """
+    base, compound = resolve(config.table(spark))
+    store.create(session_id, config.work_directory, config.output_directory, base, compound)
+    try:
+        found = discover(spark, config.work_directory, hidden=hidden)
+        store.set_state(session_id, "CLASSIFYING")
+        store.add_requests(session_id, classify.image_requests(found.unique, "", session_id))
+        results, plan = classify_images(spark, config, found.unique, connector, session_id)
+        store.add_results(session_id, results)
+        store.set_state(session_id, "COMPLETED")
+    except Exception:
+        store.set_state(session_id, "FAILED")
+        raise
+    return found.actions.unionByName(plan)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +76,29 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if bad:
         raise ConfigError(f"{bad['name']} has unknown members {bad['missing']}")
     return base_categories(rows), compound.drop("missing")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Runtime settings with their defaults; values given as a mapping, such as Spark settings, override them."""
+
+    url: str = "http://localhost:11434"
+    vision_model: str = "vision"
+    text_model: str = "text"
+    connect_timeout: float = 30.0
+    read_timeout: float = 60.0
+    least_context: int = 4000
+    most_context: int = 65536
+    workers: int = 2
+    threads: int = 2
+    remove_original: bool = True
+    remove_duplicates: bool = True
+
+    @classmethod
+    def of(cls, values: dict[str, str], prefix: str = "curata.") -> Settings:
+        """From string values; names are those of the fields after the prefix. Unknown names are an error."""
+        known = {f.name: type(f.default) for f in fields(cls)}
+        given = {k.removeprefix(prefix): v for k, v in values.items() if k.startswith(prefix)}
+        if unknown := sorted(set(given) - set(known)):
+            raise ConfigError(f"unknown settings: {unknown}")
+        return cls(**{k: (str(v).lower() == "true") if known[k] is bool else known[k](v) for k, v in given.items()})

@@ -223,3 +223,22 @@ def test_repair_sink(spark, tmp_path):
     assert actions.write_repaired(rows, dry_run=False)[0][1] == "done"
     assert (tmp_path / "x/p.png").read_bytes() == b"new" and (tmp_path / "broken_imgs/p.png").read_bytes() == b"old"
     assert actions.write_repaired(rows, dry_run=False)[0][1].startswith("failed")
+
+
+def test_session(spark, tree, tmp_path_factory):
+    store = sessions.SessionStore(spark, str(tmp_path_factory.mktemp("store")))
+    conf = config.Config(str(tree), "/out", [{"name": "Ape", "compoundCategory": [], "priority": 0, "description": "a"}])
+    plan = pipelines.run_session(spark, conf, connectors.RuleConnector({"/ape/": "ape"}), store, "s")
+    assert store.session("s")["state"] == "COMPLETED"
+    assert plan.filter("action = 'copy' and dst like '/out/Ape/%'").count() == 1
+    bad = config.Config("/none/at/all", None, conf.rows)
+    with pytest.raises(FileNotFoundError):
+        pipelines.run_session(spark, bad, connectors.RuleConnector({}), store, "t")
+    assert store.session("t")["state"] == "FAILED"
+
+
+def test_settings():
+    s = config.Settings.of({"curata.workers": "5", "curata.remove_original": "false", "spark.x": "y"})
+    assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
+    with pytest.raises(config.ConfigError):
+        config.Settings.of({"curata.nope": "1"})
