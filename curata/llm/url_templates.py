@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.llm.scratch import Scratch
+
 #: Levels of the tree; segments beyond them are one wildcard. Least rows of a literal branch; weight of the prior in rows;
 #: z above which a branch differs from its siblings; purity below which a template is blocked.
 DEPTH, LEAST, PRIOR, Z, PURE = 4, 20, 10.0, 2.58, 0.5
@@ -59,13 +61,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str =
     Pages are counted per (host, generalised path) with partial aggregation before anything is joined, so a host of any
     size is a few rows. The one join back to the pages is an outer equi-join that adaptive execution splits where skewed.
     """
-    spark = pages.sparkSession
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), general_segment)
     keyed = base.withColumn("segs", F.when(F.size(segs) > DEPTH, F.concat(F.slice(segs, 1, DEPTH), F.array(F.lit("{**}")))).otherwise(segs)).withColumn("key", F.array_join("segs", "/"))
     marked = labels.groupBy("page_id").agg(F.avg(F.col(good).cast("double")).alias("share")).filter("page_id is not null and share is not null")
     counted = keyed.join(marked, "page_id", "left").groupBy("host", "key").agg(F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.count("share").alias("m"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("good"))
+    # each level is a small table of its own: without the cut every level would repeat the work of those before it twice
+    work = Scratch(pages.sparkSession, "templates")
+    counted = work.table(counted, "counted")
     tree = counted.withColumn("node", F.lit("")).withColumn("kept", F.lit(""))
     for level in range(1, DEPTH + 1):
         seg = F.coalesce(F.try_element_at("segs", F.lit(level)), F.lit("{end}"))
@@ -81,6 +85,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str =
         literal = (F.col("seg") == "{end}") | ((F.col("cn") >= LEAST) & differs)
         chosen = both.select("host", "node", "seg", F.when(literal, F.col("seg")).otherwise(F.lit("*")).alias("to"))
         tree = tree.join(chosen, ["host", "node", "seg"]).withColumn("node", F.when(F.col("to") == "{end}", F.col("node")).otherwise(F.concat("node", F.lit("/"), "to"))).drop("seg", "to")
+        tree = work.table(tree, f"level{level}")
     tree = tree.withColumn("template", F.when(F.size("segs") > DEPTH, F.concat("node", F.lit("/**"))).otherwise(F.col("node")))
     leaf = tree.groupBy("host", "template").agg(F.sum("m").alias("m"), F.sum("good").alias("good"))
     hosts = leaf.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("good").alias("hg"))
@@ -94,5 +99,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str =
     for verdict, text in rules:
         verdicts = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(verdicts)
     method = F.when(F.col("purity") < PURE, F.lit("block")).otherwise(F.lit("allow"))
-    assert spark is not None
     return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), verdicts).otherwise(method).alias("verdict"), "template", "purity")
