@@ -30,6 +30,7 @@ GROUPS = 64
 COMMON, MAX_COMMON = 8, 1 << 20
 #: Points of one R-tree. A larger bucket is searched as pairs of blocks, each pair a task's group of its own.
 TREE_POINTS, LEAF = 1024, 16
+MAX_CLASHES = 1000
 
 _SID = stream(31, 2)
 
@@ -37,7 +38,7 @@ _SID = stream(31, 2)
 class Sets:
     """Distinct shingles of each row of a block, sorted within the row, with an order-independent 128-bit digest."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, width: int):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, width: int, clashes: np.ndarray | None = None):
         raw, first = Words(data, offs).shingles(width)
         parts = [np.unique(raw[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         self.size = np.array([len(p) for p in parts], np.int64)
@@ -49,6 +50,8 @@ class Sets:
             np.cumsum(mix(self.value ^ seed), out=acc[1:])
             digest.append(mix(acc[self.first[1:]] - acc[self.first[:-1]] + self.size.astype(np.uint64)))
         self.sid, self.check = digest
+        if clashes is not None and len(clashes):  # ids that two sets share go by their other half
+            self.sid = np.where(np.isin(self.sid, clashes), self.check, self.sid)
 
     def prefix(self, t: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, shingle) of each row's first n - ceil(t n / 100) + 1 shingles, common ones ordered last."""
@@ -290,20 +293,27 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s = Sets(data, offs, width)
                 yield _rows(["doc_id", "n", "sid", "chk"], [batch.column(0)[a:b], s.size, signed(s.sid), signed(s.check)])
 
+    sets = work.table(slim.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, chk bigint"), "sets")
+    real = sets.filter("n > 0 and doc_id is not null")
+    # Half a digest names a set. Halves that two sets share (about 20 among 3 * 10**10 sets) are replaced by the other half.
+    shared_ids = [r.sid for r in real.groupBy("sid").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x != y").limit(MAX_CLASHES + 1).select("sid").collect()]
+    if len(shared_ids) > MAX_CLASHES:
+        raise ValueError("the digests of too many sets clash; change the seed of _SID")
+    clashes = np.array(shared_ids, np.int64).view(np.uint64)
+    if shared_ids:
+        sets = sets.withColumn("sid", F.when(F.col("sid").isin(shared_ids), F.col("chk")).otherwise(F.col("sid")))
+        real = sets.filter("n > 0 and doc_id is not null")
+
+    def sets_of(data: np.ndarray, offs: np.ndarray) -> Sets:
+        return Sets(data, offs, width, clashes)
+
     def leading(batches):
         for batch in batches:
             for a, b, data, offs in blocks(batch, "text"):
-                s = Sets(data, offs, width)
+                s = sets_of(data, offs)
                 row, value = s.prefix(t, np.zeros(0, np.uint64))
                 yield _rows(["key"], [signed(value[s.once(batch.column(0)[a:b])[row]])])
 
-    sets = work.table(slim.mapInArrow(describe, "doc_id bigint, n bigint, sid bigint, chk bigint"), "sets")
-    real = sets.filter("n > 0 and doc_id is not null")
-    # Two sets with one 64-bit digest: so rare that none is expected below 10**9 sets. They would be told apart by the
-    # second digest, so the run stops rather than merge them.
-    clash = real.groupBy("sid").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x != y").limit(1).count()
-    if clash:
-        raise ValueError("two shingle sets share a 64-bit digest; change the seed of _SID")
     often = slim.mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
     top = often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy()
     common = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
@@ -313,7 +323,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def post(batches):
         for batch in batches:
             for a, b, data, offs in blocks(batch, "text"):
-                s = Sets(data, offs, width)
+                s = sets_of(data, offs)
                 row, value = s.prefix(t, common.value)
                 keep = s.once(batch.column(0)[a:b])[row]
                 row, value = row[keep], value[keep]
@@ -335,7 +345,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids = batch.column(0)
                 own = batch.filter(pa.array(near.value.has(ids.fill_null(0).to_numpy()) & np.asarray(ids.is_valid())))
                 for a, b, data, offs in blocks(own, "text"):
-                    s = Sets(data, offs, width)
+                    s = sets_of(data, offs)
                     what = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((s.first * 8).astype(np.int32).tobytes()), pa.py_buffer(s.value.tobytes())]) if members else _fixed(s.counts())
                     yield _rows(["rep", "sid", "n", name], [own.column(0)[a:b], signed(s.sid), s.size, what])
 
