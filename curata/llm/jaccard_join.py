@@ -314,10 +314,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 row, value = s.prefix(t, np.zeros(0, np.uint64))
                 yield _rows(["key"], [signed(value[s.once(batch.column(0)[a:b])[row]])])
 
-    often = slim.mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON)
-    top = often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy()
+    often = work.table(slim.mapInArrow(leading, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON), "often")
+    # the least count at which the common shingles are within their bound
+    least, total = COMMON, 0
+    for r in often.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("c")).collect():
+        total += r.m
+        if total > MAX_COMMON:
+            least = r.c + 1
+            break
+    top = often.filter(F.col("count") >= least).select("key").toPandas()["key"].to_numpy()
     common = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
-    del often
     work.release()
 
     def post(batches):

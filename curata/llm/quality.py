@@ -207,6 +207,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     kind = slim.schema["doc_id"].dataType.simpleString()
     stats = work.table(slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, " + ", ".join(f"{s} double" for s in STATS)), "stats")
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    train = stats.filter(~F.col("held_out")).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "log_bytes").limit(MAX_TRAIN).select("label", *STATS).toPandas()
+    known = stats.filter(~F.col("held_out")).join(marked, "doc_id").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    # a cut of the hash range leaves little more than the bound, so what partitions send doesn't grow with their number
+    share = 1.2 * MAX_TRAIN / max(1, known.count())
+    train = known.filter(F.col("at") < int(min(1.0, share) * (1 << 30))).orderBy("at", "doc_id", "log_bytes").limit(MAX_TRAIN).select("label", *STATS).toPandas()
     model = fit(train[STATS].to_numpy(np.float64), (train["label"].to_numpy() > 0).astype(np.float64))
     return stats.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "held_out", "score", "predicted", *STATS)
