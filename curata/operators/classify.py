@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.text import file_name, parent_path, strip_controls, strip_fences, target_name
+from curata.functions.text import base64_length, context_size, file_name, parent_path, strip_controls, strip_fences, target_name, token_estimate
 from curata.plans.scratch import Scratch
 from curata.sources.connectors import ERROR, OK, RETRY, Connector
 
@@ -34,8 +34,14 @@ def build_prompt(categories: list[tuple[str, str]]) -> str:
 
 
 def image_requests(unique: DataFrame, prompt: str, session_id: str, json_format: str | None = None) -> DataFrame:
-    """One request per unique file; the prompt is built once."""
-    return unique.select(F.lit(session_id).alias("session_id"), F.lit("image").alias("kind"), F.col("path").alias("image_path"), F.lit(prompt).alias("prompt"), F.lit(IMAGE_TASK).alias("prompt_type"), F.lit(json_format).cast("string").alias("json_format"))
+    """One request per unique file; the prompt is built once. Where files have a size, context_size is what the model needs."""
+    need = [context_size(token_estimate(F.lit(SYSTEM_PROMPT), F.lit(prompt)), base64_length(F.col("size"))).alias("context_size")] if "size" in unique.columns else []
+    return unique.select(F.lit(session_id).alias("session_id"), F.lit("image").alias("kind"), F.col("path").alias("image_path"), F.lit(prompt).alias("prompt"), F.lit(IMAGE_TASK).alias("prompt_type"), F.lit(json_format).cast("string").alias("json_format"), *need)
+
+
+def with_contents(requests: DataFrame, images: DataFrame) -> DataFrame:
+    """The requests with the bytes of their images, for connectors that send them."""
+    return requests.join(images.select(F.col("path").alias("image_path"), "content"), "image_path", "left").select(*requests.columns, "content")
 
 
 def parse_answer(raw: Column) -> Column:

@@ -132,3 +132,8 @@ def group_rename_plan(ranked: DataFrame, occupied: DataFrame) -> DataFrame:
 def groups_of(plan: DataFrame) -> DataFrame:
     """(group_id, paths) after the renames."""
     return plan.groupBy("group_id").agg(F.array_sort(F.collect_list("new_path")).alias("paths"))
+
+
+def cluster_summary(ranked: DataFrame) -> DataFrame:
+    """(clusters, files, largest)."""
+    return ranked.agg(F.count(F.lit(1)).alias("clusters"), F.sum(F.size("paths")).alias("files"), F.max(F.size("paths")).alias("largest"))

@@ -54,16 +54,23 @@ def cluster_and_rank(spark: SparkSession, root: str, config: similarity.ClusterC
 
 
 def consolidate(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
-    """Planned copies and deletes that merge byte-identical images of a tree."""
+    """Planned copies and deletes that merge byte-identical images of a folder's tree."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        raise NotADirectoryError(root)
     files = hashed(scan_images(spark, root, IMAGE_SUFFIXES, hidden))
     return dedup.consolidation_plan(files, root, files.select("path"))
 
 
-def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Requests for unique files, their results, and the planned copies, moves and quarantines."""
+def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests for unique files, their results, and the planned copies, moves and quarantines.
+
+    images (path, content) is needed by connectors that send the bytes.
+    """
     base, compound = resolve(config.table(spark))
     prompt = classify.build_prompt([(r["name"], r["description"]) for r in config.rows if not r["compoundCategory"]])
-    results = classify.run_requests(classify.image_requests(unique, prompt, session_id), connector)
+    requests = classify.image_requests(unique, prompt, session_id)
+    results = classify.run_requests(requests if images is None else classify.with_contents(requests, images), connector)
     good = results.filter("status = 'classified'").select("image_path", "answer.*")
     named = good.join(classify.match_categories(good, base, compound), "image_path")
     held = existing if existing is not None else spark.createDataFrame([], "path string")

@@ -242,3 +242,24 @@ def test_settings():
     assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
     with pytest.raises(config.ConfigError):
         config.Settings.of({"curata.nope": "1"})
+
+
+def test_contents_and_contexts_reach_the_connector(spark, tree):
+    class Sends:
+        def process(self, request):
+            tag = f"{len(request['content'])}-{request['context_size']}"
+            return "ok", '{"detectedTags": ["%s"], "hasText": false}' % tag
+
+    found = pipelines.discover(spark, str(tree))
+    conf = config.Config(str(tree), "/out", [{"name": "Ape", "compoundCategory": [], "priority": 0, "description": "a"}])
+    results, _ = pipelines.classify_images(spark, conf, found.unique, Sends(), "s", images=files.scan_images(spark, str(tree)))
+    sizes = {os.path.getsize(r.image_path): r.answer.tags[0] for r in results.collect()}
+    assert all(tag == f"{size}-4000" for size, tag in sizes.items())
+
+
+def test_empty_folders_and_wrong_roots(spark, tmp_path):
+    ranked, _, renames = pipelines.cluster_and_rank(spark, str(tmp_path))
+    assert renames.count() == 0 and similarity.cluster_summary(ranked).first().clusters == 0
+    (tmp_path / "a.png").write_bytes(grey(2))
+    with pytest.raises(NotADirectoryError):
+        pipelines.consolidate(spark, str(tmp_path / "a.png"))
