@@ -1,9 +1,10 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling.
 
-Pieces never run across the start of a word, so the lattice of a text is a chain of the lattices of its words. The forward
-sums of a word's lattice are computed once for each distinct word; then the last pieces of all words of a block are drawn
-at once, and the pieces before them, until every word is back at its start. Draws are a counter-based function of the seed,
-the row's key, the word's place and the step, so a row's segmentation doesn't depend on partitions or batches.
+Pieces never run across the start of a word, so the lattice of a text is a chain of the lattices of its words. The lattices
+of the distinct words of a block are built and filtered forward together, one character's depth at a time; then the last
+pieces of all words are drawn at once, and the pieces before them, until every word is back at its start. Draws are a
+counter-based function of the seed, the row's key, the word's place and the step, so a row's segmentation doesn't depend on
+partitions or batches.
 
 Spaces become the meta symbol, and characters without a piece (the meta symbol itself included) are spelt in byte pieces,
 so decoding gives the text back byte by byte.
@@ -16,52 +17,40 @@ import re
 import zlib
 from functools import lru_cache
 from itertools import chain
-from math import exp, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import column, mix
+from curata.llm.kernels import _power_tables, column, mix
 
 META = "▁"
 #: Stands for a meta symbol of the text itself while words are cut; a lone surrogate, which no valid text has.
 _LITERAL = "\udc00"
 _WORD = re.compile(f"{META}*[^{META}]+|{META}+")
-#: Words of this many characters or more have no place in the memo; entries of the memo before it is emptied.
-LONG, MEMO = 64, 300_000
-
-
-class Lattice:
-    """Forward-filtered lattice of one word: for each end, the pieces that may come last, as cumulative probabilities."""
-
-    __slots__ = ("cdf", "piece", "source", "first")
-
-    def __init__(self, word: str, model: PieceModel, alpha: float):
-        n, longest, weights = len(word), model.longest, model.weights
-        total = [0.0] + [-1e300] * n
-        self.cdf, self.piece, self.source, self.first = [], [], [], [0, 0]
-        for end in range(1, n + 1):
-            found = []
-            for start in range(max(0, end - longest), end):
-                known = weights.get(word[start:end])
-                if known and total[start] > -1e299:
-                    found.append((total[start] + alpha * known[1], known[0], start))
-            if word[end - 1] not in weights and total[end - 1] > -1e299:
-                found.append((total[end - 1] + alpha * model.spelt, -1 - ord(word[end - 1]), end - 1))
-            top = max(x[0] for x in found)
-            mass = [exp(x[0] - top) for x in found]
-            whole = sum(mass)
-            total[end] = top + log(whole)
-            acc = 0.0
-            for m, (_, piece, start) in zip(mass, found, strict=True):
-                acc += m / whole
-                self.cdf.append(acc)
-                self.piece.append(piece)
-                self.source.append(start)
-            self.cdf[-1] = 1.0
-            self.first.append(len(self.cdf))
+#: A word of more characters is cut into stretches of so many, and no piece runs across a cut. Words drawn at a time.
+LONG, RUN = 256, 300_000
+_CUT = re.compile(f".{{1,{LONG}}}", re.DOTALL)
+_FILTER_BITS = 21
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Spans:
+    """Hashes of all stretches of a text's characters in constant time each."""
+
+    def __init__(self, points: np.ndarray):
+        n = len(points)
+        up, self.down = _power_tables(n + 1)
+        self.acc = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64)) * up[:n], out=self.acc[1:])
+
+    def hash(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return mix((self.acc[start + length] - self.acc[start]) * self.down[start] + np.asarray(length).astype(np.uint64))
 
 
 class PieceModel:
@@ -90,51 +79,98 @@ class PieceModel:
             self.pieces[i] = bytes([b])
         self.longest = max(map(len, self.weights))
         self.spelt = min(w for _, w in self.weights.values()) - 1.0
-        self.memo: dict[tuple[str, float], Lattice] = {}
-
-    def lattice(self, word: str, alpha: float) -> Lattice:
-        found = self.memo.get((word, alpha))
-        if found is None:
-            found = Lattice(word, self, alpha)
-            if len(word) < LONG:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word, alpha] = found
-        return found
+        names = list(self.weights)
+        size = np.array([len(x) for x in names])
+        hashed = Spans(_points("".join(names))).hash(np.cumsum(size) - size, size)
+        order = np.argsort(hashed)
+        self.hashes = hashed[order]
+        self.ids = np.array([self.weights[x][0] for x in names])[order]
+        self.logs = np.array([self.weights[x][1] for x in names])[order]
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        self.maybe[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    def edges(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, last character, piece, log weight) of all pieces in the words that start at first; first ends with the length."""
+        left = np.repeat(first[1:], np.diff(first)) - np.arange(len(points))
+        spans, found = Spans(points), []
+        for length in range(1, self.longest + 1):
+            start = np.flatnonzero(left >= length)
+            h = spans.hash(start, length)
+            some = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[some]
+            start, at = start[some[hit]], at[hit]
+            found.append((start, start + length - 1, self.ids[at], self.logs[at]))
+            if length == 1:
+                alone = np.ones(len(points), bool)
+                alone[start] = False
+                spelt = np.flatnonzero(alone)
+                found.append((spelt, spelt, -1 - points[spelt].astype(np.int64), np.full(len(spelt), self.spelt)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def draw(self, words: list[str], seeds: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, word) of each word's drawn pieces, in order; seeds are one uint64 per word."""
+        index: dict[str, int] = {}
+        occ = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+        points = _points("".join(index))
+        size = np.array([len(w) for w in index], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        depth = np.arange(len(points)) - np.repeat(first[:-1], size)
+        start, last, piece, logs = self.edges(points, first)
+        by_depth = np.argsort(depth, kind="stable")
+        place = np.empty(len(points), np.int64)
+        place[by_depth] = np.arange(len(points))
+        order = np.argsort(place[last], kind="stable")
+        start, last, piece, logs = start[order], last[order], piece[order], alpha * logs[order]
+        heads = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])  # every character ends a piece at least
+        node, count, rank = by_depth, np.diff(np.r_[heads, len(last)]), place
+        at_start = depth[start] == 0
+        cuts = np.searchsorted(depth[node], np.arange(int(size.max()) + 1))
+        total, cdf = np.zeros(len(points)), np.zeros(len(last))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            e = slice(heads[a], heads[b] if b < len(heads) else len(last))
+            head = heads[a:b] - heads[a]
+            mass = np.where(at_start[e], 0.0, total[start[e] - 1]) + logs[e]
+            top = np.maximum.reduceat(mass, head)
+            mass = np.exp(mass - np.repeat(top, count[a:b]))
+            whole = np.add.reduceat(mass, head)
+            total[node[a:b]] = top + np.log(whole)
+            acc = np.cumsum(mass / np.repeat(whole, count[a:b]))
+            before = np.r_[0.0, acc[head[1:] - 1]]
+            cdf[e] = np.repeat(np.arange(a, b), count[a:b]) + np.minimum(acc - np.repeat(before, count[a:b]), 1.0)
+            cdf[e.start + np.r_[head[1:], e.stop - e.start] - 1] = np.arange(a + 1, b + 1)
+        active, at, step = np.arange(len(occ)), first[occ + 1] - 1, 0
+        drawn, who = [], []
+        while len(active):
+            u = (mix(seeds[active] + np.uint64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = np.searchsorted(cdf, rank[at] + u, side="right")
+            edge = np.minimum(edge, heads[rank[at]] + count[rank[at]] - 1)
+            drawn.append(piece[edge])
+            who.append(active)
+            going = ~at_start[edge]
+            active, at, step = active[going], start[edge[going]] - 1, step + 1
+        steps = np.zeros(len(occ), np.int64)
+        for w in who:
+            steps[w] += 1
+        ends = np.cumsum(steps)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        for k, (d, w) in enumerate(zip(drawn, who, strict=True)):  # the k-th draw is the k-th piece from a word's end
+            out[ends[w] - 1 - k] = d
+        return out, np.repeat(np.arange(len(occ)), steps)
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int, alpha: float) -> list[np.ndarray]:
         """Piece ids of each text; keys are one uint64 per text."""
         words = [_WORD.findall(META + t.replace(META, _LITERAL).replace(" ", META)) for t in texts]
-        index: dict[str, int] = {}
-        occ = np.array([index.setdefault(w, len(index)) for w in chain.from_iterable(words)], np.int64)
+        words = [own if max(map(len, own)) <= LONG else [x for w in own for x in _CUT.findall(w)] for own in words]
         count = np.array([len(w) for w in words], np.int64)
-        lattices = [self.lattice(w, alpha) for w in index]
-        size = np.array([len(x.first) - 1 for x in lattices])  # nodes 0..length; node 0 has no piece
-        base = np.concatenate([[0], np.cumsum(size)])
-        node_of = np.repeat(np.arange(base[-1]), np.concatenate([np.diff(x.first) for x in lattices]))
-        cdf = np.fromiter(chain.from_iterable(x.cdf for x in lattices), np.float64) + node_of
-        piece = np.fromiter(chain.from_iterable(x.piece for x in lattices), np.int64)
-        source = np.fromiter(chain.from_iterable(x.source for x in lattices), np.int64)
         text_of = np.repeat(np.arange(len(texts)), count)
-        nth = np.arange(len(occ)) - np.repeat(np.cumsum(count) - count, count)
+        nth = np.arange(len(text_of)) - np.repeat(np.cumsum(count) - count, count)
         row_seed = mix(keys ^ mix(np.array([seed], np.int64).view(np.uint64)))
-        word_seed = mix(row_seed[text_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        active, at, step = np.arange(len(occ)), size[occ] - 1, 0
-        drawn, who, when = [], [], []
-        while len(active):
-            node = base[occ[active]] + at
-            u = (mix(word_seed[active] + np.uint64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(cdf, node + u, side="right")
-            edge = np.minimum(edge, np.searchsorted(node_of, node, side="right") - 1)
-            drawn.append(piece[edge])
-            who.append(active)
-            when.append(np.full(len(active), -step))
-            at = source[edge]
-            going = at > 0
-            active, at, step = active[going], at[going], step + 1
-        drawn, who, when = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (drawn, who, when))
-        order = np.lexsort((when, who))
-        ids, owner = drawn[order], text_of[who[order]]
+        seeds = mix(row_seed[text_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        flat = list(chain.from_iterable(words))
+        runs = [(a, *self.draw(flat[a : a + RUN], seeds[a : a + RUN], alpha)) for a in range(0, len(flat), RUN)]
+        ids = np.concatenate([r[1] for r in runs]) if runs else np.zeros(0, np.int64)
+        owner = np.concatenate([text_of[r[0] + r[2]] for r in runs]) if runs else np.zeros(0, np.int64)
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         out = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -159,7 +195,7 @@ def _keys(ids: pa.Array) -> np.ndarray:
     return mix(ids.cast(pa.int64()).fill_null(-1).to_numpy().view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def _chunks(batch: pa.RecordBatch, limit: int = 1 << 20):
+def _chunks(batch: pa.RecordBatch, limit: int = 2 << 20):
     """Runs of rows with about limit characters at most, or one longer row."""
     texts = column(batch, "text").to_pylist()
     a = 0
