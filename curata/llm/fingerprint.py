@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import _BASE_INV, Words, _power_tables, buffers, column, mix, stream
+from curata.llm.kernels import Words, _power_tables, buffers, column, mix, stream
 
 WIDE, NEAR, GRAM = 32, 256, 3
 #: Ranges of ids whose texts are brought together to find each text's successor; a bound on what the driver holds.

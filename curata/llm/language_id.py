@@ -37,10 +37,6 @@ class Model:
     bits: np.ndarray
 
 
-def is_letter(cp: int) -> bool:
-    return chr(cp).isalpha()
-
-
 def letter_classes() -> np.ndarray:
     """For each code point: 0 no letter, 1 letter."""
     out = np.zeros(0x110000, np.uint8)
