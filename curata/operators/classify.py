@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -146,8 +145,3 @@ def moves(rows: DataFrame, suffix: str, reason: str) -> DataFrame:
 
 def error_plan(results: DataFrame) -> DataFrame:
     return moves(results.filter("status = 'error'"), "_error", "error")
-
-
-def rule_words(categories: list[str]) -> str:
-    """A word table for RuleConnector as JSON: each category's lower-cased name stands for itself."""
-    return json.dumps({c.lower(): c.lower() for c in categories})

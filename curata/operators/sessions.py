@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +75,3 @@ def append_prompt_log(results: DataFrame, root: str) -> None:
     """Appends prompts and answers as JSON lines, in a folder for each session and prompt type."""
     rows = results.select("session_id", "prompt_type", "image_path", "attempts", "status", "prompt", "raw", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSS").alias("logged_at"))
     rows.write.mode("append").partitionBy("session_id", "prompt_type").json(root)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
