@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
 
 from curata.llm import exact_dedup, jaccard_join, substring_dedup
