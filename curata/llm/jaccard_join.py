@@ -10,7 +10,9 @@ principle two sets with a Jaccard similarity of at least t share a shingle among
 any global order. Shingles of many documents are ordered last, so popular passages don't fill buckets.
 
 Components need no link between documents that are connected already. So each set is first verified against one hub of
-its buckets; only buckets that still hold several components are then searched, completely, by their R-trees.
+its buckets, a set that shares most of its own prefix and so is likely the original of a family. Then buckets that still
+hold several components are searched by their R-trees, first for the best partner of each set, and again, with what is
+still apart, completely.
 """
 
 from __future__ import annotations
@@ -214,8 +216,28 @@ def _verify(t: int):
     return run
 
 
-def _search(t: int):
-    """Rows (key, i, j, sid, n, comp, vec) sorted by key, i, j: pairs of sets of each group that its R-tree search finds."""
+def _best(p: np.ndarray, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which of the pairs (p, q) are the best of one of their sides."""
+    keep = np.zeros(len(p), bool)
+    for side in (p, q):
+        order = np.lexsort((-score, side))
+        if len(order):
+            keep[order[np.r_[True, side[order][1:] != side[order][:-1]]]] = True
+    return keep
+
+
+def _search(t: int, best: bool):
+    """Rows (key, i, j, sid, n, comp, vec) sorted by key, i, j: pairs of sets of each group that its R-tree search finds.
+
+    With best only the pair with the highest bound for its sizes is kept for each set of a group.
+    """
+
+    def chosen(p, q, n, vec):
+        if not best or not len(p):
+            return p, q
+        score = np.concatenate([np.minimum(overlap_bound(vec[p[s : s + 4096]], vec[q[s : s + 4096]]), 1 << 40) for s in range(0, len(p), 4096)]) / (n[p] + n[q])
+        keep = _best(p, q, score)
+        return p[keep], q[keep]
 
     def leaves(first: np.ndarray, size: np.ndarray, sid, n, comp, vec) -> tuple[np.ndarray, np.ndarray]:
         """Groups of a leaf's size at most are single leaves: their points are compared together, a distance apart at a time."""
@@ -241,7 +263,8 @@ def _search(t: int):
             i, j = p[s : s + 4096], q[s : s + 4096]
             good.append(enough(overlap_bound(vec[i], vec[j]), n[i], n[j], t))
         ok = np.concatenate(good)
-        return a[ok], b[ok]
+        p, q = chosen(p[ok], q[ok], n, vec)
+        return sid[p], sid[q]
 
     def groups(table: pa.Table, edges: np.ndarray):
         sid, n, comp = (table[c].to_numpy() for c in ("sid", "n", "comp"))
@@ -251,7 +274,7 @@ def _search(t: int):
         found = [leaves(first[small], size[small], sid, n, comp, vec)]
         for a, m in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
             own = slice(a, a + m)
-            p, q = RTree(vec[own], n[own], comp[own]).search(t)
+            p, q = chosen(*RTree(vec[own], n[own], comp[own]).search(t), n[own], vec[own])
             found.append((sid[own][p], sid[own][q]))
         return _rows(["a", "b"], [np.concatenate([f[k] for f in found]) for k in (0, 1)])
 
@@ -377,21 +400,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         work.release()
         return found
 
-    # One hub for each set: of its buckets' first sets, the one it shares most buckets with.
-    sized = shared.filter((F.col("sid") != F.col("hub")) & (100 * F.col("n") >= t * F.col("hub_n")) & (100 * F.col("hub_n") >= t * F.col("n")))
-    votes = sized.groupBy("sid", "hub").count().groupBy("sid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    linked = verified(votes.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "linked")
-    part = work.table(connected_components(linked), "part")
-    labelled = shared.select("key", "sid", "n").join(part.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("comp"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", F.ceil(F.col("m") / TREE_POINTS).cast("int").alias("parts"))
-    rest = labelled.join(open_keys, "key").join(points.select("sid", "vec"), "sid")
-    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "comp", "vec")
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(t), "a bigint, b bigint")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(pairs, "more")
-    whole = connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    # A set's share of prefix shingles that other sets have too: highest for the original of a family of edited copies.
+    # Of the hubs of its buckets each set takes the one it shares most buckets with.
+    central = shared.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
+    ranked = work.table(shared.select("key", "sid", "n").join(central, "sid"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("central", "sid", "n")).alias("h")).select("key", F.col("h.sid").alias("hub"), F.col("h.n").alias("hub_n"))
+    near = ranked.join(hubs, "key").filter((F.col("sid") != F.col("hub")) & (100 * F.col("n") >= t * F.col("hub_n")) & (100 * F.col("hub_n") >= t * F.col("n")))
+    votes = near.groupBy("sid", "hub").count().groupBy("sid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    links = verified(votes.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "linked")
+    whole = work.table(connected_components(links), "part")
+    for name, best in (("best", True), ("rest", False)):
+        labelled = shared.select("key", "sid", "n").join(whole.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("comp"))
+        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("key", F.ceil(F.col("m") / TREE_POINTS).cast("int").alias("parts"))
+        apart = labelled.join(open_keys, "key").join(points.select("sid", "vec"), "sid")
+        own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+        dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "comp", "vec")
+        pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(t, best), "a bigint, b bigint")
+        more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        whole = work.table(connected_components(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), f"{name}_part")
     roots = reps.join(whole.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     class_of = roots.join(least, "root").select("sid", "component_id")
