@@ -86,8 +86,11 @@ class PieceModel:
         self.hashes = hashed[order]
         self.ids = np.array([self.weights[x][0] for x in names])[order]
         self.logs = np.array([self.weights[x][1] for x in names])[order]
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        # the leading bits of a hash say where its run begins; runs are of one piece nearly always
+        slot = (self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        self.run = np.full(1 << _FILTER_BITS, -1, np.int32)
+        self.run[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.longest_run = int(np.bincount(slot).max())
 
     def edges(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, last character, piece, log weight) of all pieces in the words that start at first; first ends with the length."""
@@ -96,10 +99,15 @@ class PieceModel:
         for length in range(1, self.longest + 1):
             start = np.flatnonzero(left >= length)
             h = spans.hash(start, length)
-            some = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-            hit = self.hashes[at] == h[some]
-            start, at = start[some[hit]], at[hit]
+            run = self.run[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+            some = np.flatnonzero(run >= 0)
+            run, h, start = run[some], h[some], start[some]
+            hits = []
+            for k in range(self.longest_run):
+                at = np.minimum(run + k, len(self.hashes) - 1)
+                hit = np.flatnonzero(self.hashes[at] == h)
+                hits.append((start[hit], at[hit]))
+            start, at = (np.concatenate(x) for x in zip(*hits, strict=True))
             found.append((start, start + length - 1, self.ids[at], self.logs[at]))
             if length == 1:
                 alone = np.ones(len(points), bool)
