@@ -408,6 +408,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = ranked.join(hubs, "key").filter((F.col("sid") != F.col("hub")) & (100 * F.col("n") >= t * F.col("hub_n")) & (100 * F.col("hub_n") >= t * F.col("n")))
     votes = near.groupBy("sid", "hub").count().groupBy("sid").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     links = verified(votes.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "linked")
+    work.drop("ranked")
     whole = work.table(connected_components(links), "part")
     for name, best in (("best", True), ("rest", False)):
         labelled = shared.select("key", "sid", "n").join(whole.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("comp"))
