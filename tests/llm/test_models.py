@@ -80,7 +80,7 @@ def test_text_stats():
     offs = np.cumsum([0, *map(len, texts)])
     got = {s: quality.text_stats(np.frombuffer(data, np.uint8), offs)[:, k] for k, s in enumerate(quality.STATS)}
     assert got["upper_share"][0] == 6 / 18 and got["shout_share"][0] == 1 / 18
-    assert got["distinct_words"].tolist() == [1.0, 0.0, 3 / 5, 1.0] and got["distinct_lines"][2] == 2 / 3
+    assert got["distinct_words"].tolist() == [2 / 3, 0.0, 3 / 5, 1.0] and got["distinct_lines"][2] == 2 / 3
     assert got["word_bytes"][3] == 5000 and np.isfinite(np.stack(list(got.values()))).all()
 
 
