@@ -9,7 +9,8 @@ Windows of two texts whose centres have one shingle, and whose context on one si
 passage that both may hold. A repeated passage is found by each of the hashes: its minimum is the same in both texts, and
 the longer side of the minimum lies within the passage. Windows of one key are linked with the first of them, first within
 a block of documents and then across blocks, so a passage of any number of documents costs a link for each. Links of one
-pair of texts on one diagonal are joined to an interval, and the intervals are verified on the aligned shingles.
+pair of texts name the diagonals on which runs of equal shingles are looked for; runs are chained across diagonals, so
+that inserted and deleted words don't end a passage, and the chains are verified by their similarity.
 """
 
 from __future__ import annotations
@@ -169,40 +170,78 @@ def _stars(batches):
         yield _rows(["kind", "doc", "hub", "diag", "lo", "hi", "hub_lo", "hub_hi"], [kind, d, hub, c - c0, c - (w >> 10 & 1023), c + (w & 1023), c0 - (hub_w >> 10 & 1023), c0 + (hub_w & 1023)])
 
 
-def aligned_passages(x: np.ndarray, y: np.ndarray, length: int, t: int) -> list[tuple[int, int, float]]:
-    """Stretches (start, end, similarity) of two aligned shingle rows, of length or more and of a Jaccard similarity of t percent.
+def _runs(x: np.ndarray, y: np.ndarray, diags: list[int]) -> list[tuple[int, int, int]]:
+    """Stretches (start, end, diagonal) in which x[i] == y[i - diagonal], as long as they are, by start."""
+    out = []
+    for d in diags:
+        a, b = max(0, d), min(len(x), len(y) + d)
+        if a < b:
+            edge = np.flatnonzero(np.diff(np.r_[False, x[a:b] == y[a - d : b - d], False]))
+            out += [(a + s, a + e, d) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return sorted(out)
 
-    In aligned rows m equal places and u unequal ones make m shingles in common of m + 2u.
+
+def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that x holds once, and their places."""
+    value, at, count = np.unique(x, return_index=True, return_counts=True)
+    return value[count == 1], at[count == 1]
+
+
+def aligned_passages(x: np.ndarray, y: np.ndarray, diags: list[int], length: int, t: int) -> list[tuple[int, int, int, float]]:
+    """Stretches (start, end, start in y, similarity) of x, of length or more, that y holds to a Jaccard similarity of t percent.
+
+    Runs of equal shingles on the given diagonals, and on those of shingles that both hold once, are chained in the order
+    of both texts, so that words may be replaced, inserted and deleted: m shingles in common and u places left out on
+    either side are m of m + u. A run joins the chain that keeps most of (100 - t) m - t u, which must not get below 0.
     """
-    same = np.r_[False, x == y, False]
-    edge = np.flatnonzero(same[1:] != same[:-1])
-    out, now = [], None
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if now and t * (now[2] + e - s + 2 * (now[3] + s - now[1])) <= 100 * (now[2] + e - s):
-            now = (now[0], e, now[2] + e - s, now[3] + s - now[1])
-        else:
-            if now and now[1] - now[0] >= length:
-                out.append(now)
-            now = (s, e, e - s, 0)
-    if now and now[1] - now[0] >= length:
-        out.append(now)
-    return [(s, e, m / (m + 2 * u)) for s, e, m, u in out]
+    (vx, ix), (vy, iy) = _once(x), _once(y)
+    _, p, q = np.intersect1d(vx, vy, assume_unique=True, return_indices=True)
+    slack = len(x) * (100 - t) // t
+    others = ix[p] - iy[q]
+    others = others[(others >= min(diags) - slack) & (others <= max(diags) + slack)]
+    runs = _runs(x, y, sorted({*diags, *others.tolist()}))
+    start, end, diag = (np.array(c, np.int64) for c in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 3
+    score, common, prev = (100 - t) * (end - start), end - start, np.full(len(runs), -1)
+    for i in range(1, len(runs)):
+        # in both texts what overlaps the run before is cut from the front
+        ahead, behind = end[:i] - start[i], end[:i] - diag[:i] - start[i] + diag[i]
+        cut = np.maximum(0, np.maximum(ahead, behind))
+        joined = np.where(end[i] - start[i] > cut, score[:i] - t * (2 * cut - ahead - behind) + (100 - t) * (end[i] - start[i] - cut), -1)
+        k = int(joined.argmax())
+        if joined[k] >= 0:
+            score[i], common[i], prev[i] = joined[k], common[k] + end[i] - start[i] - cut[k], k
+    out, used = [], set()
+    for i in np.argsort(-common, kind="stable").tolist():  # the longest chains take their runs first
+        chain, m, u = [], 0, 0
+        while i >= 0 and i not in used:
+            used.add(i)
+            chain.append(i)
+            i = int(prev[i])
+        for k, i in enumerate(reversed(chain)):
+            s, e, d = runs[i]
+            if k:
+                cut = max(0, ex - s, ey - s + d)
+                u += 2 * (s + cut) - d - ex - ey
+                m += e - s - cut
+            else:
+                first, m = (s, s - d), e - s
+            ex, ey = e, e - d
+        if chain and ex - first[0] >= length and t * (m + u) <= 100 * m:
+            out.append((first[0], ex, first[1], m / (m + u)))
+    return sorted(out)
 
 
 def _verify(length: int, t: int):
     def run(batches):
         for batch in batches:
-            doc, hub, diag, lo, hub_lo = (batch.column(i).to_numpy() for i in range(5))
-            mine, theirs = batch.column(5), batch.column(6)
+            doc, hub, hub_lo = (batch.column(i).to_numpy() for i in range(3))
+            diags, mine, theirs = (batch.column(i) for i in range(3, 6))
             out = []
             for i in range(len(doc)):
                 x, y = np.frombuffer(mine[i].as_buffer(), np.uint32), np.frombuffer(theirs[i].as_buffer(), np.uint32)
-                start = max(int(lo[i]), int(hub_lo[i] + diag[i]))
-                end = min(int(lo[i]) + len(x), int(hub_lo[i] + diag[i]) + len(y))
-                if end - start >= length:
-                    p, q = start - int(lo[i]), start - int(hub_lo[i] + diag[i])
-                    for s, e, sim in aligned_passages(x[p : p + end - start], y[q : q + end - start], length, t):
-                        out.append((doc[i], start + s, start + e + WIDTH - 1, hub[i], start + s - diag[i], sim))
+                base = int(hub_lo[i])
+                for s, e, at, sim in aligned_passages(x, y, [d + base for d in diags[i].as_py()], length, t):
+                    out.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([*[pa.array(np.array(c, np.int64)) for c in cols[:5]], pa.array(np.array(cols[5], np.float64))], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity"])
 
@@ -213,8 +252,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per passage that an earlier document holds too: doc_id, start_word, end_word, source_id, source_start, similarity.
 
     Words are counted from 0, end_word is exclusive; the source is a document of smaller id. Passages have min_words
-    words or more, in common with the source up to a similarity of t percent of the word shingles of the aligned
-    passages. A passage that repeats word for word is found by either hash, edited ones with high probability; only where
+    words or more, in common with the source up to a similarity of t percent of the word shingles of the two aligned
+    passages, with words replaced, inserted or deleted. A passage that repeats word for word is found by either hash, edited ones with high probability; only where
     every linked document holds less than the whole of a passage can a part of it be missed. The first document that
     holds a passage has no row for it. Repetition within a document is none of this operator's business. Null and
     short texts have no passage; rows with a null id are skipped; repeated rows of one id are one document. The ids are
@@ -243,12 +282,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     held = work.table(slim.mapInArrow(texts, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
 
-    def cut(lo: str, hi: str):
-        return F.expr(f"substring(shingles, cast(4 * {lo} + 1 as int), cast(4 * ({hi} - {lo} + 1) as int))")
-
     def verified(rows: DataFrame) -> DataFrame:
-        mine = rows.join(held, F.col("doc") == F.col("doc_id")).select("doc", "hub", "diag", "lo", "hub_lo", "hub_hi", cut("lo", "hi").alias("mine"))
-        both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "diag", "lo", "hub_lo", "mine", cut("hub_lo", "hub_hi").alias("theirs"))
+        pairs = rows.groupBy("doc", "hub").agg(F.collect_set("diag").alias("diags"))
+        mine = pairs.join(held, F.col("doc") == F.col("doc_id")).select("doc", "hub", "diags", F.col("shingles").alias("mine"))
+        # a passage of n shingles has at most n (100 - t) / t places of the source left out, so the source ends there
+        slack = F.expr(f"length(mine) div 4 * {100 - t} div {t}")
+        mine = mine.withColumn("hub_lo", F.greatest(F.lit(0), -F.array_max("diags") - slack)).withColumn("hub_hi", F.expr("length(mine) div 4") - F.array_min("diags") + slack)
+        theirs = F.expr("substring(shingles, cast(4 * hub_lo + 1 as int), cast(least(4 * (hub_hi - hub_lo), length(shingles)) as int))")
+        both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "hub_lo", "diags", "mine", theirs.alias("theirs"))
         return both.mapInArrow(_verify(length, t), "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double")
 
     first = work.table(verified(spans.filter("kind = 0")), "first")

@@ -157,6 +157,32 @@ def test_repeated_passages(spark, docs_of, odd_rows):
     assert substring_dedup.repeated_passages(docs_of([])).count() == 0
 
 
+def test_repeated_passages_with_insertions_and_deletions(spark, docs_of):
+    rng = random.Random(12)
+    rows, spots = [], {}
+    for k in range(12):
+        base = prose(rng, 90 if k % 3 < 2 else 500).split()
+        copy = list(base)
+        if k % 3 == 0:
+            copy.insert(45, "inserted")
+        elif k % 3 == 1:
+            del copy[45]
+        else:
+            for at in range(490, 0, -49):
+                copy.insert(at, "inserted")
+        head = prose(rng, 70)
+        rows += [(2 * k, f"{prose(rng, 40)} {' '.join(base)} {prose(rng, 30)}", None), (2 * k + 1, f"{head} {' '.join(copy)} {prose(rng, 20)}", None)]
+        spots[2 * k + 1] = (70, 70 + len(copy))
+    text = {i: words(t) for i, t, _ in rows}
+    got = substring_dedup.repeated_passages(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == sorted((i, *span) for i, span in spots.items())
+    for r in got:
+        x = text[r.doc_id][r.start_word : r.end_word]
+        y = text[r.source_id][r.source_start : r.source_start + (500 if r.doc_id % 6 == 5 else 90)]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x, y))
+        assert r.similarity >= 0.8 and abs(r.similarity - len(a & b) / len(a | b)) < 1e-9
+
+
 def test_cut_repeats(spark, docs_of):
     rng = random.Random(4)
     shared, a, b = prose(rng, 55), prose(rng, 20), prose(rng, 20)
