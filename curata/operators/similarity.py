@@ -30,21 +30,25 @@ class ClusterConfig:
 
 
 def similar_pairs(hashes: DataFrame, threshold: float) -> DataFrame:
-    """(p1, p2, bits, score) of pairs p1 < p2 of distinct hashes with a normalised distance up to the threshold; and copies.
+    """(p1, p2, bits, score) of all pairs p1 < p2 of files with a normalised distance up to the threshold, copies included.
 
-    Files of one hash are linked with the first of them only, which keeps every component and makes their number linear.
-    Distinct hashes within k bits are equal in one of k + 1 bands, so small thresholds are an equi-join on bands; larger
-    ones compare each hash with all others in blocks.
+    Each distinct hash is compared once, and its pairs are dealt out to its files, so only the rows of the result grow
+    with the number of copies. Distinct hashes within k bits are equal in one of k + 1 bands, so small thresholds are an
+    equi-join on bands; larger ones compare each hash with all others in blocks.
     """
-    known = hashes.filter(F.col("phash").isNotNull())
-    reps = known.groupBy("phash").agg(F.min("path").alias("p"))
-    return _compared(reps, threshold)
+    known = hashes.filter(F.col("phash").isNotNull()).select("path", "phash")
+    near = _compared(known.groupBy("phash").agg(F.min("path").alias("p")), threshold).select("h1", "h2", "bits")
+    a, b = known.select(F.col("path").alias("a"), F.col("phash").alias("h1")), known.select(F.col("path").alias("b"), F.col("phash").alias("h2"))
+    apart = near.join(a, "h1").join(b, "h2").filter("a != b")
+    equal = a.join(b, (F.col("h1") == F.col("h2")) & (F.col("a") < F.col("b"))).withColumn("bits", F.lit(0))
+    pairs = apart.select("a", "b", "bits").unionByName(equal.select("a", "b", "bits"))
+    return pairs.select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2"), "bits", (F.col("bits") / F.lit(64.0)).alias("score"))
 
 
 def _compared(reps: DataFrame, threshold: float) -> DataFrame:
     bits = int(threshold * 64 + 1e-9)
     near = hamming(F.col("a.phash"), F.col("b.phash")) <= threshold
-    out = [F.least("a.p", "b.p").alias("p1"), F.greatest("a.p", "b.p").alias("p2"), F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))).alias("bits")]
+    out = [F.least("a.p", "b.p").alias("p1"), F.greatest("a.p", "b.p").alias("p2"), F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))).alias("bits"), F.col("a.phash").alias("h1"), F.col("b.phash").alias("h2")]
     if bits <= BANDED_BITS:
         count = bits + 1
         cuts = [64 * k // count for k in range(count + 1)]

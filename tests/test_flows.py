@@ -104,6 +104,20 @@ def test_clusters_against_brute_force(spark, threshold):
         assert r.avg_score == pytest.approx(sum(own) / 64 / len(own) if own else 0.999)
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.16])
+def test_similar_pairs_of_repeated_hashes(spark, threshold):
+    import random
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(8)]
+    hashes = [b ^ (1 << rng.randrange(63)) * (k % 2) for b in base for k in range(3)] + base
+    rows = [(f"/f/{i * 7 % 32:03}", h, i) for i, h in enumerate(hashes)] + [("/f/none", None, 1), ("/f/zero", None, 1)]
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "path string, phash bigint, size bigint"), threshold).collect()
+    want = [(p, q, bin(h ^ g).count("1")) for p, h, _ in rows[:-2] for q, g, _ in rows[:-2] if p < q and bin(h ^ g).count("1") / 64 <= threshold]
+    assert sorted((r.p1, r.p2, r.bits) for r in got) == sorted(want) and sum(d == 0 for *_, d in want) >= 24
+    assert all(r.score == r.bits / 64 for r in got)
+
+
 def test_prune_and_rank(spark):
     found = spark.createDataFrame([("a", 0.005, ["a", "b", "c"]), ("d", 0.12, ["d", "e"]), ("f", 0.999, ["f"])], "cluster_id string, avg_score double, paths array<string>")
     sizes = spark.createDataFrame([("a", 30), ("b", 10), ("c", 20)], "path string, size bigint")
