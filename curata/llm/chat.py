@@ -1,8 +1,8 @@
 """Quotation linking of chat and mail messages, in DataFrame functions.
 
 A line that starts with `>` marks quotes others; the number of marks is its level. Quoted lines are normalised and hashed
-and joined with the messages of the same conversation that say them without marks. A message answers the latest earlier
-message that it quotes most of at level one. The answers give each message a depth and a thread, by which a conversation
+and joined with the messages of the same conversation that say them without marks, whatever their level. A message
+answers the latest earlier message that it quotes most of at its lowest level with a link, as a rule level one. The answers give each message a depth and a thread, by which a conversation
 can be read in the order of its replies, without the quotes.
 """
 
@@ -44,11 +44,13 @@ def reply_text(text: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, reply, quote_depth, quoted_lines, linked_lines, parent_turn, reply_depth, thread_turn.
+    """One row per message: conv_id, turn, role, reply, quote_depth, quoted_lines, linked_lines, parent_turn, reply_depth, thread_turn, parent_level.
 
-    quote_depth is the deepest level of a quoted line. parent_turn is the earlier turn of the conversation that most
-    level-one quoted lines come from (the latest of those with as many; each line counts for the latest earlier turn that
-    says it, repeated lines once), or null. reply_depth counts the answers above a message and thread_turn is the topmost
+    quote_depth is the deepest level of a quoted line. linked_lines counts the lines of all levels that an earlier turn
+    says. parent_turn is the earlier turn of the conversation that most level-one quoted lines come from (the latest of
+    those with as many; each line counts for the latest earlier turn that says it, repeated lines once, at their lowest
+    level); where no level-one line is found the next level with a link decides; or null. parent_level is the level that
+    decided. reply_depth counts the answers above a message and thread_turn is the topmost
     message, itself if it answers none. Sorted by (conv_id, thread_turn, reply_depth, parent_turn, turn) every message
     follows the one it answers. Null texts are empty; messages with a null conversation or turn are kept and link with
     nothing; repeated rows of one turn are linked alike; an empty table gives an empty result; other columns are ignored.
@@ -62,16 +64,16 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     levels = F.transform(lines, level)
     told = base.select("conv_id", "turn", "role", reply_text(F.col("text")).alias("reply"), F.coalesce(F.array_max(levels), F.lit(0)).alias("quote_depth"), F.size(F.filter(levels, lambda x: x > 0)).alias("quoted_lines"))
     each = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(lines).alias("line"))
-    each = each.select("conv_id", "turn", level(F.col("line")).alias("level"), said(F.col("line")).alias("said")).filter("said != '' and level < 2")
+    each = each.select("conv_id", "turn", level(F.col("line")).alias("level"), said(F.col("line")).alias("said")).filter("said != ''")
     each = each.select("conv_id", "turn", "level", F.xxhash64("said").alias("h1"), F.hash("said").alias("h2"))
-    quoted = work.table(each.filter("level = 1").select("conv_id", "turn", "h1", "h2").distinct(), "quoted")
+    quoted = work.table(each.filter("level > 0").groupBy("conv_id", "turn", "h1", "h2").agg(F.min("level").alias("level")), "quoted")
     wanted = quoted.select("conv_id", "h1", "h2").distinct()
     source = each.filter("level = 0").join(wanted, ["conv_id", "h1", "h2"], "left_semi").select("conv_id", "turn", "h1", "h2").distinct()
-    both = source.withColumn("from", F.col("turn")).unionByName(quoted.withColumn("from", F.lit(None).cast("bigint")))
+    both = source.withColumn("from", F.col("turn")).withColumn("level", F.lit(0)).unionByName(quoted.withColumn("from", F.lit(None).cast("bigint")))
     earlier = W.partitionBy("conv_id", "h1", "h2").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     found = both.withColumn("parent", F.last("from", ignorenulls=True).over(earlier)).filter("`from` is null and parent is not null")
-    votes = found.groupBy("conv_id", "turn", "parent").count()
-    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct("count", "parent")).alias("parent_turn"), F.sum("count").alias("linked_lines"))
+    votes = found.groupBy("conv_id", "turn", "level", "parent").count()
+    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), "count", "parent")).alias("parent_turn"), F.min("level").alias("parent_level"), F.sum("count").alias("linked_lines"))
     parents = work.table(parents, "parents")
     # pointer doubling: each round a message's highest known ancestor is replaced by that one's own
     up = work.table(parents.select("conv_id", "turn", F.col("parent_turn").alias("top"), F.lit(1).cast("bigint").alias("depth")), "up0")
@@ -83,4 +85,4 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         up = work.table(step.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"up{k}")
     linked = parents.join(up, ["conv_id", "turn"])
     out = told.join(linked, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "reply", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("quoted_lines").cast("bigint").alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).cast("bigint").alias("linked_lines"), "parent_turn", F.coalesce("depth", F.lit(0)).cast("bigint").alias("reply_depth"), F.coalesce("top", "turn").alias("thread_turn"))
+    return out.select("conv_id", "turn", "role", "reply", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("quoted_lines").cast("bigint").alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).cast("bigint").alias("linked_lines"), "parent_turn", F.coalesce("depth", F.lit(0)).cast("bigint").alias("reply_depth"), F.coalesce("top", "turn").alias("thread_turn"), F.col("parent_level").cast("int").alias("parent_level"))

@@ -177,6 +177,28 @@ def test_quotes(spark):
     assert chat.link_quotes(df.limit(0)).count() == 0
 
 
+def test_nested_quotes(spark):
+    rows = [
+        (1, 0, "u", "alpha\nbeta\ngamma"),
+        (1, 1, "a", "delta"),
+        (1, 2, "u", ">> alpha\n> > beta\n>>> delta\nonly deeper levels"),
+        (1, 3, "a", "> delta\n>> alpha\n>> beta\n>> gamma\nboth levels"),
+        (1, 4, "u", "> nobody said this\n>>> delta\n>> > gamma\n> delta\n"),
+        (1, 5, "u", "> nobody said this\n>> nor this"),
+        (1, 6, "u", ">>> delta\n>>>> alpha"),
+    ]
+    at = {r.turn: r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {t: (r.parent_turn, r.parent_level, r.linked_lines, r.quote_depth, r.thread_turn) for t, r in at.items()} == {
+        0: (None, None, 0, 0, 0),
+        1: (None, None, 0, 0, 1),
+        2: (0, 2, 3, 3, 0),
+        3: (1, 1, 4, 2, 1),
+        4: (1, 1, 2, 3, 1),
+        5: (None, None, 0, 2, 5),
+        6: (1, 3, 2, 4, 1),
+    }
+
+
 def test_quotes_against_brute_force(spark):
     rng = random.Random(6)
     lines = [f"line {k}" for k in range(9)]
