@@ -119,5 +119,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_groups keeps. Repeated rows of one id and text stay or go together."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = (F.col(id_col) == F.col("__id")) & (F.sha2(normalised(F.col(text_col)).cast("binary"), 256) == F.col("__sha"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text_col)).cast("binary"), 256) == F.col("__sha"))
     return docs.join(gone, same, "left_anti")

@@ -45,6 +45,14 @@ def test_exact_groups(spark, docs_of, odd_rows):
     assert sorted(r.doc_id for r in kept.filter("doc_id < 10").collect()) == [0, 2, 3, 5, 6, 7, 8, 9]
 
 
+def test_copies_with_null_ids_are_dropped(spark, docs_of, odd_rows):
+    want = sorted((i for i, _, _, kept, _ in exact_brute(odd_rows) if kept), key=repr)
+    assert None not in want
+    assert sorted((r.doc_id for r in exact_dedup.drop_copies(docs_of(odd_rows)).collect()), key=repr) == want
+    alone = exact_dedup.drop_copies(docs_of([(None, "x y", None), (None, "x  y", None), (1, "z", None)]))
+    assert sorted((r.doc_id for r in alone.collect()), key=repr) == [1, None, None]
+
+
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 500, 400).astype(np.uint64) << np.uint64(30), rng.integers(0, 500, 300).astype(np.uint64) << np.uint64(30)
