@@ -253,8 +253,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are counted from 0, end_word is exclusive; the source is a document of smaller id. Passages have min_words
     words or more, in common with the source up to a similarity of t percent of the word shingles of the two aligned
-    passages, with words replaced, inserted or deleted. A passage that repeats word for word is found by either hash, edited ones with high probability; only where
-    every linked document holds less than the whole of a passage can a part of it be missed. The first document that
+    passages, with words replaced, inserted or deleted. Links lead to the first row of a key and to the row before it: where these hold less than a passage
+    about a common stretch, a passage that other documents share there can be missed, also one that repeats word for word. The first document that
     holds a passage has no row for it. Repetition within a document is none of this operator's business. Null and
     short texts have no passage; rows with a null id are skipped; repeated rows of one id are one document. The ids are
     bigint; other columns are ignored.
