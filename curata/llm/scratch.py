@@ -10,7 +10,15 @@ from pyspark.sql import types as T
 from curata.llm.kernels import Bloom, mix
 from curata.plans.scratch import Scratch
 
-__all__ = ["Scratch", "bloom", "held_out"]
+__all__ = ["Scratch", "bloom", "free_name", "held_out"]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df, compared without case, doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column | str) -> Column:

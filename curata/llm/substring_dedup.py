@@ -267,7 +267,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = keyed.mapInArrow(_stars, "kind tinyint, doc bigint, hub bigint, diag bigint, lo bigint, hi bigint, hub_lo bigint, hub_hi bigint")
     spans = work.table(links.groupBy("kind", "doc", "hub", "diag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi")), "spans")
     del links, keyed
-    work.release()
     involved = spans.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
     near = spark.sparkContext.broadcast(bloom(involved, "doc_id", involved.count()))
 

@@ -126,8 +126,8 @@ def test_similar_sets_of_nothing(spark, docs_of):
 
 def test_rtree_finds_all_pairs_within_the_bound():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 9, (12, jaccard_join.GROUPS))
-    points = np.maximum(0, np.repeat(base, 10, axis=0) + (rng.random((120, jaccard_join.GROUPS)) < 0.1)).astype(np.uint16)
+    base = rng.integers(0, 9, (12, jaccard_join.COARSE))
+    points = np.maximum(0, np.repeat(base, 10, axis=0) + (rng.random((120, jaccard_join.COARSE)) < 0.1)).astype(np.uint16)
     sizes, labels = points.sum(axis=1).astype(np.int64), rng.integers(0, 30, 120)
     i, j = jaccard_join.RTree(points, sizes, labels).search(80)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
