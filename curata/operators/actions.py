@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PLAN = "action string, src string, dst string, reason string"
 #: Copies come before the moves and deletes of their sources.
-ORDER = {"copy": 0, "write": 0, "move": 1, "mark": 1, "delete": 2}
+STEPS = [("copy", "write"), ("move", "mark"), ("delete",)]
+
+
+def _delete(src: str, copy: str | None) -> str:
+    """A delete that names a copy is done only where that copy holds the same bytes."""
+    if copy is not None and not (os.path.isfile(copy) and not os.path.samefile(src, copy) and filecmp.cmp(src, copy, shallow=False)):
+        return "kept: no finished copy"
+    os.remove(src)
+    return "done"
 
 
 def apply_actions(plan: DataFrame, dry_run: bool = True) -> list[tuple[str, str, str | None, str]]:
     """(action, src, dst, status) of each action of a plan, one at a time on the driver's file system.
 
-    A dry run touches nothing. One failing action has its own status and stops no other; a target that exists is left.
+    A dry run touches nothing. One failing action has its own status and stops no other; a target that exists is left. A
+    delete whose dst names the copy that replaces its file leaves the file unless that copy is there, byte for byte, so a
+    failed or blocked copy keeps all its originals. Rows are read step by step and never gathered.
     """
     out = []
-    rows = plan.select("action", "src", "dst").orderBy("src", "dst").toLocalIterator()
-    for r in sorted(rows, key=lambda r: ORDER[r.action]):
-        status = "planned"
-        if not dry_run:
-            try:
-                if r.action == "delete":
-                    os.remove(r.src)
-                    status = "done"
-                elif os.path.exists(r.dst):
-                    status = "exists"
-                else:
-                    os.makedirs(os.path.dirname(r.dst), exist_ok=True)
-                    (shutil.copy2 if r.action == "copy" else shutil.move)(r.src, r.dst)
-                    status = "done"
-            except OSError as e:
-                status = f"failed: {e}"
-        out.append((r.action, r.src, r.dst, status))
+    for step in STEPS:
+        for r in plan.filter(F.col("action").isin(*step)).select("action", "src", "dst").orderBy("src", "dst").toLocalIterator():
+            status = "planned"
+            if not dry_run:
+                try:
+                    if r.action == "delete":
+                        status = _delete(r.src, r.dst)
+                    elif os.path.exists(r.dst):
+                        status = "exists"
+                    else:
+                        os.makedirs(os.path.dirname(r.dst), exist_ok=True)
+                        (shutil.copy2 if r.action == "copy" else shutil.move)(r.src, r.dst)
+                        status = "done"
+                except OSError as e:
+                    status = f"failed: {e}"
+            out.append((r.action, r.src, r.dst, status))
     return out
 
 

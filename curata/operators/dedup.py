@@ -80,11 +80,16 @@ def free_names(rows: DataFrame, occupied: DataFrame, path: str = "dst", order: s
 
 
 def consolidation_plan(files: DataFrame, root: str, occupied: DataFrame) -> DataFrame:
-    """For each hash with copies: one copy of its first file to `<root>/<folders>/`, then a delete of every member."""
+    """For each hash with copies: one copy of its first file to `<root>/<folders>/`, then a delete of every member.
+
+    The dst of a delete is the copy that has to be there first.
+    """
     groups = hash_groups(files)
-    copies = groups.select(F.lit("copy").alias("action"), F.element_at("paths", 1).alias("src"), F.concat_ws("/", F.lit(root), "folder", file_name(F.element_at("paths", 1))).alias("dst"), F.lit("consolidate").alias("reason"))
-    deletes = groups.select(F.explode("paths").alias("src")).select(F.lit("delete").alias("action"), "src", F.lit(None).cast("string").alias("dst"), F.lit("consolidated").alias("reason"))
-    return free_names(copies, occupied).unionByName(deletes)
+    wanted = groups.select("hash", F.lit("copy").alias("action"), F.element_at("paths", 1).alias("src"), F.concat_ws("/", F.lit(root), "folder", file_name(F.element_at("paths", 1))).alias("dst"), F.lit("consolidate").alias("reason"))
+    copies = free_names(wanted, occupied)
+    members = groups.select("hash", F.explode("paths").alias("src"))
+    deletes = members.join(copies.select("hash", "dst"), "hash").select(F.lit("delete").alias("action"), "src", "dst", F.lit("consolidated").alias("reason"))
+    return copies.select(*ACTION).unionByName(deletes)
 
 
 def rename_plan(files: DataFrame, new_name: Column, reason: str = "rename") -> DataFrame:

@@ -146,7 +146,7 @@ def config_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a config's rows: read on the driver, as the config file itself is
-    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").limit(1000).collect()
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
     return spark.createDataFrame([(classify.build_prompt([(r.r_name, f"region {r.r_regionkey}") for r in rows]),)], "prompt string")
 
 
@@ -355,8 +355,9 @@ m AS (SELECT g, CASE WHEN len(found) = 0 THEN ['other'] {whole} ELSE found END A
         "consolidation_plan": f"""WITH {FILES}, g AS (SELECT hash, list_sort(list(path)) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1),
 t AS (SELECT paths[1] AS src, '/data/' || folder || '/' || split_part(paths[1], '/', 4) AS dst FROM g),
 k AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 + (CASE WHEN dst IN (SELECT path FROM files) THEN 1 ELSE 0 END) AS n FROM t)
-SELECT 'copy' AS action, src, CASE WHEN n = 0 THEN dst ELSE replace(dst, '.png', '_' || n || '.png') END AS dst, 'consolidate' AS reason FROM k
-UNION ALL SELECT 'delete', unnest(paths), NULL, 'consolidated' FROM g""",
+c AS (SELECT src, CASE WHEN n = 0 THEN dst ELSE replace(dst, '.png', '_' || n || '.png') END AS dst FROM k)
+SELECT 'copy' AS action, src, dst, 'consolidate' AS reason FROM c
+UNION ALL SELECT 'delete', unnest(paths), dst, 'consolidated' FROM g JOIN c ON c.src = paths[1]""",
         "free_names": "SELECT printf('%08d', p_partkey) AS src, '/out/' || p_brand || '_' || (CASE WHEN k = 0 THEN 1 ELSE k + 2 END) || '.png' AS dst FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)",
         "clean_language": f"SELECT doc_id, {_clean_sql('lang')} AS code, {_clean_sql(phrase('doc_id'))} AS phrase_code FROM documents",
         "sanitize_name": f"SELECT page_id, {_safe_sql('url')} AS name FROM pages",

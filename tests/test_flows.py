@@ -51,7 +51,26 @@ def test_discover_and_apply(spark, tree):
 
 def test_consolidate(spark, tree):
     rows = {(r.action, r.src): r.dst for r in pipelines.consolidate(spark, str(tree)).collect()}
-    assert rows == {("copy", f"{tree}/ape/b.PNG"): f"{tree}/ape_zoo/b.PNG", ("delete", f"{tree}/ape/b.PNG"): None, ("delete", f"{tree}/zoo/a.png"): None}
+    copy = f"{tree}/ape_zoo/b.PNG"
+    assert rows == {("copy", f"{tree}/ape/b.PNG"): copy, ("delete", f"{tree}/ape/b.PNG"): copy, ("delete", f"{tree}/zoo/a.png"): copy}
+
+
+@pytest.mark.parametrize("blocked", ["folder is a file", "other bytes there", "plan copies a file onto itself", None])
+def test_no_original_goes_without_its_copy(spark, tree, blocked):
+    plan = spark.createDataFrame(pipelines.consolidate(spark, str(tree)).collect(), actions.PLAN)
+    if blocked == "folder is a file":
+        (tree / "ape_zoo").write_bytes(b"in the way")
+    elif blocked == "other bytes there":
+        (tree / "ape_zoo").mkdir()
+        (tree / "ape_zoo/b.PNG").write_bytes(grey(4))
+    elif blocked:
+        plan = plan.filter("action = 'delete' and src like '%b.PNG'").withColumn("dst", F.col("src"))
+    done = actions.apply_actions(plan, dry_run=False)
+    left = (tree / "zoo/a.png").exists(), (tree / "ape/b.PNG").exists()
+    if blocked:
+        assert left == (True, True) and "done" not in {s for *_, s in done}
+    else:
+        assert left == (False, False) and {s for *_, s in done} == {"done"} and (tree / "ape_zoo/b.PNG").read_bytes() == grey(3)
 
 
 def test_golden_dedup_and_free_names(spark):
