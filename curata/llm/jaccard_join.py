@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import Words, blocks, buffers, mix, signed, stream
+from curata.llm.kernels import Words, blocks, buffers, mix, signed, stream, tidy
 from curata.llm.scratch import Scratch, bloom, free_name
 from curata.operators.components import connected_components
 
@@ -34,7 +34,7 @@ COARSE, FINE = 64, 4096
 #: each). Both only change the order of shingles, and any order gives the same result.
 COMMON, MAX_COMMON = 8, 1 << 20
 #: Postings of one shard, and keys that a task gathers before it cuts them into shards.
-SHARD, FLUSH = 1 << 18, 1 << 20
+SHARD, FLUSH = 1 << 18, 1 << 19
 #: Points of one R-tree. Larger groups are searched as pairs of blocks, each pair a task's group of its own.
 TREE_POINTS, LEAF = 1024, 16
 #: Share (percent) of the smaller prefix that a set has in common with a hub that it is verified against. What this
@@ -413,7 +413,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s = Sets(data, offs, width)
                 yield _rows(["doc_id", "h", "n", "sid", "chk"], [batch.column(0)[a:b], batch.column(2)[a:b], s.size, signed(s.sid), signed(s.check)])
 
-    sets = work.table(hashed.mapInArrow(describe, "doc_id bigint, h bigint, n bigint, sid bigint, chk bigint"), "sets")
+    sets = work.table(hashed.mapInArrow(tidy(describe), "doc_id bigint, h bigint, n bigint, sid bigint, chk bigint"), "sets")
     real = sets.filter("n > 0 and doc_id is not null")
     # Half a digest names a set. Halves that two sets share (about 20 among 3 * 10**10 sets) are replaced by the other half.
     shared_ids = [r.sid for r in real.groupBy("sid").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).filter("x != y").limit(MAX_CLASHES + 1).select("sid").collect()]
@@ -450,8 +450,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if size:
             yield flush()
 
-    counted = slim.mapInArrow(leading, "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    often = work.table(counted.mapInArrow(_often, "bucket bigint, count bigint"), "often")
+    counted = slim.mapInArrow(tidy(leading), "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
+    often = work.table(counted.mapInArrow(tidy(_often), "bucket bigint, count bigint"), "often")
     # the least count at which the common shingles are within their bound
     least, total = COMMON, 0
     for r in often.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("c")).collect():
@@ -491,29 +491,35 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if size:
             yield from flush()
 
-    posted = slim.mapInArrow(post, "shard int, keys binary, sids binary").repartition("shard").sortWithinPartitions("shard")
-    shared = work.table(posted.mapInArrow(_shared, "bucket bigint, sid bigint"), "shared")
+    posted = slim.mapInArrow(tidy(post), "shard int, keys binary, sids binary").repartition("shard").sortWithinPartitions("shard")
+    shared = work.table(posted.mapInArrow(tidy(_shared), "bucket bigint, sid bigint"), "shared")
     work.drop("often")
 
-    def filtered(wanted: DataFrame) -> DataFrame:
-        """Rows of hashed whose ids are among those wanted, and some more."""
+    def chosen(wanted: DataFrame):
+        """A function that keeps the rows of a batch whose ids are among those wanted, and some more."""
         near = spark.sparkContext.broadcast(bloom(wanted, "rep", wanted.count()))
 
-        @F.arrow_udf("boolean")
-        def likely(ids: pa.Array) -> pa.Array:
-            return pa.array(near.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(ids.is_valid()))
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column(0)
+            return batch.filter(pa.array(near.value.has(ids.fill_null(0).to_numpy()) & np.asarray(ids.is_valid())))
 
-        return hashed.filter(likely("doc_id"))
+        return keep
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of ids whose sets are similar. Texts are moved, which are smaller than their sets."""
         side = {c: reps.select(F.col("sid").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("h").alias(f"{c}_h")) for c in "ab"}
         named = work.table(pairs.join(side["a"], "a").join(side["b"], "b"), f"{name}_pairs")
         wanted = work.table(named.select(F.explode(F.array(F.struct(F.col("a_rep").alias("rep"), F.col("a_h").alias("h")), F.struct(F.col("b_rep").alias("rep"), F.col("b_h").alias("h")))).alias("w")).select("w.rep", "w.h").distinct(), f"{name}_wanted")
-        texts = filtered(wanted).join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+        keep = chosen(wanted)
+
+        def likely(batches):
+            for batch in batches:
+                yield keep(batch)
+
+        texts = hashed.mapInArrow(tidy(likely), "doc_id bigint, text string, h bigint").join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
         own = {c: texts.select(F.col("doc_id").alias(f"{c}_rep"), F.col("h").alias(f"{c}_h"), F.col("text").alias(f"{c}_text")) for c in "ab"}
         both = named.join(own["b"], ["b_rep", "b_h"]).join(own["a"], ["a_rep", "a_h"])
-        found = work.table(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(t, width), "a bigint, b bigint"), name)
+        found = work.table(both.select("a", "b", "a_text", "b_text").mapInArrow(tidy(_verify(t, width)), "a bigint, b bigint"), name)
         work.drop(f"{name}_pairs", f"{name}_wanted")
         return found
 
@@ -521,12 +527,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """The count vector (sid, vec) of each set in the cells."""
         wanted = work.table(cells.select("sid").distinct().join(reps, "sid").select("sid", "rep", "h"), "points_of")
 
+        keep = chosen(wanted)
+
         def count(batches):
-            for batch in batches:
+            for whole_batch in batches:
+                batch = keep(whole_batch)
                 for a, b, data, offs in blocks(batch, "text"):
                     yield _rows(["rep", "h", "vec"], [batch.column(0)[a:b], batch.column(2)[a:b], Sets(data, offs, width).counts()])
 
-        made = filtered(wanted).mapInArrow(count, "rep bigint, h bigint, vec binary")
+        made = hashed.mapInArrow(tidy(count), "rep bigint, h bigint, vec binary")
         return work.table(made.join(wanted, ["rep", "h"]).select("sid", "vec").dropDuplicates(["sid"]), "points")
 
     # A set's share of prefix shingles that other sets have too: highest for the original of a family of edited copies.
@@ -553,7 +562,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
         dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select("route", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "sid", "n", "comp", "vec")
-        pairs = dealt.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j").mapInArrow(_search(t, best), "a bigint, b bigint")
+        pairs = dealt.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j").mapInArrow(tidy(_search(t, best)), "a bigint, b bigint")
         more = verified(pairs.distinct(), name)
         whole = work.table(connected_components(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), f"{name}_part")
         work.drop(f"{name}_cells")
