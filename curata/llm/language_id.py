@@ -15,31 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import blocks
-from curata.llm.scratch import held_out
+from curata.llm.kernels import blocks, release, tidy
+from curata.llm.scratch import free_name, held_out
 
-#: Bounds of the training sample: symbols and documents of a language, languages, and distinct letters kept.
-SAMPLE_SYMBOLS, SAMPLE_DOCS, MAX_LANGUAGES, MAX_LETTERS = 40_000, 120, 200, 250
-#: Symbols in which texts are laid side by side for parsing; a phrase also ends at a lane's end.
-LANE = 512
+#: Bounds of the training sample: symbols and documents of a language, and languages (more are an error).
+SAMPLE_SYMBOLS, SAMPLE_DOCS, MAX_LANGUAGES = 40_000, 120, 1000
+#: Symbols of a lane: texts are parsed in lanes side by side, and phrases are then carried on across lanes. Languages at a time.
+LANE, TOGETHER = 512, 8
 GAP, OTHER = 0, 1
 
 
 @dataclass
 class Model:
-    """languages, their transition tables laid end to end (row 0 of each is its root), and the bits of a phrase."""
+    """languages, their automata in one displaced table, and the bits of a phrase.
+
+    The transition of a state by a symbol is in slot base[state] + symbol, if the slot's owner is the state.
+    """
 
     languages: list[str]
-    letters: np.ndarray  # code point -> symbol, uint8
-    width: int
-    table: np.ndarray  # int32, flat: base row of the next state times width, or -1
-    roots: np.ndarray  # flat index of each root's row
+    letters: np.ndarray  # code point -> symbol
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    roots: np.ndarray
     bits: np.ndarray
 
 
 def letter_classes() -> np.ndarray:
     """For each code point: 0 no letter, 1 letter."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.int32)
     out[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = OTHER
     return out
 
@@ -82,45 +86,125 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, to) of an automaton: rows are laid over one another where they don't clash, the fullest first."""
+    size = np.array([len(r) for r in rows])
+    total = int(size.sum())
+    room = total + 4 * width + 4096
+    used = bytearray(room)
+    base = np.zeros(len(rows), np.int64)
+    at = width  # each row is laid at the next place that it fits after the row before, so a place is tried once
+    for state in np.argsort(-size, kind="stable").tolist():
+        if size[state] < 2:
+            break
+        syms = sorted(rows[state])
+        while any(used[at + c] for c in syms):
+            at += 1
+            if at + width >= len(used):
+                used.extend(bytes(len(used)))
+        for c in syms:
+            used[at + c] = 1
+        base[state] = at
+    single = np.flatnonzero(size == 1)
+    if len(used) < width + total + len(single) + 1:
+        used.extend(bytes(total + len(single) + width))
+    free = np.flatnonzero(np.frombuffer(bytes(used), np.uint8)[width:] == 0)[: len(single)] + width
+    only = np.array([next(iter(rows[k])) for k in single.tolist()], np.int64)
+    base[single] = free - only
+    owner, to = np.full(len(used) + width, -1, np.int32), np.zeros(len(used) + width, np.int32)
+    state = np.repeat(np.arange(len(rows)), size)
+    slot = base[state] + np.array([c for r in rows for c in r], np.int64)
+    owner[slot], to[slot] = state, np.array([t for r in rows for t in r.values()], np.int64)
+    return base.astype(np.int32), owner, to
+
+
+def shares(sizes: list[int], total: int) -> int:
+    """The most that each of several texts may give so that together they give about total: short ones give all they have."""
+    left, share = total, 0
+    for k, size in enumerate(sorted(sizes)):
+        share = max(1, left // (len(sizes) - k))
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
 def train(samples: dict[str, list[str]]) -> Model:
-    """A model of bounded samples. Languages without a letter are left out; all samples are cut to SAMPLE_SYMBOLS."""
-    classes = letter_classes()
-    seen: dict[str, int] = {}
-    for texts in samples.values():
-        for c in "".join(texts).lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    kept = sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS]
-    letters = classes.copy()
-    for k, c in enumerate(kept):
+    """A model of bounded samples. Languages without a letter are left out; texts give equal shares of SAMPLE_SYMBOLS.
+
+    Every letter of the samples is a symbol; the letters beyond them are one that no automaton holds.
+    """
+    letters = letter_classes()
+    seen = {c for texts in samples.values() for c in "".join(texts).lower() if c.isalpha()}
+    for k, c in enumerate(sorted(seen)):
         for form in {c, c.upper(), c.title()}:
             if len(form) == 1:
                 letters[ord(form)] = k + 2
-    width = len(kept) + 2
+    width = len(seen) + 2
     names, tables, bits = [], [], []
     for lang in sorted(samples):
-        seq: list[int] = []
-        for text in samples[lang]:
-            seq += symbols(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), letters).tolist() + [GAP]
-        seq = seq[:SAMPLE_SYMBOLS]
+        parts = [symbols(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), letters) for text in samples[lang]]
+        share = shares([len(p) + 1 for p in parts], SAMPLE_SYMBOLS)
+        seq = [c for p in parts for c in [*p[: share - 1].tolist(), GAP]]
         if not any(x != GAP for x in seq):
             continue
         automaton = suffix_automaton(seq)
-        table = np.full((len(automaton), width), -1, np.int32)
-        for state, row in enumerate(automaton):
-            for c, to in row.items():
-                if c != OTHER:
-                    table[state, c] = to
+        tables.append(displaced([{c: to for c, to in row.items() if c != OTHER} for row in automaton], width))
         names.append(lang)
-        tables.append(table)
         bits.append(np.log2(len(seq) + 1))
-    base = np.cumsum([0, *[len(t) for t in tables]])
-    flat = np.concatenate([np.where(t >= 0, (t + b) * width, -1).ravel() for t, b in zip(tables, base, strict=False)]).astype(np.int32) if tables else np.zeros(0, np.int32)
-    return Model(names, letters, width, flat, (base[:-1] * width).astype(np.int32), np.array(bits))
+    state, slot, parts = 0, 0, []
+    roots = []
+    for base, owner, to in tables:
+        roots.append(state)
+        parts.append((base + slot, np.where(owner >= 0, owner + state, -1), to + state))
+        state, slot = state + len(base), slot + len(owner)
+    base, owner, to = (np.concatenate([p[k] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32) for k in range(3))
+    return Model(names, letters, base, owner, to, np.array(roots, np.int32), np.array(bits))
+
+
+def _walk(model: Model, seqs: np.ndarray, marks: np.ndarray, shift: np.ndarray, root: np.ndarray, pos: np.ndarray, end: np.ndarray, state: np.ndarray, meet: bool) -> np.ndarray:
+    """Parses each lane from pos to end, from a state; marks the starts of its phrases and returns the state at the end.
+
+    The marks of a lane begin at its shift. With meet a lane ends, with -1, at a start that is marked already: from there on
+    the phrases are known. Marks that it passes within a phrase are deleted.
+    """
+    out = np.full(len(pos), -1, np.int32)
+    lane = np.arange(len(pos))
+    while len(lane):
+        sym = seqs[pos]
+        at = model.base[state] + sym
+        within = (model.owner[at] == state) & (state != root)
+        nxt = model.to[at]
+        fresh = np.flatnonzero(~within)
+        where = shift + pos
+        if meet:
+            marks[where[within]] = False
+            known = marks[where[fresh]]
+            marks[where[fresh]] = True
+        else:
+            marks[where[fresh]] = True
+        own = root[fresh]
+        at = model.base[own] + sym[fresh]
+        nxt[fresh] = np.where(model.owner[at] == own, model.to[at], own)
+        pos, state = pos + 1, nxt
+        on = pos < end
+        if meet:
+            on[fresh[known]] = False
+        if not on.all():
+            ended = ~on
+            if meet:
+                ended[fresh[known]] = False
+            out[lane[ended]] = state[ended]
+            lane, pos, end, state, root, shift = lane[on], pos[on], end[on], state[on], root[on], shift[on]
+    return out
 
 
 def phrases(model: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Phrase counts, texts by languages, of the symbol rows seqs[first[i]:first[i+1]]; parsed in lanes side by side."""
+    """Phrase counts, texts by languages, of the greedy parses of the symbol rows seqs[first[i]:first[i+1]].
+
+    All lanes are parsed from their starts side by side. Then each lane's last phrase is carried on into the next lane
+    until a phrase starts where one was marked there; a lane that is crossed whole carries on into the one after it.
+    """
     n, k = len(first) - 1, len(model.languages)
     counts = np.zeros((n, k), np.int64)
     size = np.diff(first)
@@ -130,35 +214,29 @@ def phrases(model: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarray:
         return counts
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
     start = first[owner] + nth * LANE
-    length = np.minimum(LANE, first[owner + 1] - start)
-    order = np.argsort(-length, kind="stable")  # full lanes first, so that those still running are a prefix
-    start, length, owner = start[order], length[order], owner[order]
-    state = np.tile(model.roots, (len(start), 1))
-    ended = np.zeros((len(start), k), np.int64)
-    live = len(start)
-    for t in range(int(length[0])):
-        while live and length[live - 1] <= t:
-            live -= 1
-        sym = seqs[start[:live] + t].astype(np.int32)[:, None]
-        now = state[:live]
-        to = model.table[now + sym]
-        dead = to < 0
-        if dead.any():
-            # the phrase ends before this symbol, unless it is empty; the symbol starts the next one or stands alone
-            at_root = now == model.roots
-            ended[:live] += dead & ~at_root
-            again = model.table[model.roots + sym]
-            alone = dead & (again < 0)
-            ended[:live] += alone
-            to = np.where(dead, np.where(again < 0, model.roots, again), to)
-        state[:live] = to
-    ended += state != model.roots
-    np.add.at(counts, owner, ended)
+    stop = np.minimum(start + LANE, first[owner + 1])
+    last = np.r_[owner[1:] != owner[:-1], True]
+    for c in range(0, k, TOGETHER):
+        roots = model.roots[c : c + TOGETHER]
+        m, total = len(roots), len(seqs)
+        marks = np.zeros(m * total, bool)
+        lane, lang = np.tile(np.arange(len(start)), m), np.repeat(np.arange(m), len(start))
+        state = _walk(model, seqs, marks, lang * total, roots[lang], start[lane], stop[lane], roots[lang], False)
+        while True:
+            on = np.flatnonzero((state >= 0) & ~last[lane])
+            if not len(on):
+                break
+            lane, lang, state = lane[on] + 1, lang[on], state[on]
+            state = _walk(model, seqs, marks, lang * total, roots[lang], start[lane], stop[lane], state, True)
+        acc = np.zeros(m * total + 1, np.int64)
+        np.cumsum(marks, out=acc[1:])
+        for j in range(m):
+            counts[:, c + j] = acc[first[1:] + j * total] - acc[first[:-1] + j * total]
     return counts
 
 
-def score_block(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(language, score, bits per symbol) for each text of a UTF-8 block."""
+def score_block(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, bits per symbol, has a letter) for each text of a UTF-8 block."""
     text = data.tobytes().decode("utf-8", "replace")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     lead = np.zeros(len(data) + 1, np.int64)
@@ -179,7 +257,7 @@ def score_block(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[
     n = np.maximum(np.diff(first), 1)
     cost = phrases(model, seqs, first) * model.bits / n[:, None]
     if not model.languages:
-        return ["und"] * len(n), np.zeros(len(n)), np.zeros(len(n))
+        return ["und"] * len(n), np.zeros(len(n)), np.zeros(len(n)), has_letter
     best = cost.argmin(axis=1)  # ties: the language first in order
     low = cost[np.arange(len(n)), best]
     rest = cost.copy()
@@ -187,22 +265,25 @@ def score_block(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[
     second = rest.min(axis=1) if len(model.languages) > 1 else low * 2
     score = np.where(has_letter, second / np.maximum(low + second, 1e-9), 0.0)
     names = [model.languages[b] if h else "und" for b, h in zip(best, has_letter, strict=True)]
-    return names, np.clip(np.nan_to_num(score, nan=1.0), 0, 1), np.where(has_letter, low, 0.0)
+    return names, np.clip(np.nan_to_num(score, nan=1.0), 0, 1), np.where(has_letter, low, 0.0), has_letter
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Texts of at most SAMPLE_DOCS documents a language outside the held-out fold, in the order of a hash of their id."""
-    slim = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter(F.col(text_col).isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
-    ranked = slim.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= SAMPLE_DOCS)
-    chosen = ranked.orderBy("r", "l").limit(MAX_LANGUAGES * SAMPLE_DOCS).select("i").distinct().collect()
-    keys = docs.sparkSession.createDataFrame(chosen or [], f"__i {docs.schema[id_col].dataType.simpleString()}")
-    texts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(keys), F.col(id_col) == F.col("__i"), "left_semi")
+    """Texts of at most SAMPLE_DOCS documents a language outside the held-out fold, in the order of a hash of their id.
+
+    Repeated rows of one id and text are one document. At most SAMPLE_SYMBOLS characters of a text leave the tasks.
+    """
+    known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
+    keyed = known.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h"), F.xxhash64("t").alias("th"))
+    ranked = keyed.withColumn("r", F.dense_rank().over(W.partitionBy("l").orderBy("h", "i", "th"))).filter(F.col("r") <= SAMPLE_DOCS)
+    chosen = ranked.select("i", "l", "h", "th").distinct().limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).collect()
+    if len({r.l for r in chosen}) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    keys = docs.sparkSession.createDataFrame(chosen or [], f"i {docs.schema[id_col].dataType.simpleString()}, l string, h bigint, th bigint")
+    texts = known.withColumn("th", F.xxhash64("t")).select("i", "l", "th", F.substring("t", 1, SAMPLE_SYMBOLS).alias("t")).join(F.broadcast(keys), ["i", "l", "th"]).dropDuplicates(["i", "l", "th"])
     out: dict[str, list[str]] = {}
-    # a text longer than the whole sample adds nothing beyond its bound
-    for r in texts.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), 1, SAMPLE_SYMBOLS).alias("t")).orderBy("h", "t").toLocalIterator():
-        own = out.setdefault(r.l, [])
-        if sum(map(len, own)) < 4 * SAMPLE_SYMBOLS:
-            own.append(r.t)
+    for r in texts.select("h", "i", "l", "t").orderBy("h", "i", "t").toLocalIterator():
+        out.setdefault(r.l, []).append(r.t)
     return out
 
 
@@ -220,26 +301,35 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         m = shared.value
         for batch in batches:
             for a, b, data, offs in blocks(batch, "text"):
-                names, score, bits = score_block(m, data, offs)
+                names, score, bits, _ = score_block(m, data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(names, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "lang_pred", "score", "bits"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double")
+    return slim.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that have a language: null texts and texts without a letter go.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose predicted language is one of those given, or any; a null lang becomes the prediction.
 
-    The decision is made beside each row in one pass, so nothing is joined back or shuffled.
+    Null texts and texts without a letter have no language and go. Where no row is labelled nothing can be learned: then
+    no text is of a given language, and without given ones all texts with a letter stay and lang stays null. Only the
+    texts pass through Python, beside their rows, so nothing is joined back or shuffled.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, lang_col)))
 
-    def run(batches):
-        for batch in batches:
-            ok: list[bool] = []
-            for _, _, data, offs in blocks(batch, text_col):
-                ok += [x != "und" for x in score_block(model.value, data, offs)[0]]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def predicted(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for _, _, data, offs in blocks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            names, _, _, spoken = score_block(model.value, data, offs)
+            out += [name if has else None for name, has in zip(names, spoken.tolist(), strict=True)]
+        release()
+        return pa.array(out, pa.string())
+
+    key = free_name(docs, "predicted")
+    found = docs.withColumn(key, predicted(F.col(text_col))).filter(F.col(key).isNotNull())
+    if languages is not None:
+        found = found.filter(F.col(key).isin(languages))
+    label = F.coalesce(F.col(lang_col), F.when(F.col(key) != "und", F.col(key))).cast(docs.schema[lang_col].dataType)
+    return found.withColumn(lang_col, label).select(*docs.columns)
