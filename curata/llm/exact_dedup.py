@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.scratch import Scratch
+from curata.llm.kernels import tidy
+from curata.llm.scratch import Scratch, free_name
 
 #: Fingerprint bits; with 63 bits a chance collision costs one byte comparison and never a wrong result.
 BITS = 63
@@ -90,7 +91,7 @@ def repeated_fingerprints(fps: DataFrame, col: str, q_bits: int = 24, shard_bits
         fold = queue[0]
         return pa.table({"fp": pa.array(fold.fingerprints()[fold.counts > 1].view(np.int64), pa.int64())})
 
-    parts = fps.select(F.col(col).cast("bigint").alias("fp")).mapInArrow(build, "shard int, entries binary, counts binary")
+    parts = fps.select(F.col(col).cast("bigint").alias("fp")).mapInArrow(tidy(build), "shard int, entries binary, counts binary")
     return parts.groupBy("shard").applyInArrow(merge, "fp bigint")
 
 
@@ -118,6 +119,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that exact_groups keeps. Repeated rows of one id and text stay or go together."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text_col)).cast("binary"), 256) == F.col("__sha"))
+    key, sha = free_name(docs, "gone_id"), free_name(docs, "gone_sha")
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct()
+    same = docs[id_col].eqNullSafe(gone[key]) & (F.sha2(normalised(docs[text_col]).cast("binary"), 256) == gone[sha])
     return docs.join(gone, same, "left_anti")

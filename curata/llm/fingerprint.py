@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import Words, _power_tables, buffers, column, mix, stream
+from curata.llm.kernels import _power_tables, Words, buffers, column, mix, stream, tidy
 
 WIDE, NEAR, GRAM = 32, 256, 3
 #: Ranges of ids whose texts are brought together to find each text's successor; a bound on what the driver holds.
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encode(*vectors(*buffers(column(part, "text")))), pa.string())], ["doc_id", "fingerprint"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return slim.mapInArrow(tidy(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def edited_text(text: str, after: str) -> str:
@@ -124,7 +124,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edge, batch.column(0).to_numpy(), side="right").astype(np.int32)), batch.column(0)], ["r", "k"])
 
-    heads = ids.mapInArrow(ranged, "r int, k bigint").groupBy("r").agg(F.min("k").alias("k")).orderBy("r").collect()
+    heads = ids.mapInArrow(tidy(ranged), "r int, k bigint").groupBy("r").agg(F.min("k").alias("k")).orderBy("r").collect()
     # the range before each range that has rows; the first follows the last
     before = {h.k: heads[i - 1].r for i, h in enumerate(heads)}
     head = np.array(sorted(before), np.int64)
@@ -159,5 +159,5 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [pa.array([x[1] for x, _ in pairs], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(encode(*mine)), pa.array(encode(*changed)), pa.array(likeness(mine, changed)), pa.array(likeness(mine, others))], names
                 )
 
-    dealt = slim.mapInArrow(deal, "r int, extra tinyint, doc_id bigint, text string").repartition("r").sortWithinPartitions("r", "extra", "doc_id", "text")
-    return dealt.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = slim.mapInArrow(tidy(deal), "r int, extra tinyint, doc_id bigint, text string").repartition("r").sortWithinPartitions("r", "extra", "doc_id", "text")
+    return dealt.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import column
+from curata.llm.kernels import column, tidy
 
 #: Entries of the memo of pre-token ids; it is emptied when full, so a worker's memory is bounded.
 MEMO = 400_000
@@ -127,6 +127,6 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 1, id
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    pieces = slim.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    pieces = slim.mapInArrow(tidy(cut), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
     bucket: Column = F.log2(F.col("length")).cast("int")
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), bucket.alias("bucket"), *["ids"] * with_ids)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import _power_tables, column, mix
+from curata.llm.kernels import _power_tables, column, mix, tidy
 
 META = "▁"
 #: Stands for a meta symbol of the text itself while words are cut; a lone surrogate, which no valid text has.
@@ -242,7 +242,7 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 0, alpha: float = 1.0
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "ids_crc32 bigint, decoded_sha256 string, lossless boolean" if digest else "ids array<int>"
-    return slim.mapInArrow(run, f"doc_id bigint, n_pieces bigint, {kind}")
+    return slim.mapInArrow(tidy(run), f"doc_id bigint, n_pieces bigint, {kind}")
 
 
 def decode_pieces(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -255,4 +255,4 @@ def decode_pieces(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     slim = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text string")
+    return slim.mapInArrow(tidy(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import Words, blocks
+from curata.llm.kernels import Words, blocks, tidy
 from curata.llm.scratch import Scratch, held_out
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
@@ -205,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    stats = work.table(slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, " + ", ".join(f"{s} double" for s in STATS)), "stats")
+    stats = work.table(slim.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, " + ", ".join(f"{s} double" for s in STATS)), "stats")
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = stats.filter(~F.col("held_out")).join(marked, "doc_id").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     # a cut of the hash range leaves little more than the bound, so what partitions send doesn't grow with their number

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import Words, blocks, column, mix, signed, stream
-from curata.llm.scratch import Scratch, bloom
+from curata.llm.kernels import Words, blocks, column, mix, signed, stream, tidy
+from curata.llm.scratch import Scratch, bloom, free_name
 
 HASHES, WIDTH = 2, 5
 _SEED = stream(71, 16)
@@ -263,8 +263,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     work = Scratch(spark, "passages")
     length = min_words - WIDTH + 1
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = slim.mapInArrow(_windows(length), "key bigint, doc bigint, window bigint").repartition("key").sortWithinPartitions("key", "doc", "window")
-    links = keyed.mapInArrow(_stars, "kind tinyint, doc bigint, hub bigint, diag bigint, lo bigint, hi bigint, hub_lo bigint, hub_hi bigint")
+    keyed = slim.mapInArrow(tidy(_windows(length)), "key bigint, doc bigint, window bigint").repartition("key").sortWithinPartitions("key", "doc", "window")
+    links = keyed.mapInArrow(tidy(_stars), "kind tinyint, doc bigint, hub bigint, diag bigint, lo bigint, hi bigint, hub_lo bigint, hub_hi bigint")
     spans = work.table(links.groupBy("kind", "doc", "hub", "diag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi")), "spans")
     del links, keyed
     involved = spans.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
@@ -279,7 +279,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer((shingles >> np.uint64(32)).astype(np.uint32).tobytes())])
                 yield _rows(["doc_id", "shingles"], [own.column(0)[a:b], packed])
 
-    held = work.table(slim.mapInArrow(texts, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
+    held = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
 
     def verified(rows: DataFrame) -> DataFrame:
         pairs = rows.groupBy("doc", "hub").agg(F.collect_set("diag").alias("diags"))
@@ -289,7 +289,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         mine = mine.withColumn("hub_lo", F.greatest(F.lit(0), -F.array_max("diags") - slack)).withColumn("hub_hi", F.expr("length(mine) div 4") - F.array_min("diags") + slack)
         theirs = F.expr("substring(shingles, cast(4 * hub_lo + 1 as int), cast(least(4 * (hub_hi - hub_lo), length(shingles)) as int))")
         both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "hub_lo", "diags", "mine", theirs.alias("theirs"))
-        return both.mapInArrow(_verify(length, t), "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double")
+        return both.mapInArrow(tidy(_verify(length, t)), "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double")
 
     first = work.table(verified(spans.filter("kind = 0")), "first")
     # a link of the second kind is looked at where no passage of the first kind covers its interval
@@ -306,7 +306,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     work = Scratch(docs.sparkSession, "cuts")
     found = work.table(repeated_passages(docs, id_col, text_col, min_words, t).select("doc_id", "start_word", "end_word").distinct(), "found")
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
+    key, own = free_name(docs, "cut_id"), free_name(docs, "cut_spans")
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(own))
     names = docs.columns
     kind = docs.schema[text_col].dataType
 
@@ -314,13 +315,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             spans_of = batch.column(len(names))
             keep, texts = [], []
-            for i, own in enumerate(spans_of.to_pylist()):
+            for i, cuts in enumerate(spans_of.to_pylist()):
                 text = batch.column(names.index(text_col))[i].as_py()
-                if own and text:
+                if cuts and text:
                     data = text.encode()
                     w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
                     gone = np.zeros(len(w.start) + 1, np.int64)
-                    for s in own:
+                    for s in cuts:
                         gone[min(s["start_word"], len(w.start))] += 1
                         gone[min(s["end_word"], len(w.start))] -= 1
                     left = np.cumsum(gone)[:-1] == 0
@@ -342,4 +343,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names).filter(pa.array(keep, pa.bool_()))
 
     assert kind.simpleString() == "string"
-    return docs.join(spans, F.col(id_col) == F.col("__id"), "left").select(*names, "__spans").mapInArrow(run, docs.schema)
+    return docs.join(spans, docs[id_col] == spans[key], "left").select(*(docs[n] for n in names), own).mapInArrow(tidy(run), docs.schema)

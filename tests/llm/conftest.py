@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, n int, sid string, hash string, r int, extra string, doc string, hub int, kind string, ids string, norm string, fp int, rep int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, n int, sid string, hash string, r int, extra string, doc string, hub int, kind string, ids string, norm string, fp int, rep int, gone string, gone_id string, gone_sha string, cut_id string, cut_spans string, predicted string, component_id string, kept string, text_sha256 string, __id string, __i string, __sha string, __spans string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def docs_of(spark):
     """Documents of (doc_id, text, lang) with more columns, whose names the operators use themselves."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, lang, None, None if t is None else len(t), *["x", 1, "y", "z", 2, "e", "d", 3, "k", "i", "m", 4, 5]) for i, t, lang in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, lang, None, None if t is None else len(t), *["x", 1, "y", "z", 2, "e", "d", 3, "k", "i", "m", 4, 5, *"abcdefghijklm"]) for i, t, lang in rows], SCHEMA)
 
     return make
 
