@@ -34,7 +34,7 @@ def test_phrases_against_plain_parsing():
     rng = random.Random(1)
     samples = {"x": ["".join(rng.choice("abcd ") for _ in range(300))], "y": ["".join(rng.choice("cdef ") for _ in range(300))]}
     model = language_id.train(samples)
-    texts = ["".join(rng.choice("abcdefz ") for _ in range(n)) for n in (1, 7, 100, 511)] + ["", "..."]
+    texts = ["".join(rng.choice("abcdefz ") for _ in range(n)) for n in (1, 7, 100, 511, 512, 513, 5000)] + ["", "...", samples["x"][0] * 8, "ab" * 2000]
 
     def plain(text, sample):
         count, at = 0, 0
@@ -72,6 +72,31 @@ def test_language_of_odd_rows(spark, docs_of, odd_rows):
     assert language_id.identify(docs_of([])).count() == 0
     kept = language_id.keep_identified(docs_of(odd_rows))
     assert kept.schema == docs_of(odd_rows).schema and kept.count() == len(odd_rows) - 5
+    assert {r.lang for r in kept.collect()} == {"en", "de", "fr"}  # predicted where it was null
+    assert language_id.keep_identified(docs_of([])).count() == 0
+    # where nothing is labelled nothing is learned, and texts with a letter stay
+    unlabelled = language_id.keep_identified(docs_of([(1, "abc", None), (2, "12", None)])).collect()
+    assert [(r.doc_id, r.lang) for r in unlabelled] == [(1, None)]
+
+
+def test_stage_selects_languages(spark, docs_of):
+    rng = random.Random(3)
+    word = {"xx": lambda: "".join(rng.choice("abcd") for _ in range(5)), "yy": lambda: "".join(rng.choice("wxyz") for _ in range(5))}
+    rows = [(k, " ".join(word[lang]() for _ in range(60)), lang if k < 60 else None) for k in range(100) for lang in [("xx", "yy")[k % 2]]]
+    kept = language_id.keep_identified(docs_of(rows), languages=["yy"]).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(1, 100, 2)) and {r.lang for r in kept} == {"yy"}
+    assert language_id.keep_identified(docs_of(rows)).count() == 100
+
+
+def test_lanes_don_t_change_the_parse(monkeypatch):
+    rng = random.Random(2)
+    model = language_id.train({k: ["".join(rng.choice(c) for _ in range(400)) for _ in range(3)] for k, c in {"a": "abc ", "b": "bcd ", "c": "ace "}.items()})
+    seqs = [language_id.symbols(np.array([ord(c) for c in t], np.uint32), model.letters) for t in ["".join(rng.choice("abcde ") for _ in range(n)) for n in (0, 3, 900, 2500)] + ["abc" * 700]]
+    first = np.cumsum([0, *map(len, seqs)])
+    whole = language_id.phrases(model, np.concatenate(seqs), first)
+    for lane in (1, 5, 64, 10_000):
+        monkeypatch.setattr(language_id, "LANE", lane)
+        assert (language_id.phrases(model, np.concatenate(seqs), first) == whole).all()
 
 
 def test_text_stats():
@@ -151,6 +176,94 @@ def test_templates_learn_from_labels(spark):
     assert said[350] == ("/good/*", "allow") and said[351] == ("/spam/*", "block") and said[1003] == ("/*/*", "allow")
 
 
+def tree_brute(rows, good):
+    """(template, purity) of each (id, host, segments), by plain loops."""
+    u, found, level = url_templates, {}, 0
+    at = {i: ("", False) for i, _, _ in rows}
+    share = {i: float(good[i]) for i, _, _ in rows if good.get(i) is not None}
+    while any(not last for _, last in at.values()):
+        level += 1
+        nodes = {}
+        for i, host, segs in rows:
+            if not at[i][1]:
+                nodes.setdefault((host, at[i][0]), []).append((i, segs))
+        for (_, node), members in nodes.items():
+            kids = {}
+            for i, segs in members:
+                if len(segs) < level:
+                    at[i] = (node, True)
+                else:
+                    kids.setdefault(segs[level - 1], []).append((i, len(segs) > level))
+            stat = {k: (len(v), sum(i in share for i, _ in v), sum(share.get(i, 0) for i, _ in v)) for k, v in kids.items()}
+            own = {k for k, (n, m, _) in stat.items() if n >= u.LEAST and m}
+            rare = [stat[k] for k in kids if k not in own]
+            parts = [(*stat[k], k) for k in own] + ([(*(sum(x[c] for x in rare) for c in range(3)), None)] if rare else [])
+            bins = {}
+            for n, m, g, k in parts:
+                if m:
+                    bins.setdefault(min(int(g / m * u.BINS), u.BINS - 1), []).append((n, m, g, k))
+            clusters = []
+            for b in sorted(bins):
+                m, g = (sum(x[c] for x in bins[b]) for c in (1, 2))
+                if clusters:
+                    m0, g0 = clusters[-1]["m"], clusters[-1]["g"]
+                    pool = (g + g0) / (m + m0)
+                if not clusters or abs(g / m - g0 / m0) > u.Z * (max(pool * (1 - pool), 1e-9) * (1 / m + 1 / m0)) ** 0.5:
+                    clusters.append({"m": 0, "g": 0.0, "parts": []})
+                clusters[-1]["m"] += m
+                clusters[-1]["g"] += g
+                clusters[-1]["parts"] += bins[b]
+            to = {k: ("*", sum(x[0] for x in rare)) for k in kids if k not in own}
+            for c, cluster in enumerate(clusters):
+                names = [x[3] for x in cluster["parts"]]
+                label = "*" if len(clusters) == 1 else names[0] if len(names) == 1 and names[0] is not None else f"*{c}"
+                for k in kids if None in names else names:
+                    if k in names or k not in own:
+                        to[k] = (label, sum(x[0] for x in cluster["parts"]))
+            for k, v in kids.items():
+                for i, more in v:
+                    label, size = to[k]
+                    at[i] = (f"{node}/{label}" + ("/**" if more and size < u.LEAST else ""), not more or size < u.LEAST)
+    total, hosts, leaves = [0, 0.0], {}, {}
+    for i, host, _ in rows:
+        for sums in (total, hosts.setdefault(host, [0, 0.0]), leaves.setdefault((host, at[i][0]), [0, 0.0])):
+            sums[0] += i in share
+            sums[1] += share.get(i, 0)
+    base = total[1] / total[0] if total[0] else 1.0
+    for i, host, _ in rows:
+        m, g = leaves[host, at[i][0]]
+        prior = (hosts[host][1] + u.PRIOR * base) / (hosts[host][0] + u.PRIOR)
+        found[i] = (at[i][0], (g + u.PRIOR * prior) / (m + u.PRIOR))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, good = [], {}
+    for i in range(1500):
+        host = rng.choice(["a.org", "b.org"])
+        segs = [rng.choice(["news", "blog", "shop", "spam", "junk", f"rare{rng.choice('pqrstuvw')}"]) for _ in range(rng.randint(0, 3))] + [rng.choice("xyz")] * rng.choice([0, 1, 4])
+        if rng.random() < 0.7:
+            bad = 0.8 if "spam" in segs[:2] or "junk" in segs else 0.5 if segs[:1] == ["shop"] else 0.1
+            good[i] = rng.random() > bad
+        rows.append((i, host, segs))
+    pages = spark.createDataFrame([(i, f"http://{h}/{'/'.join(s)}") for i, h, s in rows], "page_id bigint, url string")
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in url_templates.judge(pages, spark.createDataFrame(list(good.items()), "page_id bigint, good boolean"), []).collect()}
+    want = tree_brute(rows, good)
+    assert {i: t for i, (t, *_) in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(abs(got[i][1] - p) < 1e-9 and got[i][2] == ("block" if p < url_templates.PURE else "allow") for i, (_, p) in want.items())
+    templates = {t for t, _ in want.values()}
+    assert any("*0" in t or "*1" in t for t in templates) and any(t.count("/") > 4 for t in templates)
+
+
+def test_deep_segments_are_told_apart(spark):
+    rows = [(k, f"http://h.org/a/b/c/d/e/{('good', 'spam')[k % 2]}/{k}") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(200)], "page_id bigint, good boolean")
+    said = {r.page_id: r.verdict for r in url_templates.judge(spark.createDataFrame(rows, "page_id bigint, url string"), labels, []).collect()}
+    assert said[298] == "allow" and said[299] == "block"
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there\nHow are you?"),
