@@ -53,15 +53,33 @@ def test_copies_with_null_ids_are_dropped(spark, docs_of, odd_rows):
     assert sorted((r.doc_id for r in alone.collect()), key=repr) == [1, None, None]
 
 
-def test_quotient_filters_merge_without_loss():
-    rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 500, 400).astype(np.uint64) << np.uint64(30), rng.integers(0, 500, 300).astype(np.uint64) << np.uint64(30)
-    f = exact_dedup.QuotientFilter
-    merged, whole = f.build(a, 39).merge(f.build(b, 39)), f.build(np.concatenate([a, b]), 39)
-    assert (merged.fingerprints() == whole.fingerprints()).all() and (merged.counts == whole.counts).all()
-    assert sum(len(p.counts) for _, p in whole.shards(6, 24)) == len(whole.counts)
-    one = f.build(a[:0], 39)
-    assert len(one.merge(one).counts) == 0
+@pytest.mark.parametrize("bits", [12, 24, 40, 63])
+def test_quotient_filters_merge_without_loss(bits):
+    from collections import Counter
+
+    rng, f = np.random.default_rng(0), exact_dedup.QuotientFilter
+    spread = rng.integers(0, 1 << min(bits, 62), 300).astype(np.uint64)
+    crowded = rng.integers(0, 40, 200).astype(np.uint64) + np.uint64((1 << bits) - 41)  # one cluster at the table's end
+    hot = np.full(100_000, spread[0])
+    parts = [np.r_[spread[:200], hot], np.r_[spread[100:], crowded], crowded, spread[:1], spread[:0]]
+    whole = f.build(parts[0], bits)
+    for p in parts[1:]:
+        whole = whole.merge(f.from_bytes(f.build(p, bits).to_bytes(), bits))
+    values, counts = whole.entries()
+    assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == Counter(np.concatenate(parts).tolist())
+    assert (np.diff(values.astype(object)) > 0).all()
+    # remainders are stored, quotients are not: they follow from the place of the run
+    assert whole.value.max() < 1 << whole.r_bits and whole.q_bits >= 8
+    assert ((whole.meta & exact_dedup.OCCUPIED) != 0).sum() == len(set((values >> np.uint64(whole.r_bits)).tolist()))
+
+
+def test_repeated_fingerprints_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH", 50)
+    values = [k * 37 % 5000 for k in range(400)] + [7] * 300 + [4999, 4999, None, None]
+    fps = spark.createDataFrame([(v,) for v in values], "x bigint").repartition(5)
+    for shard_bits in (0, 3):
+        got = sorted(r.fp for r in exact_dedup.repeated_fingerprints(fps, "x", 13, shard_bits).collect())
+        assert got == sorted(v for v in set(values) - {None} if values.count(v) > 1)
 
 
 def jaccard_brute(rows, t=80):
