@@ -1,7 +1,7 @@
 """Document fingerprints by homomorphic multiset hashing.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector, and the fingerprint is the
-sum of the vectors: WIDE lanes modulo 2**64 for equality and NEAR lanes modulo 2**16 for likeness, in which a paragraph
+sum of the vectors: WIDE lanes modulo 2**64 for equality and NEAR lanes modulo 2**32 for likeness, in which a paragraph
 counts its word shingles with pseudo-random signs. Sums don't depend on the order, and a paragraph is inserted or deleted
 by adding or subtracting its vector. The cosine of the signed NEAR lanes estimates how much two multisets share.
 """
@@ -27,7 +27,7 @@ _LANE = stream(92, WIDE)
 
 
 def vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(WIDE lanes uint64, NEAR lanes int16) of each text of a UTF-8 block; empty texts have one empty paragraph."""
+    """(WIDE lanes uint64, NEAR lanes int32) of each text of a UTF-8 block; empty texts have one empty paragraph."""
     n, size = len(offs) - 1, len(data)
     up, down = _power_tables(size + 1)
     acc = np.zeros(size + 1, np.uint64)
@@ -49,7 +49,7 @@ def vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     text_of = np.repeat(np.searchsorted(offs, cut[:-1], side="right") - 1, np.diff(first))
     lane = (grams & np.uint64(NEAR - 1)).astype(np.int64)
     sign = 1.0 - 2.0 * (grams >> np.uint64(63)).astype(np.float64)
-    near = np.bincount(text_of * NEAR + lane, sign, minlength=n * NEAR).astype(np.int64).astype(np.int16).reshape(n, NEAR)
+    near = np.bincount(text_of * NEAR + lane, sign, minlength=n * NEAR).astype(np.int64).astype(np.int32).reshape(n, NEAR)
     return wide, near
 
 
@@ -61,13 +61,13 @@ def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign
 
 def encode(wide: np.ndarray, near: np.ndarray) -> list[str]:
     """Fingerprints as base64 of the little-endian lanes."""
-    rows = np.concatenate([wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), near.astype("<i2").view(np.uint8).reshape(len(near), -1)], axis=1)
+    rows = np.concatenate([wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), near.astype("<i4").view(np.uint8).reshape(len(near), -1)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in rows]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 8 * WIDE], "<u8"), np.frombuffer(raw[8 * WIDE :], "<i2")
+    return np.frombuffer(raw[: 8 * WIDE], "<u8"), np.frombuffer(raw[8 * WIDE :], "<i4")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

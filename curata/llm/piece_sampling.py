@@ -30,9 +30,8 @@ META = "▁"
 #: Stands for a meta symbol of the text itself while words are cut; a lone surrogate, which no valid text has.
 _LITERAL = "\udc00"
 _WORD = re.compile(f"{META}*[^{META}]+|{META}+")
-#: A word of more characters is cut into stretches of so many, and no piece runs across a cut. Words drawn at a time.
-LONG, RUN = 256, 300_000
-_CUT = re.compile(f".{{1,{LONG}}}", re.DOTALL)
+#: Words drawn at a time.
+RUN = 300_000
 _FILTER_BITS = 21
 
 
@@ -169,7 +168,6 @@ class PieceModel:
     def sample(self, texts: list[str], keys: np.ndarray, seed: int, alpha: float) -> list[np.ndarray]:
         """Piece ids of each text; keys are one uint64 per text."""
         words = [_WORD.findall(META + t.replace(META, _LITERAL).replace(" ", META)) for t in texts]
-        words = [own if max(map(len, own)) <= LONG else [x for w in own for x in _CUT.findall(w)] for own in words]
         count = np.array([len(w) for w in words], np.int64)
         text_of = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(text_of)) - np.repeat(np.cumsum(count) - count, count)

@@ -80,6 +80,31 @@ def test_pieces_follow_the_lattice():
         assert abs(got[p] / 6000 - w / total) < 0.03
 
 
+def test_long_words_keep_their_whole_lattice():
+    """A word without a space far beyond any stretch: at a low temperature the draw is the best path of the whole word."""
+    m = piece_sampling.PieceModel(PIECES)
+    rng = random.Random(3)
+    word = piece_sampling.META + "".join(rng.choice(["the", "ing", "er", "on", "ation", "pre", "q", "z"]) for _ in range(500))
+    best, back = [0.0] + [-float("inf")] * len(word), [0] * (len(word) + 1)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - m.longest), j):
+            w = m.weights.get(word[i:j], (0, m.spelt if j - i == 1 else -float("inf")))[1]
+            if best[i] + w > best[j]:
+                best[j], back[j] = best[i] + w, i
+    score = {v[0]: v[1] for v in m.weights.values()}
+    ids = m.sample([word[1:]], mix(np.arange(1, dtype=np.uint64)), 0, 500.0)[0]
+    assert abs(sum(score[int(i)] for i in ids) - best[-1]) < 0.05 and len(word) > 1200
+    assert m.decode(ids) == word[1:]
+
+
+def test_repeats_beyond_any_lane_width():
+    many = " ".join(["a b c"] * 40_000)
+    wide, near = fingerprint._vectors([many])
+    assert np.abs(near[0].astype(np.int64)).max() > 1 << 15
+    once = fingerprint.likeness((wide, near), fingerprint._vectors([many + " d"]))
+    assert once[0] > 0.99
+
+
 def test_fingerprints_add_up():
     a, b = "one two three\nfour five six\n", "seven eight nine ten"
     vec = lambda t: fingerprint._vectors([t])
