@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +55,15 @@ def strip_controls(text: Column) -> Column:
 
 def clean_language(text: Column) -> Column:
     """A language answer as a two-letter code, or `int` where it names none."""
-    t = F.lower(strip_controls(F.coalesce(text, F.lit(""))))
+    return once(F.lower(strip_controls(F.coalesce(text, F.lit("")))), _code)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _code(t: Column) -> Column:
     out = F.when(t == "", F.lit(NO_LANGUAGE))
     for word in UNCERTAIN:
         out = out.when(t.contains(word), F.lit(NO_LANGUAGE))

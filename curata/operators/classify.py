@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.text import base64_length, context_size, file_name, parent_path, strip_controls, strip_fences, target_name, token_estimate
+from curata.functions.text import base64_length, context_size, file_name, once, parent_path, strip_controls, strip_fences, target_name, token_estimate
 from curata.plans.scratch import Scratch
 from curata.sources.connectors import ERROR, OK, RETRY, Connector
 
@@ -26,6 +26,9 @@ textLanguageGuess (language of the writing, "Unknown" if unclear, "" without wri
 action, not for the kind of figure), keyword (one to three words for the gist)."""
 
 
+TEXT_PROMPT = """You help with sorting stickers. Answer the request in plain text, briefly, and use the given context only."""
+
+
 def build_prompt(categories: list[tuple[str, str]]) -> str:
     """The user prompt: an intro, then `Tag:` and `Description:` of each base category in the config's order."""
     intro = "Look at this sticker and describe it. Set hasText if you see writing and guess its language. Choose an emoji, a keyword and all fitting tags for detectedTags from this list:\n\n"
@@ -49,7 +52,10 @@ def parse_answer(raw: Column) -> Column:
     Code fences are cut; tags are trimmed, lower-cased and distinct, and there must be one at least and none null; hasText
     turns false where no language is named or it is unknown, and the language's text stays as it is.
     """
-    answer = F.from_json(strip_fences(raw), ANSWER)
+    return once(F.from_json(strip_fences(raw), ANSWER), lambda answer: _checked(raw, answer))
+
+
+def _checked(raw: Column, answer: Column) -> Column:
     tags = F.array_distinct(F.transform(answer["detectedTags"], lambda t: F.lower(strip_controls(t))))
     valid = ~F.coalesce(strip_controls(raw) == "", F.lit(True)) & (F.coalesce(F.size(answer["detectedTags"]), F.lit(0)) > 0) & ~F.exists(answer["detectedTags"], lambda t: t.isNull())
     language = answer["textLanguageGuess"]
@@ -58,10 +64,11 @@ def parse_answer(raw: Column) -> Column:
     return F.when(valid, F.struct(tags.alias("tags"), has_text.alias("hasText"), language.alias("textLanguageGuess"), answer["emoji"].alias("emoji"), answer["keyword"].alias("keyword")))
 
 
-def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
+def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT, text_prompt: str = TEXT_PROMPT) -> DataFrame:
     """The requests with status (ok, retry or error) and raw; image requests with no path are retried.
 
-    content, if the requests have it, is handed to the connector. One batch of rows is in memory at a time.
+    The system prompt is that of the request's kind. content and context, if the requests have them, are handed to the
+    connector. One batch of rows is in memory at a time.
     """
     names = requests.columns
 
@@ -73,7 +80,7 @@ def process(requests: DataFrame, connector: Connector, system_prompt: str = SYST
                     got.append((RETRY, None))
                     continue
                 try:
-                    got.append(connector.process(row | {"system_prompt": system_prompt}))
+                    got.append(connector.process(row | {"system_prompt": system_prompt if row["kind"] == "image" else text_prompt}))
                 except Exception:  # noqa: BLE001  a connector's own failure is a failed attempt
                     got.append((RETRY, None))
             yield pdf.assign(status=[s for s, _ in got], raw=[r for _, r in got])
@@ -82,16 +89,19 @@ def process(requests: DataFrame, connector: Connector, system_prompt: str = SYST
     return requests.mapInPandas(run, schema).select(*names, "status", "raw")
 
 
-def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTEMPTS) -> DataFrame:
+def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTEMPTS, workers: int | None = None) -> DataFrame:
     """One row per request: status (classified, string, error or exhausted), attempts, raw and the parsed answer.
 
+    workers, if given, is the number of calls at a time.
+
     Every round calls the connector for what is still open and writes its results, so a call is never repeated by a
     recomputation. Exhausted requests are rows of their own and no errors.
     """
     work = Scratch(requests.sparkSession, "requests")
     open_, done = requests, []
     for k in range(attempts):
-        called = process(open_.withColumn("attempt", F.lit(k)), connector)
+        dealt = open_.repartition(workers) if workers else open_
+        called = process(dealt.withColumn("attempt", F.lit(k)), connector)
         valid = F.when(F.col("kind") == "image", parse_answer(F.col("raw")))
         judged = called.withColumn("answer", F.when(F.col("status") == OK, valid))
         kept = (F.col("status") == OK) & (F.col("answer").isNotNull() | ((F.col("kind") != "image") & F.col("raw").isNotNull()))
@@ -112,12 +122,13 @@ def match_categories(rows: DataFrame, base: DataFrame, compound: DataFrame, key:
     """(key, categories): names of the base categories whose lower-cased name is a tag, with those compounds whose members
     are exactly the names found; `other` if there are none. Rows are not multiplied: tags are looked up one by one.
 
-    base has name; compound has name and members, sorted. Both are configs, so they are read to the driver's size.
+    base has name; compound has name and members, sorted. Both are joined by equality, so Spark broadcasts them below its
+    own size limit and shuffles them beyond it.
     """
-    names = F.broadcast(base.select(F.lower("name").alias("tag"), F.col("name").alias("category")).distinct())
+    names = base.select(F.lower("name").alias("tag"), F.col("name").alias("category")).distinct()
     each = rows.select(key, F.explode_outer(tags).alias("tag")).join(names, "tag", "left")
     found = each.groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("found"))
-    whole = F.broadcast(compound.select(F.array_sort(F.array_distinct("members")).alias("found"), "name").groupBy("found").agg(F.array_sort(F.collect_set("name")).alias("compounds")))
+    whole = compound.select(F.array_sort(F.array_distinct("members")).alias("found"), "name").groupBy("found").agg(F.array_sort(F.collect_set("name")).alias("compounds"))
     joined = found.join(whole, "found", "left")
     all_ = F.array_sort(F.array_union("found", F.coalesce("compounds", F.array().cast("array<string>"))))
     return joined.select(key, F.when(F.size("found") == 0, F.array(F.lit(OTHER))).otherwise(all_).alias("categories"))
@@ -143,5 +154,10 @@ def moves(rows: DataFrame, suffix: str, reason: str) -> DataFrame:
     return rows.select(F.lit("move").alias("action"), F.col("image_path").alias("src"), dst.alias("dst"), F.lit(reason).alias("reason"))
 
 
+def next_request(requests: DataFrame, *arrival: str) -> DataFrame:
+    """The request that came first, if there is one: a top-1 by partial sorts, whatever the length of the queue."""
+    return requests.orderBy(*arrival).limit(1)
+
+
 def error_plan(results: DataFrame) -> DataFrame:
     return moves(results.filter("status = 'error'"), "_error", "error")

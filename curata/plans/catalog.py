@@ -19,12 +19,16 @@ from pyspark.sql import types as T
 
 from curata.functions import images, text
 from curata.operators import classify, dedup, sessions, similarity, throughput
+from curata.plans.scratch import Scratch
 from curata.sources import config, connectors
+from curata.sources import files as sources
+from curata.streaming import requests as queue
 from curata.streaming import throughput as streams
 
 #: Distance of the similarity queries, and the mean up to which a cluster counts as copies; the vectors have no nearer ones.
 NEAR, COPIES = 0.30, 0.28
 PHRASES = ["EN", "looks like Spanish.", "en-US", "brazilian portuguese", "Korean", "zz", "Unknown", "could be french", "Klingon", "english or german", "  ", "Japanese (kanji)"]
+SUFFIXES = [".png", ".PNG", ".jpeg", ".txt", ".tif", "png", ".webp.bak", ".GIF", "", ".jpg"]
 ANSWERS = [
     '```json\n{"detectedTags": [" Bear ", "bear", "CAT"], "hasText": true, "textLanguageGuess": "Korean", "emoji": "x", "keyword": "happy greeting"}\n```',
     '{"detectedTags": [], "hasText": true, "textLanguageGuess": "en", "emoji": "x", "keyword": "k"}',
@@ -277,6 +281,121 @@ def _pictures(key: pd.Series, vectors: pd.Series) -> pd.Series:
     return pd.Series([_square_png(list(v), k % 2 == 0) for k, v in zip(key, vectors, strict=True)])
 
 
+def streaming_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 60-minute windows with their rate per minute and the time that a queue of 1000 needs, streamed in update mode."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = streams.run_to_table(streams.sliding_counts(stream, length="60 minutes", slide="10 minutes"), Scratch(spark, "sliding"), ["window_start"])
+    return streams.with_rates(counts, 1000, 60).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "per_minute", "eta")
+
+
+def image_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique, _ = dedup.unique_and_duplicates(files(spark, sf_dir))
+    return classify.image_requests(unique, classify.build_prompt([(n, f"about {n}") for n in BASE]), "s1", None)
+
+
+class Dispatch:
+    """A connector that answers with what it was sent: the kind's body without its options."""
+
+    http = connectors.HttpConnector("http://localhost", "eyes", "words")
+
+    def process(self, request: dict) -> tuple[str, str | None]:
+        body = self.http.body(request)
+        system, user = body["messages"]
+        return connectors.OK, "|".join([body["model"], system["content"], user["content"], ",".join(user.get("images", []))])
+
+
+def request_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests of both kinds, some with a context: model, prompts and contents of what is sent."""
+    image = F.col("o_orderkey") % 3 == 0
+    rows = table(spark, sf_dir, "orders").select(F.lit("s").alias("session_id"), F.when(image, "image").otherwise("text").alias("kind"), F.col("o_orderkey").cast("string").alias("image_path"), F.concat(F.lit("about "), "o_orderpriority").alias("prompt"), F.lit("t").alias("prompt_type"), F.lit(None).cast("string").alias("json_format"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("context"), F.when(image, F.col("o_orderstatus").cast("binary")).alias("content"), F.lit(0).alias("attempt"))
+    sent = classify.process(rows, Dispatch())
+    return sent.select(F.col("image_path").cast("bigint").alias("o_orderkey"), "kind", "status", "raw")
+
+
+def next_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waiting = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    return classify.next_request(waiting, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+def queued_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' requests through the streaming queue until it is drained."""
+    root = Scratch(spark, "queue").root
+    paths = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"))
+    queue.enqueue(classify.image_requests(paths, "prompt", "s"), f"{root}/queue")
+    for _ in range(classify.ATTEMPTS):
+        queue.start_worker(spark, f"{root}/queue", f"{root}/results", f"{root}/mark", CountedFailures()).awaitTermination()
+    return queue.finished(spark, f"{root}/results").select(F.col("image_path").cast("bigint").alias("c_custkey"), "state", (F.col("attempt") + 1).cast("bigint").alias("attempts"))
+
+
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as sessions in a store: created, moved on by their key, and looked up again; an unknown one is an error."""
+    store = sessions.SessionStore(spark, Scratch(spark, "store").root)
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    base, compound = _categories(spark)
+    for r in rows:
+        store.create(r.r_name, f"/in/{r.r_regionkey}", None, base, compound)
+        if r.r_regionkey % 2:
+            store.set_state(r.r_name, "CLASSIFYING")
+    found = [store.session(r.r_name) for r in rows]
+    try:
+        store.session("nowhere")
+        missing = "found"
+    except KeyError:
+        missing = "unknown"
+    return spark.createDataFrame([(f["session_id"], f["work_directory"], f["state"]) for f in found] + [("nowhere", None, missing)], "session_id string, work_directory string, state string")
+
+
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cluster_summary(similarity.rank_clusters(_pruned(spark, sf_dir)[0]))
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors' hashes and altered copies with up to 20 bits flipped, compared at the default threshold."""
+    key = F.regexp_extract("path", "[0-9]+", 0).cast("bigint")
+    flips = F.expr("aggregate(sequence(0, 19), 0L, (acc, i) -> if(i < k % 21, acc | shiftleft(1L, cast((k * 7 + i * 3) % 64 as int)), acc))")
+    have = hashes(spark, sf_dir).withColumn("k", key)
+    copies = have.select(F.concat("path", F.lit(".copy")).alias("path"), F.col("phash").bitwiseXOR(flips).alias("phash"))
+    return similarity.similar_pairs(have.select("path", "phash").unionByName(copies), similarity.ClusterConfig().similarity_threshold).select("p1", "p2", F.col("bits").cast("bigint").alias("bits"))
+
+
+def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = T.StructType().add("tags", T.ArrayType(T.StringType())).add("hasText", T.BooleanType()).add("count", T.LongType())
+    return table(spark, sf_dir, "region").select("r_regionkey", F.lit(text.json_schema(kind)).alias("schema"))
+
+
+def prompt_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.context_json(row).alias("data"), text.context_json().alias("empty"))
+
+
+def suffix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("p_partkey") % len(SUFFIXES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/in/"), "p_brand", names).alias("path"))
+    return rows.select("p_partkey", F.col("path"), sources.is_image(F.col("path")).alias("image"), sources.is_image(F.col("path"), ("png",)).alias("png"))
+
+
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue, counters and rate at the instant of the last event."""
+    events, waiting = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    now = events.agg(F.max("ts")).first()[0]
+    return throughput.gauges(waiting, events, F.col("event_type") == "error", F.lit(now))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("red", "green", "blue")]))
+def _sums(content: pd.Series) -> pd.DataFrame:
+    sums = [images.decode_png(bytes(c))[..., :3].reshape(-1, 3).sum(axis=0).tolist() for c in content]
+    return pd.DataFrame(sums, columns=["red", "green", "blue"])
+
+
+def png_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the channels of the decoded pictures, those of the broken half after their repair."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _pictures("vec_id", "embedding").alias("content"))
+    found = rows.withColumn("broken", images.is_cgbi(F.col("content")))
+    good = F.when(F.col("broken"), images.fixed_png("content")["content"]).otherwise(F.col("content"))
+    return found.withColumn("s", _sums(good)).select("vec_id", "broken", "s.red", "s.green", "s.blue")
+
+
 def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as pictures, half of them broken: found, repaired, decoded and hashed."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", _pictures("vec_id", "embedding").alias("content"))
@@ -288,7 +407,7 @@ def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair)
+        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
     }
 
 
@@ -354,7 +473,7 @@ m AS (SELECT g, CASE WHEN len(found) = 0 THEN ['other'] {whole} ELSE found END A
         "duplicate_moves": f"WITH {FILES}, f AS (SELECT *, min(path) OVER (PARTITION BY hash) AS first FROM files) SELECT 'move' AS action, path AS src, '/data/' || source || '_duplicates/' || split_part(first, '/', 4) || '_' || split_part(path, '/', 4) AS dst, 'duplicate' AS reason FROM f WHERE path > first",
         "consolidation_plan": f"""WITH {FILES}, g AS (SELECT hash, list_sort(list(path)) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1),
 t AS (SELECT paths[1] AS src, '/data/' || folder || '/' || split_part(paths[1], '/', 4) AS dst FROM g),
-k AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 + (CASE WHEN dst IN (SELECT path FROM files) THEN 1 ELSE 0 END) AS n FROM t)
+k AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 + (CASE WHEN dst IN (SELECT path FROM files) THEN 1 ELSE 0 END) AS n FROM t),
 c AS (SELECT src, CASE WHEN n = 0 THEN dst ELSE replace(dst, '.png', '_' || n || '.png') END AS dst FROM k)
 SELECT 'copy' AS action, src, dst, 'consolidate' AS reason FROM c
 UNION ALL SELECT 'delete', unnest(paths), dst, 'consolidated' FROM g JOIN c ON c.src = paths[1]""",
@@ -396,6 +515,32 @@ SELECT doc_id, tokens, encoded, greatest(4000, least(65536, CAST(floor(tokens +
         "path_parts": f"WITH {FILES} SELECT path, split_part(path, '/', 4) AS name, source AS folder, '/data/' || source || '_processed' AS processed FROM files",
         "log_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%d_%H-%M-%S') AS file_stamp, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS line_stamp FROM events",
         "retry_rounds": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 6 > 3 THEN 'exhausted' ELSE 'classified' END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE least(o_orderkey % 6 + 1, 4) END AS attempts FROM orders",
+        "streaming_rates": """WITH w AS (SELECT unnest(range(0, 6)) AS k), e AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(10 * k) AS s FROM events, w),
+c AS (SELECT s, count(*) AS n FROM e GROUP BY s), r AS (SELECT s, n, n / 60.0::DOUBLE AS per_minute FROM c),
+t AS (SELECT *, CASE WHEN per_minute <= 0.01 THEN NULL ELSE CAST(trunc(1000 / per_minute * 60) AS BIGINT) END AS sec FROM r)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, n, per_minute, CASE WHEN sec IS NULL THEN 'unknown' WHEN sec >= 3600 THEN (sec // 3600) || 'h ' || (sec % 3600 // 60) || 'm' WHEN sec >= 60 THEN (sec // 60) || 'm ' || (sec % 60) || 's' ELSE sec || 's' END AS eta FROM t""",
+        "image_requests": f"""WITH {FILES}, u AS (SELECT min(path) AS path, arg_min(size, path) AS size FROM files GROUP BY hash)
+SELECT 's1' AS session_id, 'image' AS kind, path AS image_path, {_quoted(classify.build_prompt([(n, f"about {n}") for n in BASE]))} AS prompt, 'STICKER_CLASSIFICATION' AS prompt_type, CAST(NULL AS VARCHAR) AS json_format,
+greatest(4000, least(65536, CAST(floor(floor({len(classify.SYSTEM_PROMPT) + len(classify.build_prompt([(n, f"about {n}") for n in BASE]))} / 4.0::DOUBLE * 1.2::DOUBLE + 0.5::DOUBLE) + 4 * ceil(size / 3.0::DOUBLE) / 4.0::DOUBLE * 1.3::DOUBLE + 0.5::DOUBLE) AS BIGINT))) AS context_size FROM u""",
+        "request_dispatch": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'image' ELSE 'text' END AS kind, 'ok' AS status,
+CASE WHEN o_orderkey % 3 = 0 THEN 'eyes|' || {_quoted(classify.SYSTEM_PROMPT)} || '|about ' || o_orderpriority || '|' || base64(encode(o_orderstatus))
+ELSE 'words|' || {_quoted(classify.TEXT_PROMPT)} || '|' || (CASE WHEN o_orderkey % 2 = 0 THEN 'Context: ' || o_orderstatus || chr(10) || chr(10) ELSE '' END) || 'about ' || o_orderpriority || '|' END AS raw FROM orders""",
+        "next_request": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1",
+        "queued_requests": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'error' WHEN c_custkey % 6 > 3 THEN 'exhausted' ELSE 'classified' END AS state, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE least(c_custkey % 6 + 1, 4) END AS attempts FROM customer",
+        "session_lookup": "SELECT r_name AS session_id, '/in/' || r_regionkey AS work_directory, CASE WHEN r_regionkey % 2 = 1 THEN 'CLASSIFYING' ELSE 'DISCOVERING' END AS state FROM region UNION ALL SELECT 'nowhere', NULL, 'unknown'",
+        "cluster_summary": f"WITH RECURSIVE {GROUPED} SELECT count(*) AS clusters, CAST(sum(len(paths)) AS BIGINT) AS files, CAST(max(len(paths)) AS BIGINT) AS largest FROM ranked",
+        "near_pairs": """WITH v AS (SELECT printf('/vec/%07d.png', vec_id) AS path, vec_id AS k, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+c AS (SELECT path, s FROM v UNION ALL SELECT path || '.copy', list_transform(range(0, 64), lambda b: s[b + 1] <> (len(list_filter(range(0, 20), lambda i: i < k % 21 AND (k * 7 + i * 3) % 64 = b)) > 0)) FROM v)
+SELECT p1, p2, bits FROM (SELECT a.path AS p1, b.path AS p2, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END)) AS BIGINT) AS bits FROM c a JOIN c b ON a.path < b.path) WHERE bits / 64.0 <= 0.16""",
+        "result_schema": """SELECT r_regionkey, '{"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": {"count": {"type": "integer"}, "hasText": {"type": "boolean"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["count", "hasText", "tags"]}' AS schema FROM region""",
+        "prompt_data": "SELECT n_nationkey, CAST(to_json(struct_pack(name := n_name, region := n_regionkey)) AS VARCHAR) AS data, '{}' AS empty FROM nation",
+        "suffix_filter": f"""WITH r AS (SELECT p_partkey, '/in/' || p_brand || {_list(SUFFIXES)}[p_partkey % {len(SUFFIXES)} + 1] AS path FROM part)
+SELECT p_partkey, path, regexp_matches(lower(path), '\\.(jpg|jpeg|png|gif|bmp|webp|tiff|tif)$') AS image, ends_with(lower(path), '.png') AS png FROM r""",
+        "gauges": """WITH m AS (SELECT max(ts) AS now FROM events)
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS queue, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (ts > now - INTERVAL 5 MINUTES AND ts <= now) / 5.0::DOUBLE AS per_minute_5 FROM events, m""",
+        "png_channels": """WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: least(255, greatest(0, CAST(trunc(128 + 400 * v) AS BIGINT)))) AS x FROM embeddings),
+s AS (SELECT vec_id, vec_id % 2 = 0 AS broken, CAST(list_sum(list_transform(x, lambda v: v // 2)) AS BIGINT) AS a, CAST(list_sum(x) AS BIGINT) AS green, CAST(list_sum(list_transform(x, lambda v: v // 3)) AS BIGINT) AS b FROM p)
+SELECT vec_id, broken, CASE WHEN broken THEN b ELSE a END AS red, green, CASE WHEN broken THEN a ELSE b END AS blue FROM s""",
         "session_summary": """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderkey AS k FROM orders)
 SELECT session_id, count(*) AS requests, count(*) FILTER (k % 13 <> 0) AS results, count(*) FILTER (k % 13 <> 0 AND k % 5 <> 0 AND k % 11 <> 0) AS classified, count(*) FILTER (k % 13 <> 0 AND k % 5 = 0) AS errors, count(*) FILTER (k % 13 <> 0 AND k % 5 <> 0 AND k % 11 = 0) AS exhausted,
 CASE WHEN count(*) FILTER (k % 13 = 0) = 0 THEN 'COMPLETED' ELSE 'CLASSIFYING' END AS state FROM r GROUP BY session_id""",

@@ -11,14 +11,14 @@ from curata.functions.images import content_hash, fixed_png, is_cgbi, phash
 from curata.operators import classify, dedup, similarity
 from curata.operators.sessions import SessionStore
 from curata.plans.scratch import Scratch
-from curata.sources.config import Config, resolve
+from curata.sources.config import Config, Settings, resolve
 from curata.sources.connectors import Connector
-from curata.sources.files import IMAGE_SUFFIXES, scan_images
+from curata.sources.files import IMAGE_SUFFIXES, readable, scan_images
 
 
 def hashed(images: DataFrame) -> DataFrame:
     """(path, hash, size); contents are dropped before any shuffle. Unreadable files have a null hash."""
-    return images.select("path", content_hash(F.col("content")).alias("hash"), "size")
+    return readable(images, content_hash(F.col("content"))).select("path", F.col("value").alias("hash"), "size")
 
 
 @dataclass
@@ -47,7 +47,7 @@ def validate(images: DataFrame) -> DataFrame:
 def cluster_and_rank(spark: SparkSession, root: str, config: similarity.ClusterConfig = similarity.ClusterConfig(), hidden: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Similarity clusters of the PNGs of a tree: (ranked clusters, planned prunes, planned renames)."""
     images = scan_images(spark, root, ("png",), hidden)
-    hashes = Scratch(spark, "cluster").table(images.select("path", phash(F.col("content")).alias("phash"), "size"), "hashes")
+    hashes = Scratch(spark, "cluster").table(readable(images, phash(F.col("content"))).select("path", F.col("value").alias("phash"), "size"), "hashes")
     pruned, prunes = similarity.prune_full_matches(similarity.clusters(hashes, config.similarity_threshold), hashes, config)
     ranked = similarity.rank_clusters(pruned)
     return ranked, prunes, similarity.group_rename_plan(ranked, hashes.select("path"))
@@ -62,7 +62,7 @@ def consolidate(spark: SparkSession, root: str, hidden: bool = False) -> DataFra
     return dedup.consolidation_plan(files, root, files.select("path"))
 
 
-def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True, images: DataFrame | None = None, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests for unique files, their results, and the planned copies, moves and quarantines.
 
     images (path, content) is needed by connectors that send the bytes.
@@ -70,7 +70,7 @@ def classify_images(spark: SparkSession, config: Config, unique: DataFrame, conn
     base, compound = resolve(config.table(spark))
     prompt = classify.build_prompt([(r["name"], r["description"]) for r in config.rows if not r["compoundCategory"]])
     requests = classify.image_requests(unique, prompt, session_id)
-    results = classify.run_requests(requests if images is None else classify.with_contents(requests, images), connector)
+    results = classify.run_requests(requests if images is None else classify.with_contents(requests, images), connector, workers=workers)
     good = results.filter("status = 'classified'").select("image_path", "answer.*")
     named = good.join(classify.match_categories(good, base, compound), "image_path")
     held = existing if existing is not None else spark.createDataFrame([], "path string")
@@ -78,20 +78,28 @@ def classify_images(spark: SparkSession, config: Config, unique: DataFrame, conn
     return results, plan.unionByName(classify.error_plan(results))
 
 
-def run_session(spark: SparkSession, config: Config, connector: Connector, store: SessionStore, session_id: str, hidden: bool = False) -> DataFrame:
-    """A whole session: discovery, requests and results, with the session's state; returns the planned actions.
+def run_session(spark: SparkSession, config: Config, connector: Connector, store: SessionStore, session_id: str, hidden: bool = False, settings: Settings = Settings()) -> DataFrame:
+    """A whole session: discovery, requests with the images' bytes, and results, with the session's state; returns the planned actions.
 
-    A failure sets FAILED and is raised again. The session is COMPLETED once every request has a result.
+    A connector that can warm up does so first; its failure is none of the session's. A failure sets FAILED and is raised
+    again. The session is COMPLETED once every request has a result, and FAILED if there are requests and none was answered.
+    Repaired contents of broken images replace theirs in the requests; their actions are those of `write_repaired`.
     """
     base, compound = resolve(config.table(spark))
     store.create(session_id, config.work_directory, config.output_directory, base, compound)
     try:
-        found = discover(spark, config.work_directory, hidden=hidden)
+        if hasattr(connector, "warm_up"):
+            connector.warm_up()
+        found = discover(spark, config.work_directory, settings.remove_duplicates, hidden)
         store.set_state(session_id, "CLASSIFYING")
         store.add_requests(session_id, classify.image_requests(found.unique, "", session_id))
-        results, plan = classify_images(spark, config, found.unique, connector, session_id)
+        images = scan_images(spark, config.work_directory, ("png",), hidden).select("path", "content")
+        fixed = found.repaired.filter("fixed is not null").select("path", "fixed")
+        images = images.join(fixed, "path", "left").select("path", F.coalesce("fixed", "content").alias("content"))
+        results, plan = classify_images(spark, config, found.unique, connector, session_id, remove_original=settings.remove_original, images=images, workers=settings.workers)
         store.add_results(session_id, results)
-        store.set_state(session_id, "COMPLETED")
+        counts = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("classified", "string")).alias("answered")).first()
+        store.set_state(session_id, "FAILED" if counts.n and not counts.answered else "COMPLETED")
     except Exception:
         store.set_state(session_id, "FAILED")
         raise

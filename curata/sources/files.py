@@ -4,13 +4,41 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.plans.scratch import Scratch
+
 #: Suffixes of images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif")
 
 
+def is_image(path: Column, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> Column:
+    """Whether a path ends in one of the suffixes, whatever their case."""
+    return F.lower(path).rlike(r"\.(%s)$" % "|".join(suffixes))
+
+
+def readable(images: DataFrame, value: Column) -> DataFrame:
+    """(path, size, value) of scanned images: files that can't be read have a null value and stop nothing.
+
+    The listing and the reading are joined by path, so that a file which Spark skips when it reads keeps its row. Files
+    that are gone since they were listed are gone.
+    """
+    spark = images.sparkSession
+    names = ("spark.sql.files.ignoreCorruptFiles", "spark.sql.files.ignoreMissingFiles")
+    before = {n: spark.conf.get(n) for n in names}
+    work = Scratch(spark, "read")
+    try:
+        for n in names:
+            spark.conf.set(n, "true")
+        listed = work.table(images.select("path", "size"), "listed")
+        read = work.table(images.select("path", value.alias("value")), "values")
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    return listed.join(read, "path", "left")
+
+
 def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("png",), hidden: bool = False) -> DataFrame:
     """(path, size, modificationTime, content) of the image files below a folder, or of one image file.
 

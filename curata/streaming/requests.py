@@ -6,6 +6,8 @@ goes back to the folder's end with its attempt counted, so a crash loses nothing
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +18,11 @@ from curata.sources.connectors import ERROR, OK, Connector
 QUEUED = f"{REQUEST}, attempt int"
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def enqueue(requests: DataFrame, queue: str, attempt: int = 0) -> None:
     requests.withColumn("attempt", F.lit(attempt)).select([c.split()[0] for c in QUEUED.split(", ")]).write.mode("append").parquet(queue)
 
@@ -26,7 +33,8 @@ def start_worker(spark: SparkSession, queue: str, results: str, checkpoint: str,
     partitions bounds the calls at a time. With interval None it ends when the queue is drained for now; start it again for
     what was sent back meanwhile. Results are keyed by batch, so a repeated batch replaces its own files.
     """
-    stream = spark.readStream.schema(QUEUED).option("maxFilesPerTrigger", 100).parquet(queue)
+    stream = spark.readStream.schema(QUEUED).option("maxFilesPerTrigger", 100).option("recursiveFileLookup", True).parquet(queue)
+    tag = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def work(batch: DataFrame, batch_id: int) -> None:
         rows = batch.repartition(partitions) if partitions else batch
@@ -35,8 +43,11 @@ def start_worker(spark: SparkSession, queue: str, results: str, checkpoint: str,
         state = F.when(F.col("status") == ERROR, "error").when(F.col("ok"), "classified").when(F.col("attempt") >= ATTEMPTS - 1, "exhausted").otherwise("again")
         out = f"{results}/batch={batch_id}"
         judged.withColumn("state", state).write.mode("overwrite").parquet(out)
-        again = spark.read.parquet(out).filter("state = 'again'")
-        again.withColumn("attempt", F.col("attempt") + 1).select([c.split()[0] for c in QUEUED.split(", ")]).write.mode("append").parquet(queue)
+        # a batch that is repeated after a crash must not queue its requests twice: its folder is written once
+        sent = f"{queue}/again-{tag}-{batch_id}"
+        if not exists(spark, f"{sent}/_SUCCESS"):
+            again = spark.read.parquet(out).filter("state = 'again'")
+            again.withColumn("attempt", F.col("attempt") + 1).select([c.split()[0] for c in QUEUED.split(", ")]).write.mode("overwrite").parquet(sent)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from curata.operators.throughput import with_eta
+from curata.plans.scratch import Scratch
+
 #: How long results may still matter: state older than this is dropped.
 RETENTION = "2 hours"
 
@@ -32,6 +35,29 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return stream.sparkSession.table(name)
 
 
+def run_to_table(stream: DataFrame, work: Scratch, keys: list[str]) -> DataFrame:
+    """Everything that is there now, through the streaming engine in update mode, as a written table with the last row of each key.
+
+    Unlike complete mode, update mode lets the watermark evict state, and nothing is held on the driver. Each batch writes
+    a folder of its own, so a repeated batch replaces its rows.
+    """
+    out = f"{work.root}/updates"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work.root}/mark").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch_id bigint").option("recursiveFileLookup", True).parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
+
+
+def with_rates(counts: DataFrame, queue: int, minutes: int) -> DataFrame:
+    """Sliding counts of windows of so many minutes with their rate per minute and the time that a queue of open requests needs."""
+    return with_eta(counts.withColumn("queue", F.lit(queue)).withColumn("per_minute", F.col("n") / F.lit(float(minutes))))
+
+
 class Consumer(Protocol):
     """priority: smaller ones go first. consume returns the rows that it leaves to the others."""
 

@@ -270,6 +270,71 @@ def test_session(spark, tree, tmp_path_factory):
     assert store.session("t")["state"] == "FAILED"
 
 
+def test_replayed_batches_queue_nothing_twice(spark, tmp_path):
+    q, out, mark = (str(tmp_path / x) for x in ("q", "out", "mark"))
+    queue.enqueue(spark.createDataFrame([("s", "image", "/late.png", "p", "t", None)], classify.REQUEST), q)
+    con = connectors.RuleConnector({"late": "late"}, fail={"/late.png": 2})
+    queue.start_worker(spark, q, out, mark, con).awaitTermination()
+    for name in os.listdir(os.path.join(mark, "commits")):  # as after a crash between the work and its commit
+        os.remove(os.path.join(mark, "commits", name))
+    for _ in range(3):
+        queue.start_worker(spark, q, out, mark, con).awaitTermination()
+    assert [(r.state, r.attempt) for r in queue.finished(spark, out).collect()] == [("classified", 2)]
+
+
+def test_session_without_answers_fails(spark, tree, tmp_path_factory):
+    store = sessions.SessionStore(spark, str(tmp_path_factory.mktemp("store")))
+    conf = config.Config(str(tree), "/out", [{"name": "Ape", "compoundCategory": [], "priority": 0, "description": "a"}])
+    silent = connectors.RuleConnector({}, fail={str(p): 9 for p in tree.rglob("*.*")})
+    pipelines.run_session(spark, conf, silent, store, "s", settings=config.Settings(workers=3, remove_duplicates=False))
+    assert store.session("s")["state"] == "FAILED"
+
+
+def test_http_connector_keeps_its_line_and_sends_contexts():
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            seen.append((self.client_address, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code = 429 if "busy" in seen[-1][1]["messages"][1]["content"] else 200
+            body = json.dumps({"message": {"content": "hi"}}).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    con = connectors.HttpConnector.of(config.Settings(url=f"http://127.0.0.1:{server.server_port}", text_model="words"))
+    assert con.warm_up() == "hi"
+    assert con.process({"kind": "text", "prompt": "p", "context": "c", "system_prompt": "s"}) == ("ok", "hi")
+    assert con.process({"kind": "image", "prompt": "busy", "content": b"x"}) == ("error", None)
+    assert len({a for a, _ in seen}) == 1 and seen[1][1]["messages"][1]["content"] == "Context: c\n\np" and seen[1][1]["model"] == "words"
+    server.shutdown()
+
+
+@pytest.mark.parametrize("bits", [7, 8, 10, 11])
+def test_band_neighbours_lose_no_pair(spark, bits):
+    import random
+
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 14))) for b in base for _ in range(4)]
+    rows = [(f"/{k:04d}", v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)]
+    assert similarity.bands_for(bits)
+    got = {(r.p1, r.p2, r.bits) for r in similarity.similar_pairs(spark.createDataFrame(rows, "path string, phash bigint"), bits / 64).collect()}
+    assert got == {(rows[i][0], rows[j][0], d) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (d := (values[i] ^ values[j]).bit_count()) <= bits}
+
+
 def test_settings():
     s = config.Settings.of({"curata.workers": "5", "curata.remove_original": "false", "spark.x": "y"})
     assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
