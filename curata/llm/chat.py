@@ -1,21 +1,31 @@
-"""Quotation linking of chat and mail messages, in DataFrame functions.
-
-A line that starts with `>` marks quotes others; the number of marks is its level. Quoted lines are normalised and hashed
-and joined with the messages of the same conversation that say them without marks, whatever their level. A message
-answers the latest earlier message that it quotes most of at its lowest level with a link, as a rule level one. The answers give each message a depth and a thread, by which a conversation
-can be read in the order of its replies, without the quotes.
+"""Quotation linking of chat and mail messages.
+
+A line that starts with `>` marks quotes others; the number of marks is its level. Adjacent quoted lines of one level are a
+passage. Passages are normalised and hashed (SHA-256) and joined with the messages of the same conversation that say the
+same lines in a row without marks, whatever the level; where no message says a whole passage, its lines are looked up one
+by one. A message answers the latest earlier message that it quotes most lines of at its lowest level with a link, as a
+rule level one. The answers give each message a depth and a thread, by which a conversation can be read in the order of
+its replies, without the quotes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curata.llm.kernels import tidy
 from curata.llm.scratch import Scratch
 
 _MARKS = r"^(?:[ \t]*>)+"
-_INTRO = r"(?i)^\s*(on\b.{0,200}\bwrote:|.{0,80}\bwrote:|-{2,}\s*original message\s*-{2,})\s*$"
+_INTRO = r"(?i)^\s*(.*\bwrote:|-{2,}\s*original message\s*-{2,})\s*$"
+#: Turns of a block: the latest earlier source of a quote is looked for in the quote's own block, and else in the blocks before.
+BLOCK = 1024
+_LEVEL, _BREAK, _BLANK = re.compile(r"(?:[ \t]*>)+"), re.compile(r"\r\n?|\n"), re.compile(r"[\x00-\x20]+")
 #: Reply chains double their reach each round, so this is beyond any chain of 2**40 messages.
 MAX_ROUNDS = 40
 
@@ -26,9 +36,63 @@ def level(line: Column) -> Column:
     return F.length(F.regexp_replace(marks, r"[^>]", ""))
 
 
-def said(line: Column) -> Column:
-    """A line without marks and case, with single spaces: what quoted and original lines have in common."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"[\x00-\x20]+", " "))
+def passages(text: str) -> tuple[list[tuple[int, list[str]]], list[str]]:
+    """(level, line digests) of each quoted passage, and the digests of the lines without marks. Lines without words are skipped."""
+    quoted: list[tuple[int, list[str]]] = []
+    own: list[str] = []
+    last = 0
+    for line in _BREAK.split(text):
+        marks = _LEVEL.match(line)
+        level = marks[0].count(">") if marks else 0
+        said = _BLANK.sub(" ", line[marks.end() if marks else 0 :].lower()).strip(" ")
+        if not said:
+            continue
+        digest = hashlib.sha256(said.encode("utf-8", "replace")).hexdigest()[:32]
+        if not level:
+            own.append(digest)
+        elif level == last:
+            quoted[-1][1].append(digest)
+        else:
+            quoted.append((level, [digest]))
+        last = level
+    return quoted, own
+
+
+def passage_key(lines: list[str]) -> str:
+    """One line is its own key; more are the hash of theirs."""
+    return lines[0] if len(lines) == 1 else hashlib.sha256("".join(lines).encode()).hexdigest()
+
+
+def _parse(batches):
+    for batch in batches:
+        rows = []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            if text:
+                quoted, own = passages(text)
+                rows += [(i, level, lines, passage_key(lines)) for level, lines in quoted]
+                if own:
+                    rows.append((i, 0, own, passage_key(own)))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["conv_id", "turn", "level", "lines", "key"])
+
+
+def latest_before(sources: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The rows of quotes (conv_id, key, turn, ...) with parent, the latest earlier turn of sources (conv_id, key, turn), if there is one.
+
+    Turns are cut into blocks, so a passage that a whole conversation repeats is never ordered in one task: a task gets
+    the turns of a block, and a row for each block that says the passage.
+    """
+    names = quotes.columns
+    block = F.floor(F.col("turn") / BLOCK)
+    said = sources.select("conv_id", "key", "turn").distinct().withColumn("from", F.col("turn"))
+    both = said.unionByName(quotes.withColumn("from", F.lit(None).cast("bigint")), allowMissingColumns=True).withColumn("block", block)
+    near = W.partitionBy("conv_id", "key", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    inside = both.withColumn("near", F.last("from", ignorenulls=True).over(near)).filter("`from` is null")
+    blocks = both.groupBy("conv_id", "key", "block").agg(F.max("from").alias("top"))
+    before = W.partitionBy("conv_id", "key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    far = blocks.select("conv_id", "key", "block", F.last("top", ignorenulls=True).over(before).alias("far")).filter("far is not null")
+    out = inside.join(far, ["conv_id", "key", "block"], "left")
+    return out.select(*names, F.coalesce("near", "far").alias("parent")).filter("parent is not null")
 
 
 def lines_of(text: Column) -> Column:
@@ -47,32 +111,42 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """One row per message: conv_id, turn, role, reply, quote_depth, quoted_lines, linked_lines, parent_turn, reply_depth, thread_turn, parent_level.
 
     quote_depth is the deepest level of a quoted line. linked_lines counts the lines of all levels that an earlier turn
-    says. parent_turn is the earlier turn of the conversation that most level-one quoted lines come from (the latest of
-    those with as many; each line counts for the latest earlier turn that says it, repeated lines once, at their lowest
-    level); where no level-one line is found the next level with a link decides; or null. parent_level is the level that
-    decided. reply_depth counts the answers above a message and thread_turn is the topmost
-    message, itself if it answers none. Sorted by (conv_id, thread_turn, reply_depth, parent_turn, turn) every message
-    follows the one it answers. Null texts are empty; messages with a null conversation or turn are kept and link with
-    nothing; repeated rows of one turn are linked alike; an empty table gives an empty result; other columns are ignored.
-
-    Only lines that some message of the conversation quotes take part in the join. Copies of a line in one turn are
-    merged before the shuffle, and the latest earlier turn is found in one ordered pass, not by pairing all turns.
+    says: those of whole passages, each passage once at its lowest level, and of the other passages the lines that some
+    turn says, each once. parent_turn is the earlier turn of the conversation that most linked lines of level one come from
+    (the latest of those with as many; each passage or line counts for the latest earlier turn that says it); where nothing of level one is
+    found the next level with a link decides; or null. parent_level is the level that decided. reply_depth counts the
+    answers above a message and thread_turn is the topmost message, itself if it answers none. Sorted by (conv_id,
+    thread_turn, reply_depth, parent_turn, turn) every message follows the one it answers. Null texts are empty; messages
+    with a null conversation or turn are kept and link with nothing; repeated rows of one turn are linked alike; an empty
+    table gives an empty result; other columns are ignored.
+
+    A message is looked at where it says the first line of a passage that its conversation quotes, at each of the lengths
+    that such passages have. Quotes and sources of a passage never meet in pairs.
     """
     work = Scratch(messages.sparkSession, "chat")
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    lines = lines_of(F.col("text"))
-    levels = F.transform(lines, level)
+    levels = F.transform(lines_of(F.col("text")), level)
     told = base.select("conv_id", "turn", "role", reply_text(F.col("text")).alias("reply"), F.coalesce(F.array_max(levels), F.lit(0)).alias("quote_depth"), F.size(F.filter(levels, lambda x: x > 0)).alias("quoted_lines"))
-    each = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(lines).alias("line"))
-    each = each.select("conv_id", "turn", level(F.col("line")).alias("level"), said(F.col("line")).alias("said")).filter("said != ''")
-    each = each.select("conv_id", "turn", "level", F.xxhash64("said").alias("h1"), F.hash("said").alias("h2"))
-    quoted = work.table(each.filter("level > 0").groupBy("conv_id", "turn", "h1", "h2").agg(F.min("level").alias("level")), "quoted")
-    wanted = quoted.select("conv_id", "h1", "h2").distinct()
-    source = each.filter("level = 0").join(wanted, ["conv_id", "h1", "h2"], "left_semi").select("conv_id", "turn", "h1", "h2").distinct()
-    both = source.withColumn("from", F.col("turn")).withColumn("level", F.lit(0)).unionByName(quoted.withColumn("from", F.lit(None).cast("bigint")))
-    earlier = W.partitionBy("conv_id", "h1", "h2").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("parent", F.last("from", ignorenulls=True).over(earlier)).filter("`from` is null and parent is not null")
-    votes = found.groupBy("conv_id", "turn", "level", "parent").count()
+    kind = base.schema["conv_id"].dataType.simpleString()
+    spoken = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
+    units = work.table(spoken.mapInArrow(tidy(_parse), f"conv_id {kind}, turn bigint, level int, lines array<string>, key string"), "units")
+    quoted = units.filter("level > 0").groupBy("conv_id", "turn", "key", "lines").agg(F.min("level").alias("level"))
+    each = quoted.select("conv_id", "turn", F.col("key").alias("of"), "level", F.explode("lines").alias("key"))
+    wanted = quoted.select("conv_id", F.col("lines")[0].alias("line"), F.size("lines").alias("n")).union(each.select("conv_id", "key", F.lit(1))).distinct()
+    own = units.filter("level = 0").select("conv_id", "turn", "lines", F.col("key").alias("row"))
+    said = own.select("conv_id", "turn", "row", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "line"))
+    hits = said.join(wanted, ["conv_id", "line"]).filter("pos + n <= size")
+    runs = hits.groupBy("conv_id", "turn", "row").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
+    cut = F.slice("lines", F.col("a.pos") + 1, F.col("a.n"))
+    key = F.when(F.col("a.n") == 1, cut[0]).otherwise(F.sha2(F.array_join(cut, ""), 256))
+    sources = own.dropDuplicates(["conv_id", "turn", "row"]).join(runs, ["conv_id", "turn", "row"]).withColumn("a", F.explode("at")).select("conv_id", "turn", key.alias("key")).distinct()
+    whole = quoted.select("conv_id", "turn", "key", "level", F.size("lines").alias("n"), F.lit(True).alias("whole"))
+    single = each.groupBy("conv_id", "turn", "key").agg(F.min("level").alias("level")).select("conv_id", "turn", "key", "level", F.lit(1).alias("n"), F.lit(False).alias("whole"))
+    found = work.table(latest_before(sources, whole.unionByName(single)), "found")
+    linked = found.filter("whole")
+    told_whole = each.join(linked.select("conv_id", "turn", F.col("key").alias("of")), ["conv_id", "turn", "of"], "left_semi").select("conv_id", "turn", "key").distinct()
+    votes = linked.unionByName(found.filter("not whole").join(told_whole, ["conv_id", "turn", "key"], "left_anti"))
+    votes = votes.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("count"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), "count", "parent")).alias("parent_turn"), F.min("level").alias("parent_level"), F.sum("count").alias("linked_lines"))
     parents = work.table(parents, "parents")
     # pointer doubling: each round a message's highest known ancestor is replaced by that one's own
@@ -83,6 +157,9 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         if step.filter("next is not null").limit(1).count() == 0:
             break
         up = work.table(step.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"up{k}")
-    linked = parents.join(up, ["conv_id", "turn"])
-    out = told.join(linked, ["conv_id", "turn"], "left")
+        work.drop(f"up{k - 1}")
+    else:
+        raise RuntimeError("the reply chains don't end")
+    placed = parents.join(up, ["conv_id", "turn"])
+    out = told.join(placed, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "reply", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("quoted_lines").cast("bigint").alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).cast("bigint").alias("linked_lines"), "parent_turn", F.coalesce("depth", F.lit(0)).cast("bigint").alias("reply_depth"), F.coalesce("top", "turn").alias("thread_turn"), F.col("parent_level").cast("int").alias("parent_level"))

@@ -312,22 +312,70 @@ def test_nested_quotes(spark):
     }
 
 
-def test_quotes_against_brute_force(spark):
+def quotes_brute(rows):
+    """{(conv, turn): (parent, level, linked lines)} by looking through all earlier messages."""
+    parsed = {(c, t): chat.passages(text) for c, t, _, text in rows}
+
+    def says(own, lines):
+        return any(own[k : k + len(lines)] == lines for k in range(len(own) - len(lines) + 1))
+
+    out = {}
+    for (c, t), (quoted, _) in parsed.items():
+        def latest(lines, c=c, t=t):
+            return max((u for (d, u), (_, own) in parsed.items() if d == c and u < t and says(own, lines)), default=None)
+
+        lowest, lines_of = {}, {}
+        for level, lines in quoted:
+            lowest[tuple(lines)] = min(level, lowest.get(tuple(lines), level))
+            for x in lines:
+                lines_of[x] = min(level, lines_of.get(x, level))
+        votes, whole = {}, set()
+        for lines, level in lowest.items():
+            parent = latest(list(lines))
+            if parent is not None:
+                votes[level, parent] = votes.get((level, parent), 0) + len(lines)
+                whole |= set(lines)
+        for x, level in lines_of.items():
+            parent = latest([x])
+            if x not in whole and parent is not None:
+                votes[level, parent] = votes.get((level, parent), 0) + 1
+        if votes:
+            low = min(level for level, _ in votes)
+            out[c, t] = (max((n, u) for (level, u), n in votes.items() if level == low)[1], low, sum(votes.values()))
+        else:
+            out[c, t] = (None, None, 0)
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_quotes_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     rng = random.Random(6)
     lines = [f"line {k}" for k in range(9)]
     rows = []
     for conv in range(6):
-        for turn in range(12):
-            own = rng.sample(lines, 2)
-            quoted = [f"> {rng.choice(lines)}" for _ in range(rng.randint(0, 3))]
+        said = []
+        for turn in range(14):
+            own = rng.sample(lines, rng.randint(1, 4))
+            quoted = []
+            for _ in range(rng.randint(0, 3)):
+                marks = ">" * rng.randint(1, 3)
+                if said and rng.random() < 0.6:  # a stretch of an earlier message
+                    old = rng.choice(said)
+                    a = rng.randrange(len(old))
+                    quoted += [f"{marks} {x.upper()} " for x in old[a : a + rng.randint(1, 3)]]
+                else:
+                    quoted.append(f"{marks} {rng.choice(lines)}")
+            said.append(own)
             rows.append((conv, turn, "u", "\n".join(quoted + own)))
-    said = {(c, t): {x for x in text.split("\n") if x[0] != ">"} for c, t, _, text in rows}
-    for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect():
-        text = next(x for c, t, _, x in rows if (c, t) == (r.conv_id, r.turn))
-        votes = {}
-        for q in {x[2:] for x in text.split("\n") if x[0] == ">"}:
-            from_ = max((t for t in range(r.turn) if q in said[r.conv_id, t]), default=None)
-            if from_ is not None:
-                votes[from_] = votes.get(from_, 0) + 1
-        best = max(votes, key=lambda t: (votes[t], t), default=None)
-        assert r.parent_turn == best and r.linked_lines == sum(votes.values())
+    want = quotes_brute(rows)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.parent_level, r.linked_lines) for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == want
+    assert {level for _, level, _ in want.values()} == {None, 1, 2, 3}
+
+
+def test_a_passage_outweighs_common_lines(spark):
+    para = "first long line\nsecond long line\nthird long line"
+    rows = [(1, 0, "a", para), (1, 1, "b", "Thanks\nfirst long line"), (1, 2, "c", "Thanks"), (1, 3, "d", "> " + para.replace("\n", "\n> ") + "\n\n>> Thanks\nI agree")]
+    at = {r.turn: r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert (at[3].parent_turn, at[3].linked_lines) == (0, 4)  # line by line the first line would be turn 1's
