@@ -8,9 +8,14 @@ is built over them alone.
 Windows of two texts whose centres have one shingle, and whose context on one side has one minimum too, point at a
 passage that both may hold. A repeated passage is found by each of the hashes: its minimum is the same in both texts, and
 the longer side of the minimum lies within the passage. Windows of one key are linked with the first of them, first within
-a block of documents and then across blocks, so a passage of any number of documents costs a link for each. Links of one
-pair of texts name the diagonals on which runs of equal shingles are looked for; runs are chained across diagonals, so
-that inserted and deleted words don't end a passage, and the chains are verified by their similarity.
+a block of documents and then across blocks, so a passage of any number of documents costs a link for each. Windows whose
+intervals overlap by a passage's length at least are compared: links of one pair of texts name the diagonals on which runs
+of equal shingles are looked for; runs are chained across diagonals, so that inserted and deleted words don't end a
+passage, and the chains are verified by their similarity.
+
+Where the first window of a key holds only a common stretch that is shorter than a passage, the windows about that
+stretch are split by the words that follow it on either side, and each part is linked with its own first window, until
+every part is settled: two texts that share a passage about the stretch agree beyond it on one side at least.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ from curata.llm.scratch import Scratch, bloom, free_name
 HASHES, WIDTH = 2, 5
 _SEED = stream(71, 16)
 _LOW = np.uint64((1 << 24) - 1)
-#: Shingles on each side of a centre that its window keeps. Each stretch of min_words lies about its own minimum, so a
-#: reach of min_words already covers every repeated passage.
-REACH = 1023
+#: Bits of a window's reach on each side of its centre, and so the longest passage that can be asked for.
+REACH_BITS = 16
+REACH = (1 << REACH_BITS) - 1
 
 
 def sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,7 +136,7 @@ def _windows(length: int):
                 out = []
                 for k in range(HASHES):
                     i, c, l, r, before, after = compact_windows(shingles, first, length, _SEED[k])
-                    packed = (c << 20) | (np.minimum(c - l, REACH) << 10) | np.minimum(r - c, REACH)
+                    packed = (c << 2 * REACH_BITS) | (np.minimum(c - l, REACH) << REACH_BITS) | np.minimum(r - c, REACH)
                     for key in (before, after):
                         has = key != 0
                         out.append((key[has] + np.uint64(k), doc[i[has]], packed[has]))
@@ -148,26 +153,27 @@ def _windows(length: int):
     return run
 
 
-def _stars(batches):
-    """Rows (key, doc, window) sorted in this order: links of each with the key's first row (kind 0) and with the row before it (1).
+def _stars(length: int):
+    """Rows (key, doc, window) sorted in this order: links (doc, c, hub, hub_c) of the centres of each with those of the key's first row.
 
-    The second kind serves passages of which the first document has a part only. Links within a document are left out.
+    Two windows are linked where their intervals about the centres overlap by the length at least.
     """
-    held = None
-    for batch in batches:
-        k, d, w = (batch.column(i).to_numpy() for i in range(3))
-        if not len(k):
-            continue
-        new = np.r_[held is None or k[0] != held[0], k[1:] != k[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        hub, hub_w = np.where(at < 0, held[1] if held else 0, d[at]), np.where(at < 0, held[2] if held else 0, w[at])
-        prev, prev_w = np.r_[held[3] if held else 0, d[:-1]], np.r_[held[4] if held else 0, w[:-1]]
-        held = (k[-1], hub[-1], hub_w[-1], d[-1], w[-1])
-        far, near = d != hub, ~new & (d != prev) & (prev != hub)
-        kind = np.r_[np.zeros(far.sum(), np.int8), np.ones(near.sum(), np.int8)]
-        d, w, hub, hub_w = np.r_[d[far], d[near]], np.r_[w[far], w[near]], np.r_[hub[far], prev[near]], np.r_[hub_w[far], prev_w[near]]
-        c, c0 = w >> 20, hub_w >> 20
-        yield _rows(["kind", "doc", "hub", "diag", "lo", "hi", "hub_lo", "hub_hi"], [kind, d, hub, c - c0, c - (w >> 10 & 1023), c + (w & 1023), c0 - (hub_w >> 10 & 1023), c0 + (hub_w & 1023)])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            k, d, w = (batch.column(i).to_numpy() for i in range(3))
+            if not len(k):
+                continue
+            new = np.r_[held is None or k[0] != held[0], k[1:] != k[:-1]]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            hub, hub_w = np.where(at < 0, held[1] if held else 0, d[at]), np.where(at < 0, held[2] if held else 0, w[at])
+            held = (k[-1], hub[-1], hub_w[-1])
+            left, right = (np.minimum(w >> by & REACH, hub_w >> by & REACH) for by in (REACH_BITS, 0))
+            far = (d != hub) & (left + right + 1 >= length)
+            yield _rows(["doc", "c", "hub", "hub_c"], [d[far], w[far] >> 2 * REACH_BITS, hub[far], hub_w[far] >> 2 * REACH_BITS])
+
+    return run
 
 
 def _runs(x: np.ndarray, y: np.ndarray, diags: list[int]) -> list[tuple[int, int, int]]:
@@ -231,19 +237,59 @@ def aligned_passages(x: np.ndarray, y: np.ndarray, diags: list[int], length: int
     return sorted(out)
 
 
+_FOUND = "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double"
+_MEMBER = "c bigint, part bigint, open boolean, before bigint, after bigint"
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values x and y begin with in common."""
+    n = min(len(x), len(y))
+    odd = np.flatnonzero(x[:n] != y[:n])
+    return int(odd[0]) if len(odd) else n
+
+
+def _part(*values: int) -> int:
+    out = np.zeros(1, np.uint64)
+    for v in values:
+        out = mix(out ^ np.array([v & (1 << 64) - 1], np.uint64))
+    return int(out.view(np.int64)[0])
+
+
 def _verify(length: int, t: int):
+    """Rows of document pairs with the linked centres: their passages (c is null), and the centres for the next round.
+
+    A centre of the document has its part (of the first round: its shingle), whether no passage of the pair covers it and,
+    if the stretch that agrees about it is shorter than a passage, the parts that the shingles before and after the
+    stretch lead to. The first round also gives the hub's centres.
+    """
+
     def run(batches):
         for batch in batches:
             doc, hub, hub_lo = (batch.column(i).to_numpy() for i in range(3))
-            diags, mine, theirs = (batch.column(i) for i in range(3, 6))
+            centres, mine, theirs = (batch.column(i) for i in range(3, 6))
             out = []
             for i in range(len(doc)):
                 x, y = np.frombuffer(mine[i].as_buffer(), np.uint32), np.frombuffer(theirs[i].as_buffer(), np.uint32)
                 base = int(hub_lo[i])
-                for s, e, at, sim in aligned_passages(x, y, [d + base for d in diags[i].as_py()], length, t):
-                    out.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.array(c, np.int64)) for c in cols[:5]], pa.array(np.array(cols[5], np.float64))], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity"])
+                links = [(r["c"], r["hub_c"] - base, r["part"]) for r in centres[i].as_py()]
+                found = aligned_passages(x, y, sorted({c - h for c, h, _ in links}), length, t) if doc[i] != hub[i] else []
+                for s, e, at, sim in found:
+                    out.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim, None, None, None, None, None))
+                for c, h, part in links:
+                    ahead, behind = _equal(x[c : c + length], y[h : h + length]), _equal(x[max(0, c - length) : c][::-1], y[max(0, h - length) : h][::-1])
+                    own = int(x[c]) if part is None else part
+                    before = after = None
+                    if ahead + behind < length and ahead:
+                        if c > behind:
+                            before = _part(own, 1, behind, int(x[c - behind - 1]))
+                        if c + ahead < len(x):
+                            after = _part(own, 2, ahead, int(x[c + ahead]))
+                    out.append((doc[i], None, None, None, None, None, c, own, not any(s <= c < e for s, e, *_ in found), before, after))
+                    if part is None:
+                        out.append((hub[i], None, None, None, None, None, base + h, int(y[h]), False, None, None))
+            cols = list(zip(*out, strict=True)) if out else [()] * 11
+            kinds = [*[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in f"{_FOUND}, {_MEMBER}".split(", ")])
 
     return run
 
@@ -253,21 +299,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are counted from 0, end_word is exclusive; the source is a document of smaller id. Passages have min_words
     words or more, in common with the source up to a similarity of t percent of the word shingles of the two aligned
-    passages, with words replaced, inserted or deleted. Links lead to the first row of a key and to the row before it: where these hold less than a passage
-    about a common stretch, a passage that other documents share there can be missed, also one that repeats word for word. The first document that
-    holds a passage has no row for it. Repetition within a document is none of this operator's business. Null and
+    passages, with words replaced, inserted or deleted. No passage that repeats word for word is missed as a whole; edited
+    ones are found by the windows that the edits leave. The first document that holds a passage has no row for it. Repetition within a document is none of this operator's business. Null and
     short texts have no passage; rows with a null id are skipped; repeated rows of one id are one document. The ids are
     bigint; other columns are ignored.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "passages")
     length = min_words - WIDTH + 1
+    if not 4 <= length <= REACH:
+        raise ValueError(f"min_words is from {WIDTH + 3} to {REACH + WIDTH - 1}")
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = slim.mapInArrow(tidy(_windows(length)), "key bigint, doc bigint, window bigint").repartition("key").sortWithinPartitions("key", "doc", "window")
-    links = keyed.mapInArrow(tidy(_stars), "kind tinyint, doc bigint, hub bigint, diag bigint, lo bigint, hi bigint, hub_lo bigint, hub_hi bigint")
-    spans = work.table(links.groupBy("kind", "doc", "hub", "diag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi")), "spans")
-    del links, keyed
-    involved = spans.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
+    links = work.table(keyed.mapInArrow(tidy(_stars(length)), "doc bigint, c bigint, hub bigint, hub_c bigint"), "links")
+    involved = links.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
     near = spark.sparkContext.broadcast(bloom(involved, "doc_id", involved.count()))
 
     def texts(batches):
@@ -281,22 +326,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     held = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
 
-    def verified(rows: DataFrame) -> DataFrame:
-        pairs = rows.groupBy("doc", "hub").agg(F.collect_set("diag").alias("diags"))
-        mine = pairs.join(held, F.col("doc") == F.col("doc_id")).select("doc", "hub", "diags", F.col("shingles").alias("mine"))
+    def verified(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Passages and centres of links (doc, c, hub, hub_c, part)."""
+        pairs = rows.groupBy("doc", "hub").agg(F.collect_set(F.struct("c", "hub_c", "part")).alias("centres"))
+        diags = F.transform("centres", lambda x: x["c"] - x["hub_c"])
+        pairs = pairs.withColumn("most", F.array_max(diags)).withColumn("least", F.array_min(diags))
+        mine = pairs.join(held, F.col("doc") == F.col("doc_id")).select("doc", "hub", "centres", "most", "least", F.col("shingles").alias("mine"))
         # a passage of n shingles has at most n (100 - t) / t places of the source left out, so the source ends there
-        slack = F.expr(f"length(mine) div 4 * {100 - t} div {t}")
-        mine = mine.withColumn("hub_lo", F.greatest(F.lit(0), -F.array_max("diags") - slack)).withColumn("hub_hi", F.expr("length(mine) div 4") - F.array_min("diags") + slack)
+        slack = F.expr(f"length(mine) div 4 * {100 - t} div {t} + {length}")
+        mine = mine.withColumn("hub_lo", F.greatest(F.lit(0), -F.col("most") - slack)).withColumn("hub_hi", F.expr("length(mine) div 4") - F.col("least") + slack)
         theirs = F.expr("substring(shingles, cast(4 * hub_lo + 1 as int), cast(least(4 * (hub_hi - hub_lo), length(shingles)) as int))")
-        both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "hub_lo", "diags", "mine", theirs.alias("theirs"))
-        return both.mapInArrow(tidy(_verify(length, t)), "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double")
-
-    first = work.table(verified(spans.filter("kind = 0")), "first")
-    # a link of the second kind is looked at where no passage of the first kind covers its interval
-    covered = first.select(F.col("doc_id").alias("doc"), F.col("start_word").alias("s"), (F.col("end_word") - WIDTH).alias("e"))
-    second = spans.filter("kind = 1")
-    open_ = second.join(covered, (second["doc"] == covered["doc"]) & (F.col("s") <= F.col("lo")) & (F.col("e") >= F.col("hi")), "left_anti")
-    return first.unionByName(verified(open_))
+        both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "hub_lo", "centres", "mine", theirs.alias("theirs"))
+        out = work.table(both.mapInArrow(tidy(_verify(length, t)), f"{_FOUND}, {_MEMBER}"), name)
+        return out.filter("c is null").select(*[f.split()[0] for f in _FOUND.split(", ")]), out.filter("c is not null")
+
+    found, members = verified(links.withColumn("part", F.lit(None).cast("bigint")), "round0")
+    parts = members.groupBy("part", F.col("doc_id").alias("doc"), "c").agg(F.min("open").alias("open"))
+    for k in range(1, length + 2):
+        # parts with a centre that no passage covers, and another document: each is linked with its first centre
+        hubs = parts.groupBy("part").agg(F.min(F.struct("doc", "c")).alias("h"), F.max("open").alias("some"), F.max("doc").alias("last")).filter(F.col("some") & (F.col("last") != F.col("h.doc")))
+        split = parts.join(hubs.select("part", F.col("h.doc").alias("hub"), F.col("h.c").alias("hub_c")), "part").filter((F.col("doc") != F.col("hub")) | (F.col("c") != F.col("hub_c")))
+        split = work.table(split, f"links{k}")
+        if split.isEmpty():
+            break
+        more, members = verified(split, f"round{k}")
+        found = found.unionByName(more)
+        # a centre stays open where it was and still is
+        was = split.select("part", F.col("doc").alias("doc_id"), "c", F.col("open").alias("was"))
+        grown = members.join(was, ["part", "doc_id", "c"]).select("doc_id", "c", (F.col("open") & F.col("was")).alias("open"), F.explode(F.array("before", "after")).alias("next")).filter("next is not null")
+        parts = grown.groupBy(F.col("next").alias("part"), F.col("doc_id").alias("doc"), "c").agg(F.min("open").alias("open"))
+    else:
+        raise RuntimeError("parts of a common stretch didn't settle")
+    return found.distinct()
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, t: int = 80) -> DataFrame:

@@ -209,6 +209,54 @@ def test_repeated_passages_with_insertions_and_deletions(spark, docs_of):
         assert r.similarity >= 0.8 and abs(r.similarity - len(a & b) / len(a | b)) < 1e-9
 
 
+def test_passages_about_a_common_sentence(spark, docs_of):
+    """A sentence shorter than a passage that all documents hold doesn't hide the passages that some share about it."""
+    rng = random.Random(15)
+    sentence, rows = prose(rng, 45), []
+    for k in range(60):
+        rows.append((k, f"{prose(rng, 30)} {sentence} {prose(rng, 30)}", None))
+    for k in range(12):
+        before, after = prose(rng, k % 9), prose(rng, 8 - k % 9)
+        rows += [(100 + 2 * k + n, f"{prose(rng, 25)} {before} {sentence} {after} {prose(rng, 25)}", None) for n in (0, 1)]
+    rng.shuffle(rows)
+    spans = defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs_of(rows)).collect():
+        spans[r.doc_id].update(range(r.start_word, r.end_word))
+    want = covered_brute(rows)
+    assert len(want) == 12 and all(want[i] <= spans[i] for i in want)
+    assert set(spans) == set(want)
+
+
+@pytest.mark.parametrize("min_words", [8, 50, 1200])
+def test_passages_of_any_least_length(spark, docs_of, min_words):
+    rng = random.Random(min_words)
+    shared = prose(rng, min_words + 4)
+    rows = [(k, f"{prose(rng, 60)} {shared if k % 2 else prose(rng, 40)} {prose(rng, 60)}", None) for k in range(6)]
+    got = substring_dedup.repeated_passages(docs_of(rows), min_words=min_words).collect()
+    spans = defaultdict(set)
+    for r in got:
+        spans[r.doc_id].update(range(r.start_word, r.end_word))
+    want = covered_brute(rows, min_words)
+    assert set(want) == {3, 5} and all(want[i] <= spans[i] for i in want)
+
+
+def test_recall_of_edited_passages(spark, docs_of):
+    """Passages of 120 words, two of which are replaced: at least 85 of 100 are found nearly whole."""
+    rng, rows, spots = random.Random(21), [], {}
+    for k in range(100):
+        base = prose(rng, 120).split()
+        copy = list(base)
+        for at in rng.sample(range(120), 2):
+            copy[at] = "edited"
+        rows += [(2 * k, f"{prose(rng, 40)} {' '.join(base)}", None), (2 * k + 1, f"{prose(rng, 30)} {' '.join(copy)} {prose(rng, 20)}", None)]
+    spans = defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs_of(rows)).collect():
+        spans[r.doc_id].update(range(r.start_word, r.end_word))
+    whole = [len(spans[2 * k + 1] & set(range(30, 150))) >= 108 for k in range(100)]
+    some = [bool(spans[2 * k + 1] & set(range(30, 150))) for k in range(100)]
+    assert (sum(some) >= 90 and sum(whole) >= 85 and not any(spans[2 * k] for k in range(100))), (sum(some), sum(whole))
+
+
 def test_cut_repeats(spark, docs_of):
     rng = random.Random(4)
     shared, a, b = prose(rng, 55), prose(rng, 20), prose(rng, 20)
