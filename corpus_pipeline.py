@@ -14,7 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language stay."""
+    """Documents in which no language can be predicted go; the others stay, with the prediction where lang is null."""
     return language_id.keep_identified(docs)
 
 
