@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         if tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"no components after {MAX_ROUNDS} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     return found.union(loops.join(found, "node", "left_anti"))
