@@ -124,6 +124,44 @@ def test_cgbi_detection_and_errors(spark):
     assert errors[0].r.error is None and errors[1].r.error and errors[1].r.content is None
 
 
+def lines_of(values: np.ndarray, depth: int) -> np.ndarray:
+    """Packed bytes of rows of samples."""
+    h = len(values)
+    flat = values.reshape(h, -1).astype(np.int64)
+    bits = (flat[..., None] >> np.arange(depth)[::-1] & 1).reshape(h, -1).astype(np.uint8)
+    return np.packbits(bits, axis=1)
+
+
+@pytest.mark.parametrize("colour,depth", [(0, 1), (0, 2), (0, 4), (0, 8), (0, 16), (2, 8), (2, 16), (3, 1), (3, 2), (3, 4), (3, 8), (4, 8), (4, 16), (6, 8), (6, 16)])
+@pytest.mark.parametrize("interlace", [0, 1])
+def test_every_kind_of_png_is_decoded(colour, depth, interlace):
+    rng = np.random.default_rng(depth + colour)
+    w, h, n = 11, 9, images.SAMPLES[colour]
+    values = rng.integers(0, 1 << depth, (h, w, n))
+    raw = b""
+    for x, y, dx, dy in images.PASSES if interlace else [(0, 0, 1, 1)]:
+        part = values[y::dy, x::dx]
+        if part.size:
+            packed = lines_of(part, depth)
+            bpp = max(1, n * depth // 8)
+            padded = np.pad(packed, ((0, 0), (0, -packed.shape[1] % bpp)))
+            lines = filtered(padded.reshape(len(padded), -1, bpp), [k % 5 for k in range(len(padded))])
+            step = padded.shape[1] + 1
+            raw += b"".join(lines[k * step : k * step + packed.shape[1] + 1] for k in range(len(padded)))
+    palette = rng.integers(0, 256, (256, 3)).astype(np.uint8)
+    alpha = bytes([7, 0])
+    extra = [(b"PLTE", palette.tobytes()), (b"tRNS", alpha)] if colour == 3 else [(b"tRNS", values[0, 0].astype(">u2").tobytes())] if colour in (0, 2) else []
+    got = images.decode_png(images.png([(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)), *extra, (b"IDAT", zlib.compress(raw)), (b"IEND", b"")]))
+    if colour == 3:
+        want = np.dstack([palette[values[..., 0]], np.where(values[..., 0] == 0, 7, np.where(values[..., 0] == 1, 0, 255))])
+    else:
+        eight = values >> 8 if depth == 16 else values * 255 // ((1 << depth) - 1)
+        rgb = np.repeat(eight[..., :1], 3, axis=2) if colour in (0, 4) else eight[..., :3]
+        a = eight[..., -1] if colour in (4, 6) else np.where((values == values[0, 0]).all(axis=-1), 0, 255)
+        want = np.dstack([rgb, a])
+    assert (got == want).all()
+
+
 def test_perceptual_hash():
     rng = np.random.default_rng(5)
     blocks = np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8)))
