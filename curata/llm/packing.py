@@ -32,6 +32,20 @@ _PLAIN = re.compile(f"[\x00-\x1b\x20-\x7f{_L}]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+#: What a tokenizer file must say for its texts to be split by _PIECE and merged by ranks.
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def restated(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that Encoder restates; of any other kind the library encodes every text."""
+
+    def agrees(have: dict | None, want: dict) -> bool:
+        return have is not None and all((have.get(k) or None) == (v or None) for k, v in want.items())
+
+    return spec.get("normalizer") is None and agrees(spec.get("pre_tokenizer"), _SPLIT) and agrees(spec.get("model"), _PLAIN_MODEL)
+
+
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library, as little-endian uint32 bytes.
 
@@ -44,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        merge = merger(path)
+        self.restated = restated(json.loads(Path(path).read_text(encoding="utf-8")))
+        merge = merger(path) if self.restated else None
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         outer = self
 
@@ -61,7 +76,7 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+        if self.restated and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
         return self.encode(text)
 
