@@ -188,12 +188,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
     return RuleModel([rules[k] for k in keep], w[keep], b)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, label_id: str | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, and the statistics.
 
     Labels are read outside the held-out fold only, from at most MAX_TRAIN rows. Null and empty texts have statistics of
     zero and are scored like others; null labels, and labels of ids that are not there, are skipped; without a label all
-    scores are 0.5. Of several labels of one id the largest counts. Ids may be null or repeated; other columns are ignored.
+    scores are 0.5. Of several labels of one id the largest counts; labels have the id in label_id, by default as docs
+    have it. Rows of one hash are taken into the sample in the order of their ids and sizes, so ties change nothing. Ids may be null or repeated; other columns are ignored.
     """
     work = Scratch(docs.sparkSession, "quality")
 
@@ -206,7 +207,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     stats = work.table(slim.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, " + ", ".join(f"{s} double" for s in STATS)), "stats")
-    marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = labels.select(F.col(label_id or id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = stats.filter(~F.col("held_out")).join(marked, "doc_id").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     # a cut of the hash range leaves little more than the bound, so what partitions send doesn't grow with their number
     share = 1.2 * MAX_TRAIN / max(1, known.count())

@@ -80,6 +80,44 @@ def test_pieces_follow_the_lattice():
         assert abs(got[p] / 6000 - w / total) < 0.03
 
 
+def test_files_of_another_kind_go_to_the_library(tmp_path):
+    import json
+    from pathlib import Path
+
+    spec = json.loads(Path(tokenizer_path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    assert packing.restated(spec)
+    text = "Hello there, it's 12 o'clock  and all\nis well"
+    for name, change in {"lower": {"normalizer": {"type": "Lowercase"}}, "spaced": {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, "whole": {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}}.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        enc = packing.Encoder(str(path))
+        assert not enc.restated and enc(text) == enc.encode(text)
+    assert packing.Encoder(tokenizer_path("byte_bpe_50k.json"))(text) == packing.Encoder(tokenizer_path("byte_bpe_50k.json")).encode(text)
+
+
+def test_edit_likeness_against_plain_sums(spark, docs_of):
+    """near_edited and near_next follow from counts of signed shingles, summed by loops."""
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(rng.choice(["a", "bb", "ccc", "dd", "e"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    got = {r.doc_id: r for r in fingerprint.edit_likeness(docs_of([(k, t, None) for k, t in enumerate(texts)])).collect()}
+
+    def lanes(text):
+        out = np.zeros(fingerprint.NEAR)
+        for line in text.split("\n"):
+            w = fingerprint.Words(np.frombuffer(line.encode(), np.uint8), np.array([0, len(line)]))
+            for g in w.shingles(fingerprint.GRAM)[0].tolist():
+                out[g % fingerprint.NEAR] += -1 if g >> 63 else 1
+        return out
+
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        for value, other in ((got[k].near_edited, fingerprint.edited_text(t, after)), (got[k].near_next, after)):
+            x, y = lanes(t), lanes(other)
+            norm = np.sqrt((x * x).sum() * (y * y).sum())
+            want = 1.0 if sorted(t.split("\n")) == sorted(other.split("\n")) else max(0.0, float(x @ y) / max(norm, 1.0))
+            assert abs(value - min(1.0, want)) < 1e-9
+
+
 def test_long_words_keep_their_whole_lattice():
     """A word without a space far beyond any stretch: at a low temperature the draw is the best path of the whole word."""
     m = piece_sampling.PieceModel(PIECES)

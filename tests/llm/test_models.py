@@ -134,6 +134,11 @@ def test_quality_held_out_and_odd_rows(spark, docs_of, odd_rows, sf_dir):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = quality.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
     assert np.mean([r.predicted == r.quality for r in out]) > 0.9
+    good, bad = ([r.score for r in out if r.quality == q] for q in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.9 and np.mean([r.predicted == 0 for r in out if r.quality == 0]) > 0.6, auc
+    named = quality.score_quality(docs.limit(50).withColumnRenamed("doc_id", "id"), labels.withColumnRenamed("doc_id", "of"), id_col="id", label_id="of")
+    assert named.count() == 50
     odd = quality.score_quality(docs_of(odd_rows), labels.withColumn("quality", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 2)))
     assert odd.count() == len(odd_rows) and odd.filter("score is null or score < 0 or score > 1").count() == 0
     assert quality.score_quality(docs_of([]), labels.limit(0)).count() == 0
