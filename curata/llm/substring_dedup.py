@@ -239,6 +239,8 @@ def aligned_passages(x: np.ndarray, y: np.ndarray, diags: list[int], length: int
 
 _FOUND = "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double"
 _MEMBER = "c bigint, part bigint, open boolean, before bigint, after bigint"
+_MEMBER_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+_NAMES = [f.split()[0] for f in f"{_FOUND}, {_MEMBER}".split(", ")]
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> int:
@@ -258,38 +260,54 @@ def _part(*values: int) -> int:
 def _verify(length: int, t: int):
     """Rows of document pairs with the linked centres: their passages (c is null), and the centres for the next round.
 
-    A centre of the document has its part (of the first round: its shingle), whether no passage of the pair covers it and,
-    if the stretch that agrees about it is shorter than a passage, the parts that the shingles before and after the
-    stretch lead to. The first round also gives the hub's centres.
+    A centre has its part (in the first round its shingle) and whether no passage of the pair covers it. After the first
+    round a centre about which a stretch agrees that is shorter than a passage also has the parts that the shingles before
+    and after the stretch lead to; in the first round the hub's centres are given too, as covered.
     """
 
+    def grown(x: np.ndarray, y: np.ndarray, c: int, h: int, part: int) -> tuple[int | None, int | None]:
+        ahead, behind = _equal(x[c : c + length], y[h : h + length]), _equal(x[max(0, c - length) : c][::-1], y[max(0, h - length) : h][::-1])
+        if ahead + behind >= length or not ahead:
+            return None, None
+        return _part(part, 1, behind, int(x[c - behind - 1])) if c > behind else None, _part(part, 2, ahead, int(x[c + ahead])) if c + ahead < len(x) else None
+
     def run(batches):
         for batch in batches:
             doc, hub, hub_lo = (batch.column(i).to_numpy() for i in range(3))
-            centres, mine, theirs = (batch.column(i) for i in range(3, 6))
-            out = []
+            mine, theirs = batch.column(4), batch.column(5)
+            lists = batch.column(3)
+            cuts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64)
+            flat = lists.flatten()
+            all_c, all_h = (flat.field(k).to_numpy() for k in (0, 1))
+            parts = flat.field(2).to_pylist() if flat.field(2).null_count < len(flat) else None
+            found_rows, member, side = [], [], []
             for i in range(len(doc)):
                 x, y = np.frombuffer(mine[i].as_buffer(), np.uint32), np.frombuffer(theirs[i].as_buffer(), np.uint32)
-                base = int(hub_lo[i])
-                links = [(r["c"], r["hub_c"] - base, r["part"]) for r in centres[i].as_py()]
-                found = aligned_passages(x, y, sorted({c - h for c, h, _ in links}), length, t) if doc[i] != hub[i] else []
+                own = slice(int(cuts[i]), int(cuts[i + 1]))
+                base, c = int(hub_lo[i]), all_c[own]
+                h = all_h[own] - base
+                found = aligned_passages(x, y, np.unique(c - h).tolist(), length, t) if doc[i] != hub[i] else []
+                covered = np.zeros(len(c), bool)
                 for s, e, at, sim in found:
-                    out.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim, None, None, None, None, None))
-                for c, h, part in links:
-                    ahead, behind = _equal(x[c : c + length], y[h : h + length]), _equal(x[max(0, c - length) : c][::-1], y[max(0, h - length) : h][::-1])
-                    own = int(x[c]) if part is None else part
-                    before = after = None
-                    if ahead + behind < length and ahead:
-                        if c > behind:
-                            before = _part(own, 1, behind, int(x[c - behind - 1]))
-                        if c + ahead < len(x):
-                            after = _part(own, 2, ahead, int(x[c + ahead]))
-                    out.append((doc[i], None, None, None, None, None, c, own, not any(s <= c < e for s, e, *_ in found), before, after))
-                    if part is None:
-                        out.append((hub[i], None, None, None, None, None, base + h, int(y[h]), False, None, None))
-            cols = list(zip(*out, strict=True)) if out else [()] * 11
-            kinds = [*[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in f"{_FOUND}, {_MEMBER}".split(", ")])
+                    covered |= (s <= c) & (c < e)
+                    found_rows.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim))
+                if parts is None:
+                    member.append((np.full(len(c), doc[i]), c, x[c].astype(np.int64), ~covered))
+                    member.append((np.full(len(c), hub[i]), base + h, y[h].astype(np.int64), np.zeros(len(c), bool)))
+                else:
+                    mine_parts = np.array(parts[own], np.int64)
+                    member.append((np.full(len(c), doc[i]), c, mine_parts, ~covered))
+                    side += [grown(x, y, cc, hh, pp) for cc, hh, pp in zip(c.tolist(), h.tolist(), mine_parts.tolist(), strict=True)]
+            cols = list(zip(*found_rows, strict=True)) if found_rows else [()] * 6
+            n = len(found_rows)
+            if n:
+                values = [pa.array(v, k) for v, k in zip(cols, [*[pa.int64()] * 5, pa.float64()], strict=True)]
+                yield _rows(_NAMES, [*values, *[pa.nulls(n, k) for k in _MEMBER_KINDS]])
+            if member:
+                ids, c, part, open_ = (np.concatenate(v) for v in zip(*member, strict=True))
+                m = len(ids)
+                before, after = (pa.array([v[k] for v in side], pa.int64()) if parts is not None else pa.nulls(m, pa.int64()) for k in (0, 1))
+                yield _rows(_NAMES, [pa.array(ids, pa.int64()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.float64()), pa.array(c.astype(np.int64)), pa.array(part), pa.array(open_), before, after])
 
     return run
 
@@ -324,10 +342,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer((shingles >> np.uint64(32)).astype(np.uint32).tobytes())])
                 yield _rows(["doc_id", "shingles"], [own.column(0)[a:b], packed])
 
-    held = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
+    kept = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """The texts of a round's documents, and some more: what isn't looked at isn't moved."""
+        ids = rows.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
+        some = spark.sparkContext.broadcast(bloom(ids, "doc_id", ids.count()))
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(some.value.has(batch.column(0).to_numpy())))
+
+        return kept.mapInArrow(tidy(run), "doc_id bigint, shingles binary")
 
     def verified(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Passages and centres of links (doc, c, hub, hub_c, part)."""
+        held = kept if name == "round0" else texts_of(rows)
         pairs = rows.groupBy("doc", "hub").agg(F.collect_set(F.struct("c", "hub_c", "part")).alias("centres"))
         diags = F.transform("centres", lambda x: x["c"] - x["hub_c"])
         pairs = pairs.withColumn("most", F.array_max(diags)).withColumn("least", F.array_min(diags))
@@ -350,6 +380,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if split.isEmpty():
             break
         more, members = verified(split, f"round{k}")
+        work.drop(f"links{k - 1}" if k > 1 else "links")
         found = found.unionByName(more)
         # a centre stays open where it was and still is
         was = split.select("part", F.col("doc").alias("doc_id"), "c", F.col("open").alias("was"))
