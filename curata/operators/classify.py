@@ -108,10 +108,14 @@ def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTE
         state = F.when(F.col("status") == ERROR, "error").when(kept & (F.col("kind") == "image"), "classified").when(kept, "string").otherwise("exhausted" if k == attempts - 1 else "again")
         result = work.table(judged.select(*[c for c in requests.columns if c != "content"], (F.col("attempt") + 1).alias("attempts"), state.alias("status"), "raw", "answer"), f"attempt{k}")
         done.append(result.filter("status != 'again'"))
-        left = result.filter("status = 'again'").select("image_path", "prompt", "session_id")
-        if k == attempts - 1 or left.limit(1).count() == 0:
+        again = result.filter("status = 'again'")
+        if k == attempts - 1 or again.isEmpty():
             break
-        open_ = requests.join(left, requests["session_id"].eqNullSafe(left["session_id"]) & requests["image_path"].eqNullSafe(left["image_path"]) & (requests["prompt"] == left["prompt"]), "left_semi")
+        if "content" not in requests.columns:
+            open_ = again.select(*requests.columns)  # the open rows are carried on
+        else:  # contents aren't written with the results
+            left = again.select("image_path", "prompt", "session_id")
+            open_ = requests.join(left, requests["session_id"].eqNullSafe(left["session_id"]) & requests["image_path"].eqNullSafe(left["image_path"]) & (requests["prompt"] == left["prompt"]), "left_semi")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -7,7 +7,6 @@ perceptual hashes, events for results and orders for requests.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -261,8 +260,8 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counts = streams.sliding_counts(stream)
-    return streams.run_to_memory(counts, f"sliding_{uuid.uuid4().hex}").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+    counts = streams.run_to_table(streams.sliding_counts(stream), Scratch(spark, "sliding"), ["window_start"])
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
 def _square_png(values: list[float], cgbi: bool) -> bytes:

@@ -28,13 +28,6 @@ def sliding_counts(events: DataFrame, ts: str = "ts", length: str = "5 minutes",
     return timed.groupBy(F.window(ts, length, slide)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "n")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, through the streaming engine, as a table in memory; for small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def run_to_table(stream: DataFrame, work: Scratch, keys: list[str]) -> DataFrame:
     """Everything that is there now, through the streaming engine in update mode, as a written table with the last row of each key.
 
