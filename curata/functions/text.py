@@ -140,6 +140,7 @@ def sibling(path: Column, suffix: str) -> Column:
     return F.concat(parent_path(path), F.lit(suffix))
 
 
+# The patterns of the file names below must be these for names to come out right.
 def group_file_name(group: Column, name: Column) -> Column:
     """A file's name under a five-digit group id. Sticker ids move to the front, an old group prefix is replaced."""
     shape = r"^[0-9]{5}_(.*)_([0-9]{5,8})@2x.png$"
