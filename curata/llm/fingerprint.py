@@ -1,7 +1,7 @@
 """Document fingerprints by homomorphic multiset hashing.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector, and the fingerprint is the
-sum of the vectors: WIDE lanes modulo 2**64 for equality and NEAR lanes modulo 2**32 for likeness, in which a paragraph
+sum of the vectors: WIDE lanes of a cryptographic hash (SHAKE128) modulo 2**64 for equality and NEAR lanes modulo 2**32 for likeness, in which a paragraph
 counts its word shingles with pseudo-random signs. Sums don't depend on the order, and a paragraph is inserted or deleted
 by adding or subtracting its vector. The cosine of the signed NEAR lanes estimates how much two multisets share.
 """
@@ -10,28 +10,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from hashlib import shake_128
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import _power_tables, Words, buffers, column, mix, stream, tidy
+from curata.llm.kernels import Words, buffers, column, tidy
 
 WIDE, NEAR, GRAM = 32, 256, 3
 #: Ranges of ids whose texts are brought together to find each text's successor; a bound on what the driver holds.
 MAX_RANGES, RANGE_ROWS = 10_000, 2000
 
-_RAW = stream(91, 256)
-_LANE = stream(92, WIDE)
-
 
 def vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(WIDE lanes uint64, NEAR lanes int32) of each text of a UTF-8 block; empty texts have one empty paragraph."""
-    n, size = len(offs) - 1, len(data)
-    up, down = _power_tables(size + 1)
-    acc = np.zeros(size + 1, np.uint64)
-    np.cumsum(_RAW[data] * up[:size], out=acc[1:])
+    n = len(offs) - 1
     breaks = np.flatnonzero(data == 10)
     # a paragraph ends at each line break and at each text's end
     owner = np.concatenate([np.searchsorted(offs, breaks, side="right") - 1, np.arange(n)])
@@ -39,12 +34,13 @@ def vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.lexsort((np.r_[np.zeros(len(breaks), int), np.ones(n, int)], end, owner))
     owner, end = owner[order], end[order]
     start = np.where(np.r_[True, owner[1:] != owner[:-1]], offs[owner], np.r_[0, end[:-1] + 1])
-    mark = mix((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
-    wide = np.zeros((n, WIDE), np.uint64)
-    firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if n else np.zeros(0, np.int64)
-    for k in range(WIDE):
-        wide[:, k] = np.add.reduceat(mix(mark ^ _LANE[k]), firsts) if n else 0
-    cut = np.union1d(breaks + 1, offs)
+    wide, raw = np.zeros((n, WIDE), np.uint64), data.tobytes()
+    for a in range(0, len(owner), 4096):
+        spans = zip(start[a : a + 4096].tolist(), end[a : a + 4096].tolist(), strict=True)
+        lanes = np.frombuffer(b"".join([shake_128(raw[s:e]).digest(8 * WIDE) for s, e in spans]), "<u8").reshape(-1, WIDE)
+        text = owner[a : a + 4096]
+        firsts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        wide[text[firsts]] += np.add.reduceat(lanes, firsts, axis=0)
     grams, first = Words(data, cut).shingles(GRAM)
     text_of = np.repeat(np.searchsorted(offs, cut[:-1], side="right") - 1, np.diff(first))
     lane = (grams & np.uint64(NEAR - 1)).astype(np.int64)

@@ -41,6 +41,8 @@ TREE_POINTS, LEAF = 1024, 16
 #: passes over is left to the trees.
 LIKELY = 60
 MAX_CLASHES = 1000
+#: Bytes of texts that are verified side by side; a longer pair is verified alone.
+VERIFIED = 1 << 21
 
 _SID = stream(31, 2)
 
@@ -49,7 +51,9 @@ class Sets:
     """Distinct shingles of each row of a block, sorted within the row, with an order-independent 128-bit digest."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, width: int, clashes: np.ndarray | None = None):
-        raw, first = Words(data, offs).shingles(width)
+        self.words = Words(data, offs)
+        raw, first = self.words.shingles(width)
+        self.raw = raw
         parts = [np.unique(raw[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         self.size = np.array([len(p) for p in parts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
@@ -281,33 +285,49 @@ def _shared(batches):
         yield _rows(["bucket", "sid"], [keys, sids])
 
 
+def shingle_set(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The word shingles themselves."""
+    words = text.encode().lower().split()  # bytes: A-Z and the six ASCII spaces
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def _verify(t: int, width: int):
-    """Rows (a, b, text of a, text of b): the pairs whose sets have the similarity."""
+    """Rows (a, b, text of a, text of b) sorted by a: the pairs whose sets have the similarity.
 
-    def members(texts: pa.Array) -> list[np.ndarray]:
-        out = []
-        for a, b, data, offs in blocks(_rows(["text"], [texts]), "text"):
-            s = Sets(data, offs, width)
-            out += [s.value[s.first[i] : s.first[i + 1]] for i in range(b - a)]
-        return out
+    Sets are compared by hashes once it is known that these stand for the same words in both texts; else as words.
+    """
+
+    def similar(a: np.ndarray, a_text: pa.Array, b_text: pa.Array) -> np.ndarray:
+        new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])  # sorted by a: its set is made once
+        texts = pa.concat_arrays([a_text.take(pa.array(new)), b_text])
+        s = Sets(*buffers(texts.fill_null("")), width)
+        at = np.r_[np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(a)])), len(new) + np.arange(len(a))]
+        own = [s.value[s.first[i] : s.first[i + 1]] for i in range(len(texts))]
+        size = s.size
+        if not s.words.distinct(s.raw):
+            own = [shingle_set(x or "", width) for x in texts.to_pylist()]
+            size = np.array([len(x) for x in own], np.int64)
+        both = np.zeros(len(a), np.int64)
+        for i, (p, q) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)):
+            if isinstance(own[p], set):
+                both[i] = len(own[p] & own[q])
+            else:
+                merged = np.concatenate([own[p], own[q]])
+                merged.sort(kind="stable")  # two sorted runs merge in linear time
+                both[i] = np.count_nonzero(merged[1:] == merged[:-1])
+        return enough(both, size[at[: len(a)]], size[at[len(a) :]], t)
 
     def run(batches):
-        last, held = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                a = part.column(0).to_numpy()
-                new = np.flatnonzero(np.r_[a[0] != last, a[1:] != a[:-1]])  # sorted by a: its set is made once
-                own = ([held] if not len(new) or new[0] else []) + members(part.column(2).take(pa.array(new)))
-                nth = np.searchsorted(new, np.arange(len(a)), side="right") - (1 if len(new) and not new[0] else 0)
-                last, held = a[-1], own[-1]
-                good = np.zeros(len(a), bool)
-                for i, y in enumerate(members(part.column(3))):
-                    x = own[nth[i]]
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")  # two sorted runs merge in linear time
-                    good[i] = enough(np.count_nonzero(both[1:] == both[:-1]), len(x), len(y), t)
-                yield _rows(["a", "b"], [a[good], part.column(1).to_numpy()[good]])
+            sizes = np.diff(buffers(batch.column(2).fill_null(""))[1]) + np.diff(buffers(batch.column(3).fill_null(""))[1])
+            at = 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 256]), VERIFIED, side="right")))
+                part = batch.slice(at, n)
+                a, b = part.column(0).to_numpy(), part.column(1).to_numpy()
+                good = similar(a, part.column(2), part.column(3))
+                yield _rows(["a", "b"], [a[good], b[good]])
+                at += n
 
     return run
 

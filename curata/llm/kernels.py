@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,15 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + mix(np.array([seed], U64)))
 
 
-_BYTE = stream(11, 256)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+#: A word is hashed as the value of a polynomial modulo a prime, whose coefficients are its bytes: words of n bytes share a
+#: value for at most n of the prime's points, whatever their pattern. Longer words than LONG go by a cryptographic hash.
+_PRIME, LONG = (1 << 61) - 1, 1 << 20
+_POINT = int(stream(12, 1)[0]) % _PRIME
+_LETTER = np.arange(1, 257, dtype=U64)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z hash as a-z
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = _FOLD[97:123]
+_point_powers: list[np.ndarray] = [np.ones(1, U64), np.zeros(1, U64)]
 _BASE = int(stream(12, 1)[0]) | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = stream(13, 64) | U64(1)
@@ -56,6 +64,25 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _point_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low 32 and the high bits of at least n powers of the point."""
+    have = len(_point_powers[0])
+    if have < n:
+        power = (int(_point_powers[1][-1]) << 32) | int(_point_powers[0][-1])
+        more = []
+        for _ in range(max(2 * n, 4096) - have):
+            power = power * _POINT % _PRIME
+            more.append(power)
+        more = np.array(more, U64)
+        _point_powers[:] = np.r_[_point_powers[0], more & U64(0xFFFFFFFF)], np.r_[_point_powers[1], more >> U64(32)]
+    return _point_powers[0], _point_powers[1]
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + size[0] - 1, start[1], ... of ranges of a size of one at least."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def release() -> None:
     """Gives a worker's free memory back to the system; workers are kept for later tasks, and would keep it with them."""
     pa.default_memory_pool().release_unused()
@@ -120,10 +147,29 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offs)
-        up, down = _power_tables(n + 1)
-        acc = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * up[:n], out=acc[1:])
-        self.hash = mix((acc[self.end] - acc[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        self.data = data
+        self.hash = self._hashed(data[solid])
+
+    def _hashed(self, letters: np.ndarray) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, U64)
+        head = np.cumsum(size) - size
+        place = np.arange(len(letters)) - np.repeat(head, size)
+        longest = int(size.max())
+        if longest > LONG:
+            place = np.minimum(place, LONG - 1)
+        low, high = _point_tables(min(longest, LONG))
+        value = _LETTER[letters]
+        # sums of at most LONG products of 9 and 32 bits don't overflow
+        low, high = np.add.reduceat(value * low[place], head), np.add.reduceat(value * high[place], head)
+        total = low + (high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32))
+        total = (total & U64(_PRIME)) + (total >> U64(61))
+        total = np.where(total >= _PRIME, total - U64(_PRIME), total)
+        for i in np.flatnonzero(size > LONG).tolist():
+            word = _FOLD[letters[head[i] : head[i] + size[i]]].tobytes()
+            total[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return mix(total + (size.astype(U64) << U64(61)))
 
     def shingles(self, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the word shingles in order and the first shingle of each row; a row of fewer words (but any) has one shingle."""
@@ -141,8 +187,33 @@ class Words:
         at = np.zeros(len(words) + 1, np.int64)
         np.cumsum(count, out=at[1:])
         keep = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
+        self.begin, self.wide = keep, np.repeat(np.minimum(words, width), count)
         return mix(acc[keep]), at
 
+    def distinct(self, shingles: np.ndarray) -> bool:
+        """Whether equal hashes of words and of the shingles made last stand for equal words throughout the block."""
+        order = np.argsort(self.hash, kind="stable")
+        same = self.hash[order[1:]] == self.hash[order[:-1]]
+        a, b = order[:-1][same], order[1:][same]
+        size = self.end[a] - self.start[a]
+        if (size != self.end[b] - self.start[b]).any():
+            return False
+        step = max(1, BLOCK_BYTES // max(1, int(size.max(initial=1))))
+        for k in range(0, len(a), step):
+            x, y = (_FOLD[self.data[ranges(self.start[i[k : k + step]], size[k : k + step])]] for i in (a, b))
+            if not np.array_equal(x, y):
+                return False
+        order = np.argsort(shingles, kind="stable")
+        same = shingles[order[1:]] == shingles[order[:-1]]
+        a, b = order[:-1][same], order[1:][same]
+        if (self.wide[a] != self.wide[b]).any():
+            return False
+        for k in range(int(self.wide.max(initial=0))):
+            own = self.wide[a] > k
+            if (self.hash[self.begin[a[own]] + k] != self.hash[self.begin[b[own]] + k]).any():
+                return False
+        return True
+
 
 class Bloom:
     """A read-only Bloom filter over 64-bit values; words is a power-of-two-sized uint64 array."""

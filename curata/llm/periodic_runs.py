@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import blocks, tidy
+from curata.llm.kernels import blocks, ranges, tidy
 
 #: Bytes of text that are refined side by side; a longer text is a block of its own.
 BLOCK = 1 << 22
@@ -27,11 +27,6 @@ BLOCK = 1 << 22
 SCANNED = 24
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], ..., start[0] + size[0] - 1, start[1], ... of non-empty ranges."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 class Classes:
     """Positions in classes of equal factors, refined length by length.
 
@@ -104,7 +99,7 @@ class Classes:
         self._link(at, group)
         small = [at[np.repeat(~silent, took)]]
         if len(rests):
-            small.append(self.order[_ranges(self.start[rests], self.size[rests])])
+            small.append(self.order[ranges(self.start[rests], self.size[rests])])
         self.recent = np.concatenate(small)
         self.changed = np.concatenate([self._left, at])
 
@@ -122,7 +117,7 @@ class Classes:
         head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         m, c = np.diff(np.r_[head, len(at)]), of[head]
         begin = self.start[c] + self.size[c] - m
-        zone = _ranges(begin, m)
+        zone = ranges(begin, m)
         self._moved[at] = True
         there = self.order[zone]
         movers = there[~self._moved[there]]

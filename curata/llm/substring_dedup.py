@@ -8,7 +8,7 @@ is built over them alone.
 Windows of two texts whose centres have one shingle, and whose context on one side has one minimum too, point at a
 passage that both may hold. A repeated passage is found by each of the hashes: its minimum is the same in both texts, and
 the longer side of the minimum lies within the passage. Windows of one key are linked with the first of them, first within
-a block of documents and then across blocks, so a passage of any number of documents costs a link for each. Windows whose
+what a task gathers and then across tasks, so a passage of any number of documents costs a link for each. Windows whose
 intervals overlap by a passage's length at least are compared: links of one pair of texts name the diagonals on which runs
 of equal shingles are looked for; runs are chained across diagonals, so that inserted and deleted words don't end a
 passage, and the chains are verified by their similarity.
@@ -21,8 +21,9 @@ every part is settled: two texts that share a passage about the stretch agree be
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.kernels import Words, blocks, column, mix, signed, stream, tidy
@@ -34,6 +35,8 @@ _LOW = np.uint64((1 << 24) - 1)
 #: Bits of a window's reach on each side of its centre, and so the longest passage that can be asked for.
 REACH_BITS = 16
 REACH = (1 << REACH_BITS) - 1
+#: Windows that a task gathers before it looks for those that share a key.
+FLUSH = 1 << 20
 
 
 def sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -124,37 +127,47 @@ def _rows(names: list[str], cols: list) -> pa.RecordBatch:
 
 
 def _windows(length: int):
-    """Rows (key, doc, window) of documents. Windows of a block that share a key are keyed anew by the block, but the first."""
+    """Rows (key, doc, ver, window) of documents.
+
+    Windows of a key among those that a task gathers are keyed anew by these, but the first: a key of very many documents
+    has a row for each FLUSH windows of a task.
+    """
+
+    def starred(pending: list) -> pa.RecordBatch:
+        key, own, ver, packed = (np.concatenate(x) for x in zip(*pending, strict=True))
+        order = np.lexsort((packed, ver, own, key))
+        key, own, ver, packed = key[order], own[order], ver[order], packed[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        many = ~new | np.r_[~new[1:], False]
+        salt = mix(np.array([own[0], own[-1], packed[0], len(own)]).astype(np.uint64)).sum(dtype=np.uint64)
+        return _rows(["key", "doc", "ver", "window"], [signed(np.r_[key[new], mix(key[many] + salt)]), *[np.r_[x[new], x[many]] for x in (own, ver, packed)]])
 
     def run(batches):
+        pending, size = [], 0
         for batch in batches:
             ids = batch.column(0)
             batch = batch.filter(ids.is_valid())
             for a, b, data, offs in blocks(batch, "text"):
-                doc = batch.column(0)[a:b].to_numpy()
+                doc, ver = (batch.column(k)[a:b].to_numpy() for k in (0, 2))
                 shingles, first = Words(data, offs).shingles(WIDTH)
-                out = []
                 for k in range(HASHES):
                     i, c, l, r, before, after = compact_windows(shingles, first, length, _SEED[k])
                     packed = (c << 2 * REACH_BITS) | (np.minimum(c - l, REACH) << REACH_BITS) | np.minimum(r - c, REACH)
                     for key in (before, after):
                         has = key != 0
-                        out.append((key[has] + np.uint64(k), doc[i[has]], packed[has]))
-                key, own, packed = (np.concatenate(x) for x in zip(*out, strict=True))
-                order = np.lexsort((packed, own, key))
-                key, own, packed = key[order], own[order], packed[order]
-                if not len(key):
-                    continue
-                new = np.r_[True, key[1:] != key[:-1]]
-                many = ~new | np.r_[~new[1:], False]
-                salt = mix(np.array([doc[0], doc[-1], len(doc)]).astype(np.uint64)).sum(dtype=np.uint64)
-                yield _rows(["key", "doc", "window"], [signed(np.r_[key[new], mix(key[many] + salt)]), np.r_[own[new], own[many]], np.r_[packed[new], packed[many]]])
+                        pending.append((key[has] + np.uint64(k), doc[i[has]], ver[i[has]], packed[has]))
+                        size += len(pending[-1][0])
+                if size >= FLUSH:
+                    yield starred(pending)
+                    pending, size = [], 0
+        if size:
+            yield starred(pending)
 
     return run
 
 
 def _stars(length: int):
-    """Rows (key, doc, window) sorted in this order: links (doc, c, hub, hub_c) of the centres of each with those of the key's first row.
+    """Rows (key, doc, ver, window) sorted in this order: links of the centres of each with those of the key's first row.
 
     Two windows are linked where their intervals about the centres overlap by the length at least.
     """
@@ -162,16 +175,16 @@ def _stars(length: int):
     def run(batches):
         held = None
         for batch in batches:
-            k, d, w = (batch.column(i).to_numpy() for i in range(3))
+            k, d, v, w = (batch.column(i).to_numpy() for i in range(4))
             if not len(k):
                 continue
             new = np.r_[held is None or k[0] != held[0], k[1:] != k[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            hub, hub_w = np.where(at < 0, held[1] if held else 0, d[at]), np.where(at < 0, held[2] if held else 0, w[at])
-            held = (k[-1], hub[-1], hub_w[-1])
+            hub, hub_v, hub_w = (np.where(at < 0, held[n] if held else 0, x[at]) for n, x in enumerate((d, v, w), 1))
+            held = (k[-1], hub[-1], hub_v[-1], hub_w[-1])
             left, right = (np.minimum(w >> by & REACH, hub_w >> by & REACH) for by in (REACH_BITS, 0))
-            far = (d != hub) & (left + right + 1 >= length)
-            yield _rows(["doc", "c", "hub", "hub_c"], [d[far], w[far] >> 2 * REACH_BITS, hub[far], hub_w[far] >> 2 * REACH_BITS])
+            far = ((d != hub) | (v != hub_v)) & (left + right + 1 >= length)
+            yield _rows(["doc", "ver", "c", "hub", "hub_ver", "hub_c"], [d[far], v[far], w[far] >> 2 * REACH_BITS, hub[far], hub_v[far], hub_w[far] >> 2 * REACH_BITS])
 
     return run
 
@@ -237,7 +250,7 @@ def aligned_passages(x: np.ndarray, y: np.ndarray, diags: list[int], length: int
     return sorted(out)
 
 
-_FOUND = "doc_id bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double"
+_FOUND = "doc_id bigint, version bigint, start_word bigint, end_word bigint, source_id bigint, source_start bigint, similarity double"
 _MEMBER = "c bigint, part bigint, open boolean, before bigint, after bigint"
 _MEMBER_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 _NAMES = [f.split()[0] for f in f"{_FOUND}, {_MEMBER}".split(", ")]
@@ -273,9 +286,9 @@ def _verify(length: int, t: int):
 
     def run(batches):
         for batch in batches:
-            doc, hub, hub_lo = (batch.column(i).to_numpy() for i in range(3))
-            mine, theirs = batch.column(4), batch.column(5)
-            lists = batch.column(3)
+            doc, ver, hub, hub_ver, hub_lo = (batch.column(i).to_numpy() for i in range(5))
+            mine, theirs = batch.column(6), batch.column(7)
+            lists = batch.column(5)
             cuts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64)
             flat = lists.flatten()
             all_c, all_h = (flat.field(k).to_numpy() for k in (0, 1))
@@ -286,50 +299,74 @@ def _verify(length: int, t: int):
                 own = slice(int(cuts[i]), int(cuts[i + 1]))
                 base, c = int(hub_lo[i]), all_c[own]
                 h = all_h[own] - base
-                found = aligned_passages(x, y, np.unique(c - h).tolist(), length, t) if doc[i] != hub[i] else []
+                found = aligned_passages(x, y, np.unique(c - h).tolist(), length, t) if (doc[i], ver[i]) != (hub[i], hub_ver[i]) else []
                 covered = np.zeros(len(c), bool)
                 for s, e, at, sim in found:
                     covered |= (s <= c) & (c < e)
-                    found_rows.append((doc[i], s, e + WIDTH - 1, hub[i], base + at, sim))
+                    found_rows.append((doc[i], ver[i], s, e + WIDTH - 1, hub[i], base + at, sim))
                 if parts is None:
-                    member.append((np.full(len(c), doc[i]), c, x[c].astype(np.int64), ~covered))
-                    member.append((np.full(len(c), hub[i]), base + h, y[h].astype(np.int64), np.zeros(len(c), bool)))
+                    member.append((np.full(len(c), doc[i]), np.full(len(c), ver[i]), c, x[c].astype(np.int64), ~covered))
+                    member.append((np.full(len(c), hub[i]), np.full(len(c), hub_ver[i]), base + h, y[h].astype(np.int64), np.zeros(len(c), bool)))
                 else:
                     mine_parts = np.array(parts[own], np.int64)
-                    member.append((np.full(len(c), doc[i]), c, mine_parts, ~covered))
+                    member.append((np.full(len(c), doc[i]), np.full(len(c), ver[i]), c, mine_parts, ~covered))
                     side += [grown(x, y, cc, hh, pp) for cc, hh, pp in zip(c.tolist(), h.tolist(), mine_parts.tolist(), strict=True)]
-            cols = list(zip(*found_rows, strict=True)) if found_rows else [()] * 6
+            cols = list(zip(*found_rows, strict=True)) if found_rows else [()] * 7
             n = len(found_rows)
             if n:
-                values = [pa.array(v, k) for v, k in zip(cols, [*[pa.int64()] * 5, pa.float64()], strict=True)]
+                values = [pa.array(v, k) for v, k in zip(cols, [*[pa.int64()] * 6, pa.float64()], strict=True)]
                 yield _rows(_NAMES, [*values, *[pa.nulls(n, k) for k in _MEMBER_KINDS]])
             if member:
-                ids, c, part, open_ = (np.concatenate(v) for v in zip(*member, strict=True))
+                ids, vers, c, part, open_ = (np.concatenate(v) for v in zip(*member, strict=True))
                 m = len(ids)
                 before, after = (pa.array([v[k] for v in side], pa.int64()) if parts is not None else pa.nulls(m, pa.int64()) for k in (0, 1))
-                yield _rows(_NAMES, [pa.array(ids, pa.int64()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.float64()), pa.array(c.astype(np.int64)), pa.array(part), pa.array(open_), before, after])
+                yield _rows(_NAMES, [pa.array(ids, pa.int64()), pa.array(vers, pa.int64()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.float64()), pa.array(c.astype(np.int64)), pa.array(part), pa.array(open_), before, after])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, t: int = 80) -> DataFrame:
-    """One row per passage that an earlier document holds too: doc_id, start_word, end_word, source_id, source_start, similarity.
-
-    Words are counted from 0, end_word is exclusive; the source is a document of smaller id. Passages have min_words
-    words or more, in common with the source up to a similarity of t percent of the word shingles of the two aligned
-    passages, with words replaced, inserted or deleted. No passage that repeats word for word is missed as a whole; edited
-    ones are found by the windows that the edits leave. The first document that holds a passage has no row for it. Repetition within a document is none of this operator's business. Null and
-    short texts have no passage; rows with a null id are skipped; repeated rows of one id are one document. The ids are
-    bigint; other columns are ignored.
+    """One row per passage that an earlier document holds too: doc_id, version, start_word, end_word, source_id, source_start, similarity.
+
+    Words are counted from 0, end_word is exclusive; the source is a document of smaller id, of several one. Passages have
+    min_words words or more, in common with the source up to a similarity of t percent of the word shingles of the two
+    aligned passages, with words replaced, inserted or deleted. No passage that repeats word for word is missed as a whole;
+    edited ones are found by the windows that the edits leave. The first document that holds a passage has no row for it.
+    Repetition within a document is none of this operator's business. Null and short texts have no passage; rows with a
+    null id are skipped; repeated rows of one id and text are one document. The texts of an id that has several are
+    documents of their own, in the order of their hashes: version tells them apart (version_of), and the source of one may
+    be another. The ids are bigint; other columns are ignored.
     """
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return _passages(slim.withColumn("version", version_of(slim)), min_words, t)
+
+
+def version_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A column of docs that tells the texts of one id apart: 0 for ids with one text (nearly all of them), else the text's hash."""
     spark = docs.sparkSession
+    work = Scratch(spark, "versions")
+    own, h = F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col))
+    hashed = docs.select(own.alias("doc_id"), h.alias("h")).filter("doc_id is not null")
+    several = work.table(hashed.groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x != y").select("doc_id"), "several")
+    odd = spark.sparkContext.broadcast(bloom(several, "doc_id", several.count()))
+    work.drop("several")
+
+    @F.pandas_udf("bigint")
+    def version(doc: pd.Series, h: pd.Series) -> pd.Series:
+        ids = doc.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series(np.where(doc.notna().to_numpy() & odd.value.has(ids), h.to_numpy(), 0))
+
+    return version(own, h)
+
+
+def _passages(slim: DataFrame, min_words: int, t: int) -> DataFrame:
+    spark = slim.sparkSession
     work = Scratch(spark, "passages")
     length = min_words - WIDTH + 1
     if not 4 <= length <= REACH:
         raise ValueError(f"min_words is from {WIDTH + 3} to {REACH + WIDTH - 1}")
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = slim.mapInArrow(tidy(_windows(length)), "key bigint, doc bigint, window bigint").repartition("key").sortWithinPartitions("key", "doc", "window")
-    links = work.table(keyed.mapInArrow(tidy(_stars(length)), "doc bigint, c bigint, hub bigint, hub_c bigint"), "links")
+    keyed = slim.mapInArrow(tidy(_windows(length)), "key bigint, doc bigint, ver bigint, window bigint").repartition("key").sortWithinPartitions("key", "doc", "ver", "window")
+    links = work.table(keyed.mapInArrow(tidy(_stars(length)), "doc bigint, ver bigint, c bigint, hub bigint, hub_ver bigint, hub_c bigint"), "links")
     involved = links.select(F.explode(F.array("doc", "hub")).alias("doc_id")).distinct()
     near = spark.sparkContext.broadcast(bloom(involved, "doc_id", involved.count()))
 
@@ -340,9 +377,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for a, b, data, offs in blocks(own, "text"):
                 shingles, first = Words(data, offs).shingles(WIDTH)
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer((shingles >> np.uint64(32)).astype(np.uint32).tobytes())])
-                yield _rows(["doc_id", "shingles"], [own.column(0)[a:b], packed])
+                yield _rows(["doc_id", "version", "shingles"], [own.column(0)[a:b], own.column(2)[a:b], packed])
 
-    kept = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "texts")
+    kept = work.table(slim.mapInArrow(tidy(texts), "doc_id bigint, version bigint, shingles binary").dropDuplicates(["doc_id", "version"]), "texts")
 
     def texts_of(rows: DataFrame) -> DataFrame:
         """The texts of a round's documents, and some more: what isn't looked at isn't moved."""
@@ -353,29 +390,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for batch in batches:
                 yield batch.filter(pa.array(some.value.has(batch.column(0).to_numpy())))
 
-        return kept.mapInArrow(tidy(run), "doc_id bigint, shingles binary")
+        return kept.mapInArrow(tidy(run), "doc_id bigint, version bigint, shingles binary")
 
     def verified(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Passages and centres of links (doc, c, hub, hub_c, part)."""
+        """Passages and centres of links (doc, ver, c, hub, hub_ver, hub_c, part)."""
         held = kept if name == "round0" else texts_of(rows)
-        pairs = rows.groupBy("doc", "hub").agg(F.collect_set(F.struct("c", "hub_c", "part")).alias("centres"))
+        pair = ["doc", "ver", "hub", "hub_ver"]
+        pairs = rows.groupBy(*pair).agg(F.collect_set(F.struct("c", "hub_c", "part")).alias("centres"))
         diags = F.transform("centres", lambda x: x["c"] - x["hub_c"])
         pairs = pairs.withColumn("most", F.array_max(diags)).withColumn("least", F.array_min(diags))
-        mine = pairs.join(held, F.col("doc") == F.col("doc_id")).select("doc", "hub", "centres", "most", "least", F.col("shingles").alias("mine"))
+        mine = pairs.join(held, (F.col("doc") == F.col("doc_id")) & (F.col("ver") == F.col("version"))).select(*pair, "centres", "most", "least", F.col("shingles").alias("mine"))
         # a passage of n shingles has at most n (100 - t) / t places of the source left out, so the source ends there
         slack = F.expr(f"length(mine) div 4 * {100 - t} div {t} + {length}")
         mine = mine.withColumn("hub_lo", F.greatest(F.lit(0), -F.col("most") - slack)).withColumn("hub_hi", F.expr("length(mine) div 4") - F.col("least") + slack)
         theirs = F.expr("substring(shingles, cast(4 * hub_lo + 1 as int), cast(least(4 * (hub_hi - hub_lo), length(shingles)) as int))")
-        both = mine.join(held, F.col("hub") == F.col("doc_id")).select("doc", "hub", "hub_lo", "centres", "mine", theirs.alias("theirs"))
+        both = mine.join(held, (F.col("hub") == F.col("doc_id")) & (F.col("hub_ver") == F.col("version"))).select(*pair, "hub_lo", "centres", "mine", theirs.alias("theirs"))
         out = work.table(both.mapInArrow(tidy(_verify(length, t)), f"{_FOUND}, {_MEMBER}"), name)
         return out.filter("c is null").select(*[f.split()[0] for f in _FOUND.split(", ")]), out.filter("c is not null")
 
     found, members = verified(links.withColumn("part", F.lit(None).cast("bigint")), "round0")
-    parts = members.groupBy("part", F.col("doc_id").alias("doc"), "c").agg(F.min("open").alias("open"))
+    own = [F.col("doc_id").alias("doc"), F.col("version").alias("ver"), "c"]
+    parts = members.groupBy("part", *own).agg(F.min("open").alias("open"))
     for k in range(1, length + 2):
         # parts with a centre that no passage covers, and another document: each is linked with its first centre
-        hubs = parts.groupBy("part").agg(F.min(F.struct("doc", "c")).alias("h"), F.max("open").alias("some"), F.max("doc").alias("last")).filter(F.col("some") & (F.col("last") != F.col("h.doc")))
-        split = parts.join(hubs.select("part", F.col("h.doc").alias("hub"), F.col("h.c").alias("hub_c")), "part").filter((F.col("doc") != F.col("hub")) | (F.col("c") != F.col("hub_c")))
+        text = F.struct("doc", "ver")
+        hubs = parts.groupBy("part").agg(F.min(F.struct("doc", "ver", "c")).alias("h"), F.max("open").alias("some"), F.max(text).alias("last")).filter(F.col("some") & (F.col("last") != F.struct("h.doc", "h.ver")))
+        named = hubs.select("part", F.col("h.doc").alias("hub"), F.col("h.ver").alias("hub_ver"), F.col("h.c").alias("hub_c"))
+        split = parts.join(named, "part").filter((F.col("doc") != F.col("hub")) | (F.col("ver") != F.col("hub_ver")) | (F.col("c") != F.col("hub_c")))
         split = work.table(split, f"links{k}")
         if split.isEmpty():
             break
@@ -383,12 +424,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         work.drop(f"links{k - 1}" if k > 1 else "links")
         found = found.unionByName(more)
         # a centre stays open where it was and still is
-        was = split.select("part", F.col("doc").alias("doc_id"), "c", F.col("open").alias("was"))
-        grown = members.join(was, ["part", "doc_id", "c"]).select("doc_id", "c", (F.col("open") & F.col("was")).alias("open"), F.explode(F.array("before", "after")).alias("next")).filter("next is not null")
-        parts = grown.groupBy(F.col("next").alias("part"), F.col("doc_id").alias("doc"), "c").agg(F.min("open").alias("open"))
+        was = split.select("part", F.col("doc").alias("doc_id"), F.col("ver").alias("version"), "c", F.col("open").alias("was"))
+        grown = members.join(was, ["part", "doc_id", "version", "c"]).select("doc_id", "version", "c", (F.col("open") & F.col("was")).alias("open"), F.explode(F.array("before", "after")).alias("next")).filter("next is not null")
+        parts = grown.groupBy(F.col("next").alias("part"), *own).agg(F.min("open").alias("open"))
     else:
         raise RuntimeError("parts of a common stretch didn't settle")
-    return found.distinct()
+    out = work.table(found.distinct(), "found")
+    work.drop("texts", *[f"{name}{j}" for name in ("links", "round") for j in range(k + 1)])
+    return out
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, t: int = 80) -> DataFrame:
@@ -396,12 +439,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The words of a passage go with the white space before each but the first. A text left without words goes as a row.
     """
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} is a string column")
     work = Scratch(docs.sparkSession, "cuts")
-    found = work.table(repeated_passages(docs, id_col, text_col, min_words, t).select("doc_id", "start_word", "end_word").distinct(), "found")
-    key, own = free_name(docs, "cut_id"), free_name(docs, "cut_spans")
-    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(own))
+    key, same, own, ver = (free_name(docs, c) for c in ("cut_id", "cut_text", "cut_spans", "cut_version"))
+    versioned = docs.withColumn(ver, version_of(docs, id_col, text_col))
+    slim = versioned.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(ver).alias("version"))
+    # spans of several sources overlap: those that are told apart only by their sources count once
+    found = work.table(_passages(slim, min_words, t).select("doc_id", "version", "start_word", "end_word").distinct(), "cuts")
+    spans = found.groupBy(F.col("doc_id").alias(key), F.col("version").alias(same)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(own))
     names = docs.columns
-    kind = docs.schema[text_col].dataType
 
     def run(batches):
         for batch in batches:
@@ -434,5 +481,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols["n_chars"] = pa.array([c if not s or t is None else len(t) for c, s, t in zip(cols["n_chars"].to_pylist(), spans_of.to_pylist(), texts, strict=True)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names).filter(pa.array(keep, pa.bool_()))
 
-    assert kind.simpleString() == "string"
-    return docs.join(spans, docs[id_col] == spans[key], "left").select(*(docs[n] for n in names), own).mapInArrow(tidy(run), docs.schema)
+    joined = versioned.join(spans, (versioned[id_col].cast("bigint") == spans[key]) & (versioned[ver] == spans[same]), "left")
+    return joined.select(*(versioned[n] for n in names), own).mapInArrow(tidy(run), docs.schema)
