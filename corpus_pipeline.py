@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curata.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
 from curata.llm.scratch import Scratch
 from curata.llm.tables import read, tokenizer_path
+from curata.plans.scratch import consumed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,9 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each result is written and read again in the cluster's shared folder."""
+    """All stages in turn; each result is written and read again in the cluster's shared folder.
+
+    What a stage has read, and the tables that its operator has made, go once its result is written.
+    """
     work = Scratch(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with consumed():
+            docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_recorded: list[list[Scratch]] = []
+
+
+@contextmanager
+def consumed() -> Iterator[None]:
+    """All scratch tables that operators make within go at its end: a result that reads them is to be written within too."""
+    made: list[Scratch] = []
+    _recorded.append(made)
+    try:
+        yield
+    finally:
+        _recorded.remove(made)
+        for work in made:
+            work.drop("")
+
+
 class Scratch:
     """Written tables of one operator run. A lost executor costs only the tasks of the stage at hand."""
 
@@ -28,6 +46,8 @@ class Scratch:
         path, files = self._path("")
         files.mkdirs(path)
         files.deleteOnExit(path)  # what is still needed by results goes with the driver
+        for made in _recorded:
+            made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -38,7 +58,7 @@ class Scratch:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more; the empty name stands for all of them."""
         for name in names:
             path, files = self._path(name)
             files.delete(path, True)

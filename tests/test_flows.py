@@ -361,3 +361,18 @@ def test_empty_folders_and_wrong_roots(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(grey(2))
     with pytest.raises(NotADirectoryError):
         pipelines.consolidate(spark, str(tmp_path / "a.png"))
+
+
+def test_consumed_tables_go(spark):
+    import os
+
+    from curata.plans.scratch import Scratch, consumed
+
+    own = Scratch(spark, "own")
+    with consumed():
+        inner = Scratch(spark, "inner")
+        kept = own.table(inner.table(spark.range(5), "a").filter("id > 1"), "kept")
+        assert os.path.isdir(f"{inner.root.removeprefix('file:')}/a")
+    assert not os.path.isdir(inner.root.removeprefix("file:")) and kept.count() == 3
+    own.drop("kept")
+    assert not os.path.isdir(f"{own.root.removeprefix('file:')}/kept")
