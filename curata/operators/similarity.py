@@ -6,22 +6,18 @@ Hashes are rows (path, phash bigint, size bigint); undecodable files have a null
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
-from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curata.functions.images import hamming
 from curata.functions.text import delete_me_name, file_name, group_file_name
 from curata.operators.components import connected_components
+from curata.operators.hamming_index import pairs_within
 from curata.plans.scratch import Scratch
 
 #: Fixed value: the score of a cluster of one file.
 SINGLE = 0.999
-#: Neighbours of a band that a hash is looked up by at most, over all bands, and share of all pairs that bands may select.
-MOST_PROBES, MOST_SELECTED = 1200, 0.05
 
 
 @dataclass(frozen=True)
@@ -32,61 +28,21 @@ class ClusterConfig:
 
 
 def similar_pairs(hashes: DataFrame, threshold: float) -> DataFrame:
-    """(p1, p2, bits, score) of all pairs p1 < p2 of files with a normalised distance up to the threshold, copies included.
+    """(p1, p2, bits, score) of the pairs p1 < p2 of files that stand for their hashes, and the copies of each of them.
 
-    Each distinct hash is compared once, and its pairs are dealt out to its files, so only the rows of the result grow
-    with the number of copies. Of b bands of two hashes within k bits one differs by k // b bits at most, so they are joined on
-    equal bands after one side is spread over the neighbours of its bands; where no number of bands selects enough, each
-    hash is compared with all others in blocks.
+    The smallest path of a hash stands for it. Pairs of these have a normalised distance up to the threshold; every other
+    file of a hash is a row of 0 bits with the one that stands for it. So the rows grow with the files and with the pairs
+    of different hashes, never with the square of a group of copies, and every link between files follows from them.
     """
     known = hashes.filter(F.col("phash").isNotNull()).select("path", "phash")
-    near = _compared(known.groupBy("phash").agg(F.min("path").alias("p")), threshold).select("h1", "h2", "bits")
-    a, b = known.select(F.col("path").alias("a"), F.col("phash").alias("h1")), known.select(F.col("path").alias("b"), F.col("phash").alias("h2"))
-    apart = near.join(a, "h1").join(b, "h2").filter("a != b")
-    equal = a.join(b, (F.col("h1") == F.col("h2")) & (F.col("a") < F.col("b"))).withColumn("bits", F.lit(0))
-    pairs = apart.select("a", "b", "bits").unionByName(equal.select("a", "b", "bits"))
-    return pairs.select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2"), "bits", (F.col("bits") / F.lit(64.0)).alias("score"))
-
-
-def bands_for(bits: int) -> int | None:
-    """The number of bands with the fewest probes that select few enough pairs, or None."""
-    best = None
-    for count in range(1, 65):
-        width = 64 // count
-        near = sum(comb(width + (64 % count > 0), r) for r in range(bits // count + 1))
-        if count * near <= (best[0] if best else MOST_PROBES) and count * near <= MOST_SELECTED * 2**width:
-            best = (count * near, count)
-    return best[1] if best else None
-
-
-def _flipped(part: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.struct(part["k"].alias("k"), part["v"].bitwiseXOR(m).alias("v")))
+    reps = known.groupBy("phash").agg(F.min("path").alias("p"))
+    apart = _compared(reps, threshold).select("p1", "p2", "bits")
+    copies = known.join(reps, "phash").filter("path != p").select(F.col("p").alias("p1"), F.col("path").alias("p2"), F.lit(0).alias("bits"))
+    return apart.unionByName(copies).withColumn("score", F.col("bits") / F.lit(64.0))
 
 
 def _compared(reps: DataFrame, threshold: float) -> DataFrame:
-    bits = int(threshold * 64 + 1e-9)
-    near = hamming(F.col("a.phash"), F.col("b.phash")) <= threshold
-    out = [F.least("a.p", "b.p").alias("p1"), F.greatest("a.p", "b.p").alias("p2"), F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))).alias("bits"), F.col("a.phash").alias("h1"), F.col("b.phash").alias("h2")]
-    count = bands_for(bits)
-    if count:
-        cuts = [64 * k // count for k in range(count + 1)]
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        parts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("v")) for k, (lo, hi) in enumerate(spans)]
-        flips = [[sum(1 << i for i in c) for r in range(bits // count + 1) for c in combinations(range(hi - lo), r)] for lo, hi in spans]
-        probes = F.flatten(F.array(*[_flipped(p, f) for p, f in zip(parts, flips, strict=True)]))
-        a, b = reps.withColumn("band", F.explode(F.array(*parts))).alias("a"), reps.withColumn("band", F.explode(probes)).alias("b")
-        found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.phash") < F.col("b.phash")) & near).select(*out).distinct()
-    else:
-        # every block of hashes meets every other once; the number of blocks follows the session's partitions
-        n = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-        dealt = reps.withColumn("own", F.pmod(F.xxhash64("phash"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        dealt = dealt.select("phash", "p", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        a, b = dealt.alias("a"), dealt.alias("b")
-        once = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-        # a block meets itself where i = j, and another where one side is of i and the other of j
-        split = ((F.col("a.i") == F.col("a.j")) & (F.col("a.phash") < F.col("b.phash"))) | ((F.col("a.own") == F.col("a.i")) & (F.col("b.own") == F.col("b.j")) & (F.col("a.i") < F.col("a.j")))
-        found = a.join(b, once & split & near).select(*out)
-    return found.withColumn("score", F.col("bits") / F.lit(64.0))
+    return pairs_within(reps, int(threshold * 64 + 1e-9))
 
 
 def clusters(hashes: DataFrame, threshold: float) -> DataFrame:

@@ -495,7 +495,8 @@ UNION ALL SELECT 'move', src, '/in/set' || d || '_processed/' || g || '.png', 'p
         "error_moves": "SELECT 'move' AS action, '/in/error/' || event_id || '.png' AS src, '/in/error_error/' || event_id || '.png' AS dst, 'error' AS reason FROM events WHERE event_type = 'error'",
         "config_compounds": "SELECT r_name AS name, string_agg(n_name, ',' ORDER BY n_name) AS members, CAST(0 AS BIGINT) AS missing FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name",
         "user_prompt": f"SELECT {_quoted(classify.build_prompt([]))} || string_agg('Tag: ' || r_name || chr(10) || 'Description: region ' || r_regionkey || chr(10) || chr(10), '' ORDER BY r_regionkey) AS prompt FROM region",
-        "hash_pairs": f"WITH {PAIRS} SELECT p1, p2, bits, score FROM pairs",
+        "hash_pairs": f"""WITH {PAIRS}, rep AS (SELECT s, min(path) AS p FROM v GROUP BY s)
+SELECT p1, p2, bits, score FROM pairs WHERE bits > 0 AND p1 IN (SELECT p FROM rep) AND p2 IN (SELECT p FROM rep) UNION ALL SELECT p, path, 0, 0.0::DOUBLE FROM v JOIN rep USING (s) WHERE path <> p""",
         "clusters": f"WITH RECURSIVE {GROUPED} SELECT cluster_id, avg_score, array_to_string(paths, ',') AS paths FROM c",
         "cluster_prune": f"WITH RECURSIVE {GROUPED} SELECT 'delete' AS action, src, CAST(NULL AS VARCHAR) AS dst, 'copy of ' || keep AS reason FROM (SELECT keep, unnest(paths) AS src FROM c JOIN full_ USING (cluster_id)) WHERE src <> keep",
         "cluster_rank": f"WITH RECURSIVE {GROUPED} SELECT rank, printf('%05d', rank) AS group_id, cluster_id, avg_score, CAST(len(paths) AS BIGINT) AS n FROM ranked",
@@ -529,8 +530,10 @@ ELSE 'words|' || {_quoted(classify.TEXT_PROMPT)} || '|' || (CASE WHEN o_orderkey
         "session_lookup": "SELECT r_name AS session_id, '/in/' || r_regionkey AS work_directory, CASE WHEN r_regionkey % 2 = 1 THEN 'CLASSIFYING' ELSE 'DISCOVERING' END AS state FROM region UNION ALL SELECT 'nowhere', NULL, 'unknown'",
         "cluster_summary": f"WITH RECURSIVE {GROUPED} SELECT count(*) AS clusters, CAST(sum(len(paths)) AS BIGINT) AS files, CAST(max(len(paths)) AS BIGINT) AS largest FROM ranked",
         "near_pairs": """WITH v AS (SELECT printf('/vec/%07d.png', vec_id) AS path, vec_id AS k, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
-c AS (SELECT path, s FROM v UNION ALL SELECT path || '.copy', list_transform(range(0, 64), lambda b: s[b + 1] <> (len(list_filter(range(0, 20), lambda i: i < k % 21 AND (k * 7 + i * 3) % 64 = b)) > 0)) FROM v)
-SELECT p1, p2, bits FROM (SELECT a.path AS p1, b.path AS p2, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END)) AS BIGINT) AS bits FROM c a JOIN c b ON a.path < b.path) WHERE bits / 64.0 <= 0.16""",
+c AS (SELECT path, s FROM v UNION ALL SELECT path || '.copy', list_transform(range(0, 64), lambda b: s[b + 1] <> (len(list_filter(range(0, 20), lambda i: i < k % 21 AND (k * 7 + i * 3) % 64 = b)) > 0)) FROM v),
+r AS (SELECT s, min(path) AS path FROM c GROUP BY s)
+SELECT p1, p2, bits FROM (SELECT a.path AS p1, b.path AS p2, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.s[i] <> b.s[i] THEN 1 ELSE 0 END)) AS BIGINT) AS bits FROM r a JOIN r b ON a.path < b.path) WHERE bits / 64.0 <= 0.16
+UNION ALL SELECT r.path, c.path, 0 FROM c JOIN r USING (s) WHERE c.path <> r.path""",
         "result_schema": """SELECT r_regionkey, '{"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": {"count": {"type": "integer"}, "hasText": {"type": "boolean"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["count", "hasText", "tags"]}' AS schema FROM region""",
         "prompt_data": "SELECT n_nationkey, CAST(to_json(struct_pack(name := n_name, region := n_regionkey)) AS VARCHAR) AS data, '{}' AS empty FROM nation",
         "suffix_filter": f"""WITH r AS (SELECT p_partkey, '/in/' || p_brand || {_list(SUFFIXES)}[p_partkey % {len(SUFFIXES)} + 1] AS path FROM part)

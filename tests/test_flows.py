@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curata.functions import images
-from curata.operators import actions, classify, dedup, sessions, similarity, throughput
+from curata.operators import actions, classify, dedup, hamming_index, sessions, similarity, throughput
 from curata.operators.components import connected_components
 from curata.plans import pipelines
 from curata.sources import config, connectors, files
@@ -132,8 +132,12 @@ def test_similar_pairs_of_repeated_hashes(spark, threshold):
     hashes = [b ^ (1 << rng.randrange(63)) * (k % 2) for b in base for k in range(3)] + base
     rows = [(f"/f/{i * 7 % 32:03}", h, i) for i, h in enumerate(hashes)] + [("/f/none", None, 1), ("/f/zero", None, 1)]
     got = similarity.similar_pairs(spark.createDataFrame(rows, "path string, phash bigint, size bigint"), threshold).collect()
-    want = [(p, q, bin(h ^ g).count("1")) for p, h, _ in rows[:-2] for q, g, _ in rows[:-2] if p < q and bin(h ^ g).count("1") / 64 <= threshold]
-    assert sorted((r.p1, r.p2, r.bits) for r in got) == sorted(want) and sum(d == 0 for *_, d in want) >= 24
+    first = {}
+    for p, h, _ in sorted(rows[:-2]):
+        first.setdefault(h, p)
+    want = [(min(p, q), max(p, q), bin(h ^ g).count("1")) for h, p in first.items() for g, q in first.items() if h < g and bin(h ^ g).count("1") / 64 <= threshold]
+    copies = [(first[h], p, 0) for p, h, _ in rows[:-2] if first[h] != p]
+    assert sorted((r.p1, r.p2, r.bits) for r in got) == sorted(want + copies) and len(copies) >= 8
     assert all(r.score == r.bits / 64 for r in got)
 
 
@@ -330,11 +334,34 @@ def test_band_neighbours_lose_no_pair(spark, bits):
     base = [rng.getrandbits(64) for _ in range(40)]
     values = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 14))) for b in base for _ in range(4)]
     rows = [(f"/{k:04d}", v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)]
-    assert similarity.bands_for(bits)
+    assert hamming_index.bands_for(bits)
     got = {(r.p1, r.p2, r.bits) for r in similarity.similar_pairs(spark.createDataFrame(rows, "path string, phash bigint"), bits / 64).collect()}
     assert got == {(rows[i][0], rows[j][0], d) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (d := (values[i] ^ values[j]).bit_count()) <= bits}
 
 
+@pytest.mark.parametrize("bits", [10, 15, 19, 26])
+@pytest.mark.parametrize("even", [False, True])
+def test_index_pairs_are_all_and_candidates_few(spark, monkeypatch, bits, even):
+    """Families of hashes, and hashes spread evenly; rings in several parts."""
+    import random
+
+    monkeypatch.setattr(hamming_index, "PART", 64)
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(400 if even else 40)]
+    values = base if even else [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(30)]
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    reps = spark.createDataFrame([(v, f"/{k:04d}") for k, v in enumerate(values)] + [(None, "/none")], "phash bigint, p string")
+    want = {(f"/{i:04d}", f"/{j:04d}", d) for i, x in enumerate(values) for j, y in enumerate(values[i + 1 :], i + 1) if (d := ((x ^ y) & (1 << 64) - 1).bit_count()) <= bits}
+    got = hamming_index.pairs_within(reps, bits).collect()
+    assert {(r.p1, r.p2, r.bits) for r in got} == want and len(got) == len(want)
+    every = len(values) * (len(values) - 1) // 2
+    met = hamming_index.candidates(reps.filter("phash is not null"), bits).count()
+    # bands meet a near pair up to four times; rings meet each pair once at most, and of families few beside their own
+    most = 4 * len(want) + every // 20 if hamming_index.bands_for(bits) else every if even else 4 * len(want) if bits <= 19 else every
+    assert met <= most, (met, len(want), every)
+    assert hamming_index.pairs_within(reps.filter("phash is null"), bits).count() == 0
+
+
 def test_settings():
     s = config.Settings.of({"curata.workers": "5", "curata.remove_original": "false", "spark.x": "y"})
     assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
