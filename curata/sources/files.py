@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.plans.scratch import Scratch
+from curata.sources.tree import list_tree
 
 #: Suffixes of images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif")
@@ -44,7 +46,7 @@ def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pn
 
     The suffix is matched without case. Listing and reading are Spark's, so the store may be any that Hadoop knows, and an
     unselected content column is never read. Spark leaves out names that start with `_` or `.`; hidden=True lists such
-    trees on the driver too, for local folders only, and reads the files in the tasks.
+    names too, in tasks, on stores that all machines have mounted.
     """
     if hidden:
         return _listed(spark, root, suffixes)
@@ -59,21 +61,20 @@ def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pn
 def _listed(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     if not os.path.exists(root):
         raise FileNotFoundError(root)
-    names = [root] if os.path.isfile(root) else [os.path.join(d, n) for d, _, files in os.walk(root) for n in files]
-    rows = [(n, os.path.getsize(n)) for n in sorted(names) if n.lower().endswith(tuple(f".{s}" for s in suffixes)) and os.path.isfile(n)]
-    listed = spark.createDataFrame(rows, "path string, size bigint")
-
-    def read(batches):
-        for pdf in batches:
-            for a in range(0, len(pdf), 16):
-                part = pdf.iloc[a : a + 16]
-                content = []
-                for name in part["path"]:
-                    try:
-                        with open(name, "rb") as f:
-                            content.append(f.read())
-                    except OSError:
-                        content.append(None)
-                yield part.assign(modificationTime=None, content=content)
-
-    return listed.mapInPandas(read, "path string, size bigint, modificationTime timestamp, content binary")
+    # dealt out anew, as one folder may hold most of the files
+    listed = list_tree(spark, root, suffixes).repartition("path")
+
+    @F.pandas_udf("binary")
+    def content(path: pd.Series) -> pd.Series:
+        return path.map(_bytes)
+
+    return listed.withColumn("content", content("path"))
+
+
+def _bytes(path: str) -> bytes | None:
+    """The contents of a file, or null if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None

@@ -11,7 +11,9 @@ from curata.functions import images
 from curata.operators import actions, classify, dedup, hamming_index, sessions, similarity, throughput
 from curata.operators.components import connected_components
 from curata.plans import pipelines
-from curata.sources import config, connectors, files
+from curata.plans.scratch import Scratch
+from curata.sources import config, connectors, files, sink
+from curata.sources import tree as sources_tree
 from curata.streaming import requests as queue
 from curata.streaming import throughput as streams
 
@@ -43,9 +45,9 @@ def test_discover_and_apply(spark, tree):
     assert found.counts.first().asDict() == {"total": 4, "unique": 3, "duplicates": 1}
     plan = found.actions.collect()
     assert [(r.src, r.dst) for r in plan] == [(f"{tree}/zoo/a.png", f"{tree}/zoo_duplicates/b.PNG_a.png")]
-    assert {s for *_, s in actions.apply_actions(found.actions)} == {"planned"} and (tree / "zoo/a.png").exists()
+    assert {s for *_, s in actions.apply_actions(found.actions).collect()} == {"planned"} and (tree / "zoo/a.png").exists()
     frozen = spark.createDataFrame(plan, actions.PLAN)
-    assert {s for *_, s in actions.apply_actions(frozen, dry_run=False)} == {"done"}
+    assert {s for *_, s in actions.apply_actions(frozen, dry_run=False).collect()} == {"done"}
     assert (tree / "zoo_duplicates/b.PNG_a.png").exists() and not (tree / "zoo/a.png").exists()
 
 
@@ -65,7 +67,7 @@ def test_no_original_goes_without_its_copy(spark, tree, blocked):
         (tree / "ape_zoo/b.PNG").write_bytes(grey(4))
     elif blocked:
         plan = plan.filter("action = 'delete' and src like '%b.PNG'").withColumn("dst", F.col("src"))
-    done = actions.apply_actions(plan, dry_run=False)
+    done = actions.apply_actions(plan, dry_run=False).collect()
     left = (tree / "zoo/a.png").exists(), (tree / "ape/b.PNG").exists()
     if blocked:
         assert left == (True, True) and "done" not in {s for *_, s in done}
@@ -256,10 +258,10 @@ def test_repair_sink(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/p.png").write_bytes(b"old")
     rows = spark.createDataFrame([(str(tmp_path / "x/p.png"), bytearray(b"new"))], "path string, fixed binary")
-    assert actions.write_repaired(rows)[0][1] == "planned"
-    assert actions.write_repaired(rows, dry_run=False)[0][1] == "done"
+    assert actions.write_repaired(rows).first()[1] == "planned"
+    assert actions.write_repaired(rows, dry_run=False).first()[1] == "done"
     assert (tmp_path / "x/p.png").read_bytes() == b"new" and (tmp_path / "broken_imgs/p.png").read_bytes() == b"old"
-    assert actions.write_repaired(rows, dry_run=False)[0][1].startswith("failed")
+    assert actions.write_repaired(rows, dry_run=False).first()[1].startswith("failed")
 
 
 def test_session(spark, tree, tmp_path_factory):
@@ -362,6 +364,90 @@ def test_index_pairs_are_all_and_candidates_few(spark, monkeypatch, bits, even):
     assert hamming_index.pairs_within(reps.filter("phash is null"), bits).count() == 0
 
 
+def test_tree_source_lists_what_there_is(spark, tmp_path):
+    """Hidden names, names of any case, links, deep and empty folders; dealt out over few and many partitions."""
+    for k in range(60):
+        path = tmp_path / "/".join(["_h" if k % 5 == 0 else f"d{k % 4}"] + [f"e{j}" for j in range(k % 6)]) / f"{'._'[k % 2]}f{k}.{['png', 'PNG', 'jpg', 'txt'][k % 4]}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * k)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "d1")
+    (tmp_path / "gone.png").symlink_to(tmp_path / "nothing")
+    want = sorted((os.path.join(d, n), os.path.getsize(os.path.join(d, n))) for d, _, names in os.walk(tmp_path) for n in names if n.lower().endswith((".png", ".jpg")) and os.path.isfile(os.path.join(d, n)))
+    for spread in (1, 4, 256):
+        got = sources_tree.list_tree(spark, str(tmp_path), ("png", "jpg"), spread)
+        assert sorted((r.path, r.size) for r in got.collect()) == want
+        assert got.rdd.getNumPartitions() <= spread + 8
+    assert len(want) > 40 and got.rdd.getNumPartitions() > 20
+    scanned = files.scan_images(spark, str(tmp_path), ("png", "jpg"), hidden=True).collect()
+    assert sorted((r.path, len(r.content)) for r in scanned) == want and all(r.modificationTime for r in scanned)
+
+
+def folder(tmp_path, n):
+    for k in range(n):
+        (tmp_path / f"in/{k}.png").parent.mkdir(exist_ok=True)
+        (tmp_path / f"in/{k}.png").write_bytes(grey(k % 250))
+    return [("copy", f"{tmp_path}/in/{k}.png", f"{tmp_path}/out/{k}.png", "r") for k in range(n)]
+
+
+def held(path):
+    return {p.name: p.read_bytes() for p in path.iterdir()} if path.is_dir() else {}
+
+
+@pytest.mark.parametrize("action", ["copy", "move"])
+def test_a_failed_job_is_taken_back(spark, tmp_path, action):
+    """A task fails after others have done their work: no original is lost, no copy is left, nothing is deleted."""
+    plan = [(action, *r[1:]) for r in folder(tmp_path, 40)] + [("delete", f"{tmp_path}/in/{k}.png", None, "r") for k in range(40)]
+    before = held(tmp_path / "in")
+
+    @F.udf("string")
+    def breaks(src, kind):
+        if src.endswith("/39.png") and kind != "delete":
+            import time
+
+            time.sleep(2)  # the other tasks have ended
+            raise RuntimeError("lost")
+        return src
+
+    frozen = spark.createDataFrame(plan, actions.PLAN).repartition(8, "src")
+    real = Scratch.table
+    try:  # the plan isn't written, so that it breaks within the job of the actions
+        Scratch.table = lambda self, df, name: df.withColumn("src", breaks("src", "action"))
+        with pytest.raises(Exception, match="lost"):
+            actions.apply_actions(frozen, dry_run=False, journal=str(tmp_path / "journal"))
+    finally:
+        Scratch.table = real
+    assert held(tmp_path / "in") == before and held(tmp_path / "out") == {}
+    assert not any(p.read_bytes() for p in (tmp_path / "journal").rglob("*.json*"))  # of the jobs before, without actions
+    done = actions.apply_actions(spark.createDataFrame(plan[:40], actions.PLAN), dry_run=False).collect()
+    assert {r.status for r in done} == {"done"} and len(done) == 40 and held(tmp_path / "out") == before
+
+
+def test_a_lost_attempt_is_done_again(tmp_path):
+    """What an attempt did before it was killed is found by the next; its journal goes when the job commits."""
+    from pyspark.sql import Row
+
+    rows = [Row(action=a, src=s, dst=d) for a, s, d, _ in folder(tmp_path, 6)]
+    writer = sink.ActionWriter(str(tmp_path / "journal"))
+    writer.write(iter(rows[:3]))  # its message never reaches the driver
+    message = writer.write(iter(rows))
+    writer.commit([message, None])
+    assert held(tmp_path / "out") == held(tmp_path / "in") and [p.suffix for p in (tmp_path / "journal").iterdir()] == [".json"]
+    again = sink.ActionWriter(str(tmp_path / "other"))
+    moved = again.write(iter([Row(action="move", src=r.src, dst=r.dst + ".moved") for r in rows]))
+    assert held(tmp_path / "in") == {} and moved.done == 6
+    again.abort([moved, None])
+    assert len(held(tmp_path / "in")) == 6 and held(tmp_path / "out") == held(tmp_path / "in") and not list((tmp_path / "other").iterdir())
+
+
+def test_of_two_sources_of_a_target_the_smaller_wins(spark, tmp_path):
+    rows = folder(tmp_path, 4)
+    plan = spark.createDataFrame([(a, s, f"{tmp_path}/out/one.png", r) for a, s, _, r in rows][::-1], actions.PLAN).repartition(4)
+    assert sorted(tuple(r)[1::2] for r in actions.apply_actions(plan, dry_run=False).collect()) == [(f"{tmp_path}/in/{k}.png", "exists" if k else "done") for k in range(4)]
+    assert held(tmp_path / "out") == {"one.png": grey(0)}
+    assert actions.apply_actions(plan.limit(0), dry_run=False).collect() == []
+
+
 def test_settings():
     s = config.Settings.of({"curata.workers": "5", "curata.remove_original": "false", "spark.x": "y"})
     assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
@@ -391,9 +477,7 @@ def test_empty_folders_and_wrong_roots(spark, tmp_path):
 
 
 def test_consumed_tables_go(spark):
-    import os
-
-    from curata.plans.scratch import Scratch, consumed
+    from curata.plans.scratch import consumed
 
     own = Scratch(spark, "own")
     with consumed():
