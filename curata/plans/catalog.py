@@ -22,6 +22,7 @@ from curata.plans.scratch import Scratch
 from curata.sources import config, connectors
 from curata.sources import files as sources
 from curata.streaming import requests as queue
+from curata.streaming import stateful
 from curata.streaming import throughput as streams
 
 #: Distance of the similarity queries, and the mean up to which a cluster counts as copies; the vectors have no nearer ones.
@@ -327,6 +328,50 @@ def queued_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.finished(spark, f"{root}/results").select(F.col("image_path").cast("bigint").alias("c_custkey"), "state", (F.col("attempt") + 1).cast("bigint").alias("attempts"))
 
 
+def stateful_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' requests as a stream whose retries are keyed state with timers, until all have ended."""
+    root = Scratch(spark, "retries").root
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"))
+    requests = classify.image_requests(orders, "prompt", "s").withColumn("request_id", F.col("image_path"))
+    requests.write.parquet(f"{root}/requests")
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/requests")
+    ends = stateful.retried(stream, CountedFailures())
+    query = stateful.write_batches(ends, f"{root}/ends", f"{root}/mark", "update")
+    found = stateful.await_rows(query, ends, f"{root}/ends", orders.count())
+    return found.select(F.col("request_id").cast("bigint").alias("o_orderkey"), F.col("state").alias("status"), F.col("attempts").cast("bigint").alias("attempts"))
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests and most of them as results, some of them twice: two streams joined, then the sessions' states."""
+    root = Scratch(spark, "sessions").root
+    orders = table(spark, sf_dir, "orders")
+    asked_at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=F.col("o_orderkey") % 1000)
+    status = F.when(F.col("o_orderkey") % 5 == 0, "error").when(F.col("o_orderkey") % 11 == 0, "exhausted").otherwise("classified")
+    asked = orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_custkey").cast("string").alias("session_id"), asked_at.alias("asked_at"))
+    told = orders.filter("o_orderkey % 13 != 0").select("o_orderkey", F.col("o_orderkey").cast("string").alias("request_id"), status.alias("status"), (asked_at + F.make_dt_interval(mins=F.col("o_orderkey") % 90)).alias("done_at"))
+    # a request and its result long after all others let the watermarks pass these
+    last = asked.agg((F.max("asked_at") + F.expr("INTERVAL 30 DAYS")).alias("at")).filter("at is not null")
+    asked.drop("o_orderkey").unionByName(last.select(F.lit("end").alias("request_id"), F.lit(None).cast("string").alias("session_id"), F.col("at").alias("asked_at"))).write.parquet(f"{root}/asked")
+    again = told.filter("o_orderkey % 3 = 0")
+    told.unionByName(again).drop("o_orderkey").unionByName(last.select(F.lit("end").alias("request_id"), F.lit("classified").alias("status"), F.col("at").alias("done_at"))).write.parquet(f"{root}/told")
+    streams_of = [spark.readStream.schema(spark.read.parquet(f"{root}/{n}").schema).parquet(f"{root}/{n}") for n in ("asked", "told")]
+    done = stateful.completed(*streams_of)
+    stateful.write_batches(done, f"{root}/done", f"{root}/mark", interval=None).awaitTermination()
+    found = stateful.read_batches(done, f"{root}/done").filter("session_id is not null")
+    return sessions.session_summary(found.select("session_id"), found.filter("status is not null").select("session_id", "status"))
+
+
+def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results of which every third comes again in a later batch: each counts once."""
+    root = Scratch(spark, "counters").root
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.write.parquet(f"{root}/events/first")
+    events.filter("event_id % 3 = 0").write.parquet(f"{root}/events/again")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    totals = stateful.counted_once(stream, "event_id", F.col("event_type") == "error", delay="400 days").withColumn("all", F.lit(True))
+    return streams.run_to_table(totals, Scratch(spark, "totals"), ["all"]).select("successes", "errors")
+
+
 def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as sessions in a store: created, moved on by their key, and looked up again; an unknown one is an error."""
     store = sessions.SessionStore(spark, Scratch(spark, "store").root)
@@ -406,7 +451,7 @@ def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
+        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
     }
 
 
@@ -465,7 +510,7 @@ f AS (SELECT g, list_sort(list_filter({base}, lambda b: list_contains(tags, lowe
 m AS (SELECT g, CASE WHEN len(found) = 0 THEN ['other'] {whole} ELSE found END AS categories FROM f)"""
     utf16 = "CAST(length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT)"
     fence = "trim(regexp_replace(regexp_replace(raw, '```json\\s*', '', 'g'), '```\\s*', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13))"
-    return {
+    found = {
         "exact_dedup": "SELECT doc_id, hash, first_doc_id, doc_id = first_doc_id AS is_unique FROM (SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id FROM documents)",
         "dedup_counts": "SELECT count(*) AS total, count(DISTINCT sha256(text)) AS \"unique\", count(*) - count(DISTINCT sha256(text)) AS duplicates FROM documents",
         "dup_groups": f"WITH {FILES} SELECT hash, string_agg(path, ',' ORDER BY path) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1",
@@ -548,3 +593,5 @@ SELECT session_id, count(*) AS requests, count(*) FILTER (k % 13 <> 0) AS result
 CASE WHEN count(*) FILTER (k % 13 = 0) = 0 THEN 'COMPLETED' ELSE 'CLASSIFYING' END AS state FROM r GROUP BY session_id""",
         "streaming_throughput": "SELECT strftime(time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1",
     }
+    # the streams give what the batch queries do
+    return found | {stream: found[batch] for stream, batch in (("stateful_retries", "retry_rounds"), ("streamed_sessions", "session_summary"), ("streamed_counters", "result_counters"))}

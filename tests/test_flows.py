@@ -15,6 +15,7 @@ from curata.plans.scratch import Scratch
 from curata.sources import config, connectors, files, sink
 from curata.sources import tree as sources_tree
 from curata.streaming import requests as queue
+from curata.streaming import stateful
 from curata.streaming import throughput as streams
 
 
@@ -448,6 +449,61 @@ def test_of_two_sources_of_a_target_the_smaller_wins(spark, tmp_path):
     assert actions.apply_actions(plan.limit(0), dry_run=False).collect() == []
 
 
+def test_keyed_retries_go_on_after_a_restart(spark, tmp_path):
+    """Requests that wait for their next attempt when the query is stopped go on from the checkpoint; repeated ones count once."""
+
+    class Slow:
+        """A connector that answers the third attempt, and notes its calls in files."""
+
+        def __init__(self, notes):
+            self.notes = notes
+
+        def process(self, request):
+            import uuid
+
+            (self.notes / f"{request['image_path']}-{request['attempt']}-{uuid.uuid4().hex}").touch()
+            answers = {"e": (connectors.ERROR, None), "x": (connectors.OK, "no JSON"), "n": (connectors.OK, '{"detectedTags": [null]}')}
+            return answers.get(request["image_path"][0], (connectors.OK, '```json\n{"detectedTags": ["a"]}\n```') if request["attempt"] >= 2 else (connectors.RETRY, None))
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    rows = [(f"{c}{k}", "s", "image", f"{c}{k}", "p") for c in "aexn" for k in range(3)] + [("t", "s", "text", "t", "p"), ("none", "s", "image", None, "p")]
+    schema = "request_id string, session_id string, kind string, image_path string, prompt string"
+    spark.createDataFrame(rows + rows[:4], schema).write.parquet(str(tmp_path / "in/1"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    ends = stateful.retried(stream, Slow(notes), backoff_ms=3000)
+    begin = lambda: stateful.write_batches(ends, str(tmp_path / "out"), str(tmp_path / "mark"), "update")
+    first = stateful.await_rows(begin(), ends, str(tmp_path / "out"), 3)  # the errors; the others wait
+    assert first.filter("state != 'error'").count() == 0
+    spark.createDataFrame(rows[:5] + [("late", "s", "image", "e9", "p")], schema).write.parquet(str(tmp_path / "in/2"))
+    got = stateful.await_rows(begin(), ends, str(tmp_path / "out"), len(rows) + 1, 120).collect()
+    want = {r[0]: ("error", 1) if r[0][0] == "e" else ("classified", 3) if r[0][0] == "a" else ("string", 3) if r[0] == "t" else ("exhausted", 4) for r in rows} | {"late": ("error", 1)}
+    assert len(got) == len(want) and {r.request_id: (r.state, r.attempts) for r in got} == want
+    assert len([p for p in notes.iterdir() if p.name.startswith("a0-")]) == 3
+
+
+@pytest.mark.parametrize("raw,good", [('{"detectedTags": ["a"]}', True), ('```json\n{"detectedTags": [1]}\n```', True), ('{"detectedTags": []}', False), ('{"detectedTags": "a"}', False), ('{"detectedTags": ["a", null]}', False), ("[1]", False), ("", False), (None, False), ("x {}", False), ("null", False)])
+def test_valid_answers(spark, raw, good):
+    assert stateful.valid_answer(raw) == good
+    parsed = spark.createDataFrame([(raw,)], "raw string").select(classify.parse_answer(F.col("raw")).alias("a")).first().a
+    assert (parsed is not None) == good
+
+
+def test_completion_waits_and_late_results_have_no_effect(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    asked = [("a", "s", at(0)), ("b", "s", at(1)), ("c", "s", at(2)), ("d", "t", at(3)), ("end", None, at(9000))]
+    told = [("a", "classified", at(5)), ("a", "error", at(6)), ("b", "error", at(200)), ("d", "classified", at(3)), ("other", "error", at(4)), ("end", "classified", at(9000))]
+    spark.createDataFrame(asked, "request_id string, session_id string, asked_at timestamp").write.parquet(str(tmp_path / "asked"))
+    spark.createDataFrame(told, "request_id string, status string, done_at timestamp").coalesce(1).write.parquet(str(tmp_path / "told"))
+    both = [spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n)) for n in ("asked", "told")]
+    done = stateful.completed(*both)
+    stateful.write_batches(done, str(tmp_path / "done"), str(tmp_path / "mark"), interval=None).awaitTermination()
+    got = {r.request_id: r.status for r in stateful.read_batches(done, str(tmp_path / "done")).collect()}
+    assert set(got) == {"a", "b", "c", "d", "end"} and got["a"] in ("classified", "error") and got["b"] is None and got["c"] is None and got["d"] == "classified"
+
+
 def test_settings():
     s = config.Settings.of({"curata.workers": "5", "curata.remove_original": "false", "spark.x": "y"})
     assert (s.workers, s.remove_original, s.read_timeout) == (5, False, 60.0)
