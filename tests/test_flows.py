@@ -479,7 +479,9 @@ def test_keyed_retries_go_on_after_a_restart(spark, tmp_path):
     got = stateful.await_rows(begin(), ends, str(tmp_path / "out"), len(rows) + 1, 120).collect()
     want = {r[0]: ("error", 1) if r[0][0] == "e" else ("classified", 3) if r[0][0] == "a" else ("string", 3) if r[0] == "t" else ("exhausted", 4) for r in rows} | {"late": ("error", 1)}
     assert len(got) == len(want) and {r.request_id: (r.state, r.attempts) for r in got} == want
-    assert len([p for p in notes.iterdir() if p.name.startswith("a0-")]) == 3
+    # stopping may cut a batch short, whose calls are made again; no attempt is left out or added
+    for k in range(3):
+        assert {p.name.split("-")[1] for p in notes.iterdir() if p.name.startswith(f"a{k}-")} == {"0", "1", "2"}
 
 
 @pytest.mark.parametrize("raw,good", [('{"detectedTags": ["a"]}', True), ('```json\n{"detectedTags": [1]}\n```', True), ('{"detectedTags": []}', False), ('{"detectedTags": "a"}', False), ('{"detectedTags": ["a", null]}', False), ("[1]", False), ("", False), (None, False), ("x {}", False), ("null", False)])
