@@ -4,8 +4,12 @@ A line that starts with `>` marks quotes others; the number of marks is its leve
 passage. Passages are normalised and hashed (SHA-256) and joined with the messages of the same conversation that say the
 same lines in a row without marks, whatever the level; where no message says a whole passage, its lines are looked up one
 by one. A message answers the latest earlier message that it quotes most lines of at its lowest level with a link, as a
-rule level one. The answers give each message a depth and a thread, by which a conversation can be read in the order of
-its replies, without the quotes.
+rule level one. The answers give each message a depth, a thread and a position in its conversation, by which it is read in
+the order of its replies, without the quotes.
+
+A stretch of 2^k lines is hashed from its two halves, so all stretches of a message take a hash each and level. A passage
+of n lines is known by its first and its last 2^k lines, the largest power that n holds, and is found by the first: what a
+message says meets only passages that it shares at least half with, however common their first lines are.
 """
 
 from __future__ import annotations
@@ -58,9 +62,36 @@ def passages(text: str) -> tuple[list[tuple[int, list[str]]], list[str]]:
     return quoted, own
 
 
-def passage_key(lines: list[str]) -> str:
-    """One line is its own key; more are the hash of theirs."""
-    return lines[0] if len(lines) == 1 else hashlib.sha256("".join(lines).encode()).hexdigest()
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+def _folded(lines: list[str]) -> str:
+    """The hash of 2^k lines: that of the hashes of the two halves. One line is its own."""
+    while len(lines) > 1:
+        lines = [_digest(lines[i] + lines[i + 1]) for i in range(0, len(lines), 2)]
+    return lines[0]
+
+
+def passage_keys(lines: list[str]) -> tuple[str, str]:
+    """(head, key): the hash of the first 2^k lines, k as large as can be, and that of the passage."""
+    n = len(lines)
+    most = 1 << n.bit_length() - 1
+    head = _folded(lines[:most])
+    return head, head if n == most else _digest(f"{head}{_folded(lines[n - most:])}{n}")
+
+
+def stretches(lines: Column, most: Column, levels: int) -> list[Column]:
+    """The hashes of all stretches of 2^k lines for each k below levels; none where k is above most."""
+
+    def doubled(last: Column, k: int) -> Column:
+        count = F.when(most >= k, F.greatest(F.size(lines) - (1 << k) + 1, F.lit(0))).otherwise(0)
+        return F.transform(F.slice(last, 1, count), lambda x, i: F.substring(F.sha2(F.concat(x, F.get(last, i + (1 << k - 1))), 256), 1, 32))
+
+    out = [lines]
+    for k in range(1, levels):
+        out.append(doubled(out[-1], k))
+    return out
 
 
 def _parse(batches):
@@ -69,11 +100,56 @@ def _parse(batches):
         for i, text in enumerate(batch.column(2).to_pylist()):
             if text:
                 quoted, own = passages(text)
-                rows += [(i, level, lines, passage_key(lines)) for level, lines in quoted]
+                rows += [(i, level, lines, *passage_keys(lines)) for level, lines in quoted]
                 if own:
-                    rows.append((i, 0, own, passage_key(own)))
+                    rows.append((i, 0, own, *passage_keys(own)))
         at = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["conv_id", "turn", "level", "lines", "key"])
+        told = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.string()), pa.string(), pa.string()), 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *told], ["conv_id", "turn", "level", "lines", "head", "key"])
+
+
+def said_passages(own: DataFrame, wanted: DataFrame, levels: int) -> DataFrame:
+    """(conv_id, turn, key) of the stretches of own (conv_id, turn, lines, row) that share the head of a passage of wanted (conv_id, head, n).
+
+    levels is one more than the largest k. A conversation's stretches are looked up at the lengths that its passages
+    have. Places are gathered per message and made into keys next to its hashes, so lines are not repeated for each hit.
+    """
+    lengths = wanted.select("conv_id", (F.length(F.bin("n")) - 1).alias("k")).groupBy("conv_id").agg(F.collect_set("k").alias("ks"))
+    rows = own.dropDuplicates(["conv_id", "turn", "row"]).join(lengths, "conv_id").withColumn("most", F.array_max("ks"))
+    rows = rows.withColumn("win", F.array(*stretches(F.col("lines"), F.col("most"), levels)))
+    places = F.flatten(F.transform("ks", lambda k: F.transform(F.get("win", k), lambda x, i: F.struct(x.alias("head"), i.alias("pos")))))
+    said = rows.select("conv_id", "turn", "row", F.size("lines").alias("size"), F.inline(places))
+    hits = said.join(wanted, ["conv_id", "head"]).filter("pos + n <= size")
+    runs = hits.groupBy("conv_id", "turn", "row").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
+
+    def key(a: Column) -> Column:
+        k = F.length(F.bin(a["n"])) - 1
+        most = F.call_function("shiftleft", F.lit(1), k)
+        head, tail = F.get(F.get("win", k), a["pos"]), F.get(F.get("win", k), a["pos"] + a["n"] - most)
+        return F.when(a["n"] == most, head).otherwise(F.substring(F.sha2(F.concat(head, tail, a["n"].cast("string")), 256), 1, 32))
+
+    return rows.join(runs, ["conv_id", "turn", "row"]).select("conv_id", "turn", F.explode(F.array_distinct(F.transform("at", key))).alias("key"))
+
+
+def reply_positions(placed: DataFrame, work: Scratch) -> DataFrame:
+    """placed (conv_id, turn, thread_turn, reply_depth, parent_turn) with position: from 0 in each conversation, by thread, depth, the answered turn and turn.
+
+    Rows are sorted by range and counted for each range, so no conversation is numbered in one task.
+    """
+    order = ["conv_id", "thread_turn", "reply_depth", "parent_turn", "turn"]
+    spread = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    numbered = work.table(spread, "numbered")
+    sums = numbered.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    before = sums.select("conv_id", "part", "first", F.coalesce(F.sum("c").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return numbered.join(before, ["conv_id", "part"]).select(*placed.columns, (F.col("before") + F.col("at") - F.col("first")).alias("position"))
+
+
+def reply_ordered(linked: DataFrame) -> DataFrame:
+    """(conv_id, position, turn, role, reply, reply_depth) of `link_quotes`: the conversations without quotes, each in the order of its replies.
+
+    Every message follows the one it answers. Messages without a conversation or turn have no position and are left out.
+    """
+    return linked.filter("position is not null").select("conv_id", "position", "turn", "role", "reply", "reply_depth").orderBy("conv_id", "position")
 
 
 def latest_before(sources: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -108,20 +184,21 @@ def reply_text(text: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, reply, quote_depth, quoted_lines, linked_lines, parent_turn, reply_depth, thread_turn, parent_level.
+    """One row per message: conv_id, turn, role, reply, quote_depth, quoted_lines, linked_lines, parent_turn, reply_depth, thread_turn, parent_level, position.
 
     quote_depth is the deepest level of a quoted line. linked_lines counts the lines of all levels that an earlier turn
     says: those of whole passages, each passage once at its lowest level, and of the other passages the lines that some
     turn says, each once. parent_turn is the earlier turn of the conversation that most linked lines of level one come from
     (the latest of those with as many; each passage or line counts for the latest earlier turn that says it); where nothing of level one is
     found the next level with a link decides; or null. parent_level is the level that decided. reply_depth counts the
-    answers above a message and thread_turn is the topmost message, itself if it answers none. Sorted by (conv_id,
-    thread_turn, reply_depth, parent_turn, turn) every message follows the one it answers. Null texts are empty; messages
-    with a null conversation or turn are kept and link with nothing; repeated rows of one turn are linked alike; an empty
-    table gives an empty result; other columns are ignored.
-
-    A message is looked at where it says the first line of a passage that its conversation quotes, at each of the lengths
-    that such passages have. Quotes and sources of a passage never meet in pairs.
+    answers above a message and thread_turn is the topmost message, itself if it answers none. position numbers the turns
+    of a conversation from 0 by (thread_turn, reply_depth, parent_turn, turn), so that every message follows the one it
+    answers; `reply_ordered` gives the conversations in that order. Null texts are empty; messages with a null conversation
+    or turn are kept, link with nothing and have no position; repeated rows of one turn are linked alike and share a
+    position; an empty table gives an empty result; other columns are ignored.
+
+    A message is looked at where it says the first 2^k lines of a passage that its conversation quotes (k as large as can
+    be). Quotes and sources of a passage never meet in pairs.
     """
     work = Scratch(messages.sparkSession, "chat")
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
@@ -129,17 +206,13 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     told = base.select("conv_id", "turn", "role", reply_text(F.col("text")).alias("reply"), F.coalesce(F.array_max(levels), F.lit(0)).alias("quote_depth"), F.size(F.filter(levels, lambda x: x > 0)).alias("quoted_lines"))
     kind = base.schema["conv_id"].dataType.simpleString()
     spoken = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
-    units = work.table(spoken.mapInArrow(tidy(_parse), f"conv_id {kind}, turn bigint, level int, lines array<string>, key string"), "units")
-    quoted = units.filter("level > 0").groupBy("conv_id", "turn", "key", "lines").agg(F.min("level").alias("level"))
+    units = work.table(spoken.mapInArrow(tidy(_parse), f"conv_id {kind}, turn bigint, level int, lines array<string>, head string, key string"), "units")
+    quoted = units.filter("level > 0").groupBy("conv_id", "turn", "key", "head", "lines").agg(F.min("level").alias("level"))
     each = quoted.select("conv_id", "turn", F.col("key").alias("of"), "level", F.explode("lines").alias("key"))
-    wanted = quoted.select("conv_id", F.col("lines")[0].alias("line"), F.size("lines").alias("n")).union(each.select("conv_id", "key", F.lit(1))).distinct()
+    wanted = work.table(quoted.select("conv_id", "head", F.size("lines").alias("n")).union(each.select("conv_id", "key", F.lit(1))).distinct(), "wanted")
+    longest = wanted.agg(F.max("n")).first()[0] or 1
     own = units.filter("level = 0").select("conv_id", "turn", "lines", F.col("key").alias("row"))
-    said = own.select("conv_id", "turn", "row", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "line"))
-    hits = said.join(wanted, ["conv_id", "line"]).filter("pos + n <= size")
-    runs = hits.groupBy("conv_id", "turn", "row").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
-    cut = F.slice("lines", F.col("a.pos") + 1, F.col("a.n"))
-    key = F.when(F.col("a.n") == 1, cut[0]).otherwise(F.sha2(F.array_join(cut, ""), 256))
-    sources = own.dropDuplicates(["conv_id", "turn", "row"]).join(runs, ["conv_id", "turn", "row"]).withColumn("a", F.explode("at")).select("conv_id", "turn", key.alias("key")).distinct()
+    sources = said_passages(own, wanted, longest.bit_length())
     whole = quoted.select("conv_id", "turn", "key", "level", F.size("lines").alias("n"), F.lit(True).alias("whole"))
     single = each.groupBy("conv_id", "turn", "key").agg(F.min("level").alias("level")).select("conv_id", "turn", "key", "level", F.lit(1).alias("n"), F.lit(False).alias("whole"))
     found = work.table(latest_before(sources, whole.unionByName(single)), "found")
@@ -160,6 +233,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         work.drop(f"up{k - 1}")
     else:
         raise RuntimeError("the reply chains don't end")
-    placed = parents.join(up, ["conv_id", "turn"])
-    out = told.join(placed, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "reply", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("quoted_lines").cast("bigint").alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).cast("bigint").alias("linked_lines"), "parent_turn", F.coalesce("depth", F.lit(0)).cast("bigint").alias("reply_depth"), F.coalesce("top", "turn").alias("thread_turn"), F.col("parent_level").cast("int").alias("parent_level"))
+    linked = parents.join(up, ["conv_id", "turn"])
+    ids = spoken.select("conv_id", "turn").distinct().join(linked, ["conv_id", "turn"], "left")
+    placed = ids.select("conv_id", "turn", F.coalesce("top", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("reply_depth"), "parent_turn", "parent_level", "linked_lines")
+    out = told.join(reply_positions(placed, work), ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "role", "reply", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("quoted_lines").cast("bigint").alias("quoted_lines"), F.coalesce("linked_lines", F.lit(0)).cast("bigint").alias("linked_lines"), "parent_turn", F.coalesce("reply_depth", F.lit(0)).cast("bigint").alias("reply_depth"), F.coalesce("thread_turn", "turn").alias("thread_turn"), F.col("parent_level").cast("int").alias("parent_level"), "position")

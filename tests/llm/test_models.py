@@ -379,6 +379,61 @@ def test_quotes_against_brute_force(spark, monkeypatch, block):
     assert {level for _, level, _ in want.values()} == {None, 1, 2, 3}
 
 
+def test_long_quotes_against_brute_force(spark):
+    """Passages of every length up to 13 lines, whole or with one line changed, that open with the same lines."""
+    rng = random.Random(11)
+    opening = ["dear all", "as said before"]
+    rows = [(1, turn, "u", "\n".join(opening + [f"line {rng.randrange(5)}" for _ in range(11)])) for turn in range(4)]
+    for turn in range(4, 30):
+        old = rows[rng.randrange(4)][3].split("\n")
+        a, n = rng.choice([0, 0, rng.randrange(6)]), rng.randint(1, 13)
+        lines = old[a : a + n]
+        if rng.random() < 0.3:
+            lines[rng.randrange(len(lines))] = "line 7"
+        rows.append((1, turn, "u", "\n".join("> " + x for x in lines) + f"\nreply {turn}"))
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.parent_level, r.linked_lines) for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == quotes_brute(rows)
+
+
+def test_passage_keys_of_stretches(spark):
+    lines = [f"l{k % 4}" for k in range(11)]
+    own = spark.createDataFrame([(1, 0, lines, "r")], "conv_id bigint, turn bigint, lines array<string>, row string")
+    parts = {(a, n): lines[a : a + n] for n in range(1, 12) for a in range(12 - n)}
+    wanted = spark.createDataFrame({(1, chat.passage_keys(x)[0], len(x)) for x in parts.values()}, "conv_id bigint, head string, n int")
+    got = [r.key for r in chat.said_passages(own, wanted, 4).collect()]
+    assert sorted(got) == sorted({chat.passage_keys(x)[1] for x in parts.values()})
+    assert len(set(got)) == len({tuple(x) for x in parts.values()})
+
+
+def test_conversations_are_read_in_the_order_of_replies(spark):
+    rng = random.Random(3)
+    rows, parent = [], {}
+    for conv in range(5):
+        for turn in range(0, 80, 2):
+            answered = rng.choice([None, *(t for c, t in parent if c == conv)])
+            parent[conv, turn] = answered
+            quote = "" if answered is None else f"> words of {conv} {answered}\n"
+            rows += [(conv, turn, "u", f"{quote}words of {conv} {turn}")] * rng.choice([1, 1, 2])
+    rows += [(None, 1, "u", "x"), (1, None, "u", "y"), (9, 5, None, None)]
+    linked = chat.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = linked.collect()
+    assert len(got) == len(rows) and all(r.parent_turn == parent[r.conv_id, r.turn] for r in got if (r.conv_id, r.turn) in parent)
+
+    def above(c, t):
+        return [t] if parent.get((c, t)) is None else above(c, parent[c, t]) + [t]
+
+    def place(c, t):
+        chain = above(c, t)
+        return chain[0], len(chain), chain[-2] if len(chain) > 1 else -1, t
+
+    turns = {(c, t) for c, t, _, _ in rows if c is not None and t is not None}
+    want = {(c, t): sorted((place(c, u) for d, u in turns if d == c)).index(place(c, t)) for c, t in turns}
+    assert {(r.conv_id, r.turn): r.position for r in got if r.position is not None} == want
+    read = chat.reply_ordered(linked).collect()
+    assert [(r.conv_id, r.position) for r in read] == sorted((r.conv_id, r.position) for r in read) and len(read) == len(rows) - 2
+    assert not any(r.reply.startswith(">") for r in read)
+
+
 def test_a_passage_outweighs_common_lines(spark):
     para = "first long line\nsecond long line\nthird long line"
     rows = [(1, 0, "a", para), (1, 1, "b", "Thanks\nfirst long line"), (1, 2, "c", "Thanks"), (1, 3, "d", "> " + para.replace("\n", "\n> ") + "\n\n>> Thanks\nI agree")]
