@@ -35,6 +35,11 @@ def is_cgbi(content: Column) -> Column:
     return F.coalesce((F.length(content) >= 32) & (F.hex(F.substring(content, 1, 8)) == SIGNATURE.hex().upper()) & head.contains("CgBI"), F.lit(False))
 
 
+def broken_dialect(data: bytes) -> bool:
+    """`is_cgbi` of bytes at hand."""
+    return len(data) >= 32 and data.startswith(SIGNATURE) and b"CgBI" in data[8:31]
+
+
 def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     """(type, body) of a PNG's chunks up to IEND; checksums are not looked at."""
     at, out = len(SIGNATURE), []
@@ -135,16 +140,18 @@ def _straight(packed: bytes, width: int, height: int, _depth: int, colour: int)
     return zlib.compress(lines.tobytes())
 
 
+def repaired_or_error(data: bytes) -> tuple[bytes | None, str | None]:
+    """The repaired bytes, or the reason why there are none."""
+    try:
+        return repair_cgbi(data), None
+    except (ValueError, struct.error) as e:
+        return None, str(e)
+
+
 @F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
 def fixed_png(content: pd.Series) -> pd.DataFrame:
-    """The repaired bytes, or the reason why there are none."""
-    rows = []
-    for data in content:
-        try:
-            rows.append((repair_cgbi(bytes(data)), None))
-        except (ValueError, struct.error) as e:
-            rows.append((None, str(e)))
-    return pd.DataFrame(rows, columns=["content", "error"])
+    """`repaired_or_error` of each content."""
+    return pd.DataFrame([repaired_or_error(bytes(data)) for data in content], columns=["content", "error"])
 
 
 #: Fixed values of the format: samples of a pixel by colour type; first column and row and their steps of the interlace passes.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,8 @@ from curata.functions.text import base64_length, context_size, file_name, once,
 from curata.plans.scratch import Scratch
 from curata.sources.connectors import ERROR, OK, RETRY, Connector
 
+#: Reads an image by its path, in the task; null if it can't be read.
+Reader = Callable[[str], bytes | None]
 #: Attempts at a request in all.
 ATTEMPTS = 4
 #: Fixed value: the category of an answer that matches no other; the one prompt type.
@@ -42,7 +44,7 @@ def image_requests(unique: DataFrame, prompt: str, session_id: str, json_format:
 
 
 def with_contents(requests: DataFrame, images: DataFrame) -> DataFrame:
-    """The requests with the bytes of their images, for connectors that send them."""
+    """The requests with the bytes of their images, which are shuffled: for images that are rows of a table. Files are read by a reader."""
     return requests.join(images.select(F.col("path").alias("image_path"), "content"), "image_path", "left").select(*requests.columns, "content")
 
 
@@ -64,13 +66,16 @@ def _checked(raw: Column, answer: Column) -> Column:
     return F.when(valid, F.struct(tags.alias("tags"), has_text.alias("hasText"), language.alias("textLanguageGuess"), answer["emoji"].alias("emoji"), answer["keyword"].alias("keyword")))
 
 
-def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT, text_prompt: str = TEXT_PROMPT) -> DataFrame:
+def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT, text_prompt: str = TEXT_PROMPT, reader: Reader | None = None) -> DataFrame:
     """The requests with status (ok, retry or error) and raw; image requests with no path are retried.
 
     The system prompt is that of the request's kind. content and context, if the requests have them, are handed to the
-    connector. One batch of rows is in memory at a time.
+    connector. reader, if given, reads the image of a request just before the call, unless the connector says that it
+    needs none (`needs_content`): one image is in memory at a time, and none is shuffled. An image that can't be read is a
+    failed attempt. One batch of rows is in memory at a time.
     """
     names = requests.columns
+    reads = reader is not None and getattr(connector, "needs_content", True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -80,6 +85,11 @@ def process(requests: DataFrame, connector: Connector, system_prompt: str = SYST
                     got.append((RETRY, None))
                     continue
                 try:
+                    if reads and row["kind"] == "image":
+                        row["content"] = reader(row["image_path"])
+                        if row["content"] is None:
+                            got.append((RETRY, None))
+                            continue
                     got.append(connector.process(row | {"system_prompt": system_prompt if row["kind"] == "image" else text_prompt}))
                 except Exception:  # noqa: BLE001  a connector's own failure is a failed attempt
                     got.append((RETRY, None))
@@ -89,10 +99,11 @@ def process(requests: DataFrame, connector: Connector, system_prompt: str = SYST
     return requests.mapInPandas(run, schema).select(*names, "status", "raw")
 
 
-def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTEMPTS, workers: int | None = None) -> DataFrame:
+def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTEMPTS, workers: int | None = None, reader: Reader | None = None) -> DataFrame:
     """One row per request: status (classified, string, error or exhausted), attempts, raw and the parsed answer.
 
-    workers, if given, is the number of calls at a time.
+    workers, if given, is the number of calls at a time; reader is that of `process`: requests then carry paths only,
+    through every round.
 
     Every round calls the connector for what is still open and writes its results, so a call is never repeated by a
     recomputation. Exhausted requests are rows of their own and no errors.
@@ -101,7 +112,7 @@ def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTE
     open_, done = requests, []
     for k in range(attempts):
         dealt = open_.repartition(workers) if workers else open_
-        called = process(dealt.withColumn("attempt", F.lit(k)), connector)
+        called = process(dealt.withColumn("attempt", F.lit(k)), connector, reader=reader)
         valid = F.when(F.col("kind") == "image", parse_answer(F.col("raw")))
         judged = called.withColumn("answer", F.when(F.col("status") == OK, valid))
         kept = (F.col("status") == OK) & (F.col("answer").isNotNull() | ((F.col("kind") != "image") & F.col("raw").isNotNull()))

@@ -13,12 +13,16 @@ from curata.operators.sessions import SessionStore
 from curata.plans.scratch import Scratch
 from curata.sources.config import Config, Settings, resolve
 from curata.sources.connectors import Connector
-from curata.sources.files import IMAGE_SUFFIXES, readable, scan_images
+from curata.sources.files import IMAGE_SUFFIXES, readable, repaired_files, scan_images, usable_bytes
 
 
 def hashed(images: DataFrame) -> DataFrame:
-    """(path, hash, size); contents are dropped before any shuffle. Unreadable files have a null hash."""
-    return readable(images, content_hash(F.col("content"))).select("path", F.col("value").alias("hash"), "size")
+    """(path, hash, size, broken); contents are dropped before any shuffle. Unreadable files have a null hash.
+
+    broken says whether the file is in the broken dialect.
+    """
+    seen = readable(images, F.struct(content_hash(F.col("content")).alias("hash"), is_cgbi(F.col("content")).alias("broken")))
+    return seen.select("path", "value.hash", "size", F.coalesce("value.broken", F.lit(False)).alias("broken"))
 
 
 @dataclass
@@ -31,12 +35,15 @@ class Discovery:
 
 
 def discover(spark: SparkSession, root: str, remove_duplicates: bool = True, hidden: bool = False) -> Discovery:
-    """PNGs of a tree: unique files, links of duplicates, counts, planned moves, and repaired contents of broken ones."""
+    """PNGs of a tree: unique files, links of duplicates, counts, planned moves, and repaired contents of broken ones.
+
+    Contents are read twice at most, where they are: in the scan that hashes them, and of broken files where they are repaired.
+    """
     images = scan_images(spark, root, ("png",), hidden)
     files = Scratch(spark, "discover").table(hashed(images), "files")
     unique, links = dedup.unique_and_duplicates(files)
     actions = dedup.duplicate_moves(links)
-    return Discovery(unique, links, dedup.dedup_counts(files), actions if remove_duplicates else actions.limit(0), validate(images.join(unique.select("path"), "path", "left_semi")))
+    return Discovery(unique.drop("broken"), links, dedup.dedup_counts(files), actions if remove_duplicates else actions.limit(0), repaired_files(unique.filter("broken").select("path")))
 
 
 def validate(images: DataFrame) -> DataFrame:
@@ -62,15 +69,16 @@ def consolidate(spark: SparkSession, root: str, hidden: bool = False) -> DataFra
     return dedup.consolidation_plan(files, root, files.select("path"))
 
 
-def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True, images: DataFrame | None = None, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
+def classify_images(spark: SparkSession, config: Config, unique: DataFrame, connector: Connector, session_id: str, existing: DataFrame | None = None, remove_original: bool = True, images: DataFrame | None = None, workers: int | None = None, reader: classify.Reader | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests for unique files, their results, and the planned copies, moves and quarantines.
 
-    images (path, content) is needed by connectors that send the bytes.
+    Connectors that send the bytes need reader, which reads an image by its path in the task that calls the connector, or,
+    where images are rows of a table and no files, images (path, content), which are joined to the requests.
     """
     base, compound = resolve(config.table(spark))
     prompt = classify.build_prompt([(r["name"], r["description"]) for r in config.rows if not r["compoundCategory"]])
     requests = classify.image_requests(unique, prompt, session_id)
-    results = classify.run_requests(requests if images is None else classify.with_contents(requests, images), connector, workers=workers)
+    results = classify.run_requests(requests if images is None else classify.with_contents(requests, images), connector, workers=workers, reader=reader)
     good = results.filter("status = 'classified'").select("image_path", "answer.*")
     named = good.join(classify.match_categories(good, base, compound), "image_path")
     held = existing if existing is not None else spark.createDataFrame([], "path string")
@@ -83,7 +91,8 @@ def run_session(spark: SparkSession, config: Config, connector: Connector, store
 
     A connector that can warm up does so first; its failure is none of the session's. A failure sets FAILED and is raised
     again. The session is COMPLETED once every request has a result, and FAILED if there are requests and none was answered.
-    Repaired contents of broken images replace theirs in the requests; their actions are those of `write_repaired`.
+    Images are read, and broken ones repaired, in the tasks that call the connector; the files themselves are repaired by
+    `write_repaired`.
     """
     base, compound = resolve(config.table(spark))
     store.create(session_id, config.work_directory, config.output_directory, base, compound)
@@ -93,10 +102,7 @@ def run_session(spark: SparkSession, config: Config, connector: Connector, store
         found = discover(spark, config.work_directory, settings.remove_duplicates, hidden)
         store.set_state(session_id, "CLASSIFYING")
         store.add_requests(session_id, classify.image_requests(found.unique, "", session_id))
-        images = scan_images(spark, config.work_directory, ("png",), hidden).select("path", "content")
-        fixed = found.repaired.filter("fixed is not null").select("path", "fixed")
-        images = images.join(fixed, "path", "left").select("path", F.coalesce("fixed", "content").alias("content"))
-        results, plan = classify_images(spark, config, found.unique, connector, session_id, remove_original=settings.remove_original, images=images, workers=settings.workers)
+        results, plan = classify_images(spark, config, found.unique, connector, session_id, remove_original=settings.remove_original, workers=settings.workers, reader=usable_bytes)
         store.add_results(session_id, results)
         counts = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("classified", "string")).alias("answered")).first()
         store.set_state(session_id, "FAILED" if counts.n and not counts.answered else "COMPLETED")

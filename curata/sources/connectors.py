@@ -15,7 +15,10 @@ OK, RETRY, ERROR = "ok", "retry", "error"
 
 
 class Connector(Protocol):
-    """Called in the tasks. Returns (status, raw answer): retry asks for another attempt, error ends the request."""
+    """Called in the tasks. Returns (status, raw answer): retry asks for another attempt, error ends the request.
+
+    A connector with a false `needs_content` is called without the bytes of images.
+    """
 
     def process(self, request: dict) -> tuple[str, str | None]: ...
 
@@ -27,6 +30,7 @@ class RuleConnector:
     words: dict[str, str]
     fail: dict[str, int] = field(default_factory=dict)  # path -> attempts that fail first
     broken: tuple[str, ...] = ()  # paths that end in an error
+    needs_content = False
 
     def process(self, request: dict) -> tuple[str, str | None]:
         path = request.get("image_path") or ""

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
+from pyarrow.lib import ArrowException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.functions.images import broken_dialect, repaired_or_error
 from curata.plans.scratch import Scratch
 from curata.sources.tree import list_tree
 
@@ -66,15 +71,48 @@ def _listed(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFr
 
     @F.pandas_udf("binary")
     def content(path: pd.Series) -> pd.Series:
-        return path.map(_bytes)
+        return path.map(read_bytes)
 
     return listed.withColumn("content", content("path"))
 
 
-def _bytes(path: str) -> bytes | None:
-    """The contents of a file, or null if it can't be read."""
+def read_bytes(path: str) -> bytes | None:
+    """The contents of a file, or null if it can't be read; for use in tasks, where the contents are needed.
+
+    A path without a scheme is opened as it is; a URI goes to Arrow's file systems (file, hdfs, s3, gs, abfss).
+    """
     try:
-        with open(path, "rb") as f:
+        if "://" not in path:
+            with open(path, "rb") as f:
+                return f.read()
+        store, name = FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+        with store.open_input_stream(name) as f:
             return f.read()
-    except OSError:
+    except (OSError, ArrowException):
         return None
+
+
+def usable_bytes(path: str) -> bytes | None:
+    """As `read_bytes`, with images of the broken dialect repaired where they can be."""
+    data = read_bytes(path)
+    if data and broken_dialect(data):
+        return repaired_or_error(data)[0] or data
+    return data
+
+
+def repaired_files(paths: DataFrame) -> DataFrame:
+    """(path, fixed, error) of those files of paths (path) that are in the broken dialect.
+
+    Files are read, one at a time, in the tasks that repair them: only paths are shuffled. Files that can't be read and
+    null paths have no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                data = read_bytes(path) if path else None
+                if data and broken_dialect(data):
+                    fixed, error = repaired_or_error(data)
+                    yield pd.DataFrame({"path": [path], "fixed": [fixed], "error": [error]})
+
+    return paths.select("path").mapInPandas(run, "path string, fixed binary, error string")

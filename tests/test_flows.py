@@ -524,6 +524,70 @@ def test_contents_and_contexts_reach_the_connector(spark, tree):
     results, _ = pipelines.classify_images(spark, conf, found.unique, Sends(), "s", images=files.scan_images(spark, str(tree)))
     sizes = {os.path.getsize(r.image_path): r.answer.tags[0] for r in results.collect()}
     assert all(tag == f"{size}-4000" for size, tag in sizes.items())
+    results, _ = pipelines.classify_images(spark, conf, found.unique, Sends(), "s", reader=files.usable_bytes)
+    assert {os.path.getsize(r.image_path): r.answer.tags[0] for r in results.collect()} == sizes
+
+
+def binary_exchanges(df):
+    """Exchanges of the plan whose output has a binary column."""
+    found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kinds = [node.output().apply(k).dataType().simpleString() for k in range(node.output().size())]
+        if "Exchange" in node.nodeName() and any("binary" in kind for kind in kinds):
+            found.append(node.nodeName())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            open_.append(node.initialPlan())
+        open_ += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def broken_png(k):
+    """A picture of one grey pixel and full alpha in the broken dialect."""
+    packed = zlib.compressobj(wbits=-15)
+    body = packed.compress(bytes([0, k, k, k, 255])) + packed.flush()
+    return images.png([(b"CgBI", bytes(4)), (b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)), (b"IDAT", body), (b"IEND", b"")])
+
+
+def test_contents_stay_where_they_are(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        (tmp_path / f"in/b{k}.png").write_bytes(broken_png(k // 2))
+    (tmp_path / "in/good.png").write_bytes(grey(2))
+    (tmp_path / "in/cut.png").write_bytes(broken_png(9)[:65])
+    found = pipelines.discover(spark, str(tmp_path / "in"))
+    for df in (found.unique, found.duplicates, found.counts, found.repaired):
+        assert binary_exchanges(df) == []
+    joined = found.repaired.join(found.repaired.withColumnRenamed("fixed", "f2"), "path")
+    assert binary_exchanges(joined) != []  # the test sees one where there is one
+    rows = {os.path.basename(r.path): r for r in found.repaired.collect()}
+    assert set(rows) == {"b0.png", "b2.png", "b4.png", "cut.png"} and rows["cut.png"].fixed is None and rows["cut.png"].error
+    assert [images.decode_png(bytes(rows[f"b{2 * k}.png"].fixed))[0, 0].tolist() for k in range(3)] == [[k, k, k, 255] for k in range(3)]
+    checked = pipelines.validate(files.scan_images(spark, str(tmp_path / "in")))
+    assert binary_exchanges(checked) == []
+    told = {os.path.basename(r.path): (r.fixed, r.error) for r in checked.collect()}
+    assert set(told) == {f"b{k}.png" for k in range(6)} | {"cut.png"} and all(told[n] == (r.fixed, r.error) for n, r in rows.items())
+    assert files.usable_bytes(f"file://{tmp_path}/in/b2.png") == rows["b2.png"].fixed and files.usable_bytes(str(tmp_path / "none.png")) is None
+
+
+def test_retries_read_images_anew_by_path(spark, tmp_path):
+    """A connector that fails first gets the bytes in every round; a file that is gone is a failed attempt; results hold no bytes."""
+
+    class Fails:
+        def process(self, request):
+            tag = f"{len(request['content'])}"
+            return ("retry", None) if request["attempt"] < 2 else ("ok", '{"detectedTags": ["%s"], "hasText": false}' % tag)
+
+    paths = [tmp_path / f"{k}.png" for k in range(4)]
+    for k, path in enumerate(paths[:3]):
+        path.write_bytes(b"x" * (k + 1))
+    asked = classify.image_requests(spark.createDataFrame([(str(p),) for p in paths], "path string"), "p", "s")
+    got = classify.run_requests(asked, Fails(), reader=files.read_bytes)
+    assert binary_exchanges(classify.process(asked.repartition(3).withColumn("attempt", F.lit(0)), Fails(), reader=files.read_bytes)) == []
+    assert {os.path.basename(r.image_path): (r.status, r.attempts, r.answer and r.answer.tags) for r in got.collect()} == {
+        "0.png": ("classified", 3, ["1"]), "1.png": ("classified", 3, ["2"]), "2.png": ("classified", 3, ["3"]), "3.png": ("exhausted", 4, None),
+    }
+    assert "content" not in got.columns
 
 
 def test_empty_folders_and_wrong_roots(spark, tmp_path):
