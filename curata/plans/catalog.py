@@ -372,6 +372,21 @@ def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(totals, Scratch(spark, "totals"), ["all"]).select("successes", "errors")
 
 
+def streamed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact trailing counts at each event as state of time slices, with their rates."""
+    root = Scratch(spark, "rates").root
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # an event long after all others lets the watermark pass these
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).filter("ts is not null")
+    events.select("ts").unionByName(last).write.parquet(f"{root}/events")
+    stream = spark.readStream.schema("ts timestamp").parquet(f"{root}/events")
+    told = stateful.trailing_stream(stream, [5, 60], parts=4)
+    stateful.write_batches(told, f"{root}/told", f"{root}/mark", interval=None).awaitTermination()
+    found = stateful.read_batches(told, f"{root}/told")
+    per = found.groupBy("micros").agg(*[F.max(F.when(F.col("minutes") == m, F.col("n"))).alias(f"n{m}") for m in (5, 60)])
+    return throughput.with_per_minute(events.withColumn("micros", F.unix_micros("ts")).join(per, "micros"))
+
+
 def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as sessions in a store: created, moved on by their key, and looked up again; an unknown one is an error."""
     store = sessions.SessionStore(spark, Scratch(spark, "store").root)
@@ -451,7 +466,7 @@ def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
+        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, streamed_rates, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
     }
 
 
@@ -594,4 +609,4 @@ CASE WHEN count(*) FILTER (k % 13 = 0) = 0 THEN 'COMPLETED' ELSE 'CLASSIFYING' E
         "streaming_throughput": "SELECT strftime(time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1",
     }
     # the streams give what the batch queries do
-    return found | {stream: found[batch] for stream, batch in (("stateful_retries", "retry_rounds"), ("streamed_sessions", "session_summary"), ("streamed_counters", "result_counters"))}
+    return found | {stream: found[batch] for stream, batch in (("stateful_retries", "retry_rounds"), ("streamed_sessions", "session_summary"), ("streamed_counters", "result_counters"), ("streamed_rates", "throughput_rates"))}

@@ -1,4 +1,5 @@
-"""Stateful streams: requests with their retries as keyed state, completion as a join of two streams, counters counted once."""
+"""Stateful streams: requests with their retries as keyed state, completion as a join of two streams, counters counted once,
+exact trailing counts as state of time slices."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from curata.operators.classify import ATTEMPTS, SYSTEM_PROMPT, TEXT_PROMPT
-from curata.operators.throughput import counters
+from curata.operators.throughput import MINUTE, counters
 from curata.sources.connectors import ERROR, OK, RETRY, Connector
 
 #: The state store that keyed state with timers needs.
@@ -143,3 +144,56 @@ def completed(requests: DataFrame, results: DataFrame, wait: str = "2 hours") ->
 def counted_once(results: DataFrame, key: str, error: Column, ts: str = "ts", delay: str = "2 hours") -> DataFrame:
     """(successes, errors) so far of a stream in which results may come again, up to the delay after the first time."""
     return counters(results.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]), error)
+
+
+class Slices(StatefulProcessor):
+    """One slice of one span a key: its steps are state until the watermark has passed the slice, then its counts are told."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getListState("steps", "pos bigint, own bigint, change bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            step = pdf.groupby("pos", as_index=False)[["own", "change"]].sum()
+            self.steps.appendList(list(step.itertuples(index=False, name=None)))
+        minutes, home = key
+        self.handle.registerTimer((home + 1) * (minutes * MINUTE // self.parts) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step = pd.DataFrame(self.steps.get(), columns=["pos", "own", "change"], dtype="int64").groupby("pos", as_index=False).sum()
+        step["n"] = step["change"].cumsum()
+        self.steps.clear()
+        own = step[step["own"] > 0]
+        yield pd.DataFrame({"minutes": key[0], "micros": own["pos"], "n": own["n"]})
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_stream(events: DataFrame, spans: list[int], ts: str = "ts", delay: str = "2 hours", parts: int = 4) -> DataFrame:
+    """(minutes, micros, n): for each instant that has events, and each span of minutes, the events of that time up to it.
+
+    Exact as `trailing` is, for all events that are not later than the delay; later ones have no effect. An instant's counts
+    come once, when the watermark has passed its slice, a part of the span. An event goes to its slice and the one a span
+    later by its time, to those between as a mere addition, so a slice needs its own state only, which is added up per
+    instant in each batch and goes when the slice is told. parts must divide a span's milliseconds.
+    """
+    wide = [(m, m * MINUTE // parts) for m in spans]
+    if any(m * 60_000 % parts for m in spans):
+        raise ValueError(f"{parts} parts don't divide each of {spans} minutes into whole milliseconds")
+    micros = F.unix_micros(F.col(ts))
+
+    def steps(m: int, width: int) -> Column:
+        home = F.floor(F.col("micros") / width)
+        row = lambda at, pos, own, change: F.struct(F.lit(m).alias("minutes"), at.alias("home"), pos.alias("pos"), F.lit(own).alias("own"), F.lit(change).alias("change"))
+        between = F.transform(F.sequence(home + 1, home + parts), lambda at: row(at, at * width, 0, 1))
+        return F.concat(F.array(row(home, F.col("micros"), 1, 1), row(home + parts, F.col("micros") + m * MINUTE, 0, -1)), between)
+
+    timed = events.select(F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay).withColumn("micros", micros)
+    dealt = timed.select("ts", F.explode(F.concat(*[steps(m, w) for m, w in wide])).alias("s")).select("ts", "s.*")
+    return dealt.groupBy("minutes", "home").transformWithStateInPandas(Slices(parts), "minutes int, micros bigint, n bigint", "Append", "EventTime")

@@ -1,8 +1,10 @@
 """Files, clusters, requests, actions, sessions and streams end to end on small trees."""
 
 import os
+import random
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +230,47 @@ def test_trailing_window_excludes_its_edge(spark):
     assert (gauge.queue, gauge.successes, gauge.errors, gauge.per_minute_5) == (0, 3, 1, 0.2)
 
 
+def trailing_brute(times, minutes):
+    return {t: sum(c for u, c in Counter(times).items() if t - minutes * 60_000_000 < u <= t) for t in times}
+
+
+def test_trailing_counts_of_a_crowded_hour(spark):
+    """Most events in one second, some at one instant, repeated ids, events without a time: as brute force, over many partitions."""
+    rng = random.Random(5)
+    times = [rng.randrange(10_000_000) for _ in range(3000)] + [7] * 500 + [rng.randrange(8 * 3_600_000_000) for _ in range(1000)]
+    rows = spark.createDataFrame([(k % 4000, t) for k, t in enumerate(times)] + [(9999, None)], "event_id int, t long").select("event_id", F.timestamp_micros("t").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = throughput.trailing(rows, [5, 60]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    five, sixty = trailing_brute(times, 5), trailing_brute(times, 60)
+    assert sorted((r.event_id, r.micros, r.n5, r.n60) for r in got) == sorted((k % 4000, t, five[t], sixty[t]) for k, t in enumerate(times))
+    assert throughput.trailing(rows.limit(0), [5]).count() == 0 and throughput.rates(rows.filter("event_id = 9999")).count() == 0
+
+
+def test_streamed_trailing_counts_go_on_after_a_restart(spark, tmp_path):
+    """Three deliveries, each after a restart: counts come once and exact; an event later than the delay has no effect."""
+    rng = random.Random(6)
+    hour = 3_600_000_000
+    deliveries = [sorted(rng.randrange(k * hour, (k + 2) * hour) // 250_000 * 250_000 for _ in range(400)) for k in (0, 1, 2)]
+    late, end = [5], [100 * hour]
+    write = lambda k, times: spark.createDataFrame([(t,) for t in times], "t long").select(F.timestamp_micros("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told = stateful.trailing_stream(stream, [5, 60], delay="90 minutes", parts=4)
+    for k, times in enumerate([*deliveries, late + end]):
+        write(k, times)
+        stateful.write_batches(told, str(tmp_path / "out"), str(tmp_path / "mark"), interval=None).awaitTermination()
+    write(9, late)
+    stateful.write_batches(told, str(tmp_path / "out"), str(tmp_path / "mark"), interval=None).awaitTermination()
+    got = sorted((r.minutes, r.micros, r.n) for r in stateful.read_batches(told, str(tmp_path / "out")).collect())
+    times = [t for d in deliveries for t in d]
+    assert got == sorted((m, t, n) for m in (5, 60) for t, n in trailing_brute(times, m).items())
+    with pytest.raises(ValueError):
+        stateful.trailing_stream(stream, [5], parts=7)
+
+
 def test_streaming_queue_with_retries(spark, tmp_path):
     q, out, mark = (str(tmp_path / x) for x in ("q", "out", "mark"))
     rows = spark.createDataFrame([("s", "image", p, "p", "t", None) for p in ("/a_bear.png", "/b_bear.png", "/c_bear.png")], classify.REQUEST)
