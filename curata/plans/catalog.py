@@ -380,7 +380,7 @@ def streamed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).filter("ts is not null")
     events.select("ts").unionByName(last).write.parquet(f"{root}/events")
     stream = spark.readStream.schema("ts timestamp").parquet(f"{root}/events")
-    told = stateful.trailing_stream(stream, [5, 60], parts=4)
+    told = stateful.trailing_stream(stream, [5, 60])
     stateful.write_batches(told, f"{root}/told", f"{root}/mark", interval=None).awaitTermination()
     found = stateful.read_batches(told, f"{root}/told")
     per = found.groupBy("micros").agg(*[F.max(F.when(F.col("minutes") == m, F.col("n"))).alias(f"n{m}") for m in (5, 60)])

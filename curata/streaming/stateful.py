@@ -8,6 +8,7 @@ import re
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,11 +147,19 @@ def counted_once(results: DataFrame, key: str, error: Column, ts: str = "ts", de
     return counters(results.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]), error)
 
 
+def _per_instant(pos: np.ndarray, own: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, row = np.unique(pos, return_inverse=True)
+    out = np.zeros((2, len(at)), dtype=np.int64)
+    np.add.at(out[0], row, own)
+    np.add.at(out[1], row, change)
+    return at, out[0], out[1]
+
+
 class Slices(StatefulProcessor):
     """One slice of one span a key: its steps are state until the watermark has passed the slice, then its counts are told."""
 
-    def __init__(self, parts: int):
-        self.parts = parts
+    def __init__(self, width: int):
+        self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -158,42 +167,43 @@ class Slices(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            step = pdf.groupby("pos", as_index=False)[["own", "change"]].sum()
-            self.steps.appendList(list(step.itertuples(index=False, name=None)))
-        minutes, home = key
-        self.handle.registerTimer((home + 1) * (minutes * MINUTE // self.parts) // 1000)
+            step = _per_instant(*(pdf[c].to_numpy() for c in ("pos", "own", "change")))
+            self.steps.appendList(list(zip(*(v.tolist() for v in step), strict=True)))
+        self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        step = pd.DataFrame(self.steps.get(), columns=["pos", "own", "change"], dtype="int64").groupby("pos", as_index=False).sum()
-        step["n"] = step["change"].cumsum()
+        pos, own, change = _per_instant(*np.array(list(self.steps.get()), dtype=np.int64).T)
+        n, mine = change.cumsum(), own > 0
         self.steps.clear()
-        own = step[step["own"] > 0]
-        yield pd.DataFrame({"minutes": key[0], "micros": own["pos"], "n": own["n"]})
+        if mine.any():
+            yield pd.DataFrame({"minutes": np.full(mine.sum(), key[0], dtype=np.int32), "micros": pos[mine], "n": n[mine]})
 
     def close(self) -> None:
         pass
 
 
-def trailing_stream(events: DataFrame, spans: list[int], ts: str = "ts", delay: str = "2 hours", parts: int = 4) -> DataFrame:
+def trailing_stream(events: DataFrame, spans: list[int], ts: str = "ts", delay: str = "2 hours", slice_minutes: int = 5) -> DataFrame:
     """(minutes, micros, n): for each instant that has events, and each span of minutes, the events of that time up to it.
 
     Exact as `trailing` is, for all events that are not later than the delay; later ones have no effect. An instant's counts
-    come once, when the watermark has passed its slice, a part of the span. An event goes to its slice and the one a span
-    later by its time, to those between as a mere addition, so a slice needs its own state only, which is added up per
-    instant in each batch and goes when the slice is told. parts must divide a span's milliseconds.
+    come once, when the watermark has passed its slice, of which a span has a whole number. An event goes to its slice and
+    the one a span later by its time, to those between as a mere addition, so a slice needs its own state only. That is one
+    row an instant and batch, and goes when the slice is told: shorter slices make tasks smaller and rows more.
     """
-    wide = [(m, m * MINUTE // parts) for m in spans]
-    if any(m * 60_000 % parts for m in spans):
-        raise ValueError(f"{parts} parts don't divide each of {spans} minutes into whole milliseconds")
-    micros = F.unix_micros(F.col(ts))
-
-    def steps(m: int, width: int) -> Column:
-        home = F.floor(F.col("micros") / width)
-        row = lambda at, pos, own, change: F.struct(F.lit(m).alias("minutes"), at.alias("home"), pos.alias("pos"), F.lit(own).alias("own"), F.lit(change).alias("change"))
-        between = F.transform(F.sequence(home + 1, home + parts), lambda at: row(at, at * width, 0, 1))
-        return F.concat(F.array(row(home, F.col("micros"), 1, 1), row(home + parts, F.col("micros") + m * MINUTE, 0, -1)), between)
-
-    timed = events.select(F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay).withColumn("micros", micros)
-    dealt = timed.select("ts", F.explode(F.concat(*[steps(m, w) for m, w in wide])).alias("s")).select("ts", "s.*")
-    return dealt.groupBy("minutes", "home").transformWithStateInPandas(Slices(parts), "minutes int, micros bigint, n bigint", "Append", "EventTime")
+    if any(m % slice_minutes for m in spans):
+        raise ValueError(f"{slice_minutes} minutes don't divide each span of {spans}")
+    width = slice_minutes * MINUTE
+    home = F.floor(F.col("micros") / width)
+
+    def steps(m: int) -> Column:
+        def row(at: Column, pos: Column, own: int, change: int) -> Column:
+            return F.struct(F.lit(m).alias("minutes"), at.alias("home"), pos.alias("pos"), F.lit(own).alias("own"), F.lit(change).alias("change"))
+
+        beyond = home + m // slice_minutes
+        whole = F.transform(F.sequence(home + 1, beyond), lambda at: row(at, at * width, 0, 1))
+        return F.concat(F.array(row(home, F.col("micros"), 1, 1), row(beyond, F.col("micros") + m * MINUTE, 0, -1)), whole)
+
+    timed = events.select(F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    dealt = timed.select("ts", F.explode(F.concat(*[steps(m) for m in spans])).alias("s")).select("ts", "s.*")
+    return dealt.groupBy("minutes", "home").transformWithStateInPandas(Slices(width), "minutes int, micros bigint, n bigint", "Append", "EventTime")

@@ -258,7 +258,7 @@ def test_streamed_trailing_counts_go_on_after_a_restart(spark, tmp_path):
     write = lambda k, times: spark.createDataFrame([(t,) for t in times], "t long").select(F.timestamp_micros("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    told = stateful.trailing_stream(stream, [5, 60], delay="90 minutes", parts=4)
+    told = stateful.trailing_stream(stream, [5, 60], delay="90 minutes")
     for k, times in enumerate([*deliveries, late + end]):
         write(k, times)
         stateful.write_batches(told, str(tmp_path / "out"), str(tmp_path / "mark"), interval=None).awaitTermination()
@@ -268,7 +268,7 @@ def test_streamed_trailing_counts_go_on_after_a_restart(spark, tmp_path):
     times = [t for d in deliveries for t in d]
     assert got == sorted((m, t, n) for m in (5, 60) for t, n in trailing_brute(times, m).items())
     with pytest.raises(ValueError):
-        stateful.trailing_stream(stream, [5], parts=7)
+        stateful.trailing_stream(stream, [5], slice_minutes=2)
 
 
 def test_streaming_queue_with_retries(spark, tmp_path):
