@@ -7,6 +7,7 @@ perceptual hashes, events for results and orders for requests.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from curata.functions import images, text
 from curata.operators import classify, dedup, sessions, similarity, throughput
+from curata.operators.seen_index import SeenIndex
 from curata.plans.scratch import Scratch
 from curata.sources import config, connectors
 from curata.sources import files as sources
@@ -68,6 +70,18 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_counts(files(spark, sf_dir))
 
 
+def seen_across_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in three deliveries, each marked against an index of what the earlier ones held."""
+    docs = files(spark, sf_dir).withColumn("delivery", F.regexp_extract("path", "([0-9]+)\\.png$", 1).cast("bigint") % 3)
+    index = SeenIndex(spark, f"seen_{uuid.uuid4().hex}")
+    try:
+        parts = [index.add(docs.filter(F.col("delivery") == k), k) for k in range(3)]
+    finally:
+        index.drop()
+    marked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return marked.select("path", "delivery", "first", "first_scan", (F.col("path") == F.col("first")).alias("is_original"))
+
+
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.hash_groups(files(spark, sf_dir)).select("hash", F.array_join("paths", ",").alias("paths"), "folder")
 
@@ -466,7 +480,7 @@ def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (exact_dedup, dedup_counts, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, streamed_rates, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
+        for f in (exact_dedup, dedup_counts, seen_across_scans, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, streamed_rates, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
     }
 
 
@@ -528,6 +542,9 @@ m AS (SELECT g, CASE WHEN len(found) = 0 THEN ['other'] {whole} ELSE found END A
     found = {
         "exact_dedup": "SELECT doc_id, hash, first_doc_id, doc_id = first_doc_id AS is_unique FROM (SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id FROM documents)",
         "dedup_counts": "SELECT count(*) AS total, count(DISTINCT sha256(text)) AS \"unique\", count(*) - count(DISTINCT sha256(text)) AS duplicates FROM documents",
+        "seen_across_scans": f"""WITH {FILES}, d AS (SELECT path, hash, CAST(regexp_extract(path, '([0-9]+)\\.png$', 1) AS BIGINT) % 3 AS delivery FROM files),
+f AS (SELECT hash, min(delivery) AS first_scan, arg_min(path, (delivery, path)) AS first FROM d WHERE hash IS NOT NULL GROUP BY hash)
+SELECT path, delivery, first, first_scan, path = first AS is_original FROM d LEFT JOIN f USING (hash)""",
         "dup_groups": f"WITH {FILES} SELECT hash, string_agg(path, ',' ORDER BY path) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1",
         "duplicate_moves": f"WITH {FILES}, f AS (SELECT *, min(path) OVER (PARTITION BY hash) AS first FROM files) SELECT 'move' AS action, path AS src, '/data/' || source || '_duplicates/' || split_part(first, '/', 4) || '_' || split_part(path, '/', 4) AS dst, 'duplicate' AS reason FROM f WHERE path > first",
         "consolidation_plan": f"""WITH {FILES}, g AS (SELECT hash, list_sort(list(path)) AS paths, (SELECT string_agg(s, '_' ORDER BY s) FROM (SELECT DISTINCT unnest(list(source)) AS s)) AS folder FROM files GROUP BY hash HAVING count(*) > 1),

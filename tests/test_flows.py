@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from curata.functions import images
 from curata.operators import actions, classify, dedup, hamming_index, sessions, similarity, throughput
 from curata.operators.components import connected_components
+from curata.operators.seen_index import SeenIndex
 from curata.plans import pipelines
 from curata.plans.scratch import Scratch
 from curata.sources import config, connectors, files, sink
@@ -88,6 +89,41 @@ def test_golden_dedup_and_free_names(spark):
     assert {r.src: r.dst for r in dedup.free_names(want, held).collect()} == {"s0": "/o/x_2.png", "s1": "/o/x_3.png", "s2": "/o/x_4.png", "s3": "/o/x_5.png", "t": "/o/.hid", "u": "/o/y_1"}
 
 
+def test_three_scans_give_what_one_gives(spark):
+    """In scan order as one table would; a scan added again changes nothing; the index is never shuffled."""
+    rng = random.Random(3)
+    rows = [(f"/{rng.randrange(10**6):06d}-{k}.png", None if k % 50 == 0 else "hot" if k % 3 == 0 else f"h{rng.randrange(300)}", k % 3 if k < 900 else 2) for k in range(1200)]
+    every = spark.createDataFrame(rows, "path string, hash string, scan int")
+    index = SeenIndex(spark, "seen_in_test", buckets=4)
+    try:
+        scans = [every.filter(F.col("scan") == k).select("path", "hash") for k in range(3)]
+        got = [r for k in range(3) for r in index.add(scans[k], k).collect()]
+        want = {}
+        for path, digest, k in sorted(rows, key=lambda r: (r[2], r[0])):
+            if digest is not None:
+                want.setdefault(digest, (path, k))
+        assert len(got) == len(rows) and all((r.first, r.first_scan) == want.get(r.hash, (None, None)) for r in got)
+        assert {(r.hash, r.first, r.scan) for r in index.rows().collect()} == {(h, p, k) for h, (p, k) in want.items()}
+        size = index.rows().count()
+        assert sorted(index.add(scans[2], 2).collect()) == sorted(got[-scans[2].count():]) and index.rows().count() == size
+        with pytest.raises(ValueError):
+            index.add(scans[1], 1)
+        assert index.add(every.limit(0).select("path", "hash"), 3).count() == 0
+        index.merge_files()
+        assert index.rows().count() == size and sorted(index.marked(scans[2], 2).collect()) == sorted(got[-scans[2].count():])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        root = index.looked_up(scans[2], 3)._jdf.queryExecution().executedPlan().initialPlan()
+        nodes = [root]
+        for node in nodes:
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        assert "seen_in_test" in root.toString() and any("Join" in node.nodeName() for node in nodes)
+        exchanges = [node for node in nodes if "Exchange" in node.nodeName()]
+        assert exchanges and not any("seen_in_test" in node.toString() for node in exchanges)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        index.drop()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 200), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
