@@ -66,6 +66,46 @@ def _checked(raw: Column, answer: Column) -> Column:
     return F.when(valid, F.struct(tags.alias("tags"), has_text.alias("hasText"), language.alias("textLanguageGuess"), answer["emoji"].alias("emoji"), answer["keyword"].alias("keyword")))
 
 
+def answer_fault(raw: Column) -> Column:
+    """Why a raw answer is not what was asked for, or null if it is: the first of the faults below that it has.
+
+    `empty`, `no JSON`, `no object` (what comes after the first value is no fault, as in `parse_answer`), `tags missing`, `tags null`, `tags no list`,
+    `tags empty`, `tag null`, `tag no text`, `hasText no boolean`, and `<field> no text` of the three text fields. A field
+    that is missing or null is no fault but in tags; numbers and booleans pass as texts, "true" and "false" as booleans.
+    What is missing, null or of another type is told apart on the parsed VARIANT, without a schema.
+    """
+    return once(F.try_parse_json(strip_fences(raw)), lambda v: _fault(raw, v))
+
+
+def _fault(raw: Column, v: Column) -> Column:
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+    def nested(of: Column) -> Column:
+        return of.startswith("OBJECT") | of.startswith("ARRAY")
+
+    tags = F.try_variant_get(v, "$.detectedTags", "array<variant>")
+    told = F.coalesce(F.lower(F.try_variant_get(v, "$.hasText", "string")), F.lit(""))
+    boolean = kind("$.hasText").isin("BOOLEAN", "VOID") | told.isin("true", "false")
+    checks = [
+        (F.coalesce(strip_controls(raw) == "", F.lit(True)), "empty"),
+        (v.isNull(), "no JSON"),
+        (~F.schema_of_variant(v).startswith("OBJECT"), "no object"),
+        (kind("$.detectedTags").isNull(), "tags missing"),
+        (kind("$.detectedTags") == "VOID", "tags null"),
+        (~kind("$.detectedTags").startswith("ARRAY"), "tags no list"),
+        (F.size(tags) == 0, "tags empty"),
+        (F.exists(tags, F.is_variant_null), "tag null"),
+        (F.exists(tags, lambda t: nested(F.schema_of_variant(t))), "tag no text"),
+        (~boolean, "hasText no boolean"),
+        *[(nested(kind(f"$.{name}")), f"{name} no text") for name in ("textLanguageGuess", "emoji", "keyword")],
+    ]
+    out = F.when(checks[0][0], checks[0][1])
+    for wrong, name in checks[1:]:
+        out = out.when(wrong, name)
+    return out
+
+
 def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT, text_prompt: str = TEXT_PROMPT, reader: Reader | None = None) -> DataFrame:
     """The requests with status (ok, retry or error) and raw; image requests with no path are retried.
 

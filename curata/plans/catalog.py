@@ -124,6 +124,28 @@ def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join("a.tags", ",").alias("tags"), F.col("a.hasText").alias("has_text"), F.col("a.textLanguageGuess").alias("language"), F.col("a.emoji").alias("emoji"), F.col("a.keyword").alias("keyword"))
 
 
+def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of documents' values, whole texts among them, of right and of wrong shapes: what is wrong with each."""
+    tags = F.array("lang", "source").alias("detectedTags")
+    body = F.to_json(F.struct(tags, (F.col("n_chars") % 2 == 0).alias("hasText"), F.col("lang").alias("textLanguageGuess"), F.col("text").alias("keyword")))
+    shapes = [
+        body,
+        F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+        F.col("text"),
+        F.substring(body, F.lit(1), F.length(body) / 2),
+        F.to_json(F.struct(F.struct("lang", "text").alias("detectedTags"))),
+        F.to_json(F.struct(F.array("source").alias("detectedTags"), F.concat(F.lit("x"), "text").alias("hasText"))),
+        F.to_json(F.struct(F.array(F.array("source")).alias("detectedTags"))),
+        F.to_json(F.struct(F.array().cast("array<string>").alias("detectedTags"), F.col("text").alias("keyword"))),
+        F.to_json(F.struct(F.array("source").alias("detectedTags"), F.struct("source", "text").alias("emoji"))),
+        F.concat(F.lit('{"detectedTags": null, "keyword": '), F.col("n_chars").cast("string"), F.lit("}")),
+        F.to_json(F.struct(F.struct("text").alias("answer"))),
+        F.to_json(F.array("source", "text")),
+    ]
+    raw = F.coalesce(*[F.when(F.col("doc_id") % len(shapes) == k, shape) for k, shape in enumerate(shapes)])
+    return table(spark, sf_dir, "documents").select("doc_id", classify.answer_fault(raw).alias("fault"))
+
+
 def _categories(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rows = [(i, n, [], i, f"about {n}") for i, n in enumerate(BASE)] + [(9 + i, n, m, 0, n) for i, (n, m) in enumerate(COMPOUNDS)]
     return config.resolve(spark.createDataFrame(rows, config.ROW))
@@ -480,7 +502,7 @@ def png_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (exact_dedup, dedup_counts, seen_across_scans, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, streamed_rates, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
+        for f in (exact_dedup, dedup_counts, seen_across_scans, dup_groups, duplicate_moves, consolidation_plan, free_names, clean_language, sanitize_name, target_name, parse_answers, answer_faults, category_match, fan_out_counts, fan_out_plan, error_moves, config_compounds, user_prompt, hash_pairs, clusters, cluster_prune, cluster_rank, group_renames, name_shapes, throughput_rates, result_counters, eta, token_estimates, encoded_names, path_parts, log_stamps, retry_rounds, session_summary, streaming_throughput, png_repair, streaming_rates, image_requests, request_dispatch, next_request, queued_requests, stateful_retries, streamed_sessions, streamed_counters, streamed_rates, session_lookup, cluster_summary, near_pairs, result_schema, prompt_data, suffix_filter, gauges, png_channels)
     }
 
 
@@ -564,6 +586,16 @@ n AS (SELECT event_id, j, language, list_transform(tags, lambda x: lower(trim(x)
 SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(low) + 1), lambda i: list_position(low, low[i]) = i), lambda i: low[i]), ',') AS tags,
 coalesce(lower(json_extract_string(j, '$.hasText')) = 'true', false) AND coalesce(trim(language), '') <> '' AND NOT contains(lower(coalesce(language, '')), 'unknown') AS has_text,
 language, json_extract_string(j, '$.emoji') AS emoji, json_extract_string(j, '$.keyword') AS keyword FROM n""",
+        "answer_faults": f"""WITH b AS (SELECT *, CAST(to_json(struct_pack(detectedTags := [lang, source], hasText := n_chars % 2 = 0, textLanguageGuess := lang, keyword := text)) AS VARCHAR) AS body FROM documents),
+r AS (SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN text WHEN 3 THEN substr(body, 1, length(body) // 2)
+WHEN 4 THEN to_json(struct_pack(detectedTags := struct_pack(lang := lang, text := text)))::VARCHAR WHEN 5 THEN to_json(struct_pack(detectedTags := [source], hasText := 'x' || text))::VARCHAR WHEN 6 THEN to_json(struct_pack(detectedTags := [[source]]))::VARCHAR
+WHEN 7 THEN '{{"detectedTags": []}}' WHEN 8 THEN to_json(struct_pack(detectedTags := [source], emoji := struct_pack(source := source, text := text)))::VARCHAR WHEN 9 THEN '{{"detectedTags": null}}' WHEN 10 THEN to_json(struct_pack(answer := struct_pack(text := text)))::VARCHAR ELSE to_json([source, text])::VARCHAR END AS raw FROM b),
+j AS (SELECT doc_id, raw, CASE WHEN json_valid(x) THEN x::JSON END AS j FROM (SELECT doc_id, raw, {fence} AS x FROM r))
+SELECT doc_id, CASE WHEN coalesce(regexp_replace(raw, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '') = '' THEN 'empty' WHEN j IS NULL THEN 'no JSON' WHEN json_type(j) <> 'OBJECT' THEN 'no object'
+WHEN json_type(j, '$.detectedTags') IS NULL THEN 'tags missing' WHEN json_type(j, '$.detectedTags') = 'NULL' THEN 'tags null' WHEN json_type(j, '$.detectedTags') <> 'ARRAY' THEN 'tags no list' WHEN json_array_length(j, '$.detectedTags') = 0 THEN 'tags empty'
+WHEN list_contains(list_transform(json_extract(j, '$.detectedTags[*]'), lambda x: json_type(x)), 'NULL') THEN 'tag null' WHEN list_has_any(list_transform(json_extract(j, '$.detectedTags[*]'), lambda x: json_type(x)), ['OBJECT', 'ARRAY']) THEN 'tag no text'
+WHEN json_type(j, '$.hasText') NOT IN ('BOOLEAN', 'NULL') AND lower(json_extract_string(j, '$.hasText')) NOT IN ('true', 'false') THEN 'hasText no boolean'
+WHEN json_type(j, '$.textLanguageGuess') IN ('OBJECT', 'ARRAY') THEN 'textLanguageGuess no text' WHEN json_type(j, '$.emoji') IN ('OBJECT', 'ARRAY') THEN 'emoji no text' WHEN json_type(j, '$.keyword') IN ('OBJECT', 'ARRAY') THEN 'keyword no text' END AS fault FROM j""",
         "category_match": f"WITH {matched} SELECT g AS group_id, array_to_string(categories, ',') AS categories FROM m",
         "fan_out_counts": f"WITH {matched} SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM m) GROUP BY category",
         "fan_out_plan": f"""WITH {matched}, p AS (SELECT printf('/in/set%d/%d.png', g % 7, g) AS src, 'ko_null_happy_greeting_' || g || '.png' AS name, g % 7 AS d, g, categories FROM m)

@@ -175,3 +175,20 @@ def test_perceptual_hash():
     clear = noisy.copy()
     clear[..., 3] = 0
     assert images.perceptual_hash(clear) == images.perceptual_hash(np.zeros((8, 8, 4), np.uint8))
+
+
+@pytest.mark.parametrize(
+    "raw,fault",
+    [
+        (None, "empty"), (" \n", "empty"), ("no idea", "no JSON"), ('{"detectedTags": ["a"', "no JSON"),
+        ("null", "no object"), ("[1]", "no object"), ('"a"', "no object"), ("{}", "tags missing"), ('{"detectedTags": null}', "tags null"),
+        ('{"detectedTags": "a"}', "tags no list"), ('{"detectedTags": {"a": 1}}', "tags no list"), ('{"detectedTags": []}', "tags empty"),
+        ('{"detectedTags": ["a", null]}', "tag null"), ('{"detectedTags": ["a", ["b"]]}', "tag no text"), ('{"detectedTags": [{}]}', "tag no text"),
+        ('{"detectedTags": ["a"], "hasText": "maybe"}', "hasText no boolean"), ('{"detectedTags": ["a"], "hasText": [true]}', "hasText no boolean"),
+        ('{"detectedTags": ["a"], "emoji": {"x": 1}}', "emoji no text"), ('{"detectedTags": ["a"], "hasText": "True", "keyword": [1]}', "keyword no text"),
+        ('{"detectedTags": ["a", 1, true], "hasText": null, "emoji": 5}', None), ('{"detectedTags": ["a"]} and more', None), ('```json\n{"detectedTags": ["a"], "textLanguageGuess": null}\n```', None),
+    ],
+)
+def test_answer_faults(spark, raw, fault):
+    got = spark.createDataFrame([(raw,)], "raw string").select(classify.answer_fault(F.col("raw")).alias("fault"), classify.parse_answer(F.col("raw")).alias("a")).first()
+    assert got.fault == fault and (fault is not None or got.a is not None)
