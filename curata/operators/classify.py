@@ -66,18 +66,34 @@ def _checked(raw: Column, answer: Column) -> Column:
     return F.when(valid, F.struct(tags.alias("tags"), has_text.alias("hasText"), language.alias("textLanguageGuess"), answer["emoji"].alias("emoji"), answer["keyword"].alias("keyword")))
 
 
-def answer_fault(raw: Column) -> Column:
+def answer_fault(raw: Column, whole: bool = False) -> Column:
     """Why a raw answer is not what was asked for, or null if it is: the first of the faults below that it has.
 
-    `empty`, `no JSON`, `no object` (what comes after the first value is no fault, as in `parse_answer`), `tags missing`, `tags null`, `tags no list`,
+    `empty`, `no JSON`, `no object`, `tags missing`, `tags null`, `tags no list`,
     `tags empty`, `tag null`, `tag no text`, `hasText no boolean`, and `<field> no text` of the three text fields. A field
     that is missing or null is no fault but in tags; numbers and booleans pass as texts, "true" and "false" as booleans.
-    What is missing, null or of another type is told apart on the parsed VARIANT, without a schema.
+    What is missing, null or of another type is told apart on the parsed VARIANT, without a schema. What comes after an
+    object is no fault, as in `parse_answer`, unless the answer must be JSON as a whole; a text that merely begins with
+    another value, such as a number, is no JSON.
     """
-    return once(F.try_parse_json(strip_fences(raw)), lambda v: _fault(raw, v))
+    return once(strip_fences(raw), lambda x: once(F.struct(F.try_parse_json(x).alias("v"), _alone(x).alias("alone")), lambda got: _fault(raw, got["v"], got["alone"], whole)))
 
 
-def _fault(raw: Column, v: Column) -> Column:
+def _alone(x: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: parsers pass over what follows a value, but not within a list.
+
+    No text holds its own digest, so the list can't end within the text.
+    """
+    digest = F.sha2(x, 256)
+    return once(F.try_parse_json(F.concat(F.lit("[["), x, F.lit('], "'), digest, F.lit('"]'))), lambda v: _lone(v, digest))
+
+
+def _lone(v: Column, digest: Column) -> Column:
+    size = [F.size(F.try_variant_get(v, path, "array<variant>")) for path in ("$", "$[0]")]
+    return F.coalesce((size[0] == 2) & (size[1] == 1) & (F.try_variant_get(v, "$[1]", "string") == digest), F.lit(False))
+
+
+def _fault(raw: Column, v: Column, alone: Column, whole: bool) -> Column:
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
@@ -89,7 +105,7 @@ def _fault(raw: Column, v: Column) -> Column:
     boolean = kind("$.hasText").isin("BOOLEAN", "VOID") | told.isin("true", "false")
     checks = [
         (F.coalesce(strip_controls(raw) == "", F.lit(True)), "empty"),
-        (v.isNull(), "no JSON"),
+        (v.isNull() | ~alone & (F.lit(whole) | ~F.schema_of_variant(v).startswith("OBJECT")), "no JSON"),
         (~F.schema_of_variant(v).startswith("OBJECT"), "no object"),
         (kind("$.detectedTags").isNull(), "tags missing"),
         (kind("$.detectedTags") == "VOID", "tags null"),
