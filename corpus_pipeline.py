@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import exact_dedup, jaccard_join, language_id, packing, substring_dedup
-from curata.llm.scratch import Scratch
+from curata.llm.scratch import Scratch, small_batches
 from curata.llm.tables import read, tokenizer_path
 from curata.plans.scratch import consumed
 
@@ -15,7 +15,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be predicted go; the others stay, with the prediction where lang is null."""
+    """Documents in which no language can be predicted go; the others stay, with the prediction where lang is null.
+
+    Executors keep Python workers from stage to stage, so batches are small from the first stage on.
+    """
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.llm.kernels import Words, blocks, buffers, mix, signed, stream, tidy
-from curata.llm.scratch import Scratch, bloom, free_name
+from curata.llm.scratch import Scratch, bloom, free_name, small_batches
 from curata.operators.components import connected_components
 
 #: Groups of the R-trees' boxes; a set's own vector has a power of two from COARSE to FINE that is its size at least.
@@ -422,6 +422,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     work = Scratch(spark, "jaccard")
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     # an id may have several texts: id and hash of the text name a row's text
