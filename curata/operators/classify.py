@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,21 +122,30 @@ def _fault(raw: Column, v: Column, alone: Column, whole: bool) -> Column:
     return out
 
 
+def _values(col: pa.Array) -> list:
+    """Python values of a column; texts, bytes and whole numbers are made at once, not one by one."""
+    kind = col.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or (pa.types.is_integer(kind) and not col.null_count):
+        return col.to_numpy(zero_copy_only=False).tolist()
+    return col.to_pylist()
+
+
 def process(requests: DataFrame, connector: Connector, system_prompt: str = SYSTEM_PROMPT, text_prompt: str = TEXT_PROMPT, reader: Reader | None = None) -> DataFrame:
     """The requests with status (ok, retry or error) and raw; image requests with no path are retried.
 
     The system prompt is that of the request's kind. content and context, if the requests have them, are handed to the
     connector. reader, if given, reads the image of a request just before the call, unless the connector says that it
     needs none (`needs_content`): one image is in memory at a time, and none is shuffled. An image that can't be read is a
-    failed attempt. One batch of rows is in memory at a time.
+    failed attempt. One batch of rows is in memory at a time, and its columns are passed on as they came.
     """
     names = requests.columns
     reads = reader is not None and getattr(connector, "needs_content", True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             got = []
-            for row in pdf.to_dict("records"):
+            for values in zip(*map(_values, batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
                 if row["kind"] == "image" and not row.get("image_path"):
                     got.append((RETRY, None))
                     continue
@@ -146,13 +155,15 @@ def process(requests: DataFrame, connector: Connector, system_prompt: str = SYST
                         if row["content"] is None:
                             got.append((RETRY, None))
                             continue
-                    got.append(connector.process(row | {"system_prompt": system_prompt if row["kind"] == "image" else text_prompt}))
+                    row["system_prompt"] = system_prompt if row["kind"] == "image" else text_prompt
+                    got.append(connector.process(row))
                 except Exception:  # noqa: BLE001  a connector's own failure is a failed attempt
                     got.append((RETRY, None))
-            yield pdf.assign(status=[s for s, _ in got], raw=[r for _, r in got])
+            told = [pa.array([x[k] for x in got], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*names, "status", "raw"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", status string, raw string"
-    return requests.mapInPandas(run, schema).select(*names, "status", "raw")
+    return requests.mapInArrow(run, schema)
 
 
 def run_requests(requests: DataFrame, connector: Connector, attempts: int = ATTEMPTS, workers: int | None = None, reader: Reader | None = None) -> DataFrame:
