@@ -200,21 +200,20 @@ def _runs(x: np.ndarray, y: np.ndarray, diags: list[int]) -> list[tuple[int, int
     return sorted(out)
 
 
-def _once(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values that x holds once, and their places."""
-    value, at, count = np.unique(x, return_index=True, return_counts=True)
-    return value[count == 1], at[count == 1]
-
-
 def aligned_passages(x: np.ndarray, y: np.ndarray, diags: list[int], length: int, t: int) -> list[tuple[int, int, int, float]]:
     """Stretches (start, end, start in y, similarity) of x, of length or more, that y holds to a Jaccard similarity of t percent.
 
     Runs of equal shingles on the given diagonals, and on those of shingles that both hold once, are chained in the order
     of both texts, so that words may be replaced, inserted and deleted: m shingles in common and u places left out on
     either side are m of m + u. A run joins the chain that keeps most of (100 - t) m - t u, which must not get below 0.
+    A stretch is no longer than m + u, so texts with less than t percent of length in common hold none, and no run is looked for.
     """
-    (vx, ix), (vy, iy) = _once(x), _once(y)
+    (vx, ix, nx), (vy, iy, ny) = (np.unique(v, return_index=True, return_counts=True) for v in (x, y))
     _, p, q = np.intersect1d(vx, vy, assume_unique=True, return_indices=True)
+    if 100 * int(nx[p].sum()) < t * length:
+        return []
+    single = (nx[p] == 1) & (ny[q] == 1)
+    p, q = p[single], q[single]
     slack = len(x) * (100 - t) // t
     others = ix[p] - iy[q]
     others = others[(others >= min(diags) - slack) & (others <= max(diags) + slack)]
