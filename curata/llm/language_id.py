@@ -199,6 +199,13 @@ def _walk(model: Model, seqs: np.ndarray, marks: np.ndarray, shift: np.ndarray,
     return out
 
 
+def running(marks: np.ndarray) -> np.ndarray:
+    """How many of the marks come before each place, and all of them at the end."""
+    out = np.zeros(len(marks) + 1, np.int32 if len(marks) < 1 << 31 else np.int64)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
 def phrases(model: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Phrase counts, texts by languages, of the greedy parses of the symbol rows seqs[first[i]:first[i+1]].
 
@@ -228,10 +235,9 @@ def phrases(model: Model, seqs: np.ndarray, first: np.ndarray) -> np.ndarray:
                 break
             lane, lang, state = lane[on] + 1, lang[on], state[on]
             state = _walk(model, seqs, marks, lang * total, roots[lang], start[lane], stop[lane], state, True)
-        acc = np.zeros(m * total + 1, np.int64)
-        np.cumsum(marks, out=acc[1:])
-        for j in range(m):
-            counts[:, c + j] = acc[first[1:] + j * total] - acc[first[:-1] + j * total]
+        for j in range(m):  # a language at a time, as the sums take more memory than the marks
+            acc = running(marks[j * total : (j + 1) * total])
+            counts[:, c + j] = acc[first[1:]] - acc[first[:-1]]
     return counts
 
 
@@ -239,21 +245,17 @@ def score_block(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[
     """(language, score, bits per symbol, has a letter) for each text of a UTF-8 block."""
     text = data.tobytes().decode("utf-8", "replace")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-    cuts = lead[offs]
+    cuts = running((data & 0xC0) != 0x80)[offs]
     s = model.letters[points]
+    del text, points
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP)
     inner = cuts[:-1][cuts[:-1] < len(s)]
     keep[inner] = True
-    where = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(keep, out=where[1:])
-    first = where[cuts]
+    first = running(keep)[cuts].astype(np.int64)
     seqs = s[keep]
-    spoken = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(s != GAP, out=spoken[1:])
-    has_letter = np.diff(spoken[cuts]) > 0
+    has_letter = np.diff(running(s != GAP)[cuts]) > 0
+    del s, keep
     n = np.maximum(np.diff(first), 1)
     cost = phrases(model, seqs, first) * model.bits / n[:, None]
     if not model.languages:
@@ -276,10 +278,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
     known = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i"))
     keyed = known.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h"), F.xxhash64("t").alias("th"))
     ranked = keyed.withColumn("r", F.dense_rank().over(W.partitionBy("l").orderBy("h", "i", "th"))).filter(F.col("r") <= SAMPLE_DOCS)
-    chosen = ranked.select("i", "l", "h", "th").distinct().limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).collect()
-    if len({r.l for r in chosen}) > MAX_LANGUAGES:
+    chosen = ranked.select("i", "l", "h", "th").distinct().limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).toArrow()
+    if len(chosen["l"].unique()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
-    keys = docs.sparkSession.createDataFrame(chosen or [], f"i {docs.schema[id_col].dataType.simpleString()}, l string, h bigint, th bigint")
+    # an Arrow table, as rows of Python would go through Python workers of another kind, which executors then keep beside the others
+    keys = docs.sparkSession.createDataFrame(chosen) if len(chosen) else known.limit(0).select("i", "l", F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("th"))
     texts = known.withColumn("th", F.xxhash64("t")).select("i", "l", "th", F.substring("t", 1, SAMPLE_SYMBOLS).alias("t")).join(F.broadcast(keys), ["i", "l", "th"]).dropDuplicates(["i", "l", "th"])
     out: dict[str, list[str]] = {}
     for r in texts.select("h", "i", "l", "t").orderBy("h", "i", "t").toLocalIterator():
@@ -314,7 +317,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts and texts without a letter have no language and go. Where no row is labelled nothing can be learned: then
     no text is of a given language, and without given ones all texts with a letter stay and lang stays null. Only the
-    texts pass through Python, beside their rows, so nothing is joined back or shuffled.
+    texts pass through Python, beside their rows, so nothing is joined back or shuffled. The prediction counts as not
+    deterministic, or Spark would make it a second time for the filter, by workers of its own in each task.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, lang_col)))
 
@@ -328,7 +332,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.array(out, pa.string())
 
     key = free_name(docs, "predicted")
-    found = docs.withColumn(key, predicted(F.col(text_col))).filter(F.col(key).isNotNull())
+    found = docs.withColumn(key, predicted.asNondeterministic()(F.col(text_col))).filter(F.col(key).isNotNull())
     if languages is not None:
         found = found.filter(F.col(key).isin(languages))
     label = F.coalesce(F.col(lang_col), F.when(F.col(key) != "und", F.col(key))).cast(docs.schema[lang_col].dataType)

@@ -121,24 +121,30 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 1, id
     def cut(batches):
         enc = encoder(tokenizer)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column(0), column(batch, "text")
-            for a in range(0, len(texts), 64):  # a few documents at a time: the ids of a batch are never held together
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for key, text in zip(ids[a : a + 64].to_pylist(), texts[a : a + 64].to_pylist(), strict=True):
-                    raw = enc(text) + tail
-                    total = len(raw) // 4
-                    sizes = decompose(total, limit)
-                    for start, size in zip(accumulate(sizes[:-1], initial=0), sizes, strict=True):
-                        part = raw[4 * start : 4 * (start + size)]
-                        for out, v in zip(rows, (key, start, size, zlib.crc32(part), total, part if with_ids else None), strict=True):
-                            out.append(v)
-                cols = [pa.array(v, t) for v, t in zip(rows[:5], (ids.type, *[pa.int64()] * 4), strict=True)]
-                if with_ids:
-                    flat = np.frombuffer(b"".join(rows[5]), np.int32)
-                    offs = np.concatenate([[0], np.cumsum(rows[2])]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+        try:
+            for batch in batches:
+                yield from pieces_of(enc, tail, batch)
+        finally:
+            enc.memo.clear()  # an idle worker keeps the encoder only
+
+    def pieces_of(enc, tail, batch):
+        ids, texts = batch.column(0), column(batch, "text")
+        for a in range(0, len(texts), 64):  # a few documents at a time: the ids of a batch are never held together
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for key, text in zip(ids[a : a + 64].to_pylist(), texts[a : a + 64].to_pylist(), strict=True):
+                raw = enc(text) + tail
+                total = len(raw) // 4
+                sizes = decompose(total, limit)
+                for start, size in zip(accumulate(sizes[:-1], initial=0), sizes, strict=True):
+                    part = raw[4 * start : 4 * (start + size)]
+                    for out, v in zip(rows, (key, start, size, zlib.crc32(part), total, part if with_ids else None), strict=True):
+                        out.append(v)
+            cols = [pa.array(v, t) for v, t in zip(rows[:5], (ids.type, *[pa.int64()] * 4), strict=True)]
+            if with_ids:
+                flat = np.frombuffer(b"".join(rows[5]), np.int32)
+                offs = np.concatenate([[0], np.cumsum(rows[2])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
