@@ -16,7 +16,6 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 from math import log
 
 import numpy as np
@@ -24,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.llm.kernels import _power_tables, column, mix, tidy
+from curata.llm.kernels import _power_tables, column, mix, ranges, tidy
 
 META = "▁"
 #: Stands for a meta symbol of the text itself while words are cut; a lone surrogate, which no valid text has.
 _LITERAL = "\udc00"
+#: Words of a text, each with the meta symbols before it; those at its end are a word of their own.
 _WORD = re.compile(f"{META}*[^{META}]+|{META}+")
 #: Words drawn at a time.
 RUN = 300_000
@@ -52,6 +52,28 @@ class Spans:
         return mix((self.acc[start + length] - self.acc[start]) * self.down[start] + np.asarray(length).astype(np.uint64))
 
 
+def distinct_words(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, number among them of each word): the first of each equal words that start at first, which ends with the length.
+
+    Words with one hash are compared, and told apart one by one should any differ.
+    """
+    size = np.diff(first)
+    hashed = Spans(points).hash(first[:-1], size)
+    order = np.argsort(hashed)
+    ahead = hashed[order]
+    group = np.flatnonzero(np.r_[True, ahead[1:] != ahead[:-1]])
+    chosen = np.minimum.reduceat(order, group)
+    same = np.empty(len(size), np.int64)
+    same[order] = np.repeat(chosen, np.diff(np.r_[group, len(order)]))
+    if not (np.array_equal(size[same], size) and np.array_equal(points[ranges(first[same], size)], points)):
+        seen: dict[bytes, int] = {}
+        same = np.array([seen.setdefault(points[a:b].tobytes(), i) for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))], np.int64)
+    chosen = np.flatnonzero(same == np.arange(len(same)))
+    number = np.empty(len(size), np.int64)
+    number[chosen] = np.arange(len(chosen))
+    return chosen, number[same]
+
+
 class PieceModel:
     """Pieces of a SentencePiece model file with log weights. Merge models have ranks, not weights: Zipf's law stands in."""
 
@@ -76,6 +98,7 @@ class PieceModel:
             raise ValueError("the model has no byte pieces, so it can't spell every text")
         for b, i in self.bytes.items():
             self.pieces[i] = bytes([b])
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)])
         self.longest = max(map(len, self.weights))
         self.spelt = min(w for _, w in self.weights.values()) - 1.0
         names = list(self.weights)
@@ -92,11 +115,14 @@ class PieceModel:
         self.longest_run = int(np.bincount(slot).max())
 
     def edges(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, last character, piece, log weight) of all pieces in the words that start at first; first ends with the length."""
+        """(start, last character, piece, log weight) of all pieces in the words that start at first; first ends with the length.
+
+        The piece of a character that is spelt is its byte, or -1 less the character if it has several.
+        """
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(points))
-        spans, found = Spans(points), []
+        spans, found, longer = Spans(points), [], np.arange(len(points))
         for length in range(1, self.longest + 1):
-            start = np.flatnonzero(left >= length)
+            longer = start = longer[left[longer] >= length]
             h = spans.hash(start, length)
             run = self.run[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
             some = np.flatnonzero(run >= 0)
@@ -112,19 +138,19 @@ class PieceModel:
                 alone = np.ones(len(points), bool)
                 alone[start] = False
                 spelt = np.flatnonzero(alone)
-                found.append((spelt, spelt, -1 - points[spelt].astype(np.int64), np.full(len(spelt), self.spelt)))
+                chars = points[spelt].astype(np.int64)
+                found.append((spelt, spelt, np.where(chars < 128, self.byte_ids[np.minimum(chars, 127)], -1 - chars), np.full(len(spelt), self.spelt)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def draw(self, words: list[str], seeds: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, word) of each word's drawn pieces, in order; seeds are one uint64 per word."""
-        index: dict[str, int] = {}
-        occ = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
-        points = _points("".join(index))
-        size = np.array([len(w) for w in index], np.int64)
+    def draw(self, points: np.ndarray, first: np.ndarray, seeds: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, word) of the drawn pieces, in order, of the words that start at first; seeds are one uint64 per word."""
+        chosen, occ = distinct_words(points, first)
+        size = np.diff(first)[chosen]
+        points = points[ranges(first[chosen], size)]
         first = np.concatenate([[0], np.cumsum(size)])
         depth = np.arange(len(points)) - np.repeat(first[:-1], size)
         start, last, piece, logs = self.edges(points, first)
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.uint16) if size.max() < 1 << 16 else depth, kind="stable")
         place = np.empty(len(points), np.int64)
         place[by_depth] = np.arange(len(points))
         order = np.argsort(place[last], kind="stable")
@@ -150,8 +176,14 @@ class PieceModel:
         drawn, who = [], []
         while len(active):
             u = (mix(seeds[active] + np.uint64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(cdf, rank[at] + u, side="right")
-            edge = np.minimum(edge, heads[rank[at]] + count[rank[at]] - 1)
+            own = rank[at]
+            edge, u = heads[own], own + u
+            end = edge + count[own] - 1
+            on = np.flatnonzero((edge < end) & (cdf[edge] <= u))
+            while len(on):  # on to the first of a character's few pieces whose share isn't passed
+                edge[on] += 1
+                e = edge[on]
+                on = on[(e < end[on]) & (cdf[e] <= u[on])]
             drawn.append(piece[edge])
             who.append(active)
             going = ~at_start[edge]
@@ -167,24 +199,47 @@ class PieceModel:
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int, alpha: float) -> list[np.ndarray]:
         """Piece ids of each text; keys are one uint64 per text."""
-        words = [_WORD.findall(META + t.replace(META, _LITERAL).replace(" ", META)) for t in texts]
-        count = np.array([len(w) for w in words], np.int64)
-        text_of = np.repeat(np.arange(len(texts)), count)
-        nth = np.arange(len(text_of)) - np.repeat(np.cumsum(count) - count, count)
+        points = _points(META + META.join(texts)) if texts else np.zeros(0, np.uint32)
+        begin = np.array([1 + len(t) for t in texts], np.int64)
+        begin = np.cumsum(begin) - begin
+        meta = np.uint32(ord(META))
+        points = np.where(points == meta, np.uint32(ord(_LITERAL)), np.where(points == 0x20, meta, points))
+        points[begin] = meta
+        # words as _WORD cuts them: one begins at a text's start and at each meta symbol that follows none
+        starts = points == meta
+        starts[1:] &= points[:-1] != meta
+        starts[begin] = True
+        first = np.flatnonzero(starts)
+        text_of = np.searchsorted(begin, first, side="right") - 1
+        nth = np.arange(len(first)) - np.searchsorted(first, begin)[text_of]
+        first = np.r_[first, len(points)]
         row_seed = mix(keys ^ mix(np.array([seed], np.int64).view(np.uint64)))
         seeds = mix(row_seed[text_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        flat = list(chain.from_iterable(words))
-        runs = [(a, *self.draw(flat[a : a + RUN], seeds[a : a + RUN], alpha)) for a in range(0, len(flat), RUN)]
-        ids = np.concatenate([r[1] for r in runs]) if runs else np.zeros(0, np.int64)
-        owner = np.concatenate([text_of[r[0] + r[2]] for r in runs]) if runs else np.zeros(0, np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = ids[a:b]
-            if len(own) and own.min() < 0:
-                own = np.array([y for x in own.tolist() for y in ([x] if x >= 0 else [self.bytes[c] for c in chr(-1 - x).replace(_LITERAL, META).encode()])], np.int64)
-            out.append(own.astype(np.int32))
-        return out
+        ids, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(text_of), RUN):
+            own = first[a : a + RUN + 1]
+            drawn, word = self.draw(points[own[0] : own[-1]], own - own[0], seeds[a : a + RUN], alpha)
+            ids.append(drawn)
+            owner.append(text_of[a + word])
+        ids, owner = self._spelt(np.concatenate(ids), np.concatenate(owner))
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _spelt(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces as int32, and their owners, with characters of several bytes spelt in their byte pieces."""
+        where = np.flatnonzero(ids < 0)
+        if not len(where):
+            return ids.astype(np.int32), owner
+        chars, kind = np.unique(-1 - ids[where], return_inverse=True)
+        spelt = [chr(c).replace(_LITERAL, META).encode() for c in chars.tolist()]
+        size = np.array([len(x) for x in spelt], np.int64)
+        count = np.ones(len(ids), np.int64)
+        count[where] = size[kind]
+        at = (np.cumsum(count) - count)[where]
+        out = np.repeat(ids, count).astype(np.int32)
+        letters = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        out[ranges(at, size[kind])] = letters[ranges((np.cumsum(size) - size)[kind], size[kind])]
+        return out, np.repeat(owner, count)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; lossless for sampled and for greedy ids of this model alike."""
