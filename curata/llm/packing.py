@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from curata.llm.kernels import column, tidy
 
 #: Entries of the memo of pre-token ids; it is emptied when full, so a worker's memory is bounded.
-MEMO = 400_000
+MEMO = 1 << 17
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _S = "\t\n\x0b\x0c\r "
